@@ -159,7 +159,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, ids
     codes = canonical_codes(lengths)
     filesys, root = common.filesystem(path)
     filesys.create_dir(root)
-    with filesys.open_output_stream(f"{root}/codebook.bin") as f:
+    with filesys.open_output_stream(f"{root}/codebook.bin", compression=None) as f:
         f.write(json.dumps({"interval": interval, "vocabulary": vocabulary}).encode() + b"\n" + zlib.compress(lengths.tobytes()))
     total = made.agg(F.sum("n_tokens")).first()[0] or 0
     n_shards = int(min(max_shards, max(1, -(-total // ids_per_shard))))
@@ -202,7 +202,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, ids
                 if out is None:
                     name = f"ids-{shard:06d}.huff"
                     temp = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}.tmp"
-                    out = {"shard": shard, "name": name, "temp": temp, "final": f"{root}/{name}", "file": filesys.open_output_stream(temp), "parts": [], "held": 0, "docs": [], "sizes": []}
+                    out = {"shard": shard, "name": name, "temp": temp, "final": f"{root}/{name}", "file": filesys.open_output_stream(temp, compression=None), "parts": [], "held": 0, "docs": [], "sizes": []}
                     out["file"].write(MAGIC)
                 ids = np.frombuffer(ids.as_py(), dtype=f"<u{width}")
                 out["docs"].append(doc_id)
@@ -225,7 +225,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesys, root = common.filesystem(path)
-        with filesys.open_input_stream(f"{root}/codebook.bin") as f:
+        with filesys.open_input_stream(f"{root}/codebook.bin", compression=None) as f:
             head, packed = f.read().split(b"\n", 1)
         interval = json.loads(head)["interval"]
         table = decode_table(np.frombuffer(zlib.decompress(packed), dtype=np.uint8))

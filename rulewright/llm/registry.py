@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL that some can be compared with."""
 
-from . import huffman, packing
+from . import huffman, langid, packing, warc
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op4_warc": warc.op4_warc,
     "op5_huffman_ids": huffman.op5_huffman_ids,
     "op10_pack_binary": packing.op10_pack_binary,
 }
