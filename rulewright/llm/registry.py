@@ -1,11 +1,13 @@
 """The queries of this subpackage and the SQL that some can be compared with."""
 
-from . import huffman, langid, packing, warc
+from . import huffman, langid, mixing, packing, pii, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op4_warc": warc.op4_warc,
     "op5_huffman_ids": huffman.op5_huffman_ids,
+    "op6_mixing": mixing.op6_mixing,
+    "op8_pii": pii.op8_pii,
     "op10_pack_binary": packing.op10_pack_binary,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}

@@ -1,0 +1,99 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rulewright.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    digits = lambda s: "".join(c for c in s if c in "0123456789")
+    luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(s[::-1])) % 10 == 0
+    found = [(0, *m.span()) for m in EMAIL.finditer(text)]
+    found += [(1, *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(2, *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return found + [(3, *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1.@+-( )4é@.", max_size=60))
+def test_base_is_the_plain_patterns(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+@pytest.fixture(scope="module")
+def weights():
+    return pii.train()
+
+
+@pytest.mark.parametrize("text,kind,want", [
+    ("mail jane [at] mail [dot] example [dot] com now", "email", "jane [at] mail [dot] example [dot] com"),
+    ("call (743) 555-3824 today", "phone", "(743) 555-3824"),
+    ("card 4111.1111.1111.1111 ok", "card", "4111.1111.1111.1111"),
+    ("ask +1 (269) 555-3296 4111111111111111 and", "phone", "+1 (269) 555-3296"),
+])
+def test_field_adds_other_forms(weights, text, kind, want):
+    got = [(pii.KINDS[k], text[s:e]) for k, s, e in pii.all_spans(text, weights)]
+    assert (kind, want) in got and all(s in pii.all_spans(text, weights) for s in pii.base_spans(text))
+
+
+@pytest.mark.parametrize("text", ["on 2024-05-17 12:30 we", "3.14159265 and 1,234,567", "id 123456789012", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "4111111111111112 fails", "plain words only", ""])
+def test_field_leaves_other_text_alone(weights, text):
+    assert pii.all_spans(text, weights) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="14.+-( )@a", min_size=8, max_size=14))
+def test_decoding_is_the_best_segmentation(text):
+    weights = pii.train.__globals__["np"].random.default_rng(3).normal(size=(4, pii.N_FEATURES))
+    tokens, segments = pii.lattice(text, 0, len(text))
+    score = {(s[0], s[1]): float((weights @ s[2]).max()) for s in segments}
+
+    def best(at):
+        return 0.0 if at >= len(tokens) else max([best(at + 1), *(v + best(j) for (i, j), v in score.items() if i == at)])
+
+    got = pii.decode(tokens, segments, weights)
+    assert sum(score[i, j] for _, i, j in got) == pytest.approx(best(0)) and all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+
+
+def test_gradient_is_that_of_the_likelihood():
+    np = pii.np
+    text = "x +1 (269) 555-3296 4111111111111111"
+    a, b = next(pii.stretches(text))
+    tokens, segments = pii.lattice(text, a, b)
+    gold = {(3, segments[0][0], segments[0][1])}
+    w = np.random.default_rng(0).normal(size=(4, pii.N_FEATURES)) / 5
+    grad, _ = pii._gradient(tokens, segments, gold, w)
+    step = np.zeros_like(w)
+    step[3, 2] = 1e-5
+    numeric = (pii._gradient(tokens, segments, gold, w + step)[1] - pii._gradient(tokens, segments, gold, w - step)[1]) / 2e-5
+    assert numeric == pytest.approx(grad[3, 2], abs=1e-4)
+
+
+def test_odd_rows(spark, weights):
+    rows = [(1, None, "x"), (2, "", "x"), (None, "a@b.co", "x"), (3, "é a@b.co 😀 a@b.co", "x"), (3, "é a@b.co 😀 a@b.co", "x"), (4, "word " * 100_000 + "a@b.co", "x")]
+    got = pii.detect(spark.createDataFrame(rows, "doc_id long, text string, spans string"), weights).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [(r.n_email, r.spans) for r in got] == [(0, ""), (0, ""), (1, "email:0:6"), (2, "email:2:8,email:11:17"), (2, "email:2:8,email:11:17"), (1, "email:500000:500006")]
+    assert got[0].base_sha256 == empty and got[2].base_sha256 == hashlib.sha256(b"email:0:6").hexdigest()
+    text = pii.mask(spark.createDataFrame(rows, "doc_id long, text string, spans string"), weights).collect()
+    assert text[0].text is None and text[3].text == "é [EMAIL] 😀 [EMAIL]" and text[3].spans == "x"
+    assert pii.detect(spark.createDataFrame([], "doc_id long, text string"), weights).count() == 0
+
+
+def test_query_matches_brute_force(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = pii.op8_pii(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in range(4))
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert set(filter(None, pii.joined(base).split(","))) <= set(r.spans.split(","))
