@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that some can be compared with."""
 
-from . import embeddings, huffman, langid, mixing, packing, pii, warc
+from . import embeddings, huffman, langid, mixing, neardup, packing, pii, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_dart_minhash": neardup.op2_dart_minhash,
     "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
     "op4_warc": warc.op4_warc,
     "op5_huffman_ids": huffman.op5_huffman_ids,
