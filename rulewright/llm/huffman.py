@@ -113,32 +113,43 @@ def decode_block(n: int, marks: np.ndarray, payload: bytes, table: tuple[np.ndar
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (binary, unsigned little-endian, 16 bits if the vocabulary allows) with the end id."""
+    """Rows of kind 0: doc_id, n_tokens and ids (unsigned little-endian, 16 bits if the vocabulary allows) with the end id.
+
+    Each task adds a row of kind 1, whose ids are how often it has met each id of the vocabulary (64-bit integers).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokens.tokenizer(path)
-        kind = "<u2" if tok.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = vocabulary_size(path)
+        total, kind = np.zeros(vocabulary, dtype=np.int64), "<u2" if vocabulary <= 1 << 16 else "<u4"
+        end = np.array([tokens.END_ID], dtype=kind).tobytes()
         for batch in batches:
-            ids = [np.append(np.frombuffer(tok.ids(t.as_py()), dtype="<u4"), np.uint32(tokens.END_ID)).astype(kind) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids = [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() + end for x in tok.ids(batch.column(1).to_pylist())]
+            total += np.bincount(np.frombuffer(b"".join(ids), dtype=kind), minlength=vocabulary)
+            sizes = np.array([len(x) for x in ids], dtype=np.int64) // np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), dtype=np.int32)), batch.column(0), pa.array(sizes), pa.array(ids, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    names = ["kind", "doc_id", "n_tokens", "ids"]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "kind int, doc_id long, n_tokens long, ids binary")
 
 
-def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id occurs; partitions count first, so vocabulary x partitions numbers are shuffled at most."""
-    width = 2 if vocabulary <= 1 << 16 else 4
+def vocabulary_size(path: str) -> int:
+    return max(tokens.tokenizer(path).tokenizer.get_vocab_size(), tokens.END_ID + 1)
+
+
+def id_counts(made: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs, from the rows of kind 1."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
             for x in batch.column(0):
-                got = np.bincount(np.frombuffer(x.as_py(), dtype=f"<u{width}"))
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+                total += np.frombuffer(x.as_py(), dtype=np.int64)
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = made.where("kind = 1").select("ids").mapInArrow(used, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(vocabulary, dtype=np.int64)
     counts[rows["id"]] = rows["n"]
     return counts
@@ -151,12 +162,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, ids
     files are the same however docs is partitioned. Files are written under temporary names and renamed when
     complete; the manifest is written last.
     """
-    spark = docs.sparkSession
     tokenizer_path = tokenizer_path or tokens.default_path()
-    vocabulary = max(tokens.tokenizer(tokenizer_path).tokenizer.get_vocab_size(), tokens.END_ID + 1)
-    made = common.saved(tokenised(docs, tokenizer_path), "ids")
+    vocabulary = vocabulary_size(tokenizer_path)
+    made = common.saved(tokenised(docs, tokenizer_path), "ids", "kind")
     lengths = code_lengths(id_counts(made, vocabulary), limit)
     codes = canonical_codes(lengths)
+    made = made.where("kind = 0")
     filesys, root = common.filesystem(path)
     filesys.create_dir(root)
     with filesys.open_output_stream(f"{root}/codebook.bin", compression=None) as f:

@@ -42,8 +42,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, max_len:
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tok.ids(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 n, start = len(ids) // 4, 0
                 for length in piece_lengths(n, max_len):
                     part = ids[4 * start : 4 * (start + length)]

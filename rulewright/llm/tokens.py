@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 END_ID = 1
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,11 +25,17 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkTokenizer:
-    def __init__(self, path: str, max_chunks: int = 500_000, max_words: int = 700_000):
+    def __init__(self, path: str, max_chunks: int = 800_000, max_words: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # lower-case words of Latin letters need no normaliser; many are encoded as one text and cut at the word ends
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if suffix and piece.endswith(suffix)]] = True
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.max_chunks, self.max_words = max_chunks, max_words
@@ -36,36 +43,56 @@ class ChunkTokenizer:
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of all these chunks into the cache; a full cache is emptied first."""
-        if len(self.chunks) > self.max_chunks:
-            self.chunks.clear()
-        if len(self.words) > self.max_words:
-            self.words.clear()
-        missing = [c for c in set(chunks) if c not in self.chunks]
+    def _encode_words(self, words: list[str], together: int = 2000) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), together):
+            part = words[i : i + together]
+            ids = np.asarray(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):  # a vocabulary without word ends
+                out += self._encode(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
         cut, whole = {}, []
         for chunk in missing:
-            m = _LETTERS.fullmatch(chunk)
-            if m:
-                cut[chunk] = (m[1].lower(), m[2])
+            word = chunk.rstrip(".,;:!?")
+            if word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
+                cut[chunk] = (word.lower(), chunk[len(word) :])
             else:
                 whole.append(chunk)
-        new = list({p for pair in cut.values() for p in pair if p not in self.words})
-        self.words.update(zip(new, self._encode(new), strict=True))
-        self.chunks.update({c: self.words[a] + self.words[b] for c, (a, b) in cut.items()})
+        words = self.words
+        new = list({word for word, _ in cut.values()} - words.keys())
+        words.update(zip(new, self._encode_words(new), strict=True))
+        ends = list({end for _, end in cut.values()} - words.keys())
+        words.update(zip(ends, self._encode(ends), strict=True))
+        self.chunks.update({c: words[a] + words[b] for c, (a, b) in cut.items()})
         self.chunks.update(zip(whole, self._encode(whole), strict=True))
 
-    def ids(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, without an end id."""
-        if not text:
-            return b""
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.chunks
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            self._learn(chunks)
-            return b"".join(map(known.__getitem__, chunks))
+    def ids(self, texts: list[str | None], together: int = 1 << 21) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, without an end id.
+
+        Texts of about `together` characters are looked up at a time, so that what is missing is encoded together.
+        """
+        at = 0
+        while at < len(texts):
+            parts, held = [], 0
+            while at < len(texts) and (held < together or not parts):
+                text = texts[at] or ""
+                parts.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else [])
+                held, at = held + len(text), at + 1
+            if len(self.chunks) > self.max_chunks:
+                self.chunks.clear()
+            if len(self.words) > self.max_words:
+                self.words.clear()
+            if missing := set().union(*parts) - self.chunks.keys():
+                self._learn(missing)
+            get = self.chunks.__getitem__
+            for chunks in parts:
+                yield b"".join(map(get, chunks))
 
 
 _LOADED: dict[str, ChunkTokenizer] = {}

@@ -27,7 +27,8 @@ def corpus(spark, sf):
 def test_chunks_give_the_ids_of_whole_texts(spark, sf):
     texts = TEXTS + corpus(spark, sf)
     tok = tokens.ChunkTokenizer(tokens.default_path(), max_chunks=50, max_words=20)
-    assert [np.frombuffer(tok.ids(t), dtype="<u4").tolist() for t in texts] == whole(texts)
+    for together in (1, 200, 1 << 21):
+        assert [np.frombuffer(t, dtype="<u4").tolist() for t in tok.ids(texts, together)] == whole(texts)
 
 
 def frame(spark, texts):
