@@ -67,23 +67,22 @@ def allocate(leaves: DataFrame, total: int, max_epochs: int, weights: dict, defa
     return budgets
 
 
-def mix(docs: DataFrame, total: int | None = None, part: tuple[int, int] = (3, 5), max_epochs: int = 4, seed: int = 17, weights: dict | None = None, default: int = DEFAULT_WEIGHT, bucket_rows: int = 4096) -> DataFrame:
-    """Which documents are read how often: doc_id, domain, lang, source, n_tokens, full_epochs, in_prefix, copies.
+def _order(seed: int) -> Column:
+    """A row's place in its leaf for the epoch that is read in part; the order is a new one for every epoch."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("hash")))
 
-    docs has doc_id, text, lang, source; other columns are ignored. total is the budget in tokens (default: part of
-    what docs has, as a fraction). A null lang or source is the leaf `unknown`. Null and empty texts have no tokens:
-    they are read whenever their place in the order is within the prefix. Rows with the same id, or without one, are
-    ordered by their text; repeated rows that are alike in all of these are taken together or not at all. Documents
-    that are not read at all are not returned.
-    """
-    spark = docs.sparkSession
-    keys = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("unknown")).alias("source"),
-        n_tokens(F.col("text")).alias("n_tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"),
-    ).withColumn("domain", domain_of(F.col("source")))
-    keys = common.saved(keys, "mixing")
-    leaves = keys.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
-    leaves = common.saved(leaves, "leaves")
+
+def _keys(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({
+        "doc_id": F.col("doc_id").cast("long"), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), "source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")),
+        "n_tokens": n_tokens(F.col("text")), "hash": F.md5(F.coalesce("text", F.lit(""))),
+    }).withColumn("domain", domain_of(F.col("source"))).select("doc_id", *LEVELS, "n_tokens", "hash")
+
+
+def _decided(docs: DataFrame, total: int | None, part: tuple[int, int], max_epochs: int, seed: int, weights: dict | None, default: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with full_epochs, place and in_prefix; and the plan, a row for each leaf."""
+    keys = common.saved(_keys(docs), "mixing")
+    leaves = common.saved(keys.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "leaves")
     sums = leaves.agg(F.sum("tokens").alias("t"), F.max("n_docs").alias("n")).first()
     if total is None:
         total = (sums["t"] or 0) * part[0] // part[1]
@@ -96,9 +95,8 @@ def mix(docs: DataFrame, total: int | None = None, part: tuple[int, int] = (3, 5
     while 16**digits * bucket_rows < (sums["n"] or 0):
         digits += 1
     # a hot leaf is most of the rows of its key: AQE may split this join
-    rows = keys.join(plan.hint("merge"), list(LEVELS))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("hash")))
-    rows = rows.withColumn("place", order).withColumn("bucket", F.substring("place", 1, digits))
+    rows = keys.join(plan.hint("merge"), list(LEVELS)).withColumn("place", _order(seed))
+    rows = rows.withColumn("bucket", F.substring("place", 1, digits))
     sizes = rows.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("held"), F.first("prefix").alias("prefix"))
     running = Window.partitionBy(*LEVELS).orderBy("bucket")
     edges = sizes.withColumn("before", F.sum("held").over(running) - F.col("held")).where("before <= prefix").select(*LEVELS, "bucket", "before", F.expr("before + held <= prefix").alias("whole"))
@@ -107,10 +105,40 @@ def mix(docs: DataFrame, total: int | None = None, part: tuple[int, int] = (3, 5
     sure = placed.where("whole is null or whole").withColumn("in_prefix", F.coalesce("whole", F.lit(False)))
     inside = Window.partitionBy(*LEVELS, "bucket").orderBy("place")  # range frame: equal places are taken together
     cut = placed.where("not whole").withColumn("in_prefix", F.col("before") + F.sum("n_tokens").over(inside) <= F.col("prefix"))
-    out = sure.unionByName(cut).withColumn("copies", F.col("full_epochs") + F.col("in_prefix").cast("long"))
+    return sure.unionByName(cut), plan
+
+
+def mix(docs: DataFrame, total: int | None = None, part: tuple[int, int] = (3, 5), max_epochs: int = 4, seed: int = 17, weights: dict | None = None, default: int = DEFAULT_WEIGHT, bucket_rows: int = 4096) -> DataFrame:
+    """Which documents are read how often: doc_id, domain, lang, source, n_tokens, full_epochs, in_prefix, copies.
+
+    docs has doc_id, text, lang, source; other columns are ignored. total is the budget in tokens (default: part of
+    what docs has, as a fraction). A null lang or source is the leaf `unknown`. Null and empty texts have no tokens:
+    they are read whenever their place in the order is within the prefix. Rows with the same id, or without one, are
+    ordered by their text; repeated rows that are alike in all of these are taken together or not at all. Documents
+    that are not read at all are not returned.
+    """
+    rows, _ = _decided(docs, total, part, max_epochs, seed, weights, default, bucket_rows)
+    out = rows.withColumn("copies", F.col("full_epochs") + F.col("in_prefix").cast("long"))
     return out.where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "full_epochs", "in_prefix", "copies")
 
 
+def select_documents(docs: DataFrame, total: int | None = None, part: tuple[int, int] = (4, 5), seed: int = 17, weights: dict | None = None, default: int = DEFAULT_WEIGHT, bucket_rows: int = 4096, max_plan_rows: int = 50_000) -> DataFrame:
+    """The rows of docs that mix() reads with one epoch at most, with all their columns.
+
+    A leaf's prefix ends at a place in its order, so the texts need no shuffle: each row is held against its leaf's
+    last place. The table of last places has a row for each leaf and is broadcast if it has max_plan_rows at most.
+    """
+    rows, plan = _decided(docs, total, part, 1, seed, weights, default, bucket_rows)
+    last = rows.where("in_prefix").groupBy(*LEVELS).agg(F.max("place").alias("last"))
+    ends = common.saved(plan.join(last.hint("merge"), list(LEVELS), "left").select(*(F.col(c).alias(f"_{c}") for c in LEVELS), "full_epochs", "last"), "ends")
+    ends = F.broadcast(ends) if ends.count() <= max_plan_rows else ends.hint("merge")
+    keyed = docs.withColumn("_row", F.struct(*docs.columns))
+    keyed = keyed.withColumns({"lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), "source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "hash": F.md5(F.coalesce("text", F.lit("")))})
+    keyed = keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "hash", F.col("lang").alias("_lang"), F.col("source").alias("_source"), domain_of(F.col("source")).alias("_domain"))
+    kept = keyed.join(ends, ["_domain", "_lang", "_source"]).where((F.col("full_epochs") > 0) | (_order(seed) <= F.col("last")))
+    return kept.select("_row.*")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.load(spark, sf_dir, "documents"))
 

@@ -42,3 +42,12 @@ def test_shortage_goes_to_siblings_first(spark):
 
 def test_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_selected_rows_are_those_of_one_epoch(spark):
+    docs = spark.createDataFrame(ROWS + ODD, "doc_id long, text string, lang string, source string").withColumn("n_chars", mixing.F.lit(1).cast("long"))
+    for limit in (50_000, 0):
+        got = sorted(str((r.doc_id, r.lang or "unknown", r.source or "unknown")) for r in mixing.select_documents(docs, part=(1, 2), bucket_rows=3, max_plan_rows=limit).collect())
+        want = sorted(str((r.doc_id, r.lang, r.source)) for r in mixing.mix(docs, part=(1, 2), max_epochs=1).collect())
+        assert got == want and len(got) > 20
+    assert mixing.select_documents(docs).columns == docs.columns
