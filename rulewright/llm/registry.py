@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that some can be compared with."""
 
-from . import embeddings, huffman, langid, mixing, neardup, packing, pii, topk, warc
+from . import embeddings, huffman, katz, langid, mixing, neardup, packing, pii, topk, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_huffman_ids": huffman.op5_huffman_ids,
     "op6_mixing": mixing.op6_mixing,
+    "op7_katz_backoff": katz.op7_katz_backoff,
     "op8_pii": pii.op8_pii,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_pack_binary": packing.op10_pack_binary,
