@@ -8,6 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from rulewright import operators
+from rulewright.operators import fuzzy, learn, vectors
+from rulewright.streaming import jobs
 
 
 def _from_tables(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +17,8 @@ def _from_tables(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: partial(_from_tables, key) for key in operators.OPERATORS}
+    return {key: partial(_from_tables, key) for key in operators.OPERATORS} | vectors.QUERIES | fuzzy.QUERIES | learn.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: operators.oracle(key) for key in operators.OPERATORS}
+    return {key: operators.oracle(key) for key in operators.OPERATORS} | vectors.ORACLES | jobs.ORACLES

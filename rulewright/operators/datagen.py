@@ -22,7 +22,7 @@ OPS["gen_05_ambiguous"] = "SELECT concat('ambiguous_', t.business_term, '_', CAS
 OPS["gen_06_conflicting"] = "SELECT concat(rule_id, '_conflict') AS rule_id, CASE WHEN threshold > 100 THEN threshold / 2 WHEN threshold > 0 THEN threshold * 2 ELSE threshold END AS threshold, CASE WHEN threshold > 0 THEN operation WHEN operation = 'exclude' THEN 'include' ELSE 'exclude' END AS operation FROM rules"
 OPS["gen_07_top_up"] = """
 SELECT feedback_type, n, need, feedback_id, concat('To be clear: ', feedback_text) AS feedback_text FROM (
-  SELECT r.feedback_type, c.n, greatest(0, 260 - c.n) AS need, r.feedback_id, r.feedback_text, row_number() OVER (PARTITION BY r.feedback_type ORDER BY md5(r.feedback_id), r.feedback_id) AS rn
+  SELECT r.feedback_type, c.n, greatest(0, 1400 - c.n) AS need, r.feedback_id, r.feedback_text, row_number() OVER (PARTITION BY r.feedback_type ORDER BY md5(r.feedback_id), r.feedback_id) AS rn
   FROM records r JOIN (SELECT feedback_type, count(*) AS n FROM records GROUP BY feedback_type) c ON c.feedback_type = r.feedback_type) x WHERE rn <= need"""
 OPS["gen_08_banks"] = """
 SELECT kind, id, text, CASE WHEN instr(lower(text), 'broken') > 0 THEN 'issue_report' WHEN instr(text, '?') > 0 THEN 'question' WHEN instr(lower(text), 'add') > 0 THEN 'feature_request' WHEN kind = 'spam' THEN 'irrelevant_spam' ELSE 'general_feedback' END AS label, r.rule_id

@@ -1,5 +1,7 @@
 """Structured extraction."""
 
+from .datagen import OPS as DATASETS
+
 OPS: dict[str, str] = {}
 
 OPS["ext_01_glossary_match"] = """
@@ -74,3 +76,26 @@ _INFER = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in INFER)
 OPS["ext_18_infer"] = f"SELECT DISTINCT f.feedback_id, p.field, p.operator, p.value FROM feedback f JOIN (VALUES {_INFER}) AS p(pattern, field, operator, value) ON RLIKE(lower(f.feedback_text), p.pattern)"
 OPS["ext_22_glossary_enrich"] = """
 SELECT r.rule_id, g.term, g.definition, CASE WHEN g.ref = c.field THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence FROM rules r JOIN conditions c ON c.rule_id = r.rule_id AND c.pos = 0 LEFT JOIN glossary g ON g.domain = r.domain_id AND g.pos = 0"""
+_PARTS = f"""
+SELECT t.feedback_id, t.term, t.confidence, o.first_operation AS operation, o.operations, s.scope, w.time_window, c.field, c.operator, c.value FROM ({OPS["ext_02_primary_term"]}) t JOIN ({OPS["ext_03_operations"]}) o ON o.feedback_id = t.feedback_id
+JOIN ({OPS["ext_08_scope"]}) s ON s.feedback_id = t.feedback_id JOIN ({OPS["ext_09_time_window"]}) w ON w.feedback_id = t.feedback_id LEFT JOIN (SELECT * FROM ({OPS["ext_04_conditions"]}) x WHERE kind = 0) c ON c.feedback_id = t.feedback_id"""
+OPS["ext_12_assemble"] = f"""
+SELECT feedback_id, term, operation, scope, time_window, field, operator, value, CASE WHEN field IS NULL THEN 0 ELSE 1 END AS n_conditions, round((confidence + CASE WHEN operation = 'unknown' THEN 0.3 ELSE 0.9 END + CASE WHEN field IS NULL THEN 0.4 ELSE 0.9 END) / 3, 6) AS overall,
+  concat_ws(';', 'term=' || term, 'op=' || operation, 'window=' || time_window) AS evidence FROM ({_PARTS}) p"""
+OPS["ext_16_complete"] = f"""
+SELECT c.rule_id, c.pos, coalesce(CASE WHEN instr(c.field, '.') > 0 THEN c.field END, r.field) AS field, CASE WHEN instr(c.field, '.') = 0 AND r.field IS NULL THEN 'needs_clarification' WHEN instr(c.field, '.') = 0 THEN 'resolved' ELSE 'explicit' END AS origin,
+  CASE WHEN instr(c.field, '.') = 0 AND r.field IS NULL THEN CAST(0.3 AS DOUBLE) WHEN instr(c.field, '.') = 0 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END AS confidence FROM conditions c LEFT JOIN ({OPS["ext_15_resolve_field"]}) r ON r.rule_id = c.rule_id"""
+_LABELS = DATASETS["gen_18_token_labels"]
+# a value belongs to the last field before it; a field's stretch ends where the next begins
+_FIELDS = f"SELECT feedback_id, pos, tok, coalesce(lead(pos) OVER (PARTITION BY feedback_id ORDER BY pos), 100000) AS until FROM ({_LABELS}) l WHERE label IN ('B-COLUMN', 'B-TERM')"
+OPS["ext_19_from_tags"] = f"""
+SELECT f.feedback_id, f.tok AS field, min(v.tok) AS value, o.operation, count(v.tok) AS n_values FROM ({_FIELDS}) f LEFT JOIN (SELECT * FROM ({_LABELS}) l WHERE label IN ('B-VALUE', 'B-THRESHOLD')) v ON v.feedback_id = f.feedback_id AND v.pos > f.pos AND v.pos < f.until
+LEFT JOIN (SELECT feedback_id, min(lower(tok)) AS operation FROM ({_LABELS}) l WHERE label = 'B-OPERATION' GROUP BY feedback_id) o ON o.feedback_id = f.feedback_id GROUP BY f.feedback_id, f.pos, f.tok, o.operation"""
+OPS["ext_20_normalise_components"] = f"""
+SELECT feedback_id, canonical, qualified, value, substring(SHA(canon), 1, 12) AS family_id FROM (
+  SELECT feedback_id, canonical, qualified, value, concat(qualified, '|', upper(canonical), '|', coalesce(value, '')) AS canon FROM (
+    SELECT t.feedback_id, CASE WHEN t.operation IN ('only', 'restrict') THEN 'restrict' ELSE coalesce(t.operation, 'include') END AS canonical, lower(coalesce(k.qualified, CASE WHEN instr(t.field, '.') > 0 THEN t.field END, concat('orders.', t.field))) AS qualified, lower(t.value) AS value
+    FROM ({OPS["ext_19_from_tags"]}) t LEFT JOIN (SELECT column_name, min(concat(table_name, '.', column_name)) AS qualified FROM catalog GROUP BY column_name) k ON k.column_name = lower(t.field)) a) b"""
+OPS["ext_21_template"] = f"""
+SELECT feedback_id, term, operation, coalesce(field, CASE WHEN time_window IS NOT NULL THEN 'orders.created_at' END, CASE WHEN operation = 'exclude' THEN 'orders.status' END) AS field, coalesce(value, time_window, CASE WHEN operation = 'exclude' THEN 'cancelled' END) AS value,
+  CASE WHEN field IS NOT NULL THEN 'explicit' WHEN time_window IS NOT NULL THEN 'time_window' WHEN operation = 'exclude' THEN 'keyword' ELSE 'none' END AS rung FROM ({_PARTS}) p"""

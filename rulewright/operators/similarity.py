@@ -52,3 +52,5 @@ OPS["sim_16_known_conflicts"] = """
 SELECT k.a AS rule_id, k.b AS other_id FROM (SELECT rule_id AS a, concat('R', lpad(CAST(rule_no + 1 AS STRING), 6, '0')) AS b FROM rules WHERE rule_no % 7 = 0) k JOIN rules r ON r.rule_id = k.a
 UNION SELECT k.b, k.a FROM (SELECT rule_id AS a, concat('R', lpad(CAST(rule_no + 1 AS STRING), 6, '0')) AS b FROM rules WHERE rule_no % 7 = 0) k JOIN rules r ON r.rule_id = k.b"""
 OPS["sim_19_enrich"] = "SELECT c.rule_id, c.pos, c.field, k.type, k.allowed, k.nullable, g.definition FROM conditions c LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field LEFT JOIN glossary g ON g.domain = c.domain_id AND g.ref = c.field"
+OPS["sim_02_index_refresh"] = """
+SELECT r.rule_id, CASE WHEN e.vec_id IS NULL THEN 'skipped' ELSE 'updated' END AS outcome, e.label AS vector_label FROM rules r LEFT JOIN embeddings e ON e.vec_id = r.rule_no AND r.status IN ('active', 'draft')"""
