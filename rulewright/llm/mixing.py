@@ -79,7 +79,12 @@ def _keys(docs: DataFrame) -> DataFrame:
     }).withColumn("domain", domain_of(F.col("source"))).select("doc_id", *LEVELS, "n_tokens", "hash")
 
 
-def _decided(docs: DataFrame, total: int | None, part: tuple[int, int], max_epochs: int, seed: int, weights: dict | None, default: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+def _small(table: DataFrame, most: int) -> DataFrame:
+    """A written table, to be broadcast if it has so many rows at most, else joined by a shuffle that AQE may split."""
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
+
+
+def _decided(docs: DataFrame, total: int | None, part: tuple[int, int], max_epochs: int, seed: int, weights: dict | None, default: int, bucket_rows: int, max_plan_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """All rows with full_epochs, place and in_prefix; and the plan, a row for each leaf."""
     keys = common.saved(_keys(docs), "mixing")
     leaves = common.saved(keys.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "leaves")
@@ -94,14 +99,14 @@ def _decided(docs: DataFrame, total: int | None, part: tuple[int, int], max_epoc
     digits = 0
     while 16**digits * bucket_rows < (sums["n"] or 0):
         digits += 1
-    # a hot leaf is most of the rows of its key: AQE may split this join
-    rows = keys.join(plan.hint("merge"), list(LEVELS)).withColumn("place", _order(seed))
+    rows = keys.join(_small(plan, max_plan_rows), list(LEVELS)).withColumn("place", _order(seed))
     rows = rows.withColumn("bucket", F.substring("place", 1, digits))
     sizes = rows.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("held"), F.first("prefix").alias("prefix"))
     running = Window.partitionBy(*LEVELS).orderBy("bucket")
     edges = sizes.withColumn("before", F.sum("held").over(running) - F.col("held")).where("before <= prefix").select(*LEVELS, "bucket", "before", F.expr("before + held <= prefix").alias("whole"))
     edges = common.saved(edges, "edges")
-    placed = rows.join(edges.hint("merge"), [*LEVELS, "bucket"], "left")
+    # by bucket too, or a hot leaf would stay in the one task that its join has put it in
+    placed = rows.repartition(*LEVELS, "bucket").join(edges.hint("merge"), [*LEVELS, "bucket"], "left")
     sure = placed.where("whole is null or whole").withColumn("in_prefix", F.coalesce("whole", F.lit(False)))
     inside = Window.partitionBy(*LEVELS, "bucket").orderBy("place")  # range frame: equal places are taken together
     cut = placed.where("not whole").withColumn("in_prefix", F.col("before") + F.sum("n_tokens").over(inside) <= F.col("prefix"))
@@ -128,14 +133,13 @@ def select_documents(docs: DataFrame, total: int | None = None, part: tuple[int,
     A leaf's prefix ends at a place in its order, so the texts need no shuffle: each row is held against its leaf's
     last place. The table of last places has a row for each leaf and is broadcast if it has max_plan_rows at most.
     """
-    rows, plan = _decided(docs, total, part, 1, seed, weights, default, bucket_rows)
+    rows, plan = _decided(docs, total, part, 1, seed, weights, default, bucket_rows, max_plan_rows)
     last = rows.where("in_prefix").groupBy(*LEVELS).agg(F.max("place").alias("last"))
     ends = common.saved(plan.join(last.hint("merge"), list(LEVELS), "left").select(*(F.col(c).alias(f"_{c}") for c in LEVELS), "full_epochs", "last"), "ends")
-    ends = F.broadcast(ends) if ends.count() <= max_plan_rows else ends.hint("merge")
     keyed = docs.withColumn("_row", F.struct(*docs.columns))
     keyed = keyed.withColumns({"lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), "source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "hash": F.md5(F.coalesce("text", F.lit("")))})
     keyed = keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "hash", F.col("lang").alias("_lang"), F.col("source").alias("_source"), domain_of(F.col("source")).alias("_domain"))
-    kept = keyed.join(ends, ["_domain", "_lang", "_source"]).where((F.col("full_epochs") > 0) | (_order(seed) <= F.col("last")))
+    kept = keyed.join(_small(ends, max_plan_rows), ["_domain", "_lang", "_source"]).where((F.col("full_epochs") > 0) | (_order(seed) <= F.col("last")))
     return kept.select("_row.*")
 
 
