@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+_LITERAL = re.compile(r"'[^']*'")
 _UNNEST = re.compile(r"UNNEST\{([^|]*)\|([^|]*)\|([^}]*)\}")
 _JSON = re.compile(r"JSON\(([^,()]+), (\w+)\)")
 _AGG = re.compile(r"AGG\{([^|]*)\|([^|]*)\|([^}]*)\}")
@@ -69,7 +70,7 @@ def closure(sql: str, views: dict[str, View], given: frozenset[str] = frozenset(
     found: dict[str, View] = {}
 
     def visit(text: str) -> None:
-        for word in _WORD.findall(text):
+        for word in _WORD.findall(_LITERAL.sub(" ", text)):
             if word in views and word not in found and word not in given:
                 visit(views[word].sql)
                 found[word] = views[word]
@@ -93,4 +94,5 @@ def run(spark: SparkSession, sql: str, views: dict[str, View], inputs: dict[str,
 
 
 def tables(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"\b{t}\b", text)}
+    words = set(_WORD.findall(_LITERAL.sub(" ", text)))
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if t in words}
