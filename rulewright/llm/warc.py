@@ -57,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, n: i
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http + block + b"\r\n\r\n") + pack.flush()
 
 
-def write_warc(pages: DataFrame, path: str, roll_bytes: int = 16 << 20, rows_per_shard: int = 4096, max_shards: int = 10_000, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 4) -> str:
+def write_warc(pages: DataFrame, path: str, roll_bytes: int = 16 << 20, rows_per_shard: int = 1024, max_shards: int = 10_000, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 4) -> str:
     """Write `pages` (page_id, url, html) to WARC files under path; returns path.
 
     A null html has an empty payload. Of rows with equal payloads of at least min_revisit_bytes bytes, the one with
