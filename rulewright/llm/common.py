@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,13 @@ def saved(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now. It does so when the driver collects its garbage, which a
+    driver with little to do may put off until long after a job of many steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system and path of a folder URI (file, hdfs, s3, gs, plain paths)."""
     if uri.startswith("file:"):

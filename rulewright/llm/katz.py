@@ -31,9 +31,14 @@ MAX_R = 5
 END, BOS, UNKNOWN, FIRST = 0, 1, 2, 3  # reserved ids; words follow by descending count
 
 
+_KINDS = ("<u4", "<u2", "<f8", "<i8")
+
+
 def packed(*arrays: np.ndarray) -> bytes:
-    head = np.array([x for a in arrays for x in (len(a), {"<u4": 0, "<u2": 1, "<f8": 2, "<i8": 3}[a.dtype.str])], dtype="<i8")
-    return zlib.compress(np.array([len(arrays)], dtype="<i8").tobytes() + head.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+    """Arrays as one compressed block. Bytes of equal significance lie together, so small numbers take little room."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), _KINDS.index(a.dtype.str)))], dtype="<i8")
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zlib.compress(head.tobytes() + b"".join(planes), 1)
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
@@ -41,9 +46,10 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     head, at, out = np.frombuffer(raw, "<i8", 2 * n, 8), 8 + 16 * n, []
     for size, kind in zip(head[::2].tolist(), head[1::2].tolist(), strict=True):
-        a = np.frombuffer(raw, ("<u4", "<u2", "<f8", "<i8")[kind], size, at)
-        at += a.nbytes
-        out.append(a)
+        width = np.dtype(_KINDS[kind]).itemsize
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(_KINDS[kind]))
+        at += size * width
     return out
 
 
@@ -148,7 +154,7 @@ def backoff(total: np.ndarray, types: np.ndarray, large: np.ndarray, p_seen: np.
     return np.where(total > 0, (1 - kept / np.maximum(below, 1)) / np.maximum(1 - p_seen, 1e-300), 1.0), np.maximum(below, 1)
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_tokens: int = 4_500_000, bucket_tokens: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_tokens: int = 4_500_000, bucket_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Training texts are those whose crc32 of the id as text modulo `modulus` isn't `held`; a row without an id is never
@@ -160,6 +166,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_tokens: int =
     made = common.saved(chunks(docs.select(F.col(id_col).cast("long").alias("doc"), out_flag.alias("held"), F.col(text_col).alias("text")), chunk_tokens), "chunks", "kind")
     sequences, found = made.where("kind = 0").select("chunk", "blob"), made.where("kind = 1").select("chunk", "word", "local", "n")
     ids, counts, starts = vocabulary(found)
+    common.release(spark)
     train_docs = docs.where(out_flag == 0).count()
     words_trained = int(sum((np.append(starts[1:], starts[-1:]) - starts)[:-1] * counts[:-1])) if len(counts) else 0
     if len(counts):
@@ -206,7 +213,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_tokens: int =
         h[ends[:-1]] = BOS
         doc = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64) + 1)
         bucket = (mixed(np.where(h < hot_limit, w * np.int64(1_000_003) + h, h)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((w, h, bucket))
+        order = _by(bucket, _by_pair(h, w))
         h, w, doc, bucket = h[order], w[order], doc[order], bucket[order]
         kind = "<u4" if len(counts) == 0 or starts[-1] < 1 << 31 else "<i8"
         for lo, hi in _runs(bucket):
@@ -239,7 +246,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_tokens: int =
         doc = np.concatenate([p[3] for p in parts]).astype(np.int64)
         part = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
         trained = np.concatenate([(p[4][p[3]] == 0) for p in parts])
-        order = np.lexsort((w, h))
+        order = _by_pair(h, w)
         h, w, doc, part, trained = h[order], w[order], doc[order], part[order], trained[order]
         new = np.flatnonzero((np.diff(h, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
         c = np.add.reduceat(trained.astype(np.int64), new)
@@ -262,12 +269,13 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_tokens: int =
         is_word = h != BOS
         base = np.where(is_word, np.log10((c_h + 1) / size), 0.0)
         known = is_word & (c_h > 0)
-        # what a seen bigram is divided by depends on whether its history has a discounted type, so hot ones wait
+        # what a seen bigram is divided by depends on whether its history has a discounted type anywhere: a hot history
+        # without one here has to wait for the other buckets
         at_hist = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(th))))[np.repeat(np.arange(len(new)), size_of)]
-        waits = hidden | hot[at_hist]
         plain = np.array(small).sum(axis=0) == 0
+        waits = hidden | (hot & plain)[at_hist]
         value -= np.where(seen & ~waits, np.log10(np.maximum(c_h + plain[at_hist], 1)), 0.0)
-        by = np.lexsort((doc, part))
+        by = np.argsort(part * 65_536 + doc, kind="stable")
         edge = np.flatnonzero((np.diff(part[by], prepend=-1) != 0) | (np.diff(doc[by], prepend=-1) != 0))
         sums = [np.add.reduceat(x[by], edge) for x in (value, base, known.astype(np.int64), *((each == r).astype(np.int64) for r in range(1, MAX_R + 1)))]
         p_of, d_of = part[by][edge], doc[by][edge]
@@ -275,7 +283,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_tokens: int =
             yield row(0, parts[p_of[lo]][0], packed(d_of[lo:hi].astype("<u2"), sums[0][lo:hi], sums[1][lo:hi], *(x[lo:hi].astype("<u4") for x in sums[2:])))
         # those that wait, by document: how often which history, seen (divided by it) or not (backed off from it)
         pick = np.flatnonzero(waits)
-        key = np.lexsort((hidden[pick], at_hist[pick], doc[pick], part[pick]))
+        key = np.lexsort((at_hist[pick] * 2 + hidden[pick], part[pick] * 65_536 + doc[pick]))
         pick = pick[key]
         if len(pick):
             same = np.ones(len(pick), dtype=bool)
@@ -292,6 +300,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_tokens: int =
                 yield row(2, parts[part[pick[lo]]][0], packed(*(x[own] for x in stats), doc[pick[lo:hi]].astype("<u2"), local.astype("<u4"), hidden[pick[lo:hi]].astype("<u2"), times[lo:hi].astype("<u4")))
 
     tables = common.saved(dealt.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(counted, "kind int, chunk long, blob binary"), "tables", "kind")
+    common.release(spark)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,6 +348,20 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_tokens: int =
     return gathered.groupBy("chunk").applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _by_pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places in order of h, then w."""
+    if len(h) and max(int(h.max()), int(w.max())) < 1 << 31:
+        return np.argsort(h << 32 | w, kind="stable")
+    return np.lexsort((w, h))
+
+
+def _by(bucket: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """order, stably rearranged by bucket; small numbers are sorted by their digits."""
+    if len(bucket) and int(bucket.max()) < 1 << 16:
+        bucket = bucket.astype(np.uint16)
+    return order[np.argsort(bucket[order], kind="stable")]
+
+
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of equal neighbours."""
     if len(x):
