@@ -4,7 +4,8 @@ The base patterns find e-mail addresses, IP addresses, card and phone numbers in
 stay. The field looks at what lies outside them: stretches of text that could hold such data in another form ("jane
 [at] mail [dot] example [dot] com", "(743) 555-3824", "4111.1111.1111.1111", "192 . 168 . 0 . 12"). A stretch is cut into
 tokens; features of a whole candidate segment (its digits, separators, checksum, neighbours) score it for each kind,
-and dynamic programming over segments of at most MAX_TOKENS tokens chooses boundaries and kinds together.
+and dynamic programming over segments of at most MAX_TOKENS tokens chooses boundaries and kinds together. A stretch runs
+to the real end of its digits and separators, and is decoded once as a whole, in memory that grows with its tokens.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -77,7 +79,8 @@ def base_spans(text: str) -> list[Span]:
 # ---- the field ------------------------------------------------------------------------------------------------
 
 #: Stretches that could hold data in another form: digits with separators, and addresses that are spelled out.
-_DIGIT_STRETCH = re.compile(r"[(\[+]?[0-9](?:[\x20()\[\]._/-]{0,3}[0-9]){6,59}")
+#: Seven digits, or four groups of digits with dots between them, and then as far as digits and separators go.
+_DIGIT_STRETCH = re.compile(r"[(\[+]?[0-9](?:(?:[\x20()\[\]._/-]{0,3}[0-9]){6}|[0-9]*(?:\x20?[(\[]?\x20?\.\x20?[)\]]?\x20?[0-9]+){3})(?:[\x20()\[\]._/-]{0,3}[0-9])*")
 _MAIL_STRETCH = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[(\[{]\x20?(?:at|AT|At)\x20?[)\]}])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[{]\x20?(?:dot|DOT|Dot)\x20?[)\]}])\x20?[A-Za-z0-9-]{2,63}){1,6}")
 _MARK = re.compile(r"@|[Aa][Tt]\x20?[)\]}]")
 _TOKEN = re.compile(r"[A-Za-z0-9%+_-]+(?<![-_+])|[()\[\]{}+@.\x20_/-]")
@@ -88,6 +91,11 @@ _GOES_ON = re.compile(r"\x20?[(\[{]\x20?(?:dot|at)\x20?[)\]}]", re.I)
 _GUIDE = {"email": r"mail", "ip": r"ip|host|server|addr", "card": r"card|visa|carte|karte|tarjeta", "phone": r"phone|tel|call|mobile|fax|whatsapp"}
 _GUIDES = [re.compile(rf"(?:^|[^a-z])(?:{_GUIDE[k]})[a-z]*[^a-z0-9]{{0,3}}$") for k in KINDS]
 N_FEATURES = 26
+_CONTEXT = 16
+#: The sample to learn from has at most so many characters of a stretch; detection has no such bound.
+_LEARN_CHARS = 240
+#: Stretches of more characters are judged without remembering the result, and scored so many segments at a time.
+_SHORT, _SCORED = 512, 4096
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
@@ -135,10 +143,12 @@ def features(segment: str, before: str, after: str) -> np.ndarray:
     return x
 
 
-def lattice(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, np.ndarray]]]:
-    """Tokens of a stretch and its candidate segments (first token, one past the last, features)."""
-    tokens = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
-    segments = []
+def _tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
+
+
+def _segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Candidate segments by first token: first token, one past the last, features."""
     for i in range(len(tokens)):
         if text[tokens[i][0]] in " .)]}_/-":
             continue
@@ -150,29 +160,39 @@ def lattice(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], lis
             if any(segment.count(x) != segment.count(y) for x, y in ("()", "[]", "{}")):
                 continue
             if sum(c.isdigit() for c in segment) >= 7 or len(_DIGITS.findall(segment)) == 4 or _AT.search(segment):
-                segments.append((i, j, features(segment, text[max(0, a - 16) : a], text[b : b + 16])))
-    return tokens, segments
+                yield i, j, features(segment, text[max(0, a - _CONTEXT) : a], text[b : b + _CONTEXT])
+
+
+def lattice(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, np.ndarray]]]:
+    """Tokens of a stretch and its candidate segments (first token, one past the last, features)."""
+    tokens = _tokens(text, start, end)
+    return tokens, list(_segments(text, tokens))
 
 
 def _scores(segments: list, weights: np.ndarray) -> np.ndarray:
     return np.array([s[2] for s in segments]) @ weights.T  # (segments, kinds)
 
 
-def decode(tokens: list, segments: list, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation: (kind, first token, one past the last). A token outside segments scores 0; ties go to fewer segments."""
-    if not segments:
+def decode(tokens: list, segments: Iterable[tuple[int, int, np.ndarray]], weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation: (kind, first token, one past the last). A token outside segments scores 0; ties go to fewer segments.
+
+    Segments come by first token and are scored in blocks, of which only the best kind and its score stay.
+    """
+    ending: dict[int, list[tuple[int, int, float]]] = {}
+    rest = iter(segments)
+    while block := list(islice(rest, _SCORED)):
+        score = _scores(block, weights)
+        for (i, j, _), kind, value in zip(block, score.argmax(axis=1).tolist(), score.max(axis=1).tolist(), strict=True):
+            if value > 0:
+                ending.setdefault(j, []).append((i, kind, value))
+    if not ending:
         return []
-    score = _scores(segments, weights)
-    ending: dict[int, list[int]] = {}
-    for k, (_, j, _) in enumerate(segments):
-        ending.setdefault(j, []).append(k)
     best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
     for j in range(1, len(tokens) + 1):
         best[j] = best[j - 1]
-        for k in ending.get(j, ()):
-            i, kind = segments[k][0], int(score[k].argmax())
-            if best[i] + score[k, kind] > best[j] + 1e-9:
-                best[j], back[j] = best[i] + score[k, kind], (kind, i)
+        for i, kind, value in ending.get(j, ()):
+            if best[i] + value > best[j] + 1e-9:
+                best[j], back[j] = best[i] + value, (kind, i)
     out, j = [], len(tokens)
     while j:
         if back[j] is None:
@@ -258,7 +278,7 @@ def train(docs: DataFrame | None = None, max_stretches: int = 300, passes: int =
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"s": [t[max(0, a - 16) : b + 16] for t in batch[text_col] for a, b in stretches(t)]}, dtype=str)
+                yield pd.DataFrame({"s": [t[max(0, a - _CONTEXT) : min(b, a + _LEARN_CHARS) + _CONTEXT] for t in batch[text_col] for a, b in stretches(t)]}, dtype=str)
 
         rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(text_col).mapInPandas(cut, "s string").dropDuplicates(["s"]).orderBy(F.md5("s")).limit(max_stretches)
         texts = [r["s"] for r in rows.collect()]
@@ -280,27 +300,29 @@ def train(docs: DataFrame | None = None, max_stretches: int = 300, passes: int =
     return weights
 
 
-@lru_cache(maxsize=200_000)
-def _judged(piece: str, weights: bytes) -> tuple[Span, ...]:
-    table = np.frombuffer(weights).reshape(len(KINDS), N_FEATURES)
-    out = []
-    for a, b in stretches(piece):
-        tokens, segments = lattice(piece, a, b)
-        out += [(k, tokens[i][0], tokens[j - 1][1]) for k, i, j in decode(tokens, segments, table)]
-    return tuple(out)
+def _judge(piece: str, start: int, end: int, taken: tuple[tuple[int, int], ...], weights: bytes) -> tuple[Span, ...]:
+    """The field's spans in piece[start:end], decoded once over all of it; segments that meet a taken place don't count."""
+    table, tokens = np.frombuffer(weights).reshape(len(KINDS), N_FEATURES), _tokens(piece, start, end)
+    covered = np.zeros(len(piece) + 1, dtype=np.int64)
+    for s, e in taken:
+        covered[s + 1 : e + 1] = 1
+    covered = covered.cumsum()
+    free = (x for x in _segments(piece, tokens) if covered[tokens[x[0]][0]] == covered[tokens[x[1] - 1][1]])
+    return tuple((k, tokens[i][0], tokens[j - 1][1]) for k, i, j in decode(tokens, free, table))
+
+
+_judged = lru_cache(maxsize=200_000)(_judge)
 
 
 def all_spans(text: str, weights: np.ndarray, base: list[Span] | None = None) -> list[Span]:
     """Base spans and those that the field adds beside them, by kind and start. A field's span never overlaps a base span."""
     base = base_spans(text) if base is None else base
-    taken = sorted((s, e) for _, s, e in base)
     found, raw = list(base), weights.tobytes()
     for a, b in stretches(text):
-        lo = max(0, a - 16)
-        for kind, s, e in _judged(text[lo : b + 16], raw):
-            s, e = s + lo, e + lo
-            if a <= s and e <= b and not any(x < e and s < y for x, y in taken):
-                found.append((kind, s, e))
+        lo = max(0, a - _CONTEXT)
+        taken = tuple((max(a, s) - lo, min(b, e) - lo) for _, s, e in base if s < b and a < e)
+        judge = _judged if b - a <= _SHORT else _judge
+        found += [(kind, s + lo, e + lo) for kind, s, e in judge(text[lo : b + _CONTEXT], a - lo, b - lo, taken, raw)]
     return sorted(set(found))
 
 

@@ -97,3 +97,34 @@ def test_query_matches_brute_force(spark, sf):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in range(4))
         assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
         assert set(filter(None, pii.joined(base).split(","))) <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize("text", ["8[.]8[.]8[.]8", "10 . 0 . 0 . 12", "127[.]0[.]0[.]1", "1 . 1 . 1 . 1"])
+def test_short_addresses_in_other_forms(weights, text):
+    assert pii.all_spans(f"host {text} now", weights) == [(1, 5, 5 + len(text))]
+
+
+def card(n):
+    body = f"4{n * 7919 * 104729 % 10**14:014d}"
+    return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+
+@pytest.mark.parametrize("inner", [".", " ", "-"])
+@pytest.mark.parametrize("outer", [" ", ". ", "  "])
+@pytest.mark.parametrize("count", [10, 60])
+def test_lists_of_cards(weights, inner, outer, count):
+    want, text = [], "cards "
+    for n in range(1, count + 1):
+        want.append((2, len(text), len(text) + 19))
+        text += inner.join(card(n)[i : i + 4] for i in range(0, 16, 4)) + outer
+    assert set(want) <= set(pii.all_spans(text + "end", weights))
+
+
+def test_a_base_span_in_a_run_hides_no_neighbour(weights):
+    text = "cards 4111.1111.1111.1111 4012888888881881 5555.5555.5555.4444 end"
+    assert {(2, 6, 25), (2, 26, 42), (2, 43, 62)} <= set(pii.all_spans(text, weights))
+
+
+def test_a_long_run_is_judged_in_linear_time(weights):
+    text = "4111.1111.1111.1111 " * 1500
+    assert len(pii.all_spans(text, weights)) == 1500
