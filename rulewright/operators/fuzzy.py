@@ -1,12 +1,15 @@
-"""Operators on the sequence ratio: always over distinct pairs, after a bound by length."""
+"""Operators on the sequence ratio: always over distinct pairs, after exact bounds by length and shared characters."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulewright import operators
-from rulewright.functions.text import normalise_unicode, ratio_bound, sequence_ratio
+from rulewright.functions.text import char_tokens, normalise_unicode, ratio_bound, sequence_ratio
 from rulewright.plans import sql as plans
 from rulewright.sources.adapters import VIEWS
 
@@ -17,10 +20,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def similar_terms(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """a, b, ratio of distinct terms (columns a and b) whose ratio is over `least`. Terms that begin alike or end alike are paired."""
-    a, b = left.select("a").distinct(), right.select("b").distinct()
-    ends = lambda c: F.explode(F.array(F.concat(F.lit("<"), F.substring(c, 1, 1)), F.concat(F.substring(c, -1, 1), F.lit(">"))))
-    pairs = a.select("a", ends("a").alias("end")).join(b.select("b", ends("b").alias("end")), "end").where(ratio_bound(F.col("a"), F.col("b")) > least).select("a", "b").distinct()
+    """a, b, ratio of distinct terms (columns a and b) whose ratio is over `least` (0 to 1).
+
+    A ratio over `least` needs over least * n / (2 - least) of a term's n characters in the other one, whatever its
+    length. So two such terms share one of their first n - that + 1 tokens (a character and its occurrence) in any
+    common order: terms are paired by those, rare ones first, and no pair over `least` is missed.
+    """
+
+    def keyed(terms: DataFrame, c: str) -> DataFrame:
+        known = terms.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"t{c}", char_tokens(F.col(c)))
+        n = F.size(f"t{c}")
+        first = F.slice(f"t{c}", F.lit(1), n - F.greatest(F.ceil(n * (least / (2 - least)) - 1e-9), F.lit(1)).cast("int") + 1)
+        return known.withColumn("key", F.explode(F.when(n > 0, first).otherwise(F.array(F.lit("")))))
+
+    shared = 2.0 * F.size(F.array_intersect("ta", "tb")) / F.greatest(F.size("ta") + F.size("tb"), F.lit(1))
+    near = (F.col("a") == F.col("b")) | ((ratio_bound(F.col("a"), F.col("b")) > least) & (shared > least))
+    pairs = keyed(left, "a").join(keyed(right, "b"), "key").where(near).select("a", "b").distinct()
     return pairs.withColumn("ratio", sequence_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") > least)
 
 
@@ -44,6 +59,27 @@ def sim_06_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_terms(terms.withColumnRenamed("business_term", "a"), terms.withColumnRenamed("business_term", "b"), 0.6).withColumn("ratio", F.round("ratio", 6))
 
 
+#: Operators over rule pairs whose SQL pairs equal terms; each has a form beside it that pairs terms of ratio over 0.85.
+RATIO_FORMS = ("sim_07_pair_features", "sim_08_relationship", "sim_09_best_match", "sim_11_contradictions", "sim_12_opposed", "sim_13_conflict", "sim_14_conflict_rollup", "sim_15_comparisons")
+_EQUAL = "FROM new_rules n JOIN rules o ON o.workspace_id = n.workspace_id AND o.domain_id = n.domain_id AND o.business_term = n.business_term"
+_ALIKE = "FROM new_rules n JOIN term_pairs t ON t.a = lower(coalesce(n.business_term, '')) JOIN rules o ON o.workspace_id = n.workspace_id AND o.domain_id = n.domain_id AND lower(coalesce(o.business_term, '')) = t.b"
+
+
+def similar_rules(spark: SparkSession, key: str, new_terms: DataFrame, old_terms: DataFrame, **inputs: DataFrame) -> DataFrame:
+    """An operator of RATIO_FORMS over rule pairs whose terms (column business_term, null counts as empty) have a ratio over 0.85."""
+    text = operators.OPERATORS[key]
+    if _EQUAL not in text:
+        raise ValueError(f"{key} does not pair rules by term")
+    term = F.lower(F.coalesce("business_term", F.lit("")))
+    inputs["term_pairs"] = similar_terms(new_terms.select(term.alias("a")), old_terms.select(term.alias("b")), 0.85)
+    return plans.run(spark, text.replace(_EQUAL, _ALIKE), VIEWS, inputs)
+
+
+def _ratio_form(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = plans.tables(spark, sf_dir, plans.complete(operators.OPERATORS[key], VIEWS))
+    return similar_rules(spark, key, view(spark, sf_dir, "new_rules"), view(spark, sf_dir, "rules"), **inputs)
+
+
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, old = view(spark, sf_dir, "new_rules"), view(spark, sf_dir, "rules").where("status = 'active'")
     ratio = similar_terms(new.select(F.col("business_term").alias("a")), old.select(F.col("business_term").alias("b")), 0.3)
@@ -66,4 +102,5 @@ def sim_18_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.where("place <= 5").select("new_id", "rule_id", F.round("score", 6).alias("score"), "place")
 
 
-QUERIES = {"txt_01_unicode": txt_01_unicode, "txt_04_fuzzy_correction": txt_04_fuzzy_correction, "sim_06_ratio": sim_06_ratio, "sim_17_weighted_match": sim_17_weighted_match, "sim_18_related": sim_18_related}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"{key}_ratio": partial(_ratio_form, key) for key in RATIO_FORMS}
+QUERIES |= {"txt_01_unicode": txt_01_unicode, "txt_04_fuzzy_correction": txt_04_fuzzy_correction, "sim_06_ratio": sim_06_ratio, "sim_17_weighted_match": sim_17_weighted_match, "sim_18_related": sim_18_related}

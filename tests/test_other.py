@@ -66,3 +66,28 @@ def test_one_active_version_and_whole_families(spark, sf):
     assert queries["lif_08_one_active"](spark, sf).where("not holds").count() == 0
     split = queries["gen_12_split_by_size"](spark, sf)
     assert split.groupBy("rule_family_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+
+
+def ratio(a, b):
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.8, 0.85])
+def test_similar_terms_finds_all(spark, least):
+    words = ["xstatusy", "astatusb", "status", "", "a", "aa", "aaa", "ab", "ba", "brand#12", "brand#13", "brand#21", "net_revenue", "revenue_net", "été", "ét", "order total", "total order", "x" * 250, "x" * 249 + "y", "abcdefghijkl", "lkjihgfedcba"]
+    df = spark.createDataFrame([(w,) for w in [*words, None]], "a string")
+    got = {(r.a, r.b): r.ratio for r in fuzzy.similar_terms(df, df.withColumnRenamed("a", "b"), least).collect()}
+    assert got == {(a, b): ratio(a, b) for a in words for b in words if ratio(a, b) > least}
+    assert least > 0.75 or ("xstatusy", "astatusb") in got
+
+
+def test_rules_of_like_terms_are_compared(spark, sf):
+    new = [tuple(r) for r in fuzzy.view(spark, sf, "new_rules").select("rule_id", "workspace_id", "domain_id", "business_term").collect()]
+    old = [tuple(r) for r in fuzzy.view(spark, sf, "rules").select("rule_id", "workspace_id", "domain_id", "business_term").collect()]
+    want = {(n[0], o[0]) for n in new for o in old if n[1:3] == o[1:3] and ratio(n[3], o[3]) > 0.85}
+    got = [(r.new_id, r.old_id) for r in catalogue.queries()["sim_07_pair_features_ratio"](spark, sf).select("new_id", "old_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+    equal = {tuple(r) for r in catalogue.queries()["sim_07_pair_features"](spark, sf).select("new_id", "old_id").collect()}
+    assert equal < want
+    for key in ("sim_08_relationship", "sim_13_conflict", "sim_15_comparisons"):
+        assert catalogue.queries()[f"{key}_ratio"](spark, sf).count() == len(want)
