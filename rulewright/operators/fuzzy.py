@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulewright import operators
@@ -80,27 +80,98 @@ def _ratio_form(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_rules(spark, key, view(spark, sf_dir, "new_rules"), view(spark, sf_dir, "rules"), **inputs)
 
 
-def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new, old = view(spark, sf_dir, "new_rules"), view(spark, sf_dir, "rules").where("status = 'active'")
-    ratio = similar_terms(new.select(F.col("business_term").alias("a")), old.select(F.col("business_term").alias("b")), 0.3)
-    n = new.select(F.col("rule_id").alias("new_id"), F.col("business_term").alias("a"), "workspace_id", F.col("operation").alias("new_operation"), F.col("affected_column").alias("new_column"))
-    o = old.select("rule_id", "rule_no", F.col("business_term").alias("b"), "workspace_id", "operation", "affected_column")
-    return n.join(ratio, "a").join(o, ["workspace_id", "b"]).withColumn("same_table", F.when(F.col("new_column") == F.col("affected_column"), 1.0).otherwise(0.5))
+def _profiles(rules: DataFrame, conditions: DataFrame, side: str) -> DataFrame:
+    """rules with what a match looks at, each name with side before it: term, operation, column, fields of the conditions (sorted, repeats kept)."""
+    fields = conditions.groupBy("rule_id").agg(F.sort_array(F.collect_list(F.lower(F.coalesce("field", F.lit(""))))).alias(f"{side}_fields"))
+    text = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    found = rules.join(fields, "rule_id", "left").withColumn(f"{side}_fields", F.coalesce(f"{side}_fields", F.array().cast("array<string>")))
+    return found.select("rule_id", "rule_no", "workspace_id", text("business_term").alias(f"{side}_term"), text("operation").alias(f"{side}_operation"), F.col("affected_column").alias(f"{side}_column"), f"{side}_fields")
+
+
+def _firsts(old: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first n rules of each group by number: no other can be among the n best, as its score is that of its group."""
+    return old.withColumn("_rn", F.row_number().over(Window.partitionBy("workspace_id", *keys).orderBy("rule_no"))).where(F.col("_rn") <= n).drop("_rn")
+
+
+def _same_table() -> Column:
+    return F.when(F.col("new_column") == F.col("old_column"), 1.0).otherwise(0.5)
+
+
+def weighted_matches(new: DataFrame, new_conditions: DataFrame, old: DataFrame, old_conditions: DataFrame) -> DataFrame:
+    """Best old rule per new rule of its workspace, with a score that isn't capped: new_id, workspace_id, rule_id, score; over 0.5 only.
+
+    0.4 of a term ratio over 0.7, 0.3 for the operation or 0.2 of an operation ratio over 0.6, 0.2 of the entities, and
+    0.1 for each condition of the new rule whose field is, holds or lies in a field of the old rule's conditions. Rules
+    of one profile score alike, so distinct profiles are compared: with the term where its ratio counts, and without
+    the term elsewhere, where the score doesn't depend on it.
+    """
+    n, o = _profiles(new, new_conditions, "new"), _profiles(old, old_conditions, "old")
+    n_keys, o_keys = ["new_operation", "new_column", "new_fields"], ["old_operation", "old_column", "old_fields"]
+    operations = similar_terms(n.select(F.col("new_operation").alias("a")).where("a <> ''"), o.select(F.col("old_operation").alias("b")).where("b <> ''"), 0.6)
+    operations = F.broadcast(operations.select(F.col("a").alias("new_operation"), F.col("b").alias("old_operation"), F.col("ratio").alias("operation_ratio")))
+    terms = similar_terms(n.select(F.col("new_term").alias("a")), o.select(F.col("old_term").alias("b")), 0.7).select(F.col("a").alias("new_term"), F.col("b").alias("old_term"), "ratio")
+    held = F.filter("new_fields", lambda f: F.exists("old_fields", lambda g: F.contains(f, g) | F.contains(g, f)))
+    alike = F.when(F.col("new_operation") == F.col("old_operation"), 0.3).otherwise(F.coalesce(0.2 * F.col("operation_ratio"), F.lit(0.0)))
+
+    def best(pairs: DataFrame, keys: list[str]) -> DataFrame:
+        scored = pairs.join(operations, ["new_operation", "old_operation"], "left").withColumn("score", F.coalesce(0.4 * F.col("ratio"), F.lit(0.0)) + alike + 0.2 * _same_table() + 0.1 * F.size(held))
+        place = F.row_number().over(Window.partitionBy("workspace_id", *keys).orderBy(F.desc(F.round("score", 9)), "rule_no"))
+        return scored.withColumn("_rn", place).where("_rn = 1 and score > 0.5 + 1e-9").select("workspace_id", *keys, F.col("rule_id").alias("old_id"), "rule_no", "score")
+
+    old_ids = lambda keys: _firsts(o, keys, 1).select("workspace_id", *keys, "rule_id", "rule_no")
+    with_term = n.select("workspace_id", "new_term", *n_keys).distinct().join(terms, "new_term").join(old_ids(["old_term", *o_keys]), ["workspace_id", "old_term"])
+    without = n.select("workspace_id", *n_keys).distinct().join(old_ids(o_keys), "workspace_id").withColumn("ratio", F.lit(None).cast("double"))
+    asked = n.select(F.col("rule_id").alias("new_id"), "workspace_id", "new_term", *n_keys)
+    both = asked.join(best(with_term, ["new_term", *n_keys]), ["workspace_id", "new_term", *n_keys]).unionByName(asked.join(best(without, n_keys), ["workspace_id", *n_keys]))
+    final = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc(F.round("score", 9)), "rule_no"))
+    return both.withColumn("_rn", final).where("_rn = 1").select("new_id", "workspace_id", F.col("old_id").alias("rule_id"), "score")
+
+
+def related_rules(new: DataFrame, old: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
+    """Up to k related old rules per new rule of its workspace: 0.6 term ratio + 0.4 entities, over `least`. new_id, rule_id, score, place.
+
+    The score depends on terms and columns alone: distinct ones are compared, with the first k rules of each. Every
+    column overlaps by half at least, so the term ratio decides from (least - 0.4) / 0.6 or (least - 0.2) / 0.6 on.
+    """
+    bare = lambda rules: rules.sparkSession.createDataFrame([], "rule_id string, field string")
+    n, o = _profiles(new, bare(new), "new").drop("new_fields"), _profiles(old, bare(old), "old").drop("old_fields")
+    groups, asked = _firsts(o, ["old_term", "old_column"], k), n.select("workspace_id", "new_term", "new_column").distinct()
+    ratio = similar_terms(n.select(F.col("new_term").alias("a")), o.select(F.col("old_term").alias("b")), max(0.0, (least - 0.2) / 0.6 - 1e-9))
+    ratio = ratio.select(F.col("a").alias("new_term"), F.col("b").alias("old_term"), "ratio")
+    near = asked.join(ratio, "new_term").join(groups, ["workspace_id", "old_term"])
+    # the same column carries a score over `least` with any term: pairs of too unlike terms get their ratio here
+    same = asked.join(groups, (asked["workspace_id"] == groups["workspace_id"]) & (asked["new_column"] == groups["old_column"])).drop(groups["workspace_id"])
+    rest = same.join(ratio, ["new_term", "old_term"], "left_anti")
+    low = rest.select("new_term", "old_term").distinct().withColumn("ratio", sequence_ratio(F.col("new_term"), F.col("old_term")))
+    pairs = near.unionByName(rest.join(low, ["new_term", "old_term"])).withColumn("score", 0.6 * F.col("ratio") + 0.4 * _same_table()).where(F.col("score") > least + 1e-9)
+    keys = ["workspace_id", "new_term", "new_column"]
+    best = pairs.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "rule_no"))).where(F.col("place") <= k)
+    rules = n.select(F.col("rule_id").alias("new_id"), *[F.coalesce(c, F.lit("")).alias(c) if c == "new_column" else F.col(c) for c in keys])
+    return rules.join(best.select(*[F.coalesce(c, F.lit("")).alias(c) if c == "new_column" else F.col(c) for c in keys], "rule_id", "score", "place"), keys).select("new_id", "rule_id", "score", "place")
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_matches(view(spark, sf_dir, "new_rules"), view(spark, sf_dir, "new_conditions"), view(spark, sf_dir, "rules").where("status = 'active'"), view(spark, sf_dir, "conditions"))
 
 
 def sim_17_weighted_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best active rule per new rule by weights 0.4 term, 0.3 operation, 0.2 entities, 0.1 threshold side; over 0.5 only."""
-    score = F.when(F.col("ratio") > 0.7, 0.4 * F.col("ratio")).otherwise(0.0) + F.when(F.col("new_operation") == F.col("operation"), 0.3).otherwise(0.0) + 0.2 * F.col("same_table")
-    best = _related(spark, sf_dir).withColumn("score", score).withColumn("rn", F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("score"), "rule_no")))
-    return best.where("rn = 1 and score > 0.5").select("new_id", "rule_id", F.round("score", 6).alias("score"))
+    """Best active rule per new rule by weights 0.4 term, 0.3 operation, 0.2 entities, 0.1 for each condition; over 0.5 only."""
+    return _matches(spark, sf_dir).select("new_id", "rule_id", F.round(F.least("score", F.lit(1.0)), 6).alias("score"))
+
+
+def sim_17_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rules, matched ones, their share and their mean score (not capped) by workspace."""
+    found = _matches(spark, sf_dir).groupBy("workspace_id").agg(F.count("*").alias("n_matched"), F.avg("score").alias("mean_score"))
+    rules = view(spark, sf_dir, "new_rules").groupBy("workspace_id").agg(F.count("*").alias("n_rules"))
+    n = F.coalesce("n_matched", F.lit(0))
+    return rules.join(found, "workspace_id", "left").select("workspace_id", "n_rules", n.alias("n_matched"), F.round(n / F.col("n_rules"), 6).alias("coverage"), F.round(F.coalesce("mean_score", F.lit(0.0)), 6).alias("confidence"))
 
 
 def sim_18_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five related active rules per new rule: 0.6 term ratio + 0.4 entities, over 0.3."""
-    score = 0.6 * F.col("ratio") + 0.4 * F.col("same_table")
-    best = _related(spark, sf_dir).withColumn("score", score).where("score > 0.3").withColumn("place", F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("score"), "rule_no")))
-    return best.where("place <= 5").select("new_id", "rule_id", F.round("score", 6).alias("score"), "place")
+    found = related_rules(view(spark, sf_dir, "new_rules"), view(spark, sf_dir, "rules").where("status = 'active'"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"{key}_ratio": partial(_ratio_form, key) for key in RATIO_FORMS}
-QUERIES |= {"txt_01_unicode": txt_01_unicode, "txt_04_fuzzy_correction": txt_04_fuzzy_correction, "sim_06_ratio": sim_06_ratio, "sim_17_weighted_match": sim_17_weighted_match, "sim_18_related": sim_18_related}
+QUERIES |= {"txt_01_unicode": txt_01_unicode, "txt_04_fuzzy_correction": txt_04_fuzzy_correction, "sim_06_ratio": sim_06_ratio, "sim_17_weighted_match": sim_17_weighted_match, "sim_17_coverage": sim_17_coverage, "sim_18_related": sim_18_related}

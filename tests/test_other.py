@@ -91,3 +91,33 @@ def test_rules_of_like_terms_are_compared(spark, sf):
     assert equal < want
     for key in ("sim_08_relationship", "sim_13_conflict", "sim_15_comparisons"):
         assert catalogue.queries()[f"{key}_ratio"](spark, sf).count() == len(want)
+
+
+def test_weighted_and_related_rules_are_those_of_all_pairs(spark):
+    """Against plain loops, with unlike terms, like operations, several conditions and no conditions."""
+    terms, operations, columns = ["net revenue", "churned users", "zyx", "net revenues"], ["exclude", "excludes", "map"], ["a", "b"]
+    fields = [[], ["orders.status"], ["status", "region"], ["region", "status", "status", "orders.status"]]
+    rule = lambda side, n, t, o, c: (f"{side}{n:03d}", n, "w" if n % 7 else "v", terms[t % 4], operations[o % 3], columns[c % 2])
+    new, old = [rule("N", n, n, n // 2, n // 3) for n in range(1, 25)], [rule("R", n, n // 3, n, n // 2) for n in range(1, 40)]
+    of = {r[0]: fields[(r[1] * 5 + (r[0][0] == "R")) % 4] for r in new + old}
+    rules = lambda r: spark.createDataFrame(r, "rule_id string, rule_no long, workspace_id string, business_term string, operation string, affected_column string")
+    conditions = lambda r: spark.createDataFrame([(x[0], f) for x in r for f in of[x[0]]], "rule_id string, field string")
+
+    def weighted(n, o):
+        term, operation = ratio(n[3], o[3]), ratio(n[4], o[4])
+        score = (0.4 * term if term > 0.7 else 0) + (0.3 if n[4] == o[4] else 0.2 * operation if operation > 0.6 else 0) + 0.2 * (1 if n[5] == o[5] else 0.5)
+        return score + 0.1 * sum(any(f in g or g in f for g in of[o[0]]) for f in of[n[0]])
+
+    ranked = lambda n, score: sorted(((-round(score(n, o), 9), o[1], o[0]) for o in old if o[2] == n[2]))
+    want = {n[0]: (r[0][2], -r[0][0]) for n in new if (r := ranked(n, weighted)) and -r[0][0] > 0.5 + 1e-9}
+    got = {r.new_id: (r.rule_id, round(r.score, 9)) for r in fuzzy.weighted_matches(rules(new), conditions(new), rules(old), conditions(old)).collect()}
+    assert got == want
+    one = lambda name, *terms: rules([(f"{name}{t}", i, "w", t, "map", "x") for i, t in enumerate(terms)])
+    held = lambda name: spark.createDataFrame([(name, "region")], "rule_id string, field string")
+    assert [(r.rule_id, round(r.score, 6)) for r in fuzzy.weighted_matches(one("N", "aaa"), held("Naaa"), one("R", "yyy", "zzz"), held("Rzzz")).collect()] == [("Rzzz", 0.6)]
+    related = lambda n, o: 0.6 * ratio(n[3], o[3]) + 0.4 * (1 if n[5] == o[5] else 0.5)
+    want = {(n[0], i + 1, r[2], -r[0]) for n in new for i, r in enumerate([r for r in ranked(n, related) if -r[0] > 0.3 + 1e-9][:5])}
+    got = {(r.new_id, r.place, r.rule_id, round(r.score, 9)) for r in fuzzy.related_rules(rules(new), rules(old)).collect()}
+    assert got == want
+    unlike = fuzzy.related_rules(rules([("N", 1, "w", "aaa", "map", "x")]), rules([("R", 2, "w", "zzz", "map", "x"), ("Q", 3, "w", "zzz", "map", "y")])).collect()
+    assert [(r.rule_id, round(r.score, 6)) for r in unlike] == [("R", 0.4)]
