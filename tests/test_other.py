@@ -6,7 +6,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from rulewright import catalogue
 from rulewright.functions import text
-from rulewright.operators import fuzzy
+from rulewright.operators import building, fuzzy
 from rulewright.sources import files
 from test_operators import duck, rows  # noqa: F401
 
@@ -121,3 +121,24 @@ def test_weighted_and_related_rules_are_those_of_all_pairs(spark):
     assert got == want
     unlike = fuzzy.related_rules(rules([("N", 1, "w", "aaa", "map", "x")]), rules([("R", 2, "w", "zzz", "map", "x"), ("Q", 3, "w", "zzz", "map", "y")])).collect()
     assert [(r.rule_id, round(r.score, 6)) for r in unlike] == [("R", 0.4)]
+
+
+def test_families_link_members_far_apart(spark):
+    records = spark.createDataFrame([("a", "f", 1), ("b", "f", 5000), ("c", "f", 90000), ("d", "g", 2), ("e", None, 3), ("h", "", 4)], "feedback_id string, rule_family_id string, record_no long")
+    assert sorted(tuple(r) for r in building.duplicate_families(records).collect()) == [(i, "f", 3, "a") for i in "abc"]
+    assert sorted(r.pair_id for r in building.representative_pairs(records).collect()) == ["a-b", "a-c"]
+
+
+def test_rare_classes_reach_the_floor(spark):
+    records = spark.createDataFrame([(f"r{i}", "rare", f"text {i} ") for i in range(3)] + [("x", "rare", " ")] + [(f"o{i}", "often", "t") for i in range(40)] + [("z", "mute", None)], "feedback_id string, feedback_type string, feedback_text string")
+    got = building.top_up(records, 40).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(36)) and {(r.feedback_type, r.n, r.need) for r in got} == {("rare", 4, 36)}
+    assert len({(r.feedback_id, r.feedback_text) for r in got}) == 27 and all(len({r.feedback_id for r in got[i : i + 3]}) == 3 for i in range(0, 36, 3))
+    assert got[3].feedback_text == f"Hi, just reaching out: text {got[3].feedback_id[1]}"
+
+
+@pytest.mark.parametrize("n_o,n_other,kept", [(20000, 3000, 7000), (1000, 3000, 1000), (50, 0, 0)])
+def test_downsampling_meets_the_share(spark, n_o, n_other, kept):
+    tokens = spark.range(n_o + n_other).select(F.col("id").alias("feedback_id"), F.lit(0).alias("pos"), F.when(F.col("id") < n_o, "O").otherwise("B-TERM").alias("label"))
+    got = building.downsample(tokens)
+    assert got.where("label <> 'O'").count() == n_other and abs(got.where("label = 'O'").count() - kept) <= 0.03 * kept
