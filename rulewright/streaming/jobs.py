@@ -1,12 +1,16 @@
-"""The event-time operators and the feedback job as Structured Streaming queries."""
+"""The event-time operators and the feedback job as Structured Streaming queries.
+
+request_counts, first_requests and rates are for live streams: a watermark bounds their state, and rows later than that
+are dropped. The queries read a backlog whose files may come in any order of time: each batch leaves partial results
+without a watermark, and these are merged by key when all are there, so no row is late.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rulewright import operators
 from rulewright.sources.files import scratch
@@ -41,28 +45,38 @@ def drain(result: DataFrame, mode: str, write: Callable[[DataFrame, int], None])
     result.writeStream.outputMode(mode).option("checkpointLocation", at).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest(result: DataFrame, keys: list[str]) -> DataFrame:
-    """The last update of each key of an updating stream, after it has been drained."""
-    spark, path, schema = result.sparkSession, scratch(result.sparkSession, "updates"), result.schema
-    drain(result, "update", lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(path))
-    stored = spark.read.schema(StructType([*schema.fields, StructField("_batch", IntegerType())])).parquet(path)
-    return stored.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch")))).where("_rn = 1").drop("_rn", "_batch")
+def partials(stream: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What step makes of each batch of a stream, after it has been drained. A batch that is run again replaces its own part."""
+    spark, path, schema = stream.sparkSession, scratch(stream.sparkSession, "partials"), step(stream).schema
+    drain(stream, "append", lambda batch, n: step(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    return spark.read.schema(schema).parquet(path).drop("batch")
+
+
+def merged_counts(stream: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The counts n that step makes of each batch, summed by its other columns."""
+    found = partials(stream, step)
+    return found.groupBy(*[c for c in found.columns if c != "n"]).agg(F.sum("n").alias("n"))
+
+
+def merged_firsts(stream: DataFrame) -> DataFrame:
+    """The first event (by time, then id; without a time last) of each (tenant, request key) of a backlog."""
+    order = F.struct(F.col("ts").isNull().alias("timeless"), "ts", "event_id")
+    keys = (F.col("user_id") % 5).alias("tenant"), F.get_json_object("props", "$.k").alias("request_key")
+    found = partials(stream, lambda batch: batch.groupBy(*keys).agg(F.min(order).alias("first")))
+    return found.groupBy("tenant", "request_key").agg(F.min("first").alias("first")).select("first.event_id", "first.ts", "tenant", "request_key")
 
 
 def str_01_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = latest(request_counts(events(spark, sf_dir)), ["w", "bucket", "subject"])
+    found = merged_counts(events(spark, sf_dir), request_counts)
     return found.select("bucket", "subject", F.col("w.start").alias("window_start"), "n")
 
 
 def str_02_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, result = scratch(spark, "accepted"), first_requests(events(spark, sf_dir))
-    schema = result.schema
-    drain(result, "append", lambda batch, n: batch.write.mode("append").parquet(path))
-    return spark.read.schema(schema).parquet(path).select("event_id", "tenant", "request_key")
+    return merged_firsts(events(spark, sf_dir)).select("event_id", "tenant", "request_key")
 
 
 def str_03_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = latest(rates(events(spark, sf_dir)), ["w", "bucket"])
+    found = merged_counts(events(spark, sf_dir), rates)
     return found.select("bucket", F.unix_seconds("w.start").alias("minute_start"), "n", F.round(F.col("n") / 300.0, 6).alias("per_second"))
 
 

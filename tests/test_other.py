@@ -142,3 +142,16 @@ def test_downsampling_meets_the_share(spark, n_o, n_other, kept):
     tokens = spark.range(n_o + n_other).select(F.col("id").alias("feedback_id"), F.lit(0).alias("pos"), F.when(F.col("id") < n_o, "O").otherwise("B-TERM").alias("label"))
     got = building.downsample(tokens)
     assert got.where("label <> 'O'").count() == n_other and abs(got.where("label = 'O'").count() - kept) <= 0.03 * kept
+
+
+def test_backlog_of_files_in_shuffled_time_order(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    for i in (3, 0, 4, 1, 2):
+        events.withColumn("_tile", F.expr("ntile(5) over (order by ts)")).where(F.col("_tile") == i + 1).drop("_tile").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    for key, n in (("str_01_stream", "n"), ("str_03_stream", "n"), ("str_02_stream", None)):
+        whole, split = (catalogue.queries()[key](spark, at).drop(*([] if n else ["event_id"])).toPandas() for at in (sf, str(tmp_path)))
+        assert len(whole) and rows(whole) == rows(split)
+    total = catalogue.queries()["str_01_stream"](spark, str(tmp_path)).agg(F.sum("n")).first()[0]
+    assert total == events.where("ts is not null").count()
+    first = events.select("event_id", "ts", (F.col("user_id") % 5).alias("tenant"), F.get_json_object("props", "$.k").alias("request_key")).toPandas().sort_values(["ts", "event_id"]).drop_duplicates(["tenant", "request_key"])
+    assert sorted(r.event_id for r in catalogue.queries()["str_02_stream"](spark, str(tmp_path)).collect()) == sorted(first["event_id"])
