@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from rulewright import operators
-from rulewright.operators import building, fuzzy, learn, vectors
+from rulewright.operators import building, fuzzy, learn, matches, vectors
 from rulewright.streaming import jobs
 
 
@@ -17,7 +17,7 @@ def _from_tables(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: partial(_from_tables, key) for key in operators.OPERATORS} | vectors.QUERIES | fuzzy.QUERIES | building.QUERIES | learn.QUERIES | jobs.QUERIES
+    return {key: partial(_from_tables, key) for key in operators.OPERATORS} | vectors.QUERIES | fuzzy.QUERIES | building.QUERIES | matches.QUERIES | learn.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

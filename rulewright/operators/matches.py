@@ -1,0 +1,93 @@
+"""Extraction of every match of a text, with its place among those of its kind. The SQL texts in extract and text take the first one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rulewright import operators
+from rulewright.plans import sql as plans
+from rulewright.sources.adapters import VIEWS
+
+from . import extract
+from .fuzzy import view
+
+_NUMBER = r"\b(above|over|below|under|more than|less than|greater than|exceeds|at least|at most) ([0-9]+(?:[.][0-9]+)?)"
+#: Words that don't name the field of a comparison.
+SKIPPED = ("is", "be", "are", "was", "were", "should", "must", "will", "can", "would", "could", "shall", "the", "a", "an", "of", "to", "by", "that", "this", "for", "in", "at", "with", "than", "and", "or", "but", "not")
+
+
+def _all(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _rows(feedback: DataFrame, found: Column) -> DataFrame:
+    """A row for each struct of an array, with its place from 0."""
+    return feedback.select("feedback_id", F.posexplode(found).alias("place", "m")).select("feedback_id", "place", "m.*")
+
+
+def _labelled(found: Column, kind: str, label: str, name: str) -> Column:
+    """Texts of an array as structs of their kind, place from 0 and text."""
+    return F.transform(found, lambda m, i: F.struct(F.lit(kind).alias(label), i.alias("place"), F.trim(m).alias(name)))
+
+
+def references(feedback: DataFrame) -> DataFrame:
+    """Schema references: feedback_id, kind (dotted, quoted, keyword, noun), place, reference."""
+    t = F.col("feedback_text")
+    quoted = F.transform(F.arrays_zip(_all(t, '"([^"]+)"|`([^`]+)`', 1).alias("a"), _all(t, '"([^"]+)"|`([^`]+)`', 2).alias("b")), lambda m: F.concat(F.coalesce(m["a"], F.lit("")), F.coalesce(m["b"], F.lit(""))))
+    kinds = {"dotted": _all(t, r"(?U)\b(\w+[.]\w+)\b"), "quoted": quoted, "keyword": _all(F.lower(t), "(?:from|join|table|column) ([a-z_]+)", 1), "noun": _all(F.lower(t), r"\b(table|column|field|schema|attribute|join|relationship|foreign\s+key)\b")}
+    each = F.concat(*[_labelled(found, kind, "kind", "reference") for kind, found in kinds.items()])
+    return feedback.select("feedback_id", F.explode(each).alias("m")).select("feedback_id", "m.*")
+
+
+def conditions(feedback: DataFrame) -> DataFrame:
+    """feedback_id, kind (0 field and value, 1 comparison), place, field, operator, value; all of one row are of the same match.
+
+    The field of a comparison is the last word before it that can be one: not of SKIPPED, no number, no comparison.
+    """
+    t = F.lower("feedback_text")
+    fields = F.arrays_zip(*[_all(t, extract._FIELD, i).alias(n) for i, n in enumerate(("field", "word", "value"), 1)])
+    named = _rows(feedback, fields).select("feedback_id", F.lit(0).alias("kind"), "place", "field", F.when(F.col("word") == "contains", "contains").otherwise("equals").alias("operator"), "value")
+    words = lambda piece: F.filter(F.transform(F.split(piece, r"\s+"), lambda w: F.regexp_replace(w, "^[,;:()]+|[,;:().]+$", "")), lambda w: (w != "") & ~w.isin(*SKIPPED) & ~w.rlike("^[0-9.]+$"))
+    lasts = F.transform(F.split(t, _NUMBER, -1), lambda piece: F.try_element_at(words(piece), F.lit(-1)))
+    numbers = feedback.select("feedback_id", lasts.alias("lasts"), F.posexplode(F.arrays_zip(_all(t, _NUMBER, 1).alias("word"), _all(t, _NUMBER, 2).alias("value"))).alias("place", "m"))
+    field = F.coalesce(F.try_element_at(F.filter(F.slice("lasts", F.lit(1), F.col("place") + 1), lambda w: w.isNotNull()), F.lit(-1)), F.lit("metric"))
+    word = F.col("m.word")
+    operator = F.when(word == "at least", "greater_than_or_equal").when(word == "at most", "less_than_or_equal").when(word.isin("below", "under", "less than"), "less_than").otherwise("greater_than")
+    return named.unionByName(numbers.select("feedback_id", F.lit(1).alias("kind"), "place", field.alias("field"), operator.alias("operator"), F.col("m.value").alias("value")))
+
+
+def candidates(feedback: DataFrame) -> DataFrame:
+    """Distinct phrases after a verb or in a clause: feedback_id, phrase, source, place of the first."""
+    t = F.lower("feedback_text")
+    kinds = {"verb": _all(t, extract._AFTER, 2), "clause": _all(t, "(when|where|if) ([a-z_. ]+)", 2)}
+    each = F.concat(*[_labelled(found, kind, "source", "phrase") for kind, found in kinds.items()])
+    return feedback.select("feedback_id", F.explode(each).alias("m")).where("m.phrase <> ''").groupBy("feedback_id", "m.phrase", "m.source").agg(F.min("m.place").alias("place"))
+
+
+def over_all(spark: SparkSession, key: str, **inputs: DataFrame) -> DataFrame:
+    """ext_06_promote, ext_12_assemble or ext_21_template over every candidate or condition of feedback (a row for each)."""
+    feedback, text = inputs["feedback"], operators.OPERATORS[key]
+    if key == "ext_06_promote":
+        text, inputs["found"] = text.replace(f"({operators.OPERATORS['ext_05_candidates']})", "found"), candidates(feedback)
+    else:
+        text, inputs["found"] = text.replace(f"(SELECT * FROM ({operators.OPERATORS['ext_04_conditions']}) x WHERE kind = 0)", "found"), conditions(feedback)
+        text = text.replace("CASE WHEN field IS NULL THEN 0 ELSE 1 END AS n_conditions", "count(field) OVER (PARTITION BY feedback_id) AS n_conditions")
+    if " found " not in text:
+        raise ValueError(f"{key} is not built on candidates or conditions")
+    return plans.run(spark, text, VIEWS, inputs)
+
+
+def _direct(step: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return step(view(spark, sf_dir, "feedback"))
+
+
+def _over(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return over_all(spark, key, feedback=view(spark, sf_dir, "feedback"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"txt_06_schema_references_all": partial(_direct, references), "ext_04_conditions_all": partial(_direct, conditions), "ext_05_candidates_all": partial(_direct, candidates)}
+QUERIES |= {f"{key}_all": partial(_over, key) for key in ("ext_06_promote", "ext_12_assemble", "ext_21_template")}

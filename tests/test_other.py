@@ -6,7 +6,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from rulewright import catalogue
 from rulewright.functions import text
-from rulewright.operators import building, fuzzy
+from rulewright.operators import building, fuzzy, matches
 from rulewright.sources import files
 from test_operators import duck, rows  # noqa: F401
 
@@ -155,3 +155,17 @@ def test_backlog_of_files_in_shuffled_time_order(spark, sf, tmp_path):
     assert total == events.where("ts is not null").count()
     first = events.select("event_id", "ts", (F.col("user_id") % 5).alias("tenant"), F.get_json_object("props", "$.k").alias("request_key")).toPandas().sort_values(["ts", "event_id"]).drop_duplicates(["tenant", "request_key"])
     assert sorted(r.event_id for r in catalogue.queries()["str_02_stream"](spark, str(tmp_path)).collect()) == sorted(first["event_id"])
+
+
+def test_every_match_of_a_text(spark):
+    texts = ["exclude orders where status is cancelled and region is emea, total above 10 and below 50", "Size at most 3, age at least 4.5", 'use "net sales" from orders.total and `x y` join a.b', "over 5", "plain", None]
+    feedback = spark.createDataFrame([(i, "w", None, 0, t) for i, t in enumerate(texts)], "feedback_id long, workspace_id string, created_at timestamp, submitted_by long, feedback_text string")
+    got = sorted(tuple(r) for r in matches.conditions(feedback).collect())
+    assert got == [(0, 0, 0, "status", "equals", "cancelled"), (0, 0, 1, "region", "equals", "emea"), (0, 1, 0, "total", "greater_than", "10"), (0, 1, 1, "total", "less_than", "50"), (1, 1, 0, "size", "less_than_or_equal", "3"), (1, 1, 1, "age", "greater_than_or_equal", "4.5"), (3, 1, 0, "metric", "greater_than", "5")]
+    found = sorted((r.kind, r.place, r.reference) for r in matches.references(feedback).where("feedback_id = 2").collect())
+    assert found == [("dotted", 0, "orders.total"), ("dotted", 1, "a.b"), ("keyword", 0, "orders"), ("keyword", 1, "a"), ("noun", 0, "join"), ("quoted", 0, "net sales"), ("quoted", 1, "x y")]
+    two = feedback.limit(0).union(spark.createDataFrame([(9, "w", None, 0, "Exclude test orders, remove open carts, if late. When early")], feedback.schema))
+    assert sorted((r.source, r.place, r.phrase) for r in matches.candidates(two).collect()) == [("clause", 0, "late. when early"), ("verb", 0, "test orders"), ("verb", 1, "open carts")]
+    assert matches.over_all(spark, "ext_06_promote", feedback=two).count() == 3
+    whole = matches.over_all(spark, "ext_12_assemble", feedback=feedback).where("feedback_id = 0").collect()
+    assert [r.n_conditions for r in whole] == [4] * 4 and {r.value for r in whole} == {"cancelled", "emea", "10", "50"}
