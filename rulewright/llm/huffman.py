@@ -120,14 +120,15 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokens.tokenizer(path)
-        vocabulary = vocabulary_size(path)
-        total, kind = np.zeros(vocabulary, dtype=np.int64), "<u2" if vocabulary <= 1 << 16 else "<u4"
-        end = np.array([tokens.END_ID], dtype=kind).tobytes()
+        total = np.zeros(vocabulary_size(path), dtype=np.int64)
         for batch in batches:
-            ids = [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() + end for x in tok.ids(batch.column(1).to_pylist())]
-            total += np.bincount(np.frombuffer(b"".join(ids), dtype=kind), minlength=vocabulary)
-            sizes = np.array([len(x) for x in ids], dtype=np.int64) // np.dtype(kind).itemsize
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), dtype=np.int32)), batch.column(0), pa.array(sizes), pa.array(ids, pa.binary())], names)
+            at = 0
+            for ids, starts in tok.encoded(batch.column(1)):
+                n = len(starts) - 1
+                total += np.bincount(ids, minlength=len(total))
+                blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((starts * ids.itemsize).astype("<i4")), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), batch.column(0).slice(at, n), pa.array(np.diff(starts)), blobs], names)
+                at += n
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
 
     names = ["kind", "doc_id", "n_tokens", "ids"]

@@ -38,23 +38,23 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, max_len:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokens.tokenizer(path)
-        end = np.array([tokens.END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                n, start = len(ids) // 4, 0
-                for length in piece_lengths(n, max_len):
-                    part = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, start, length, zlib.crc32(part), n, *([part] if with_ids else [])))
-                    start += length
-                held += n
-                if with_ids and held > 2_000_000 or len(rows) > 100_000:
+            doc_ids, at = batch.column(0).to_pylist(), 0
+            for ids, starts in tok.encoded(batch.column(1)):
+                raw, rows, held = memoryview(ids.astype("<u4")).cast("B"), [], 0
+                for doc_id, begin, n in zip(doc_ids[at : at + len(starts) - 1], starts.tolist(), np.diff(starts).tolist(), strict=False):
+                    start = 0
+                    for length in piece_lengths(n, max_len):
+                        part = raw[4 * (begin + start) : 4 * (begin + start + length)]
+                        rows.append((doc_id, start, length, zlib.crc32(part), n, *([part] if with_ids else [])))
+                        start += length
+                    held += n
+                    if with_ids and held > 2_000_000 or len(rows) > 100_000:
+                        yield _batch(rows, with_ids)
+                        rows, held = [], 0
+                at += len(starts) - 1
+                if rows:
                     yield _batch(rows, with_ids)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows, with_ids)
 
     made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, schema)
     return made.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})

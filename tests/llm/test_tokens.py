@@ -25,10 +25,32 @@ def corpus(spark, sf):
 
 
 def test_chunks_give_the_ids_of_whole_texts(spark, sf):
-    texts = TEXTS + corpus(spark, sf)
-    tok = tokens.ChunkTokenizer(tokens.default_path(), max_chunks=50, max_words=20)
-    for together in (1, 200, 1 << 21):
-        assert [np.frombuffer(t, dtype="<u4").tolist() for t in tok.ids(texts, together)] == whole(texts)
+    for block, texts in ((64, TEXTS), (1 << 16, TEXTS + corpus(spark, sf)), (1 << 22, TEXTS + corpus(spark, sf))):
+        tok = tokens.ChunkTokenizer(tokens.default_path(), max_bytes=2000, block_bytes=block)
+        assert [np.frombuffer(t, dtype="<u4").tolist() for t in tok.ids(texts)] == whole(texts)
+
+
+def test_another_pretokeniser_is_left_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(tokens.default_path(), encoding="utf-8").read())
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    (tmp_path / "own.json").write_text(json.dumps(spec), encoding="utf-8")
+    tok = tokens.ChunkTokenizer(str(tmp_path / "own.json"))
+    t = Tokenizer.from_file(str(tmp_path / "own.json"))
+    assert not tok.by_chunk
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in tok.ids(TEXTS)] == [t.encode(x or "", add_special_tokens=False).ids for x in TEXTS]
+
+
+def test_odd_characters():
+    import random
+
+    rng = random.Random(3)
+    odd = [chr(c) for c in (*range(1, 0x300), 0x301, 0x308, 0x1E9E, 0x130, 0x2028, 0x3000, 0xFB01, 0x1F600, 0xFEFF, 0xAC00)]
+    texts = ["".join(rng.choice(odd if rng.random() < 0.4 else "abc ABC é.*'s ,") for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in tokens.ChunkTokenizer(tokens.default_path()).ids(texts)] == whole(texts)
 
 
 def frame(spark, texts):
