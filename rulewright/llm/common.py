@@ -42,6 +42,16 @@ def saved(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a scratch table that nothing reads any more. df: read from files of saved()."""
+    spark, root = df.sparkSession, shared_dir(df.sparkSession)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.split("/kind=")[0].rsplit("/", 1)[0] if "/kind=" not in f else f.split("/kind=")[0] for f in df.inputFiles()}:
+        path = hadoop(folder)
+        if hadoop(root).toUri().getPath() in path.toUri().getPath():
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished steps now. It does so when the driver collects its garbage, which a
     driver with little to do may put off until long after a job of many steps."""
