@@ -2,8 +2,8 @@
 
 The base patterns find e-mail addresses, IP addresses, card and phone numbers in their usual forms; their spans always
 stay. The field looks at what lies outside them: stretches of text that could hold such data in another form ("jane
-[at] mail [dot] example [dot] com", "(743) 555-3824", "4111.1111.1111.1111", "192 . 168 . 0 . 12"). A stretch is cut into
-tokens; features of a whole candidate segment (its digits, separators, checksum, neighbours) score it for each kind,
+at mail dot example dot com", "(743) 555-3824", "4111.1111.1111.1111", "192 . 168 . 0 . 12"), and keys and passwords,
+which are a kind of their own beside the four. A stretch is cut into tokens; features of a whole candidate segment (its digits, separators, checksum, neighbours) score it for each kind,
 and dynamic programming over segments of at most MAX_TOKENS tokens chooses boundaries and kinds together. A stretch runs
 to the real end of its digits and separators, and is decoded once as a whole, in memory that grows with its tokens.
 """
@@ -14,7 +14,7 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = 4  # the field's fifth label: keys, tokens and passwords, which have no base pattern
+LABELS = (*KINDS, "secret")
 MAX_TOKENS = 24
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match begins where a run of digits does, and runs are taken whole: the matches of the plain pattern, in linear time
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -78,19 +81,29 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the field ------------------------------------------------------------------------------------------------
 
-#: Stretches that could hold data in another form: digits with separators, and addresses that are spelled out.
-#: Seven digits, or four groups of digits with dots between them, and then as far as digits and separators go.
-_DIGIT_STRETCH = re.compile(r"[(\[+]?[0-9](?:(?:[\x20()\[\]._/-]{0,3}[0-9]){6}|[0-9]*(?:\x20?[(\[]?\x20?\.\x20?[)\]]?\x20?[0-9]+){3})(?:[\x20()\[\]._/-]{0,3}[0-9])*")
-_MAIL_STRETCH = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[(\[{]\x20?(?:at|AT|At)\x20?[)\]}])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[{]\x20?(?:dot|DOT|Dot)\x20?[)\]}])\x20?[A-Za-z0-9-]{2,63}){1,6}")
-_MARK = re.compile(r"@|[Aa][Tt]\x20?[)\]}]")
-_TOKEN = re.compile(r"[A-Za-z0-9%+_-]+(?<![-_+])|[()\[\]{}+@.\x20_/-]")
+#: Stretches of digits: seven digits, or four groups of digits with dots between them, and then as far as digits and
+#: separators go.
+_SEP = r"[\x20()\[\]._/\u00a0\u2010-\u2015-]"
+_DIGIT_STRETCH = re.compile(rf"[(\[+]?[0-9](?:(?:{_SEP}{{0,3}}[0-9]){{6}}|[0-9]*(?:\x20?[(\[]?\x20?(?:\.|dot|DOT)\x20?[)\]]?\x20?[0-9]+){{3}})(?:{_SEP}{{0,3}}[0-9])*")
+#: Words that mix letters and digits, of 12 characters at least.
+_KEY_STRETCH = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+")
+_KEYLIKE = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/-]{12,}")
+_MARK = re.compile(r"@|[(\[{<]\x20?at\x20?[)\]}>]|\x20at\x20(?=[A-Za-z0-9-]+\x20(?:dot\x20|[(\[{<]\x20?dot))", re.I)
+_DOMAIN_WORD = re.compile(r"[A-Za-z0-9-]+")
+_TOKEN = re.compile(r"[A-Za-z0-9%+_-]+(?<![-_+])|[()\[\]{}<>+@.\x20_/\u00a0\u2010-\u2015-]")
 _DIGITS = re.compile(r"[0-9]+")
-_AT = re.compile(r"@|[(\[{]\x20?at\x20?[)\]}]", re.I)
-_DOT = re.compile(r"\.|[(\[{]\x20?dot\x20?[)\]}]", re.I)
-_GOES_ON = re.compile(r"\x20?[(\[{]\x20?(?:dot|at)\x20?[)\]}]", re.I)
-_GUIDE = {"email": r"mail", "ip": r"ip|host|server|addr", "card": r"card|visa|carte|karte|tarjeta", "phone": r"phone|tel|call|mobile|fax|whatsapp"}
-_GUIDES = [re.compile(rf"(?:^|[^a-z])(?:{_GUIDE[k]})[a-z]*[^a-z0-9]{{0,3}}$") for k in KINDS]
-N_FEATURES = 26
+_AT = re.compile(r"@|[(\[{<]\x20?at\x20?[)\]}>]|\x20at\x20", re.I)
+_DOT = re.compile(r"\x20?(?:\.|[(\[{<]\x20?(?:dot|\.)\x20?[)\]}>])\x20?|\x20dot\x20", re.I)
+_BARE_DOT = re.compile(r"\bdot\b", re.I)
+_GOES_ON = re.compile(r"\x20?[(\[{<]\x20?(?:dot|at|\.)\x20?[)\]}>]|\x20(?:dot|\.)\x20", re.I)
+_HANGS = re.compile(r"^(?:dot|at)\b|\b(?:dot|at)$", re.I)
+_CAME = re.compile(r"(?:\x20dot\x20|[(\[{<]\x20?dot\x20?[)\]}>]\x20?)$", re.I)
+_GUIDE = {"email": r"mail", "ip": r"ip|host|server|addr", "card": r"card|visa|carte|karte|tarjeta", "phone": r"phone|tel|call|mobile|fax|whatsapp", "secret": r"pass|pwd|secret|token|key|auth|credential"}
+_GUIDES = [re.compile(rf"(?:^|[^a-z])(?:{_GUIDE[k]})[a-z]*[^a-z0-9]{{0,4}}$") for k in LABELS]
+_PREFIX = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_|sk-|xox[bap]-|AIza")
+_HEX = re.compile(r"[0-9a-fA-F]+")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+N_FEATURES = 33
 _CONTEXT = 16
 #: The sample to learn from has at most so many characters of a stretch; detection has no such bound.
 _LEARN_CHARS = 240
@@ -98,12 +111,45 @@ _LEARN_CHARS = 240
 _SHORT, _SCORED = 512, 4096
 
 
+def _mail_stretches(text: str) -> Iterator[tuple[int, int]]:
+    """From a mark for "at" to the left over a local part and to the right over words with dots, as far as they go."""
+    done = 0
+    for mark in _MARK.finditer(text):
+        if mark.start() < done:
+            continue
+        end, at = 0, mark.end() + (text[mark.end() : mark.end() + 1] == " ")
+        while word := _DOMAIN_WORD.match(text, at):
+            end = word.end()
+            dot = _DOT.match(text, word.end())
+            if not dot:
+                break
+            at = dot.end()
+        start = mark.start() - (text[mark.start() - 1 : mark.start()] == " ")
+        low = max(done, 0)
+        while True:
+            left = start
+            while start > low and text[start - 1] in _LOCAL:
+                start -= 1
+            came = _CAME.search(text, max(low, start - 8), start) if start < left else None
+            if not came:
+                break
+            start = came.start()
+        if end and start < mark.start() and _DOT.search(text, mark.end(), end):
+            done = end
+            yield start, end
+
+
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    if _MARK.search(text):
-        for m in _MAIL_STRETCH.finditer(text):
+    """Places that could hold data in a form that the base patterns don't know."""
+    yield from _mail_stretches(text)
+    if _DIGIT.search(text):
+        taken = -1
+        for m in _DIGIT_STRETCH.finditer(text):
             yield m.span()
-    for m in _DIGIT_STRETCH.finditer(text):
-        yield m.span()
+        for m in _KEY_STRETCH.finditer(text):
+            if m.start() >= taken:
+                yield m.span()
+                taken = m.end()
 
 
 def features(segment: str, before: str, after: str) -> np.ndarray:
@@ -112,10 +158,11 @@ def features(segment: str, before: str, after: str) -> np.ndarray:
     groups = _DIGITS.findall(segment)
     digits = "".join(groups)
     n = len(digits)
-    letters = any(c.isalpha() for c in segment)
-    quads = len(groups) == 4 and not letters and all(len(g) <= 3 and int(g) <= 255 for g in groups)
-    seps = {c for c in segment if not c.isalnum()}
     at = len(_AT.findall(segment))
+    shape = segment if at else _BARE_DOT.sub(".", segment)
+    letters = any(c.isalpha() for c in shape)
+    quads = len(groups) == 4 and not letters and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    seps = {c for c in shape if not c.isalnum()}
     x[0] = 1
     x[1] = 10 <= n <= 11
     x[2] = 7 <= n <= 15
@@ -134,12 +181,20 @@ def features(segment: str, before: str, after: str) -> np.ndarray:
     x[15] = at == 1 and letters and bool(_DOT.search(_AT.split(segment)[-1]))
     x[16] = at != 1 and letters
     x[17] = len(seps - set(" ")) >= 3
-    x[18] = bool(before) and (before[-1].isalnum() or before[-1] in "=#$€£\"'./_")
-    x[19] = bool(after) and (after[0].isalnum() or after[0] in "%°\"'_" or (after[0] in ".-/" and len(after) > 1 and after[1].isalnum()) or bool(_GOES_ON.match(after)))
+    x[18] = bool(before) and (before[-1].isalnum() or before[-1] in "=#$€£\"'./_" or bool(_CAME.search(before))) or (at > 0 and not segment[0].isalnum())
+    x[19] = bool(after) and (after[0].isalnum() or after[0] in "%°\"'_" or (after[0] in ".-/" and len(after) > 1 and after[1].isalnum()) or bool(_GOES_ON.match(after))) or bool(_HANGS.search(segment))
     x[20] = "/" in segment or "_" in segment
     x[21] = len(groups) == 3 and (len(groups[0]) == 4 or len(groups[2]) == 4) and n == 8
     for i, guide in enumerate(_GUIDES):
         x[22 + i] = bool(guide.search(before.lower()))
+    if letters and n and _KEYLIKE.fullmatch(segment):
+        changes = sum(a.isdigit() != b.isdigit() for a, b in zip(segment, segment[1:], strict=False))
+        x[27] = len(segment) >= 16
+        x[28] = bool(_PREFIX.match(segment))
+        x[29] = changes >= 4
+        x[30] = bool(_HEX.fullmatch(segment))
+        x[31] = bool(_UUID.fullmatch(segment))
+        x[32] = 1
     return x
 
 
@@ -150,16 +205,16 @@ def _tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
 def _segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
     """Candidate segments by first token: first token, one past the last, features."""
     for i in range(len(tokens)):
-        if text[tokens[i][0]] in " .)]}_/-":
+        if text[tokens[i][0]] in " .)]}>_/-\u00a0\u2010\u2011\u2012\u2013\u2014\u2015":
             continue
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
             a, b = tokens[i][0], tokens[j - 1][1]
             if not text[b - 1].isalnum():
                 continue
             segment = text[a:b]
-            if any(segment.count(x) != segment.count(y) for x, y in ("()", "[]", "{}")):
+            if any(segment.count(x) != segment.count(y) for x, y in ("()", "[]", "{}", "<>")):
                 continue
-            if sum(c.isdigit() for c in segment) >= 7 or len(_DIGITS.findall(segment)) == 4 or _AT.search(segment):
+            if sum(c.isdigit() for c in segment) >= 7 or len(_DIGITS.findall(segment)) == 4 or _AT.search(segment) or _KEYLIKE.fullmatch(segment):
                 yield i, j, features(segment, text[max(0, a - _CONTEXT) : a], text[b : b + _CONTEXT])
 
 
@@ -229,62 +284,80 @@ def _gradient(tokens: list, segments: list, gold: set[tuple[int, int, int]], wei
     p = np.exp(score + outside[:, None] - ahead[n])
     truth = np.zeros_like(p)
     for k, (i, j, _) in enumerate(segments):
-        for kind in range(len(KINDS)):
+        for kind in range(p.shape[1]):
             truth[k, kind] = (kind, i, j) in gold
     return (truth - p).T @ x, float((truth * score).sum() - ahead[n])
 
 
-def _examples(rng: random.Random, texts: list[str]) -> Iterator[tuple[str, list[Span]]]:
-    """Labelled stretches: invented data in usual and unusual forms, and stretches of the corpus without data."""
+def _kinds(rng: random.Random) -> dict[int, Callable[[], str]]:
+    """Makers of invented data of each label, in usual and unusual forms."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 8)))
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
 
     def card() -> str:
         body = rng.choice("3456") + d(14)
-        return next(body + c for c in "0123456789" if luhn(body + c))
+        c = next(body + c for c in "0123456789" if luhn(body + c))
+        return rng.choice([c, *(s.join(c[i : i + 4] for i in range(0, 16, 4)) for s in (" ", "-", ".", " - ", "_", "/", "  ", "\u2013"))])
 
     def email() -> str:
-        at = rng.choice(["@", " @ ", " [at] ", "[at]", " (at) ", "(at)"])
-        dot = rng.choice([".", " [dot] ", "[dot]", " (dot) "]) if at != "@" else "."
-        return word() + rng.choice(["", d(2)]) + at + dot.join(word() for _ in range(rng.randint(2, 3)))
-
-    made = {
-        0: email,
-        1: lambda: rng.choice([".", " . ", "[.]"]).join(str(rng.randint(0, 255)) for _ in range(4)),
-        2: lambda: (lambda c: rng.choice([c, *(s.join(c[i : i + 4] for i in range(0, 16, 4)) for s in " -.")]))(card()),
-        3: lambda: rng.choice(["+1 ({}) {}-{}", "({}) {}-{}", "{}-{}-{}", "({}) {} {}"]).format(d(3), d(3), d(4)),
-    }
-    for _ in range(60):
+        at, dot = rng.choice([("@", "."), (" @ ", "."), (" @ ", " . "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" at ", " dot "), ("{at}", "{dot}"), ("<at>", "<dot>"), (" AT ", " DOT "), ("[at]", "."), (" (at) ", "."), ("@", "[.]"), ("@", "(dot)")])
+        local = word() + rng.choice(["", d(2), "." + word(), "_" + word(), dot + word() if "dot" in dot.lower() else ""])
+        return local + at + dot.join(word() for _ in range(rng.randint(2, 3)))
+
+    def phone() -> str:
+        form = rng.choice(["+1 ({}) {}-{}", "({}) {}-{}", "{}-{}-{}", "({}) {} {}", "{}.{}.{}", "{} {} {}", "({}){}-{}", "1-{}-{}-{}", "+1.{}.{}.{}", "{}\u2013{}\u2013{}", "({})-{}-{}", "{}/{}-{}"])
+        return form.format(d(3), d(3), d(4))
+
+    def secret() -> str:
+        return rng.choice([lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: some("0123456789abcdef", rng.choice([16, 18, 20, 32, 40])), lambda: "ghp_" + some("ABCDEFabcdefxyzXYZ0123456789", 30), lambda: "sk-" + some("abcdefxyzXYZ0123456789", 32), lambda: some("abcdefghijkmXYZ0123456789", 24)])()
+
+    ip = lambda: rng.choice([".", " . ", "[.]", "(.)", " dot ", "[dot]", ". "]).join(str(rng.randint(0, 255)) for _ in range(4))
+    return {0: email, 1: ip, 2: card, 3: phone, SECRET: secret}
+
+
+_HINTS = [["mail: ", "e-mail "], ["ip ", "host "], ["card ", "visa: "], ["tel. ", "call ", "phone: "], ["password=", 'token = "', "api_key: ", "secret="]]
+
+
+def examples(rng: random.Random, rounds: int = 80) -> Iterator[tuple[str, list[Span]]]:
+    """Labelled stretches: invented data in many forms and contexts, and what only looks like data."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 8)))
+    made = _kinds(rng)
+    for _ in range(rounds):
         for kind, make in made.items():
-            before = rng.choice(["", "x ", word() + " ", word() + ", "] + [["mail: ", "e-mail "], ["ip ", "host "], ["card ", "visa: "], ["tel. ", "call ", "phone: "]][kind])
             got = make()
-            yield before + got + rng.choice(["", " " + word(), ". ", ", " + word()]), [(kind, len(before), len(before) + len(got))]
-        bad = card()
-        bad = bad[:-1] + str((int(bad[-1]) + rng.randint(1, 9)) % 10)
-        for got in (bad, d(7), d(9), d(12), f"20{d(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{d(4)}/{d(2)}/{d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(2)}", f"{d(1)}.{d(2)}.{d(1)}.{d(4)}", f"{d(1)}, {d(2)} {d(3)} {d(2)}", " ".join(bad[i : i + 4] for i in range(0, 16, 4)), f"{d(5)}-{d(5)}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}"):
+            bare = kind == SECRET and not _PREFIX.match(got)  # a string of no known make is a secret where a hint says so
+            before = rng.choice(_HINTS[kind] + ([] if bare else ["", "x ", word() + " ", word() + ", "]))
+            yield before + got + rng.choice(['"', " " + word()] if kind == SECRET else ["", " " + word(), ". ", ", " + word()]), [(kind, len(before), len(before) + len(got))]
+        bad = next(b for b in (d(16) for _ in range(99)) if not luhn(b))
+        hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+        for got in (bad, d(7), d(9), d(12), f"20{d(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{d(4)}/{d(2)}/{d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(2)}", f"{d(1)}.{d(2)}.{d(1)}.{d(4)}", f"{d(1)}, {d(2)} {d(3)} {d(2)}",
+                    " ".join(bad[i : i + 4] for i in range(0, 16, 4)), f"{d(5)}-{d(5)}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"3.{d(12)}", f"{d(4)}-{d(4)}", hexed(40), "-".join(hexed(n) for n in (8, 4, 4, 4, 12)),
+                    f"IMG_20{d(2)}0{d(3)}_{d(6)}", word() + word() + d(4), f"{word()}-{word()}-v{d(1)}", f"{word()}_{word()}_{d(2)}", f"{word()} at {word()} dot"):
             before = rng.choice(["", word() + " ", word() + "=", '"', "#", "$"])
             yield before + got + rng.choice(["", " " + word(), ".", "%"]), []
-    for text in texts:
-        yield text, [s for s in base_spans(text)]
 
 
 def train(docs: DataFrame | None = None, max_stretches: int = 300, passes: int = 40, seed: int = 7, text_col: str = "text") -> np.ndarray:
-    """Weights (kinds, features), fitted on invented examples and at most max_stretches stretches of docs with some context.
+    """Weights (labels, features), fitted on invented examples and at most max_stretches stretches of docs with some context.
 
-    The sample of stretches is bounded by max_stretches and taken by hash of the text; base spans are its labels.
+    The sample of stretches is bounded by max_stretches and taken by hash of the text. Base spans are its labels; a
+    stretch without any teaches nothing, as the base patterns may have missed what it holds.
     """
     texts: list[str] = []
     if docs is not None:
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"s": [t[max(0, a - _CONTEXT) : min(b, a + _LEARN_CHARS) + _CONTEXT] for t in batch[text_col] for a, b in stretches(t)]}, dtype=str)
+                found = (t[max(0, a - _CONTEXT) : min(b, a + _LEARN_CHARS) + _CONTEXT] for t in batch[text_col] for a, b in stretches(t))
+                yield pd.DataFrame({"s": [x for x in found if base_spans(x)]}, dtype=str)
 
         rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(text_col).mapInPandas(cut, "s string").dropDuplicates(["s"]).orderBy(F.md5("s")).limit(max_stretches)
         texts = [r["s"] for r in rows.collect()]
-    weights, step = np.zeros((len(KINDS), N_FEATURES)), np.full((len(KINDS), N_FEATURES), 1e-3)
+    weights, step = np.zeros((len(LABELS), N_FEATURES)), np.full((len(LABELS), N_FEATURES), 1e-3)
     data = []
-    for text, spans in _examples(random.Random(seed), texts):
+    for text, spans in [*examples(random.Random(seed)), *((t, base_spans(t)) for t in texts)]:
         for a, b in stretches(text):
             tokens, segments = lattice(text, a, b)
             place = {t[0]: i for i, t in enumerate(tokens)}, {t[1]: i + 1 for i, t in enumerate(tokens)}
@@ -302,7 +375,7 @@ def train(docs: DataFrame | None = None, max_stretches: int = 300, passes: int =
 
 def _judge(piece: str, start: int, end: int, taken: tuple[tuple[int, int], ...], weights: bytes) -> tuple[Span, ...]:
     """The field's spans in piece[start:end], decoded once over all of it; segments that meet a taken place don't count."""
-    table, tokens = np.frombuffer(weights).reshape(len(KINDS), N_FEATURES), _tokens(piece, start, end)
+    table, tokens = np.frombuffer(weights).reshape(-1, N_FEATURES), _tokens(piece, start, end)
     covered = np.zeros(len(piece) + 1, dtype=np.int64)
     for s, e in taken:
         covered[s + 1 : e + 1] = 1
@@ -311,46 +384,61 @@ def _judge(piece: str, start: int, end: int, taken: tuple[tuple[int, int], ...],
     return tuple((k, tokens[i][0], tokens[j - 1][1]) for k, i, j in decode(tokens, free, table))
 
 
-_judged = lru_cache(maxsize=200_000)(_judge)
+_judged = lru_cache(maxsize=20_000)(_judge)
 
 
-def all_spans(text: str, weights: np.ndarray, base: list[Span] | None = None) -> list[Span]:
-    """Base spans and those that the field adds beside them, by kind and start. A field's span never overlaps a base span."""
+def all_spans(text: str, weights: np.ndarray, base: list[Span] | None = None, secrets: bool = False) -> list[Span]:
+    """Base spans and those that the field adds beside them, by kind and start; secrets too, if asked for. A field's span
+    never overlaps a base span or another one."""
     base = base_spans(text) if base is None else base
     found, raw = list(base), weights.tobytes()
+    added: list[Span] = []
     for a, b in stretches(text):
         lo = max(0, a - _CONTEXT)
         taken = tuple((max(a, s) - lo, min(b, e) - lo) for _, s, e in base if s < b and a < e)
         judge = _judged if b - a <= _SHORT else _judge
-        found += [(kind, s + lo, e + lo) for kind, s, e in judge(text[lo : b + _CONTEXT], a - lo, b - lo, taken, raw)]
-    return sorted(set(found))
+        added += [(kind, s + lo, e + lo) for kind, s, e in judge(text[lo : b + _CONTEXT], a - lo, b - lo, taken, raw)]
+    end = -1
+    for kind, s, e in sorted(set(added), key=lambda x: (x[1], -x[2], x[0])):  # stretches of different forms may overlap
+        if s >= end:
+            found.append((kind, s, e))
+            end = e
+    return sorted(x for x in found if secrets or x[0] != SECRET)
 
 
 def joined(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
+    return ",".join(f"{LABELS[k]}:{s}:{e}" for k, s, e in sorted(spans))
+
+
+_COLUMNS = {**{f"n_{k}": "long" for k in KINDS}, "base_sha256": "string", "spans": "string", "n_added": "long", "n_secret": "long", "secret_spans": "string", "n_found": "long"}
 
 
 def detect(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (all, as kind:start:end in code points).
+    """docs with n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret, secret_spans and n_found.
 
-    A null text counts as empty. Columns of those names are replaced; others are kept.
+    n_email to n_phone count base spans, as base_sha256 is over them; spans has the base spans and those that the field
+    adds under the same four kinds (kind:start:end in code points), n_added how many those are. Secrets have a column
+    of their own. n_found counts all. A null text counts as empty. Columns of those names are replaced; others are
+    kept, as are repeated rows.
     """
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    @F.pandas_udf(", ".join(f"{k} {v}" for k, v in _COLUMNS.items()))
     def find(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             text = text or ""
             base = base_spans(text)
-            rows.append((*(sum(s[0] == k for s in base) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_spans(text, weights, base))))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            found = all_spans(text, weights, base, secrets=True)
+            spans, secrets = [x for x in found if x[0] != SECRET], [x for x in found if x[0] == SECRET]
+            rows.append((*(sum(s[0] == k for s in base) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(secrets), joined(secrets), len(found)))
+        return pd.DataFrame(rows, columns=list(_COLUMNS))
 
-    names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
-    return docs.withColumn("_pii", find(F.col(text_col))).withColumns({c: F.col(f"_pii.{c}") for c in names}).drop("_pii")
+    return docs.withColumn("_pii", find(F.col(text_col))).withColumns({c: F.col(f"_pii.{c}") for c in _COLUMNS}).drop("_pii")
 
 
 def mask(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with every span in the text replaced by its kind in brackets; null texts stay null."""
+    """docs with every span, secrets too, replaced in the text by its kind in brackets; null texts stay null. Of spans that
+    overlap the first is replaced, as far as the last of them goes. Other columns and repeated rows stay as they are."""
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
@@ -358,9 +446,9 @@ def mask(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFr
         for text in texts:
             if text:
                 parts, at = [], 0
-                for s, e, k in sorted((s, e, k) for k, s, e in all_spans(text, weights)):
+                for s, e, k in sorted((s, e, k) for k, s, e in all_spans(text, weights, secrets=True)):
                     if s >= at:
-                        parts += [text[at:s], f"[{KINDS[k].upper()}]"]
+                        parts += [text[at:s], f"[{LABELS[k].upper()}]"]
                     at = max(at, e)
                 text = "".join(parts) + text[at:] if at else text
             out.append(text)
@@ -370,5 +458,6 @@ def mask(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFr
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all whole documents; null and empty texts have none. Odd input as in detect()."""
     docs = common.load(spark, sf_dir, "documents")
     return detect(docs.select("doc_id", "text"), train(docs)).drop("text")
