@@ -20,7 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -53,9 +54,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_hashes(text: str, block: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of the lower-case words between ASCII white space, in order."""
-    raw, at, out = text.lower().encode("utf-8", "replace"), 0, []
+def _words(raw: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words between ASCII white space, in order, and where each begins."""
+    at, out, places = 0, [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
     while at < len(raw):
         end = min(len(raw), at + block)
         if end < len(raw):  # a block ends where a word ends; a longer word gets a longer block
@@ -72,20 +73,48 @@ def word_hashes(text: str, block: int = 1 << 20) -> np.ndarray:
             up, down = _powers(1 << max(16, (len(b) - 1).bit_length()))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
             out.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+            places.append(starts + at)
         at = end
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+    return np.concatenate(out), np.concatenate(places)
+
+
+def word_hashes(text: str, block: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the lower-case words between ASCII white space, in order."""
+    return _words(text.lower().encode("utf-8", "replace"), block)[0]
+
+
+def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of many texts: owner (place of the text), hash and number of each, by owner and hash. A text of fewer
+    words than SHINGLE has one shingle of them all; one without a word has none."""
+    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    w, place = _words(b"\n".join(raw))
+    owner = np.searchsorted(np.cumsum([0, *(len(r) + 1 for r in raw)]), place, side="right") - 1
+    size = np.bincount(owner, minlength=len(texts))
+    first = np.cumsum(size) - size
+    hashes, owners = [], []
+    for n in range(1, SHINGLE + 1):
+        if n < SHINGLE:
+            at = first[size == n]
+        else:
+            at = np.flatnonzero(owner[: max(0, len(w) - n + 1)] == owner[n - 1 :])
+        h = np.full(len(at), n, dtype=np.uint64)
+        for j in range(n):
+            h = mix(h + w[at + j])
+        hashes.append(h)
+        owners.append(owner[at])
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    by = np.lexsort((h, owner))
+    h, owner = h[by], owner[by]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return owner[at], h[at], np.diff(np.append(at, len(h)))
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's shingles, ascending, and how often each occurs. Fewer words than SHINGLE make one shingle."""
-    w = word_hashes(text) if text else np.empty(0, dtype=np.uint64)
-    if not len(w):
-        return w, np.empty(0, dtype=np.int64)
-    n = min(SHINGLE, len(w))
-    h = np.full(len(w) - n + 1, n, dtype=np.uint64)
-    for j in range(n):
-        h = mix(h + w[j : len(w) - n + 1 + j])
-    return np.unique(h, return_counts=True)
+    """Hashes of a text's shingles, ascending, and how often each occurs."""
+    _, h, n = bags([text])
+    return h, n
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -111,81 +140,97 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)) * (1.0 / (1 << 53))
 
 
-def dart_signature(items: np.ndarray, weights: np.ndarray, k: int = COORDINATES, width: float = 1 / 64) -> np.ndarray:
-    """The earliest dart of each of k coordinates, as 64-bit hashes; weights are positive numbers.
+def dart_signatures(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int = COORDINATES, width: float = 1 / 8) -> np.ndarray:
+    """(n, k): the earliest dart of each of k coordinates of n bags, as 64-bit hashes; weights are positive numbers.
 
     Ranks are cut into bands that double in width. An element's region is cut into layers of weight 1. The number of
     darts in a layer and band is Poisson by their area; a dart's rank, weight and coordinate come from its hash, and a
-    dart above the element's weight misses. Bands are thrown until every coordinate has a dart.
+    dart above the element's weight misses. Bands are thrown at a bag until each of its coordinates has a dart, and a
+    dart at a coordinate that has one from an earlier band isn't looked at.
     """
     layers = np.ceil(weights).astype(np.int64)
     at = np.repeat(np.arange(len(items)), layers)
     layer = np.arange(len(at)) - np.repeat(np.cumsum(layers) - layers, layers)
-    room = np.minimum(1.0, weights[at] - layer)
+    room, own = np.minimum(1.0, weights[at] - layer), owner[at]
     cell = mix(items[at] + mix(layer.astype(np.uint64) + np.uint64(0x9E37)))
-    best_rank, best = np.full(k, np.inf), np.zeros(k, dtype=np.uint64)
+    best_rank, best = np.full(n * k, np.inf), np.zeros(n * k, dtype=np.uint64)
     low, band = 0.0, 0
     while True:
         size = width * 2**band
         parts = max(1, math.ceil(size / 8))
+        open_now = np.isinf(best_rank)
         for part in range(parts):
             seed = mix(cell + np.uint64(((band << 20) + part + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             count = np.searchsorted(_poisson(size / parts), _unit(seed), side="right")
             some = np.flatnonzero(count)
             who = np.repeat(some, count[some])
-            if not len(who):
-                continue
             order = np.arange(len(who)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
             dart = mix(seed[who] + (order + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+            coordinate = own[who] * k + (mix(dart + np.uint64(2)) % np.uint64(k)).astype(np.int64)
+            hit = open_now[coordinate] & (_unit(mix(dart + np.uint64(3))) < room[who])
+            dart, coordinate = dart[hit], coordinate[hit]
             rank = low + (part + _unit(mix(dart + np.uint64(1)))) * (size / parts)
-            coordinate = (mix(dart + np.uint64(2)) % np.uint64(k)).astype(np.int64)
-            hit = _unit(mix(dart + np.uint64(3))) < room[who]
-            dart, rank, coordinate = dart[hit], rank[hit], coordinate[hit]
-            by = np.lexsort((dart, rank, coordinate))
-            first = by[np.flatnonzero(np.diff(coordinate[by], prepend=-1))]
-            better = first[rank[first] < best_rank[coordinate[first]]]
-            best_rank[coordinate[better]], best[coordinate[better]] = rank[better], dart[better]
+            better = rank < best_rank[coordinate]
+            dart, coordinate, rank = dart[better], coordinate[better], rank[better]
+            late = np.argsort(-rank, kind="stable")  # of darts at one coordinate the earliest is written last
+            best_rank[coordinate[late]], best[coordinate[late]] = rank[late], dart[late]
         low, band = low + size, band + 1
-        if np.isfinite(best_rank).all():
-            return best
+        missing = np.isinf(best_rank).reshape(n, k).any(axis=1)
+        if not missing.any():
+            return best.reshape(n, k)
+        if not missing.all():
+            more = missing[own]
+            cell, room, own = cell[more], room[more], own[more]
 
 
-def text_key(text_col: str = "text"):
-    """64 bits that stand for a text in links, so that equal texts are one node."""
-    return F.conv(F.substring(F.md5(text_col), 1, 15), 16, 10).cast("long")
+def dart_signature(items: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np.ndarray:
+    return dart_signatures(items, weights, np.zeros(len(items), dtype=np.int64), 1, k)[0]
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """node and text to node, bands (64-bit hashes) and sig (16 bits of each coordinate); texts without a word are left out."""
+def worded(text_col: str = "text") -> Column:
+    """Texts that have a word."""
+    return F.coalesce(F.col(text_col).rlike("[^ \t\n\u000b\f\r]"), F.lit(False))
+
+
+def digest(text_col: str = "text") -> Column:
+    """128 bits that stand for a text where equal texts are collapsed."""
+    return F.unhex(F.md5(text_col))
+
+
+def signatures(texts: DataFrame, together: int = 1 << 18) -> DataFrame:
+    """doc_id, digest and text to doc_id, digest, bands (64-bit hashes) and sig (16 bits of each coordinate). Every text
+    must have a word. Texts of about `together` characters are worked on at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            nodes, bands, sigs = [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                items, counts = shingles(text.as_py())
-                if not len(items):
-                    continue
-                sig = dart_signature(items, counts)
-                h = salt.copy()
+            size, at = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(), dtype=np.int64), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + together, side="right")))
+                n = to - at
+                owner, items, counts = bags(batch.column(2).slice(at, n).to_pylist())
+                sig = dart_signatures(items, counts, owner, n)
+                h = np.repeat(salt[None], n, axis=0)
                 for j in range(ROWS):
-                    h = mix(h + sig[j::ROWS])
-                nodes.append(node)
-                bands.append(h.astype(np.int64))
-                sigs.append((sig & np.uint64(0xFFFF)).astype("<u2").tobytes())
-            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists, pa.array(sigs, pa.binary())], ["node", "bands", "sig"])
+                    h = mix(h + sig[:, j::ROWS])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(h.ravel().astype(np.int64)))
+                short = [x.tobytes() for x in (sig & np.uint64(0xFFFF)).astype("<u2")]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), lists, pa.array(short, pa.binary())], ["doc_id", "digest", "bands", "sig"])
+                at = to
+
+    return texts.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, sig binary")
 
-    return texts.select("node", "text").mapInArrow(run, "node long, bands array<long>, sig binary")
 
+def _links(group: list[tuple], threshold: float, slack: float | None = 4.0) -> list[tuple[int, int]]:
+    """Links that join classes among the texts of two chunks (side 0 and 1; pairs within a side only if it stands alone).
 
-def _links(group: list[tuple], threshold: float, slack: float = 4.0) -> list[tuple[int, int]]:
-    """Links that join classes among the texts of two chunks (side 0 and 1; pairs within a side only if it stands alone)."""
+    Pairs whose signatures agree in `slack` standard deviations less than the threshold asks for aren't compared; with
+    slack None all pairs of the chunks are.
+    """
     group.sort(key=lambda r: (r[0], r[1]))
     side = np.array([r[0] for r in group])
     sig = np.frombuffer(b"".join(r[2] for r in group), dtype="<u2").reshape(len(group), -1)
-    enough = int(COORDINATES * (threshold - slack * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
+    enough = 0 if slack is None else int(COORDINATES * (threshold - slack * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
     alone = side.max() == side.min()
     known: dict[int, tuple] = {}
     parent = list(range(len(group)))
@@ -224,25 +269,28 @@ def _settle(pairs: list, find, parent: list[int], weights, threshold: float, gro
             out.append((group[i][1], group[j][1]))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, chunk_rows: int = 512, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, node (stands for the text), class_id (smallest doc_id of its class), kept.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slack: float | None = 4.0, chunk_rows: int = 512, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, digest (of its text), class_id (smallest doc_id of its class), kept.
 
     Rows of equal text, and of texts linked directly or through others, are one class. Null texts, texts without a
     word, and rows without an id are classes of their own (a row without an id has no class_id and is kept). Rows
     with the same id and text are all marked the same. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = common.saved(rows.select("doc_id", F.when(F.trim(F.coalesce("text", F.lit(""))) != "", text_key()).alias("node")), "keys")
-    firsts = common.saved(keys.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
-    sigs = common.saved(signatures(rows.where("doc_id is not null and text is not null").withColumn("node", text_key())).dropDuplicates(["node"]), "sigs")
+    keys = common.saved(rows.select("doc_id", F.when(worded() & F.col("doc_id").isNotNull(), digest()).alias("digest")), "keys")
+    made = signatures(rows.where(F.col("doc_id").isNotNull() & worded()).withColumn("digest", digest()))
+    # a number for each text, fixed when the table is written
+    sigs = made.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    sigs = common.saved(sigs.withColumn("node", F.monotonically_increasing_id()), "sigs")
     banded = sigs.select("node", F.explode("bands").alias("band"))
     shared = common.saved(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub"), "bands")
     # bands of a large family are hot; both sides of this join are plain shuffles, which AQE may split
     met = banded.join(shared.hint("merge"), "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     families = common.saved(components(met), "families")
-    texts = rows.where("doc_id is not null").join(firsts.join(families.hint("merge"), "node").hint("merge"), F.col("doc_id") == F.col("first"))
-    texts = texts.where(text_key() == F.col("node")).select("node", "root", "text", F.length("text").alias("size"))
-    members = common.saved(texts.join(sigs.select("node", "sig").hint("merge"), "node"), "members")
+    some = sigs.select("node", F.col("first").alias("doc_id"), "digest", "sig").join(families.hint("merge"), "node")
+    texts = rows.where("doc_id is not null").join(some.hint("merge"), "doc_id").where(digest() == F.col("digest"))
+    texts = texts.select("node", "root", "text", "sig", F.length("text").alias("size"))
+    members = common.saved(texts, "members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / chunk_rows), F.ceil(F.sum("size") / chunk_bytes)).cast("int").alias("chunks"))
     sizes = common.saved(sizes, "sizes")
     # a family of one chunk is a task; of more, each two chunks and each chunk alone
@@ -258,36 +306,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, chunk_rows: i
                 key = (roots[r], a[r], b[r])
                 if key != now:
                     if len(group) > 1:
-                        found += _links(group, threshold)
+                        found += _links(group, threshold, slack)
                     now, group = key, []
                 group.append((side[r], node[r], batch.column(5)[r].as_py(), batch.column(6)[r].as_py()))
             if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
                 found = []
         if len(group) > 1:
-            found += _links(group, threshold)
+            found += _links(group, threshold, slack)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
     links = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(link, "u long, v long")
     roots = components(links)
-    named = firsts.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = sigs.select("digest", "node", "first").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = common.saved(named.groupBy("root").agg(F.min("first").alias("class_id")), "least")
-    classes = common.saved(named.join(least.hint("merge"), "root").select("node", "class_id"), "classes")
-    out = keys.join(classes.hint("merge"), "node", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
-    return out.select("doc_id", "node", "class_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
+    classes = common.saved(named.join(least.hint("merge"), "root").select("digest", "class_id"), "classes")
+    out = keys.join(classes.hint("merge"), "digest", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
+    return out.select("doc_id", "digest", "class_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each class: of the smallest doc_id, and of rows alike in id and text any one."""
+    """docs with one row of each class: of the smallest doc_id, and of rows alike in id and text any one. Rows without an
+    id or without a word all stay."""
     columns = docs.columns
     classes = near_duplicates(docs, **how)
-    keep = classes.where("kept and doc_id is not null and node is not null").select("doc_id", F.col("node").alias("_node")).distinct()
-    worded = docs.where(F.col("doc_id").isNotNull() & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    rest = docs.where(F.col("doc_id").isNull() | (F.trim(F.coalesce("text", F.lit(""))) == ""))
-    best = worded.withColumn("_node", text_key()).join(common.saved(keep, "keep").hint("merge"), ["doc_id", "_node"], "left_semi")
-    return best.dropDuplicates(["doc_id", "_node"]).select(*columns).unionByName(rest)
+    keep = classes.where("kept and digest is not null").select("doc_id", F.col("digest").alias("_digest")).distinct()
+    judged = F.col("doc_id").isNotNull() & worded()
+    best = docs.where(judged).withColumn("_digest", digest()).join(common.saved(keep, "keep").hint("merge"), ["doc_id", "_digest"], "left_semi")
+    return best.dropDuplicates(["doc_id", "_digest"]).select(*columns).unionByName(docs.where(~judged))
 
 
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all whole documents; odd input as in near_duplicates()."""
     return near_duplicates(common.load(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")

@@ -21,7 +21,10 @@ from . import common
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id and floor(scale * x) of every component as 64-bit integers; rows that take no part are left out."""
+    """id and floor(scale * x) of every component as 64-bit integers; rows that take no part are left out.
+
+    Inner products of vectors whose squares add up to less than 2^62 fit into 64 bits, and so do all their partial sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -30,7 +33,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
                 if i is None or v is None or None in v:
                     continue
                 x = np.floor(scale * np.asarray(v, dtype=np.float64))
-                if np.isfinite(x).all():
+                if np.isfinite(x).all() and np.dot(x, x) < 2.0**62:
                     ids.append(i)
                     out.append(x.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "raw"])
@@ -77,46 +80,50 @@ class Shard:
             found, scores = found[keep], scores[keep]
             at, step = to, step * 2
             if len(dims) and len(found) == k and at < n:
-                edge = np.where(down, self.values[n - at, dims], self.values[at - 1, dims])
-                if int(edge @ q[dims]) < scores[-1]:
+                edge = np.where(down, self.values[n - at, dims], self.values[at - 1, dims]).astype(np.float64)
+                # the bound is of no one vector, so it may pass 64 bits: it is taken in doubles, with what rounding can hide
+                if edge @ q[dims] + 1e-12 * (np.abs(edge) @ np.abs(q[dims])) + 1 < scores[-1]:
                     break
         self.depth = at
         return self.ids[found], scores
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shard_rows: int = 16_384, block_queries: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shard_rows: int = 16_384, block_queries: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k best among all other rows.
 
     Rows without an id, with a null vector, or with a null or non-finite component take no part. Components are
-    floor(scale * x); vectors of different lengths count as if zeros followed. Ties go to the smaller id. Candidates
-    that share the query's id are its own. Rows that repeat an id are candidates (and queries) each.
+    floor(scale * x); vectors of different lengths count as if zeros followed. A vector whose scaled components' squares
+    add up to 2^62 or more takes no part either, as its scores could pass 64 bits. Ties go to the smaller id. Candidates
+    that share the query's id are its own. Rows that repeat an id are candidates (and queries) each, also if their
+    vectors are equal. An empty table gives no rows.
     """
-    rows = common.saved(quantised(vectors, id_col, vector_col, scale), "integers")
+    rows = common.saved(quantised(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "integers")
     size = rows.agg(F.count("*").alias("n"), F.sum((F.pmod("id", F.lit(every)) == 0).cast("long")).alias("q"), F.max(F.length("raw")).alias("w")).first()
     n_shards, n_blocks, width = -(-(size["n"] or 1) // shard_rows), -(-(size["q"] or 1) // block_queries), (size["w"] or 8) // 8
     # a stated query set against all rows, in blocks: each shard meets each block once
     number = F.xxhash64("id", "raw")
-    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(number, F.lit(n_shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "raw")
+    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(number, F.lit(n_shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "raw", "row")
     queries = rows.where(F.pmod("id", F.lit(every)) == 0)
-    queries = queries.select(F.pmod(F.xxhash64(number), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "raw")
+    queries = queries.select(F.pmod(F.xxhash64(number), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "raw", "row")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own, asked = group[group["kind"] == 0], group[group["kind"] == 1]
         out = []
         if len(own) and len(asked):
             shard = Shard(own["id"].to_numpy(), _matrix(own["raw"].tolist(), width))
-            for place, (q, raw) in enumerate(zip(asked["id"], _matrix(asked["raw"].tolist(), width), strict=True)):
+            for q, row, raw in zip(asked["id"], asked["row"], _matrix(asked["raw"].tolist(), width), strict=True):
                 ids, scores = shard.best(raw, k, q)
-                out.append(pd.DataFrame({"query_id": q, "raw": asked["raw"].iloc[place], "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "raw": [], "vec_id": [], "score": []})
+                out.append(pd.DataFrame({"query_id": q, "row": row, "vec_id": ids, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []})
 
-    best = candidates.unionByName(queries).groupBy("shard", "block").applyInPandas(run, "query_id long, raw binary, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "raw").orderBy(F.desc("score"), "vec_id")).cast("int")
+    best = candidates.unionByName(queries).groupBy("shard", "block").applyInPandas(run, "query_id long, row long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")).cast("int")
     ranked = best.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all embeddings for each whose id is divisible by 50; odd input as in top_k()."""
     return top_k(common.load(spark, sf_dir, "embeddings"))
 
 

@@ -107,7 +107,49 @@ def test_same_as_all_pairs(spark):
     assert len(kept) == len(singles) - 1 and all(k[2] == "x" for k in kept)  # the repeated row stays once
 
 
+def test_white_space_is_no_word(spark):
+    df = spark.createDataFrame([(1, "\n"), (2, "\n"), (3, "\t \r"), (4, None), (5, ""), (6, " a\n"), (7, " a\n")], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (5, True), 6: (6, True), 7: (6, False)}
+    assert sorted(r.doc_id for r in neardup.deduplicate(df).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_many_bags_together_are_as_each_alone():
+    texts = [prose(n) for n in (1, 2, 4, 5, 6, 300)] + ["", None, "same same same same same same", "É é " * 9]
+    owner, items, counts = neardup.bags(texts)
+    for i, t in enumerate(texts):
+        h, n = neardup.shingles(t)
+        assert (items[owner == i] == h).all() and (counts[owner == i] == n).all()
+    some = [i for i, t in enumerate(texts) if t]
+    together = neardup.dart_signatures(items, counts, np.searchsorted(some, owner), len(some))
+    for place, i in enumerate(some):
+        assert (together[place] == neardup.dart_signature(*neardup.shingles(texts[i]))).all()
+
+
+def test_every_pair_is_compared_without_slack(spark):
+    rows = corpus()[:100]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(((r.doc_id, r.class_id, r.kept) for r in neardup.near_duplicates(df, slack=None).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_recall_of_planted_pairs():
+    """Pairs of similarity 0.8 to 0.9 that share a band and pass the pre-check."""
+    caught = n = 0
+    while n < 300:
+        base = prose(300)
+        other = edited(base, RNG.randint(4, 9))
+        if 0.8 <= jaccard(bag(base), bag(other)) <= 0.9:
+            a, b = (neardup.dart_signature(*neardup.shingles(t)) for t in (base, other))
+            same = a == b
+            caught += bool(same.reshape(neardup.BANDS, neardup.ROWS).all(axis=1).any()) and same.sum() >= neardup.COORDINATES * 0.68
+            n += 1
+    print("caught", caught, "of", n)
+    assert caught >= 0.99 * n
+
+
 def test_nothing(spark):
+    assert neardup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -34,6 +34,13 @@ def test_fewer_than_k_and_nothing(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_repeated_queries_and_numbers_beyond_64_bits(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0])] + [(i, [i / 256, 0.0]) for i in range(1, 9)] + [(60, [1e18, 1.0]), (61, [3e6, 3e6]), (100, [-3e6, 3e6])]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    one = [(50, 1, 61, 768000000 * 256), *((50, r, i, 256 * i) for r, i in zip(range(2, 6), (8, 7, 6, 5)))]
+    assert got[:10] == sorted(one * 2) and got[10][:3] == (100, 1, 61) and all(g[0] == 100 for g in got[10:])
+
+
 def test_it_stops_before_the_end():
     rng = np.random.default_rng(0)
     x = rng.integers(-3, 4, size=(5000, 8))
