@@ -1,66 +1,103 @@
 """Filtering and classification."""
 
+from . import fixed
+
 OPS: dict[str, str] = {}
 
-# fixed values: keyboard rows whose pieces mark a mash
-ROWS = "(qwert|werty|asdf|sdfg|dfgh|zxcv|xcvb|hjkl|uiop)"
+_LITERAL_EDGES = "[" + "".join("\\" + c.replace("'", "''") for c in fixed.EDGES) + "]"
 # RE2 has no back references, so three equal characters are spelled out
-TRIPLE = "(" + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz") + ")"
-_NOISE = f"""SELECT {{key}}, count_if(RLIKE(tok, '{ROWS}')) AS mash, count_if(RLIKE(tok, '{TRIPLE}')) AS repeated, count_if(RLIKE(tok, '[a-z]') AND RLIKE(tok, '[0-9]')) AS mixed, count_if(RLIKE(tok, '^[0-9][0-9][0-9]+$')) AS numbers,
-  count_if(RLIKE(tok, '{ROWS}') OR RLIKE(tok, '{TRIPLE}') OR (RLIKE(tok, '[a-z]') AND RLIKE(tok, '[0-9]')) OR RLIKE(tok, '^[0-9][0-9][0-9]+$')) AS noisy, count_if(RLIKE(tok, '^[a-z]+$') AND length(tok) > 2) AS plain, count(*) AS n_tokens
-FROM (SELECT {{key}}, lower(tok) AS tok FROM UNNEST{{{{{{view}}|{{key}}|split({{text}}, ' ')}}}} u) t WHERE tok <> '' GROUP BY {{key}}"""
-_FEEDBACK = _NOISE.format(key="feedback_id", view="feedback", text="feedback_text").replace("{{", "{").replace("}}", "}")
-_DOCUMENTS = _NOISE.format(key="doc_id", view="documents", text="text").replace("{{", "{").replace("}}", "}")
+_TRIPLE = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
-OPS["cls_01_noise_tokens"] = _DOCUMENTS
-OPS["cls_02_gibberish"] = f"""
-SELECT f.feedback_id, CASE WHEN trim(f.feedback_text) = '' THEN 'empty_input' WHEN length(trim(f.feedback_text)) < 3 THEN 'too_short' WHEN NOT RLIKE(f.feedback_text, '[A-Za-z]') THEN 'no_letters'
-  WHEN length(regexp_replace(f.feedback_text, '[A-Za-z0-9 ]', ''@G)) * 2 > length(f.feedback_text) THEN 'symbols' WHEN n.mash > 0 THEN 'keyboard_mash' WHEN n.noisy * 2 > n.n_tokens THEN 'noise' WHEN n.plain = 0 THEN 'no_word' ELSE 'ok' END AS reason
-FROM feedback f LEFT JOIN ({_FEEDBACK}) n ON n.feedback_id = f.feedback_id"""
 
-# fixed values: promotional patterns in order
-PROMO = ["buy now|click here|limited (time )?offer", "free (money|gift|trial|iphone)", "(earn|make) [$]?[0-9]+", "www[.]|https?://", "(viagra|casino|lottery|crypto giveaway)"]
-OPS["cls_03_promo"] = "SELECT doc_id, CASE " + " ".join(f"WHEN RLIKE(lower(text), '{p}') THEN {i}" for i, p in enumerate(PROMO)) + " ELSE -1 END AS pattern FROM documents"
+def _mash(word: str) -> str:
+    """A word of three letters or more that lies on one row of the keyboard."""
+    return f"(length({word}) >= 3 AND ({' OR '.join(f'instr({fixed.sql(row)}, {word}) > 0' for row in fixed.KEYBOARD_ROWS)}))"
+
+
+def _noise(word: str) -> str:
+    """A stripped token that reads as gibberish by itself."""
+    return f"({word} = '' OR {_mash(word)} OR RLIKE({word}, '{_TRIPLE}') OR (RLIKE({word}, '[a-z]') AND RLIKE({word}, '\\d')) OR RLIKE({word}, '^\\d{{3,}}$'))"
+
+
+def _features(key: str, view: str, text: str) -> str:
+    """Counts over the tokens of a text, inside the row: nothing is exploded or shuffled."""
+    return f"""
+SELECT {key}, t, CAST(len_words AS BIGINT) AS n_tokens, COUNT⟦words¦w¦{_mash('w')}⟧ AS mash, COUNT⟦bare¦w¦RLIKE(w, '{_TRIPLE}')⟧ AS repeated, COUNT⟦bare¦w¦RLIKE(w, '[a-z]') AND RLIKE(w, '\\d')⟧ AS mixed, COUNT⟦bare¦w¦RLIKE(w, '^\\d{{3,}}$')⟧ AS numbers,
+  COUNT⟦bare¦w¦{_noise('w')}⟧ AS noisy, COUNT⟦words¦w¦RLIKE(w, '^\\pL{{3,}}$') AND NOT {_mash('w')}⟧ AS plain
+FROM (SELECT {key}, t, words, COUNT⟦words¦w¦w <> ''⟧ AS len_words, MAP⟦words¦w¦regexp_replace(regexp_replace(w, '^{_LITERAL_EDGES}+', ''), '{_LITERAL_EDGES}+$', '')⟧ AS bare
+  FROM (SELECT {key}, t, COUNT⟦split(t, ' ')¦w¦w <> ''⟧ AS n_some, split(t, ' ') AS words FROM (SELECT {key}, lower(trim(regexp_replace(coalesce({text}, ''), '\\s+', ' '@G))) AS t FROM {view}) a) b WHERE n_some > 0) c"""
+
+
+OPS["cls_01_noise_tokens"] = f"SELECT doc_id, n_tokens, mash, repeated, mixed, numbers, noisy, plain FROM ({_features('doc_id', 'documents', 'text')}) d"
+_SYMBOLS = "(length(raw) - length(regexp_replace(raw, '[\\pL\\pN]', ''@G))) * 2 < length(raw)"
+_JUDGED = f"""
+SELECT f.feedback_id, f.raw, f.t, f.t = '' AS is_empty, f.n_chars, coalesce(n.n_tokens, 0) AS n_tokens, coalesce(n.mash, 0) AS mash, coalesce(n.noisy, 0) AS noisy, coalesce(n.plain, 0) AS plain, NOT RLIKE(f.raw, '\\pL') AS no_letter, {_SYMBOLS} AS symbols
+FROM (SELECT feedback_id, coalesce(feedback_text, '') AS raw, lower(trim(coalesce(feedback_text, ''))) AS t, length(coalesce(feedback_text, '')) AS n_chars FROM feedback) f LEFT JOIN ({_features('feedback_id', 'feedback', 'feedback_text')}) n ON n.feedback_id = f.feedback_id"""
+_SHARED = "no_letter OR symbols OR (n_tokens > 0 AND plain = 0 AND {n} > 20) OR (n_tokens >= 3 AND noisy * 2 >= n_tokens)"
+_PROMO = "CASE " + " ".join(f"WHEN RLIKE(t, {fixed.sql(p)}) THEN {i}" for i, p in enumerate(fixed.PROMO)) + " ELSE -1 END"
+# two forms of the predicate: one in front of the pattern classifier, one with reasons in front of a model
+OPS["cls_02_gibberish"] = f"""
+SELECT feedback_id, n_chars < 10 OR t IN ({", ".join(map(fixed.sql, fixed.STOP_REPLIES))}) OR {_SHARED.format(n="n_chars")} OR (n_tokens >= 2 AND mash >= 2 AND mash * 2 >= n_tokens) AS is_gibberish,
+  CASE WHEN is_empty THEN 'empty_input' WHEN length(t) < 10 OR {_SHARED.format(n="length(t)")} OR (n_tokens >= 2 AND mash * 2 >= n_tokens) THEN 'gibberish' WHEN {_PROMO} >= 0 THEN concat('promo_spam_', CAST({_PROMO} AS STRING)) ELSE 'ok' END AS reason
+FROM ({_JUDGED}) j"""
+OPS["cls_03_promo"] = f"SELECT doc_id, {_PROMO} AS pattern FROM (SELECT doc_id, lower(text) AS t FROM documents) d"
 
-_RULE_SIGN = "(should|must|only|exclude|include|never|always) "
-_ARTEFACT = "(dashboard|report|page|button|export|screen|filter|chart|api)"
+_REQUEST, _ISSUE, _ASKS = (fixed.any_of("t", p) for p in (fixed.REQUEST_FRAMES, fixed.ISSUE_FRAMES, fixed.QUESTION_FRAMES))
 OPS["cls_04_rare_gate"] = f"""
-SELECT feedback_id, CASE WHEN RLIKE(t, '{_RULE_SIGN}') THEN NULL WHEN RLIKE(t, '(nice to|please add|can we have|would love|add an? )') AND RLIKE(t, '{_ARTEFACT}') THEN 'feature_request'
-  WHEN RLIKE(t, '(broken|error|crash|fails?|not working|bug)') AND RLIKE(t, '{_ARTEFACT}') THEN 'issue_report' WHEN RLIKE(t, '^(what|how|why|when|where|which|who) ') AND RLIKE(t, '[?]$') THEN 'question' END AS gate
+SELECT feedback_id, CASE WHEN {_REQUEST} THEN 'feature_request' WHEN RLIKE(t, {fixed.sql(fixed.RULE_SIGNAL)}) THEN NULL WHEN RLIKE(t, {fixed.sql(fixed.ISSUE_ARTEFACT)}) AND {_ISSUE} THEN 'issue_report'
+  WHEN RLIKE(t, '\\bclarify\\s+whether\\b') OR (RLIKE(t, '[?]$') AND {_ASKS}) THEN 'question' END AS gate
 FROM (SELECT feedback_id, lower(trim(feedback_text)) AS t FROM feedback) f"""
 
-# fixed values: first match wins; (category, pattern, confidence)
-LADDER = [
-    ("metric_definition", "(revenue|margin|rate|total|average|count)", 0.9), ("metric_definition", "(is|are) (defined|measured)", 0.9), ("access_rule", "(access|permission|visible|restrict)", 0.85),
-    ("mapping_rule", "(status|map|rename) .*(to|as|means|is)", 0.88), ("filter_rule", "(exclude|ignore|remove|only include) .*(records?|rows?|orders?|customers?)", 0.92), ("data_quality_rule", "(null|missing|duplicate|invalid|quality)", 0.85),
-    ("join_rule", "(join|link|match) .*(with|to|on)", 0.82), ("metric_definition", "calculated? from", 0.85),
-]
-_CATEGORY = "CASE " + " ".join(f"WHEN RLIKE(t, '{p}') THEN '{c}'" for c, p, _ in LADDER) + " ELSE 'metric_definition' END"
-_CONFIDENCE = "CASE " + " ".join(f"WHEN RLIKE(t, '{p}') THEN CAST({x} AS DOUBLE)" for _, p, x in LADDER) + " ELSE CAST(0.5 AS DOUBLE) END"
-_MATCHED = " OR ".join(f"RLIKE(t, '{p}')" for _, p, _ in LADDER)
-_QUESTION = "RLIKE(t, '^(what|how|why|when|where|which|who) ') AND NOT RLIKE(t, '(should|must)')"
+_CATEGORY = "CASE " + " ".join(f"WHEN RLIKE(t, {fixed.sql(p)}) THEN '{c}'" for p, c, _ in fixed.CATEGORIES) + " ELSE 'metric_definition' END"
+_CONFIDENCE = "CASE " + " ".join(f"WHEN RLIKE(t, {fixed.sql(p)}) THEN CAST({x} AS DOUBLE)" for p, _, x in fixed.CATEGORIES) + " ELSE CAST(0.5 AS DOUBLE) END"
+_MATCHED = fixed.any_of("t", [p for p, _, _ in fixed.CATEGORIES])
+_QUESTION = f"RLIKE(t, '(^|\\s)({'|'.join(fixed.QUESTION_WORDS)})(\\s|$)') AND instr(t, 'should') = 0 AND instr(t, 'must') = 0"
 _PATTERN = f"""
-SELECT feedback_id, CASE WHEN {_QUESTION} THEN 'question' WHEN {_MATCHED} THEN 'business_rule' ELSE 'general_feedback' END AS feedback_type,
-  CASE WHEN {_QUESTION} THEN NULL ELSE {_CATEGORY} END AS rule_category, CASE WHEN {_QUESTION} THEN CAST(0.3 AS DOUBLE) ELSE {_CONFIDENCE} END AS confidence
+SELECT feedback_id, CASE WHEN {_QUESTION} THEN 'question' ELSE 'business_rule' END AS feedback_type, {_CATEGORY} AS rule_category, {_MATCHED} AND NOT ({_QUESTION}) AS is_actionable,
+  CASE WHEN {_QUESTION} THEN CAST(0.3 AS DOUBLE) ELSE {_CONFIDENCE} END AS confidence
 FROM (SELECT feedback_id, lower(trim(feedback_text)) AS t FROM feedback) f"""
-OPS["cls_05_patterns"] = _PATTERN
-OPS["cls_05_type_counts"] = f"SELECT feedback_type, rule_category, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM ({_PATTERN}) p GROUP BY feedback_type, rule_category"
+_FINAL = f"""
+SELECT p.feedback_id, CASE WHEN g.is_gibberish THEN 'irrelevant_spam' ELSE p.feedback_type END AS feedback_type, p.rule_category, p.is_actionable AND NOT g.is_gibberish AS is_actionable,
+  CASE WHEN g.is_gibberish THEN CAST(0.95 AS DOUBLE) ELSE p.confidence END AS confidence
+FROM ({_PATTERN}) p JOIN ({OPS["cls_02_gibberish"]}) g ON g.feedback_id = p.feedback_id"""
+OPS["cls_05_patterns"] = _FINAL
+OPS["cls_05_type_counts"] = f"SELECT feedback_type, rule_category, is_actionable, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM ({_PATTERN}) p GROUP BY feedback_type, rule_category, is_actionable"
+# spam, promotion, gate, model, pattern: each stage answers what the ones before it let through; all of it is one scan of
+# feedback beside the model's table
+_CASCADE = f"""
+SELECT j.*, CASE WHEN {_REQUEST} THEN 'feature_request' WHEN RLIKE(t, {fixed.sql(fixed.RULE_SIGNAL)}) THEN NULL WHEN RLIKE(t, {fixed.sql(fixed.ISSUE_ARTEFACT)}) AND {_ISSUE} THEN 'issue_report' WHEN RLIKE(t, '\\bclarify\\s+whether\\b') OR (RLIKE(t, '[?]$') AND {_ASKS}) THEN 'question' END AS gate,
+  CASE WHEN is_empty THEN 'empty_input' WHEN length(t) < 10 OR {_SHARED.format(n="length(t)")} OR (n_tokens >= 2 AND mash * 2 >= n_tokens) THEN 'gibberish' WHEN {_PROMO} >= 0 THEN 'promo_spam' ELSE 'ok' END AS reason,
+  CASE WHEN {_QUESTION} THEN 'question' ELSE 'business_rule' END AS pattern_type, {_CATEGORY} AS pattern_category, CASE WHEN {_QUESTION} THEN CAST(0.3 AS DOUBLE) ELSE {_CONFIDENCE} END AS pattern_confidence, {_MATCHED} AND NOT ({_QUESTION}) AS pattern_actionable
+FROM ({_JUDGED}) j"""
 OPS["cls_06_cascade"] = f"""
-SELECT p.feedback_id, CASE WHEN g.reason <> 'ok' THEN 'irrelevant_spam' WHEN r.gate IS NOT NULL THEN r.gate ELSE p.feedback_type END AS feedback_type,
-  CASE WHEN g.reason <> 'ok' OR r.gate IS NOT NULL THEN NULL ELSE p.rule_category END AS rule_category,
-  CASE WHEN g.reason <> 'ok' THEN 'spam_filter' WHEN r.gate IS NOT NULL THEN 'gate' WHEN p.confidence < 0.6 THEN 'fallback' ELSE 'pattern' END AS provenance
-FROM ({_PATTERN}) p JOIN ({OPS["cls_02_gibberish"]}) g ON g.feedback_id = p.feedback_id JOIN ({OPS["cls_04_rare_gate"]}) r ON r.feedback_id = p.feedback_id"""
-OPS["cls_09_domain"] = """
-SELECT feedback_id, domain, score, least(1.0, score / 30) AS confidence FROM (
-  SELECT feedback_id, domain, CAST(CASE WHEN count(*) > 1 THEN 1.5 * count(*) ELSE count(*) END AS DOUBLE) AS score,
-    row_number() OVER (PARTITION BY feedback_id ORDER BY CASE WHEN count(*) > 1 THEN 1.5 * count(*) ELSE count(*) END DESC, domain) AS rn
-  FROM (SELECT DISTINCT f.feedback_id, k.domain, k.term FROM feedback f JOIN (SELECT domain, table_name AS term FROM catalog UNION ALL SELECT domain, column_name FROM catalog UNION ALL SELECT domain, term FROM glossary) k
-    ON instr(lower(f.feedback_text), k.term) > 0) m GROUP BY feedback_id, domain) s WHERE rn = 1"""
+SELECT c.feedback_id, CASE WHEN reason <> 'ok' THEN 'irrelevant_spam' WHEN gate IS NOT NULL THEN gate WHEN m.confidence >= 0.6 THEN m.feedback_type ELSE pattern_type END AS feedback_type,
+  CASE WHEN reason <> 'ok' THEN 'unknown' WHEN gate IS NOT NULL THEN 'none' WHEN m.confidence >= 0.6 THEN m.rule_category ELSE pattern_category END AS rule_category,
+  CASE WHEN reason <> 'ok' OR gate IS NOT NULL THEN FALSE WHEN m.confidence >= 0.6 THEN m.feedback_type = 'business_rule' ELSE pattern_actionable END AS is_actionable,
+  CASE WHEN reason <> 'ok' THEN CAST(0.95 AS DOUBLE) WHEN gate IS NOT NULL THEN CAST(0.9 AS DOUBLE) WHEN m.confidence >= 0.6 THEN m.confidence ELSE pattern_confidence END AS confidence,
+  CASE WHEN reason <> 'ok' THEN reason WHEN gate IS NOT NULL THEN 'gate' WHEN m.confidence >= 0.6 THEN 'model' WHEN m.confidence IS NOT NULL THEN 'low_confidence_fallback' ELSE 'pattern' END AS provenance
+FROM ({_CASCADE}) c LEFT JOIN model_outputs m ON m.feedback_id = c.feedback_id"""
+_TERMS = """SELECT domain, table_name AS term FROM catalog UNION SELECT domain, replace(table_name, '_', ' ') FROM catalog UNION SELECT domain, column_name FROM catalog UNION SELECT domain, replace(column_name, '_', ' ') FROM catalog
+    UNION SELECT d.domain, x.term FROM (SELECT DISTINCT domain FROM catalog) d CROSS JOIN taxonomy_terms x"""
+_KEYWORDS = fixed.values([(d, k) for d, words in fixed.DOMAIN_KEYWORDS.items() for k in words], "domain, term", "k")
+# what a domain's terms and keywords are is one row for each domain, so a text meets domains and not terms
+OPS["cls_09_domain"] = f"""
+SELECT feedback_id, CASE WHEN score >= 4 THEN domain END AS domain, CASE WHEN score >= 4 THEN least(1.0, score / 30) ELSE CAST(0 AS DOUBLE) END AS confidence, score FROM (
+  SELECT feedback_id, domain, score, row_number() OVER (PARTITION BY feedback_id ORDER BY score DESC, domain) AS rn FROM (
+    SELECT feedback_id, domain, CAST(n_terms + CASE WHEN n_terms > 1 THEN 0.5 * n_terms ELSE 0 END + 2 * n_keywords AS DOUBLE) AS score FROM (
+      SELECT f.feedback_id, d.domain, COUNT⟦d.terms¦x¦instr(lower(f.feedback_text), x) > 0⟧ AS n_terms, COUNT⟦d.keywords¦x¦instr(lower(f.feedback_text), x) > 0⟧ AS n_keywords
+      FROM feedback f CROSS JOIN (SELECT t.domain, t.terms, k.keywords FROM (SELECT domain, split(AGG{{term|;|term}}, ';') AS terms FROM ({_TERMS}) a GROUP BY domain) t JOIN (SELECT domain, split(AGG{{term|;|term}}, ';') AS keywords FROM {_KEYWORDS} GROUP BY domain) k ON k.domain = t.domain) d) c) s) r WHERE rn = 1"""
 OPS["cls_10_calibrate"] = """
 SELECT doc_id, temperature, round(1 / (1 + exp(-ln(p / (1 - p)) / temperature)), 6) AS calibrated FROM (SELECT doc_id, greatest(0.000001, least(0.999999, confidence)) AS p FROM predictions) x
 CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(2.0 AS DOUBLE))) AS t(temperature)"""
-OPS["cls_11_sensitivity"] = """
-SELECT r.rule_id, round(s, 6) AS score, s >= 0.5 AS is_sensitive, concat_ws(',', CASE WHEN term > 0 THEN 'term' END, CASE WHEN category > 0 THEN 'category' END, CASE WHEN field > 0 THEN 'field' END) AS reasons
-FROM (SELECT r.rule_id, CASE WHEN RLIKE(business_term, '(1|2)$') THEN CAST(0.6 AS DOUBLE) ELSE 0 END AS term, CASE WHEN rule_category = 'access_rule' THEN CAST(0.3 AS DOUBLE) ELSE 0 END AS category, CASE WHEN c.field = 'orders.total_amount' THEN CAST(0.2 AS DOUBLE) ELSE 0 END AS field,
-  (CASE WHEN RLIKE(business_term, '(1|2)$') THEN CAST(0.6 AS DOUBLE) ELSE 0 END) + (CASE WHEN rule_category = 'access_rule' THEN CAST(0.3 AS DOUBLE) ELSE 0 END) + (CASE WHEN c.field = 'orders.total_amount' THEN CAST(0.2 AS DOUBLE) ELSE 0 END) AS s
-  FROM rules r JOIN conditions c ON c.rule_id = r.rule_id AND c.pos = 0) r"""
+# logits of a row by class; the largest is taken off before exp()
+OPS["cls_10_softmax"] = """
+SELECT doc_id, class, temperature, round(e / sum(e) OVER (PARTITION BY doc_id, temperature), 6) AS probability, round(1 / (1 + exp(-z)), 6) AS sigmoid FROM (
+  SELECT l.doc_id, l.class, t.temperature, l.logit / t.temperature AS z, exp(l.logit / t.temperature - max(l.logit / t.temperature) OVER (PARTITION BY l.doc_id, t.temperature)) AS e
+  FROM logits l CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(1.0 AS DOUBLE)), (CAST(2.0 AS DOUBLE))) AS t(temperature)) x"""
+_SENSITIVE = "(" + "|".join(fixed.SENSITIVE_TERMS) + ")"
+OPS["cls_11_sensitivity"] = f"""
+SELECT rule_id, round(least(1.0, s), 6) AS score, s >= 0.5 AS is_sensitive, concat_ws(',', CASE WHEN term > 0 THEN 'term' END, CASE WHEN category > 0 THEN 'category' END, CASE WHEN field > 0 THEN 'field' END) AS reasons
+FROM (SELECT rule_id, term, category, field, term + category + field AS s FROM (
+  SELECT r.rule_id, CASE WHEN RLIKE(lower(r.business_term), '{_SENSITIVE}') THEN CAST(0.6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS term, CASE WHEN RLIKE(lower(r.rule_category), '{_SENSITIVE}') THEN CAST(0.3 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS category,
+    CASE WHEN coalesce(c.n, 0) > 0 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS field
+  FROM rules r LEFT JOIN (SELECT rule_id, count_if(RLIKE(lower(field), '{_SENSITIVE}')) AS n FROM conditions GROUP BY rule_id) c ON c.rule_id = r.rule_id) a) b"""

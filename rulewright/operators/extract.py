@@ -1,5 +1,6 @@
 """Structured extraction."""
 
+from . import fixed
 from .datagen import OPS as DATASETS
 
 OPS: dict[str, str] = {}
@@ -41,12 +42,21 @@ SELECT c.rule_id, c.pos, c.field, CASE WHEN instr(c.field, '.') > 0 THEN c.field
 FROM conditions c JOIN rules r ON r.rule_id = c.rule_id
 LEFT JOIN (SELECT domain, column_name, count(*) AS n, min(table_name) AS first_table FROM catalog GROUP BY domain, column_name) k ON k.domain = c.domain_id AND k.column_name = c.field
 LEFT JOIN catalog m ON m.domain = c.domain_id AND m.column_name = c.field AND m.table_name = r.affected_table"""
-OPS["ext_08_scope"] = "SELECT feedback_id, CASE WHEN RLIKE(t, '(all|global|everywhere|company)') THEN 'global' WHEN RLIKE(t, '(region|country|emea|apac)') THEN 'regional' WHEN RLIKE(t, '(department|team)') THEN 'departmental' WHEN RLIKE(t, '(user|my own)') THEN 'user_specific' ELSE 'global' END AS scope FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) f"
-OPS["ext_09_time_window"] = """
-SELECT feedback_id, CASE WHEN RLIKE(t, 'last [0-9]+ days?') THEN concat('last_', regexp_extract(t, 'last ([0-9]+) days?', 1), '_days') WHEN RLIKE(t, 'last [0-9]+ months?') THEN concat('last_', regexp_extract(t, 'last ([0-9]+) months?', 1), '_months')
-  WHEN RLIKE(t, 'rolling [0-9]+ ?-?[a-z]+') THEN concat('rolling_', regexp_extract(t, 'rolling ([0-9]+)', 1), '_', regexp_extract(t, 'rolling [0-9]+ ?-?([a-z]+)', 1)) WHEN RLIKE(t, '(year to date|ytd)') THEN 'ytd' WHEN RLIKE(t, '(month to date|mtd)') THEN 'mtd'
-  WHEN RLIKE(t, 'last month') THEN 'last_month' WHEN RLIKE(t, 'this month') THEN 'this_month' WHEN RLIKE(t, 'last quarter') THEN 'last_quarter' WHEN RLIKE(t, 'last year') THEN 'last_year' WHEN RLIKE(t, 'today') THEN 'today' WHEN RLIKE(t, 'yesterday') THEN 'yesterday' END AS time_window
-FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) f"""
+OPS["ext_08_scope"] = "SELECT feedback_id, CASE " + " ".join(f"WHEN RLIKE(t, {fixed.sql(p)}) THEN '{o}'" for p, o in fixed.SCOPES) + " ELSE 'global' END AS scope FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) f"
+
+
+def _window(pattern: str, token: str) -> str:
+    """The token of a time window, with the number and unit that the pattern finds."""
+    parts = [f"'{token}'"]
+    if "{n}" in token:
+        head, tail = token.split("{n}")
+        parts = [f"'{head}'", f"regexp_extract(t, {fixed.sql(pattern)}, 1)", f"'{tail}'"]
+        if "{unit}" in tail:
+            parts[2:] = ["'_'", f"regexp_extract(t, {fixed.sql(pattern)}, 2)"]
+    return f"WHEN RLIKE(t, {fixed.sql(pattern)}) THEN concat({', '.join(parts)})"
+
+
+OPS["ext_09_time_window"] = "SELECT feedback_id, CASE " + " ".join(_window(p, t) for p, t in fixed.TIME_WINDOWS) + " END AS time_window FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) f"
 OPS["ext_10_affected"] = """
 SELECT r.rule_id, AGG{t|,|t} AS tables FROM (SELECT DISTINCT r.rule_id, coalesce(nullif(regexp_extract(c.field, '^([a-z_]+)[.]', 1), ''), r.affected_table, 'unknown') AS t FROM rules r LEFT JOIN conditions c ON c.rule_id = r.rule_id) r GROUP BY r.rule_id"""
 OPS["ext_11_confidence"] = """
@@ -55,13 +65,11 @@ OPS["ext_13_family_id"] = """
 SELECT rule_id, substring(SHA(canon), 1, 12) AS family_id FROM (
   SELECT r.rule_id, concat(lower(min(r.business_term)), '|', upper(min(r.operation)), '|', AGG{part|;|part}) AS canon
   FROM rules r JOIN (SELECT rule_id, concat(lower(field), ' ', operator, ' ', lower(value)) AS part FROM conditions) c ON c.rule_id = r.rule_id GROUP BY r.rule_id) x"""
-# fixed values: phrases and the canonical operation of each
-PHRASES = [("exclude", "exclude"), ("remove", "exclude"), ("filter out", "exclude"), ("ignore", "exclude"), ("include", "include"), ("add", "include"), ("restrict", "restrict"), ("limit", "restrict"), ("only", "restrict"), ("map", "map"), ("rename", "map"), ("calculate", "calculate")]
-_PHRASES = ", ".join(f"('{a}', '{b}')" for a, b in PHRASES)
-OPS["ext_14_canonical_operation"] = f"""
-SELECT feedback_id, coalesce(canonical, 'include') AS operation FROM (
-  SELECT f.feedback_id, p.canonical, row_number() OVER (PARTITION BY f.feedback_id ORDER BY length(p.phrase) DESC, p.phrase) AS rn
-  FROM feedback f LEFT JOIN (VALUES {_PHRASES}) AS p(phrase, canonical) ON instr(lower(f.feedback_text), p.phrase) > 0) x WHERE rn = 1"""
+# the longest phrase of an operation counts, then the first by name: phrases are tried in that order inside the row
+_LONGEST = sorted(((p, o) for o, phrases in fixed.OPERATION_PHRASES.items() for p in phrases), key=lambda x: (-len(x[0]), x[0]))
+_OPERATORS = sorted(((p, o) for o, phrases in fixed.OPERATOR_PHRASES.items() for p in phrases), key=lambda x: (-len(x[0]), x[0]))
+_canonical = lambda t, pairs: "CASE " + " ".join(f"WHEN instr({t}, {fixed.sql(p)}) > 0 THEN '{o}'" for p, o in pairs) + " END"
+OPS["ext_14_canonical_operation"] = f"SELECT feedback_id, {_canonical('t', _LONGEST)} AS operation, {_canonical('t', _OPERATORS)} AS operator FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) f"
 OPS["ext_15_resolve_field"] = """
 SELECT x.rule_id, coalesce(x.by_value, x.by_name, x.by_glossary) AS field FROM (
   SELECT c.rule_id, min(CASE WHEN instr(concat('|', k.allowed, '|'), concat('|', c.value, '|')) > 0 THEN concat(k.table_name, '.', k.column_name) END) AS by_value,

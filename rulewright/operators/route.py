@@ -2,19 +2,36 @@
 
 OPS: dict[str, str] = {}
 
-OPS["rte_01_decision_table"] = """
-SELECT suggestion_id, CASE WHEN schema_status = 'FAIL' THEN 'manual_review' WHEN NOT mandatory_ok THEN 'clarification' WHEN needs_clarification THEN 'clarification' WHEN confidence < 0.6 THEN 'manual_review' WHEN is_duplicate THEN 'reviewer_verification' WHEN has_conflict THEN 'senior_review' WHEN sensitive THEN 'senior_review' ELSE 'router' END AS action,
-  CASE WHEN schema_status = 'FAIL' THEN 'schema' WHEN NOT mandatory_ok THEN 'mandatory' WHEN needs_clarification THEN 'ambiguous' WHEN confidence < 0.6 THEN 'confidence' WHEN is_duplicate THEN 'duplicate' WHEN has_conflict THEN 'conflict' WHEN sensitive THEN 'sensitive' END AS reason FROM suggestions"""
+# fixed values: rows of the decision table in order of priority: condition, action, reason. The calibrated confidence
+# counts where there is one, and so does the mean of the fields' confidences.
+_TABLE = [
+    ("schema_status = 'FAIL'", "manual_review", "schema_validation_failed"), ("NOT mandatory_ok", "clarification", "missing_mandatory_fields"), ("needs_clarification", "clarification", "clarification_required"),
+    ("coalesce(calibrated, confidence) < 0.6", "manual_review", "low_classification_probability"), ("extraction_mean < 0.5", "manual_review", "low_extraction_probability"), ("is_duplicate", "reviewer_verification", "duplicate_detected"),
+    ("has_conflict", "senior_review", "conflict_detected"), ("sensitive", "senior_review", "sensitive_business_rule"),
+]
+_EXTRACTED = "SELECT s.*, (f.term + f.operation + f.condition_mean) / 3 AS extraction_mean, f.calibrated FROM suggestions s LEFT JOIN field_confidences f ON f.suggestion_id = s.suggestion_id"
+_ACTION = "CASE " + " ".join(f"WHEN {test} THEN '{action}'" for test, action, _ in _TABLE) + " END"
+_REASON = "CASE " + " ".join(f"WHEN {test} THEN '{reason}'" for test, _, reason in _TABLE) + " END"
+OPS["rte_01_decision_table"] = f"SELECT suggestion_id, coalesce({_ACTION}, 'router') AS action, {_REASON} AS reason FROM ({_EXTRACTED}) e"
 # fixed values: weights of the scores
-_SCORES = """
+_SCORES = f"""
 SELECT s.*, least(1.0, least(0.4, 0.1 * n_conditions) + CASE scope WHEN 'global' THEN 0.1 WHEN 'regional' THEN 0.2 ELSE 0.15 END + CASE operation WHEN 'include' THEN 0.1 WHEN 'exclude' THEN 0.15 ELSE 0.2 END + least(0.15, 0.05 * n_tables)) AS complexity,
-  least(1.0, CASE scope WHEN 'global' THEN 0.8 WHEN 'regional' THEN 0.7 ELSE 0.5 END + CASE WHEN rule_category = 'access_rule' THEN 0.2 ELSE 0 END + CASE WHEN n_tables > 2 THEN 0.1 ELSE 0 END) AS impact FROM suggestions s"""
+  least(1.0, CASE scope WHEN 'global' THEN 0.8 WHEN 'regional' THEN 0.7 ELSE 0.5 END + CASE WHEN rule_category = 'access_rule' THEN 0.2 ELSE 0 END + CASE WHEN n_tables > 2 THEN 0.1 ELSE 0 END) AS impact FROM ({_EXTRACTED}) s"""
 _RISK = f"SELECT x.*, least(1.0, CASE WHEN has_conflict THEN 0.4 ELSE 0 END + CASE WHEN is_duplicate THEN 0.3 ELSE 0 END + 0.3 * complexity) AS risk FROM ({_SCORES}) x"
 OPS["rte_02_scores"] = f"SELECT suggestion_id, round(CAST(complexity AS DOUBLE), 6) AS complexity, round(CAST(impact AS DOUBLE), 6) AS impact, round(CAST(risk AS DOUBLE), 6) AS risk FROM ({_RISK}) r"
+# fixed values: approved automatically from 0.92 on, up to a complexity of 2, without a conflict or duplicate
+_ELIGIBLE = "confidence >= 0.92 AND complexity <= 2 AND NOT has_conflict AND NOT is_duplicate"
+_FIRST = [("NOT mandatory_ok", "mandatory_manual_review", "urgent", "manager"), ("sensitive", "senior_review_required", "urgent", "senior"), ("needs_clarification", "clarification_required", "high", "qa"), (_ELIGIBLE, "auto_approved", "auto_approved", "automated")]
+_pick = lambda i: " ".join(f"WHEN {row[0]} THEN '{row[i]}'" for row in _FIRST)
 _ROUTE = f"""
-SELECT r.*, CASE WHEN confidence >= 0.92 AND NOT has_conflict AND NOT is_duplicate THEN 'auto_approved' WHEN (impact > 0.7 AND risk > 0.5) OR has_conflict THEN 'urgent' WHEN impact > 0.7 OR (confidence > 0.8 AND complexity > 0.5) THEN 'high' WHEN impact > 0.4 AND risk > 0.2 THEN 'normal' WHEN is_duplicate THEN 'high' ELSE 'low' END AS priority,
-  CASE WHEN confidence >= 0.92 AND NOT has_conflict AND NOT is_duplicate THEN 'none' WHEN (impact > 0.7 AND risk > 0.5) OR has_conflict THEN 'senior' WHEN impact > 0.7 OR (confidence > 0.8 AND complexity > 0.5) THEN 'expert' WHEN impact > 0.4 AND risk > 0.2 THEN 'expert' ELSE 'qa' END AS reviewer FROM ({_RISK}) r"""
-OPS["rte_03_route"] = f"SELECT suggestion_id, priority, reviewer, priority = 'auto_approved' AND schema_status <> 'FAIL' AS auto_approved FROM ({_ROUTE}) q"
+SELECT r.*, {_ELIGIBLE} AS eligible, CASE {_pick(1)} ELSE 'pending_review' END AS review_status,
+  CASE {_pick(2)} WHEN (impact > 0.7 AND risk > 0.5) OR has_conflict THEN 'urgent' WHEN impact > 0.7 OR (confidence > 0.8 AND complexity > 0.5) THEN 'high' WHEN impact > 0.4 AND risk > 0.2 THEN 'normal' WHEN is_duplicate THEN 'high' ELSE 'low' END AS priority,
+  CASE {_pick(3)} WHEN (impact > 0.7 AND risk > 0.5) OR has_conflict THEN 'senior' WHEN impact > 0.7 OR (confidence > 0.8 AND complexity > 0.5) THEN 'expert' WHEN impact > 0.4 AND risk > 0.2 THEN 'expert' ELSE 'qa' END AS reviewer,
+  {_ACTION} AS override_action FROM ({_RISK}) r"""
+# the decision table's action, if any row of it holds, takes the place of the status
+_OVER = "CASE override_action WHEN 'manual_review' THEN 'manual_review' WHEN 'clarification' THEN 'clarification_required' WHEN 'reviewer_verification' THEN 'reviewer_verification' WHEN 'senior_review' THEN 'senior_review_required' ELSE review_status END"
+OPS["rte_03_route"] = f"""
+SELECT suggestion_id, {_OVER} AS review_status, priority, reviewer, CASE reviewer WHEN 'automated' THEN 'system:auto_approve' ELSE concat('reviewer:', reviewer, ':', workspace_id) END AS reviewer_id, eligible, eligible AND {_OVER} = 'auto_approved' AS auto_approved FROM ({_ROUTE}) q"""
 OPS["rte_04_reasons"] = f"""
 SELECT suggestion_id, concat_ws(',', CASE WHEN has_conflict THEN 'conflict' END, CASE WHEN is_duplicate THEN 'duplicate' END, CASE WHEN impact > 0.7 THEN 'high_impact' END, CASE WHEN complexity > 0.5 THEN 'complex' END, CASE WHEN confidence < 0.6 THEN 'low_confidence' END) AS factors,
   concat_ws(',', CASE WHEN has_conflict THEN 'resolve_conflict' END, CASE WHEN is_duplicate THEN 'merge_or_reject' END, CASE WHEN schema_status <> 'PASS' THEN 'fix_references' END) AS actions FROM ({_RISK}) r"""

@@ -5,44 +5,105 @@ OPS: dict[str, str] = {}
 _TEXT = "concat_ws(' ', r.business_term, r.operation, r.scope, AGG{concat(c.field, ' ', c.operator, ' ', c.value)| |c.pos})"
 OPS["sim_01_canonical_text"] = f"SELECT r.rule_id, {_TEXT} AS spaced, replace({_TEXT}, ' ', ' | ') AS barred FROM rules r JOIN conditions c ON c.rule_id = r.rule_id GROUP BY r.rule_id, r.business_term, r.operation, r.scope"
 
-# conditions of each side, matched by field and operator; the equality-term form of the pair features
-_PAIRS = """
+# tables count by their singular, columns by their leaf
+_SINGULAR = r"MAP⟦split({0}, ';')¦x¦CASE WHEN length(x) > 4 AND RLIKE(x, 's$') AND NOT RLIKE(x, '(ss|us|is)$') THEN substring(x, 1, length(x) - 1) ELSE x END⟧"
+_LEAVES = r"MAP⟦split({0}, ';')¦x¦regexp_extract(x, '([^.]*)$', 1)⟧"
+_TOKENS = r"MAP⟦split(replace(lower({0}), '.', ';'), ';')¦x¦CASE WHEN length(x) > 4 AND RLIKE(x, 's$') AND NOT RLIKE(x, '(ss|us|is)$') THEN substring(x, 1, length(x) - 1) ELSE x END⟧"
+_SHARED = "COUNT⟦{0}¦x¦x <> '' AND array_contains({1}, x)⟧"
+_NAMED = "COUNT⟦{0}¦x¦x <> ''⟧"
+
+
+def _jaccard(a: str, b: str) -> str:
+    """Of two lists without repeats; two empty ones are alike."""
+    shared = _SHARED.format(a, b)
+    total = f"({_NAMED.format(a)} + {_NAMED.format(b)} - {shared})"
+    return f"CASE WHEN {total} = 0 THEN CAST(1 AS DOUBLE) ELSE CAST({shared} AS DOUBLE) / {total} END"
+
+
+# the equality-term form of the pair features
+_PAIRS = f"""
 SELECT n.rule_id AS new_id, o.rule_id AS old_id, n.workspace_id, n.domain_id, n.operation AS new_operation, o.operation AS old_operation, n.operation = o.operation AS same_operation, n.scope = o.scope AS same_scope, n.scope = 'global' OR o.scope = 'global' AS any_global,
-  o.rule_no AS old_no, n.affected_column = o.affected_column AS same_column, n.threshold = o.threshold AS same_threshold
+  o.rule_no AS old_no, n.affected_column = o.affected_column AS same_column, n.threshold = o.threshold AS same_threshold, {_SINGULAR.format("n.entity_tables")} AS new_tables, {_SINGULAR.format("o.entity_tables")} AS old_tables, {_LEAVES.format("n.entity_columns")} AS new_leaves, {_LEAVES.format("o.entity_columns")} AS old_leaves
 FROM new_rules n JOIN rules o ON o.workspace_id = n.workspace_id AND o.domain_id = n.domain_id AND o.business_term = n.business_term"""
+# fixed values: operators that contradict each other, either way round
+_OPPOSITES = [("equals", "not_equals"), ("in", "not_in"), ("is_not_null", "is_null"), ("greater_than", "less_than"), ("greater_than_or_equal", "less_than"), ("less_than_or_equal", "greater_than")]
+_OPPOSITE = "(" + " OR ".join(f"(a.operator = '{x}' AND b.operator = '{y}') OR (a.operator = '{y}' AND b.operator = '{x}')" for x, y in _OPPOSITES) + ")"
+# a phrase that holds the other single word as a word of its own says the same
+_SAME_VALUE = "(lower(a.value) = lower(b.value) OR (instr(a.value, ' ') > 0 AND instr(b.value, ' ') = 0 AND instr(concat(' ', lower(a.value), ' '), concat(' ', lower(b.value), ' ')) > 0) OR (instr(b.value, ' ') > 0 AND instr(a.value, ' ') = 0 AND instr(concat(' ', lower(b.value), ' '), concat(' ', lower(a.value), ' ')) > 0))"
+_CONTRADICTS = f"({_OPPOSITE} OR (a.operator = 'equals' AND b.operator = 'equals' AND NOT {_SAME_VALUE}))"
+_LEAF = "regexp_extract({0}.field, '([a-z_]+)$', 1)"
+# conditions by leaf, for contradictions and the conflict ladder; conditions by operator and value with a common word in
+# the field, for duplicates
+_BY_LEAF = f"""
+SELECT q.new_id, q.old_id, count(DISTINCT CASE WHEN a.operator = b.operator THEN a.pos END) AS alike, count_if({_CONTRADICTS}) AS contradicting
+FROM ({_PAIRS}) q JOIN new_conditions a ON a.rule_id = q.new_id JOIN conditions b ON b.rule_id = q.old_id AND {_LEAF.format("b")} = {_LEAF.format("a")} GROUP BY q.new_id, q.old_id"""
+_BY_VALUE = f"""
+SELECT new_id, old_id, count(DISTINCT pos) AS matched FROM (
+  SELECT q.new_id, q.old_id, a.pos, {_TOKENS.format("a.field")} AS ta, {_TOKENS.format("b.field")} AS tb
+  FROM ({_PAIRS}) q JOIN new_conditions a ON a.rule_id = q.new_id JOIN conditions b ON b.rule_id = q.old_id AND b.operator = a.operator AND (lower(b.value) = lower(a.value) OR a.operator IN ('is_null', 'is_not_null'))) v
+WHERE {_SHARED.format("ta", "tb")} > 0 GROUP BY new_id, old_id"""
+# a candidate phrase that names a word of an old rule's field, for new rules without conditions
+_HINTED = """
+SELECT q.new_id, q.old_id, bool_or(instr(lower(k.text), regexp_extract(lower(b.field), '^([^.]*)', 1)) > 0 OR instr(lower(k.text), regexp_extract(lower(b.field), '([^.]*)$', 1)) > 0 OR instr(lower(k.text), regexp_replace(regexp_extract(lower(b.field), '^([^.]*)', 1), 's$', '')) > 0) AS hinted, count(DISTINCT k.pos) AS n_candidates
+FROM ({pairs}) q JOIN new_candidates k ON k.rule_id = q.new_id LEFT JOIN conditions b ON b.rule_id = q.old_id GROUP BY q.new_id, q.old_id""".replace("{pairs}", _PAIRS)
+_COUNTED = f"""
+SELECT p.*, coalesce(nc.n, 0) AS n_new, coalesce(oc.n, 0) AS n_old, coalesce(h.n_candidates, 0) AS n_candidates, coalesce(h.hinted, FALSE) AS hinted, coalesce(v.matched, 0) AS matched, coalesce(m.alike, 0) AS alike, coalesce(m.contradicting, 0) AS contradicting,
+  {_SHARED.format("p.new_tables", "p.old_tables")} AS n_tables, {_SHARED.format("p.new_leaves", "p.old_leaves")} AS n_columns, {_NAMED.format("p.new_tables")} + {_NAMED.format("p.new_leaves")} AS n_entities,
+  {_NAMED.format("p.new_leaves")} = 0 AND {_NAMED.format("p.old_leaves")} = 0 AS both_unknown, ({_jaccard("p.new_tables", "p.old_tables")} + {_jaccard("p.new_leaves", "p.old_leaves")}) / 2 AS entity_score
+FROM ({_PAIRS}) p LEFT JOIN (SELECT rule_id, count(*) AS n FROM new_conditions GROUP BY rule_id) nc ON nc.rule_id = p.new_id LEFT JOIN (SELECT rule_id, count(*) AS n FROM conditions GROUP BY rule_id) oc ON oc.rule_id = p.old_id
+LEFT JOIN ({_BY_VALUE}) v ON v.new_id = p.new_id AND v.old_id = p.old_id LEFT JOIN ({_BY_LEAF}) m ON m.new_id = p.new_id AND m.old_id = p.old_id LEFT JOIN ({_HINTED}) h ON h.new_id = p.new_id AND h.old_id = p.old_id"""
+# fixed values: 0.65 for a candidate phrase that names the field, 0.5 where only one side has conditions
 _FEATURES = f"""
-SELECT p.new_id, p.old_id, p.workspace_id, p.domain_id, p.old_no, p.new_operation, p.old_operation, p.same_operation, p.same_scope, p.any_global, p.same_column, p.same_threshold, nc.n AS n_new, oc.n AS n_old, coalesce(m.matched, 0) AS matched, coalesce(m.contradicting, 0) AS contradicting,
-  CAST(coalesce(m.matched, 0) AS DOUBLE) / greatest(nc.n, oc.n) AS condition_similarity, CASE WHEN p.same_column THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS entity_score
-FROM ({_PAIRS}) p JOIN (SELECT rule_id, count(*) AS n FROM new_conditions GROUP BY rule_id) nc ON nc.rule_id = p.new_id JOIN (SELECT rule_id, count(*) AS n FROM conditions GROUP BY rule_id) oc ON oc.rule_id = p.old_id
-LEFT JOIN (SELECT q.new_id, q.old_id, count_if(a.operator = b.operator AND a.value = b.value) AS matched,
-    count_if((a.operator = 'equals' AND b.operator = 'equals' AND a.value <> b.value) OR (a.operator = 'equals' AND b.operator = 'not_equals' AND a.value = b.value) OR (a.operator = 'not_equals' AND b.operator = 'equals' AND a.value = b.value)
-      OR (a.operator = 'greater_than' AND b.operator = 'less_than') OR (a.operator = 'less_than' AND b.operator = 'greater_than')) AS contradicting
-  FROM ({_PAIRS}) q JOIN new_conditions a ON a.rule_id = q.new_id JOIN conditions b ON b.rule_id = q.old_id AND regexp_extract(b.field, '([a-z_]+)$', 1) = regexp_extract(a.field, '([a-z_]+)$', 1) GROUP BY q.new_id, q.old_id) m ON m.new_id = p.new_id AND m.old_id = p.old_id"""
-OPS["sim_07_pair_features"] = f"SELECT new_id, old_id, same_operation, same_scope, same_threshold, n_new, n_old, round(condition_similarity, 6) AS condition_similarity, entity_score FROM ({_FEATURES}) f"
-# fixed values: thresholds of the relationship ladder, first hit wins
-_LADDER = f"""
-SELECT new_id, old_id, old_no, workspace_id, domain_id, condition_similarity, CASE WHEN same_operation AND same_scope AND condition_similarity > 0.95 AND entity_score > 0.9 THEN 'exact_duplicate' WHEN same_operation AND same_scope AND condition_similarity > 0.85 AND entity_score > 0.8 THEN 'semantic_duplicate'
-  WHEN same_operation AND condition_similarity > 0.5 AND condition_similarity < 0.9 THEN 'modification' WHEN same_operation AND same_scope AND n_new < n_old AND condition_similarity > 0.4 AND condition_similarity < 0.95 THEN 'extension'
-  WHEN condition_similarity > 0.3 AND n_new < n_old THEN 'subset' WHEN condition_similarity > 0.3 AND n_new > n_old THEN 'superset' WHEN same_operation AND NOT same_scope THEN 'related_compatible' ELSE 'unrelated' END AS relationship,
-  round(CASE WHEN same_operation AND same_scope AND condition_similarity > 0.95 AND entity_score > 0.9 THEN 0.99 WHEN same_operation AND same_scope AND condition_similarity > 0.85 AND entity_score > 0.8 THEN least(0.95, (condition_similarity + entity_score) / 2 + 0.1)
-  WHEN same_operation AND condition_similarity > 0.5 AND condition_similarity < 0.9 THEN least(0.85, (condition_similarity + 0.7) / 2) WHEN same_operation AND same_scope AND n_new < n_old AND condition_similarity > 0.4 AND condition_similarity < 0.95 THEN least(0.8, condition_similarity + 0.3)
-  WHEN condition_similarity > 0.3 AND n_new < n_old THEN 0.8 * condition_similarity WHEN condition_similarity > 0.3 AND n_new > n_old THEN 0.75 * condition_similarity WHEN same_operation AND NOT same_scope THEN least(0.65, 0.7 * condition_similarity + 0.2) ELSE 0 END, 6) AS confidence
-FROM ({_FEATURES}) f"""
+SELECT c.*, CASE WHEN n_new = 0 AND n_old = 0 THEN CAST(1 AS DOUBLE) WHEN n_new = 0 AND n_candidates > 0 AND hinted THEN CAST(0.65 AS DOUBLE) WHEN n_new = 0 OR n_old = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(matched AS DOUBLE) / greatest(n_new, n_old) END AS condition_similarity,
+  CASE WHEN n_new = 0 OR n_old = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(alike AS DOUBLE) / greatest(n_new, n_old) END AS leaf_similarity FROM ({_COUNTED}) c"""
+OPS["sim_07_pair_features"] = f"SELECT new_id, old_id, same_operation, same_scope, same_threshold, n_new, n_old, n_candidates, round(condition_similarity, 6) AS condition_similarity, round(entity_score, 6) AS entity_score FROM ({_FEATURES}) f"
+# fixed values: thresholds of the relationship ladder, first hit wins: condition, relationship, confidence
+_RUNGS = [
+    ("same_operation AND same_scope AND condition_similarity > 0.95 AND entity_score > 0.9", "exact_duplicate", "0.99"),
+    ("same_operation AND same_scope AND ((condition_similarity > 0.85 AND entity_score > 0.8) OR ((n_new > 0) <> (n_old > 0) AND entity_score > 0.6))", "semantic_duplicate", "least(0.95, (condition_similarity + entity_score) / 2 + 0.1)"),
+    ("same_operation AND condition_similarity > 0.5 AND condition_similarity < 0.9", "modification", "least(0.85, (condition_similarity + 0.7) / 2)"),
+    ("same_operation AND n_candidates > 0 AND n_new = 0 AND n_old > 0 AND (both_unknown OR entity_score > 0.3)", "extension", "0.7"),
+    ("same_operation AND same_scope AND n_new < n_old AND condition_similarity > 0.4 AND condition_similarity < 0.95", "extension", "least(0.8, condition_similarity + 0.3)"),
+    ("condition_similarity > 0.3 AND n_new < n_old", "subset", "0.8 * condition_similarity"),
+    ("condition_similarity > 0.3 AND n_new > n_old", "superset", "0.75 * condition_similarity"),
+    ("same_operation AND NOT same_scope", "related_compatible", "least(0.65, 0.7 * condition_similarity + 0.2)"),
+]
+
+
+def _first_of(rungs: list[tuple[str, str, str]], name: str, other: str, source: str) -> str:
+    """Name and confidence of the first rung whose condition holds; conditions are tested once."""
+    rung = "CASE " + " ".join(f"WHEN {test} THEN {i}" for i, (test, _, _) in enumerate(rungs)) + f" ELSE {len(rungs)} END"
+    names = "CASE rung " + " ".join(f"WHEN {i} THEN '{n}'" for i, (_, n, _) in enumerate(rungs)) + f" ELSE '{other}' END"
+    sure = "CASE rung " + " ".join(f"WHEN {i} THEN CAST({c} AS DOUBLE)" for i, (_, _, c) in enumerate(rungs)) + " ELSE CAST(0 AS DOUBLE) END"
+    return f"SELECT x.*, {names} AS {name}, round({sure}, 6) AS confidence FROM (SELECT f.*, {rung} AS rung FROM ({source}) f) x"
+
+
+_LADDER = f"SELECT new_id, old_id, old_no, workspace_id, domain_id, condition_similarity, relationship, confidence FROM ({_first_of(_RUNGS, 'relationship', 'unrelated', _FEATURES)}) l"
 OPS["sim_08_relationship"] = f"SELECT new_id, old_id, relationship, confidence FROM ({_LADDER}) l"
 _BEST = f"SELECT * FROM (SELECT l.*, row_number() OVER (PARTITION BY new_id ORDER BY confidence DESC, old_no) AS rn FROM ({_LADDER}) l) b WHERE rn = 1"
 OPS["sim_09_best_match"] = f"""
 SELECT n.rule_id, b.old_id, coalesce(b.relationship, 'unrelated') AS relationship, coalesce(b.confidence, 0) AS confidence, coalesce(b.confidence > 0.7 AND b.relationship IN ('exact_duplicate', 'semantic_duplicate', 'extension', 'modification'), FALSE) AS is_duplicate
 FROM new_rules n LEFT JOIN ({_BEST}) b ON b.new_id = n.rule_id"""
 OPS["sim_10_hash_groups"] = f"SELECT md5(spaced) AS rule_hash, count(*) AS n, min(rule_id) AS first_rule FROM ({OPS['sim_01_canonical_text']}) t GROUP BY md5(spaced)"
-OPS["sim_11_contradictions"] = f"SELECT new_id, old_id, contradicting FROM ({_FEATURES}) f WHERE contradicting > 0"
+OPS["sim_11_contradictions"] = f"""
+SELECT q.new_id, q.old_id, a.field, concat(a.field, ' ', a.operator, ' ', a.value) AS new_condition, concat(b.field, ' ', b.operator, ' ', b.value) AS existing_condition,
+  CASE WHEN a.operator = 'is_not_null' AND b.operator = 'is_null' THEN 'One requires field to be null, other requires non-null' WHEN a.operator = 'equals' AND b.operator = 'equals' THEN concat('Requires field to equal both ', a.value, ' and ', b.value)
+    WHEN a.operator IN ('greater_than', 'greater_than_or_equal') AND b.operator IN ('less_than', 'less_than_or_equal') THEN concat('Requires field to be > ', a.value, ' and < ', b.value) ELSE 'Operators are contradictory' END AS reason
+FROM ({_PAIRS}) q JOIN new_conditions a ON a.rule_id = q.new_id JOIN conditions b ON b.rule_id = q.old_id AND {_LEAF.format("b")} = {_LEAF.format("a")} WHERE {_CONTRADICTS}"""
 _OPPOSED = "concat(least(new_operation, old_operation), '/', greatest(new_operation, old_operation)) IN ('exclude/include', 'allow/restrict', 'expose/mask', 'drop/keep')"
-OPS["sim_12_opposed"] = f"SELECT new_id, old_id, {_OPPOSED} AS opposed, round(condition_similarity, 6) AS condition_similarity FROM ({_FEATURES}) f"
-# fixed values: thresholds of the conflict ladder
-_CONFLICT = f"""
-SELECT new_id, old_id, old_no, CASE WHEN NOT (same_scope OR any_global) THEN 'none' WHEN contradicting > 0 THEN 'direct' WHEN {_OPPOSED} AND (same_column OR condition_similarity > 0.4) THEN 'direct' WHEN condition_similarity > 0.85 AND same_operation THEN 'none'
-  WHEN condition_similarity > 0.4 THEN 'potential' WHEN same_operation AND condition_similarity > 0.3 AND condition_similarity < 0.9 THEN 'related_compatible' ELSE 'none' END AS kind,
-  round(CASE WHEN NOT (same_scope OR any_global) THEN 0 WHEN contradicting > 0 THEN 0.95 WHEN {_OPPOSED} AND (same_column OR condition_similarity > 0.4) THEN 0.85 WHEN condition_similarity > 0.85 AND same_operation THEN 0 WHEN condition_similarity > 0.4 THEN 0.8 * condition_similarity
-  WHEN same_operation AND condition_similarity > 0.3 AND condition_similarity < 0.9 THEN 0.6 + 0.3 * condition_similarity ELSE 0 END, 6) AS confidence FROM ({_FEATURES}) f"""
+OPS["sim_12_opposed"] = f"SELECT new_id, old_id, {_OPPOSED} AS opposed, round(leaf_similarity, 6) AS leaf_similarity FROM ({_FEATURES}) f"
+# fixed values: gates and thresholds of the conflict ladder, first hit wins: condition, kind, confidence
+_BASIS = "(n_tables > 0 OR n_entities = 0) AND n_new > 0 AND n_old > 0"
+_CONFLICTS = [
+    ("NOT (same_scope OR any_global)", "none", "0"),
+    ("n_tables = 0 AND n_new = 0 AND n_candidates = 0", "none", "0"),
+    ("contradicting > 0", "direct", "0.95"),
+    (f"{_OPPOSED} AND (n_columns > 0 OR leaf_similarity > 0.4)", "direct", "0.85"),
+    (f"{_BASIS} AND leaf_similarity > 0.85 AND same_operation", "none", "0"),
+    (f"{_BASIS} AND leaf_similarity > 0.4", "potential", "0.8 * leaf_similarity"),
+    ("same_operation AND leaf_similarity > 0.3 AND leaf_similarity < 0.9", "related_compatible", "0.6 + 0.3 * leaf_similarity"),
+]
+_CONFLICT = f"SELECT new_id, old_id, old_no, kind, confidence FROM ({_first_of(_CONFLICTS, 'kind', 'none', _FEATURES)}) l"
 OPS["sim_13_conflict"] = f"SELECT new_id, old_id, kind, confidence FROM ({_CONFLICT}) c"
 OPS["sim_14_conflict_rollup"] = f"""
 SELECT new_id, AGG{{CASE WHEN kind IN ('direct', 'potential') THEN old_id END|,|old_no}} AS conflicting, count_if(kind = 'direct') AS n_direct, count_if(kind = 'potential') AS n_potential, max(confidence) AS worst,

@@ -1,22 +1,24 @@
 """Text normalisation and privacy."""
 
-OPS: dict[str, str] = {}
+from . import fixed
 
-# fixed values: punctuation that becomes a space; NFKC is left to functions.text.normalise_unicode, ASCII rows need none
-_MARKS = "[,;:!?\"()<>{}*=|~^]"
-_NORMAL = f"trim(regexp_replace(regexp_replace(trim(feedback_text), '{_MARKS}', ' '@G), '[ \t\n\r]+', ' '@G))"
+OPS: dict[str, str] = {}
 
+# NFKC is left to functions.text.normalise_unicode, ASCII rows need none. Cutting into sentences and tokens and joining
+# them again changes nothing once blanks are single, so these steps only count.
+_BLANKS = r"trim(regexp_replace(feedback_text, '\s+', ' '@G))"
+_NORMAL = f"regexp_replace({_BLANKS}, {fixed.sql(fixed.PUNCTUATION)}, ' '@G)"
 OPS["txt_01_normalise"] = f"SELECT feedback_id, {_NORMAL} AS processed_text FROM feedback"
 
-OPS["txt_02_step_log"] = f"""
-SELECT feedback_id, s.step, CASE s.step WHEN 'whitespace' THEN trim(regexp_replace(feedback_text, '[ \t\n\r]+', ' '@G)) ELSE {_NORMAL} END AS output,
-  CASE s.step WHEN 'whitespace' THEN trim(regexp_replace(feedback_text, '[ \t\n\r]+', ' '@G)) ELSE {_NORMAL} END <> feedback_text AS changed,
-  CAST(length(regexp_replace(trim(feedback_text), '[^.!?]+', ''@G)) AS INT) AS sentence_marks
-FROM feedback CROSS JOIN (VALUES ('whitespace'), ('punctuation')) AS s(step)"""
-
-# fixed values: misspellings and shorthand, applied in this order
-FIXES = [("recieve", "receive"), ("seperate", "separate"), ("occured", "occurred"), ("definately", "definitely"), ("custmer", "customer"), ("revenu ", "revenue "), ("chekc", "check"), ("teh ", "the "), ("adress", "address"), ("calender", "calendar")]
-SHORT = [("pls", "please"), ("thx", "thanks")]
+_SENTENCES = f"CAST(length({_BLANKS}) - length(regexp_replace({_BLANKS}, '[.!?] ', '.'@G)) + 1 AS STRING)"
+_STEPS = [
+    ("unicode_normalization", "feedback_text", "feedback_text", "concat('Normalized ', CAST(length(feedback_text) AS STRING), ' chars to ', CAST(length(feedback_text) AS STRING), ' chars')"),
+    ("whitespace_normalization", "feedback_text", _BLANKS, "'Collapsed whitespace, trimmed edges'"),
+    ("sentence_segmentation", _BLANKS, _BLANKS, f"concat('Segmented into ', {_SENTENCES}, ' sentences')"),
+    ("tokenization", _BLANKS, _BLANKS, f"concat('Tokenized into ', CAST(CASE WHEN {_BLANKS} = '' THEN 0 ELSE length({_BLANKS}) - length(replace({_BLANKS}, ' ', '')) + 1 END AS STRING), ' tokens')"),
+    ("punctuation_removal", _BLANKS, _NORMAL, "'Removed non-critical punctuation'"),
+]
+OPS["txt_02_step_log"] = " UNION ALL ".join(f"SELECT feedback_id, {i} AS pos, '{step}' AS step, {before} AS input, {after} AS output, {changes} AS changes FROM feedback" for i, (step, before, after, changes) in enumerate(_STEPS))
 
 
 def _fixed(column: str, pairs: list[tuple[str, str]]) -> str:
@@ -25,9 +27,11 @@ def _fixed(column: str, pairs: list[tuple[str, str]]) -> str:
     return column
 
 
-_CHANGES = ", ".join(f"CASE WHEN instr(feedback_text, '{a}') > 0 THEN '{a.strip()}->{b.strip()}' END" for a, b in FIXES)
+# a correction is listed if its misspelling is there when its turn comes
+_CHANGES = ", ".join(f"CASE WHEN instr({_fixed('feedback_text', fixed.MISSPELLINGS[:i])}, '{a}') > 0 THEN '{a}->{b}' END" for i, (a, b) in enumerate(fixed.MISSPELLINGS))
 OPS["txt_03_spelling"] = f"""
-SELECT feedback_id, {_fixed(_fixed("feedback_text", FIXES), SHORT)} AS corrected, concat_ws(',', {_CHANGES}) AS changes, RLIKE(feedback_text, 'pls|thx') AS has_shorthand FROM feedback"""
+SELECT feedback_id, {_fixed("corrected", fixed.SHORTHAND)} AS corrected, changes, RLIKE(corrected, 'pls|thx') AS has_shorthand
+FROM (SELECT feedback_id, {_fixed("feedback_text", fixed.MISSPELLINGS)} AS corrected, concat_ws(',', {_CHANGES}) AS changes FROM feedback) f"""
 
 OPS["txt_05_keywords"] = """
 SELECT feedback_id, AGG{term| |pos, term} AS keywords, count(*) AS n_keywords FROM (
@@ -40,16 +44,19 @@ OPS["txt_06_schema_references"] = """
 SELECT feedback_id, regexp_extract(feedback_text, '([a-z_]+[.][a-z_]+)', 1) AS dotted, regexp_extract(lower(feedback_text), '(from|join|table|column) ([a-z_]+)', 2) AS after_keyword,
   RLIKE(lower(feedback_text), '(table|column|field|schema)') AS names_schema FROM feedback"""
 
-_EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+"
-_MASK = "{0}"
-for _pattern, _to in ((_EMAIL, "[EMAIL]"), ("[0-9][0-9][0-9][-. ][0-9][0-9][0-9][-. ][0-9][0-9][0-9][0-9]", "[PHONE]"), ("[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]", "[SSN]"), ("[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}", "[CARD]")):
-    _MASK = f"regexp_replace({_MASK}, '{_pattern}', '{_to}'@G)"
 
-OPS["txt_07_mask"] = f"SELECT doc_id, {_MASK.format('text')} AS masked, length(text) > 200 AS is_long FROM documents"
-OPS["txt_07_log_text"] = f"SELECT feedback_id, {_MASK.format(chr(34) + 'cut' + chr(34)).replace(chr(34), '')} AS log_text FROM (SELECT feedback_id, CASE WHEN length(feedback_text) > 40 THEN concat(substring(feedback_text, 1, 40), '...[truncated]') ELSE feedback_text END AS cut FROM feedback) f"
-OPS["txt_08_redact_keys"] = """
-SELECT event_id, m.name, CASE WHEN RLIKE(m.name, '(password|secret|token|api_key|email|ssn)') THEN '[REDACTED]' ELSE JSON(props, k) END AS shown
-FROM events CROSS JOIN (VALUES ('k'), ('user_email'), ('api_token')) AS m(name)"""
+
+def masked(column: str) -> str:
+    for pattern, marker in fixed.MASKS:
+        column = f"regexp_replace({column}, {fixed.sql(pattern)}, '{marker}'@G)"
+    return column
+
+
+OPS["txt_07_mask"] = f"SELECT doc_id, {masked('text')} AS masked, length(text) > {fixed.LOG_LENGTH} AS is_long FROM documents"
+OPS["txt_07_log_text"] = f"SELECT feedback_id, {masked('cut')} AS log_text FROM (SELECT feedback_id, CASE WHEN feedback_text IS NULL THEN 'None' WHEN length(feedback_text) > {fixed.LOG_LENGTH} THEN concat(substring(feedback_text, 1, {fixed.LOG_LENGTH}), '...[TRUNCATED]') ELSE feedback_text END AS cut FROM feedback) f"
+# a record as paths to its values; a sensitive word in any key of the path hides all below it
+OPS["txt_08_redact_keys"] = f"""
+SELECT feedback_id, path, CASE WHEN {fixed.any_of("lower(path)", fixed.SENSITIVE_KEYS)} THEN '[REDACTED]' WHEN is_text THEN {masked('value')} ELSE value END AS shown FROM record_values"""
 OPS["txt_09_bounds"] = "SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > 10000 THEN 'too_long' ELSE 'ok' END AS verdict, CAST(length(text) AS BIGINT) AS n FROM documents"
 OPS["txt_10_names"] = """
 SELECT rule_id, concat(upper(substring(operation, 1, 1)), substring(operation, 2, 100), ' ', upper(substring(replace(business_term, '#', ' '), 1, 1)), substring(replace(business_term, '#', ' '), 2, 100)) AS rule_name FROM rules"""

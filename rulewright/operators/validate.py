@@ -4,17 +4,41 @@ OPS: dict[str, str] = {}
 
 # fixed values: operations, and which comparison operator suits which column type
 OPERATIONS = "('exclude', 'include', 'restrict', 'map', 'replace', 'add', 'subtract')"
-_SUITS = """CASE WHEN c.operator IN ('equals', 'not_equals') THEN k.type IN ('string', 'integer', 'boolean', 'timestamp') WHEN c.operator IN ('greater_than', 'less_than', 'greater_than_or_equal', 'less_than_or_equal') THEN k.type IN ('integer', 'timestamp', 'decimal')
-    WHEN c.operator IN ('in', 'not_in') THEN k.type IN ('string', 'integer') WHEN c.operator = 'contains' THEN k.type = 'string' ELSE c.operator IN ('is_null', 'is_not_null') END"""
+_TYPES = {"equals": "string integer boolean timestamp", "not_equals": "string integer boolean timestamp", "greater_than": "integer timestamp decimal", "less_than": "integer timestamp decimal", "greater_than_or_equal": "integer timestamp decimal",
+          "less_than_or_equal": "integer timestamp decimal", "in": "string integer", "not_in": "string integer", "contains": "string", "is_null": "string integer boolean timestamp decimal", "is_not_null": "string integer boolean timestamp decimal"}
+_OPERATORS = "(" + ", ".join(f"'{o}'" for o in _TYPES) + ")"
+_SUITS = "CASE operator " + " ".join(f"WHEN '{o}' THEN instr(' {t} ', concat(' ', type, ' ')) > 0" for o, t in _TYPES.items()) + " ELSE FALSE END"
+# fixed values: what a time window must name
+_WINDOW = "(current|last|previous|today|yesterday|week|month|quarter|year|day|hour|mtd|qtd|ytd|rolling|trailing)"
+# a condition has up to four tests, each counted as valid or invalid: its table (an unqualified or unknown one ends them),
+# its column, its operator, and whether the operator suits the column's type
+_CONDITION = f"""
+SELECT c.rule_id, NOT qualified AS bad_field, qualified AND NOT known_table AS bad_table, qualified AND known_table AND type IS NULL AS bad_column, qualified AND known_table AND operator NOT IN {_OPERATORS} AS bad_operator,
+  qualified AND known_table AND type IS NOT NULL AND operator IN {_OPERATORS} AND NOT ({_SUITS}) AS bad_type, qualified AND known_table AS reached, qualified AND known_table AND type IS NOT NULL AND operator IN {_OPERATORS} AS typed
+FROM (SELECT c.rule_id, c.operator, instr(c.field, '.') > 0 AS qualified, t.table_name IS NOT NULL AS known_table, k.type FROM conditions c LEFT JOIN (SELECT DISTINCT domain, table_name FROM catalog) t ON t.domain = c.domain_id AND t.table_name = regexp_extract(c.field, '^([^.]*)[.]', 1)
+  LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field) c"""
+_CONDITIONS = f"""
+SELECT rule_id, count_if(bad_field) + count_if(bad_table) + count_if(bad_column) + count_if(bad_operator) + count_if(bad_type) AS n_bad, count_if(reached) + count_if(reached AND NOT bad_column) + count_if(reached AND NOT bad_operator) + count_if(typed AND NOT bad_type) AS n_good,
+  count_if(bad_table) = 0 AS table_exists, count_if(bad_column) = 0 AS column_exists, count_if(bad_field OR bad_table OR bad_column) = 0 AS field_to_table_relation, count_if(bad_operator) = 0 AS valid_operator, count_if(bad_type) = 0 AS valid_value_type FROM ({_CONDITION}) x GROUP BY rule_id"""
+_ENTITIES = """
+SELECT rule_id, count_if(known) AS n_good, count_if(NOT known) AS n_bad FROM (
+  SELECT e.rule_id, e.domain_id, k.name IS NOT NULL AS known FROM (SELECT rule_id, domain_id, tok AS name FROM UNNEST{rules|rule_id, domain_id|split(entity_tables, ';')} a UNION ALL SELECT rule_id, domain_id, CASE WHEN instr(tok, '.') = 0 AND tok <> '' THEN concat('?', tok) ELSE tok END FROM UNNEST{rules|rule_id, domain_id|split(entity_columns, ';')} b) e
+  LEFT JOIN (SELECT DISTINCT domain, table_name AS name FROM catalog UNION SELECT domain, concat(table_name, '.', column_name) FROM catalog) k ON k.domain = e.domain_id AND k.name = e.name WHERE e.name <> '') x GROUP BY rule_id"""
+_TERM = "SELECT r.rule_id, count(g.term) > 0 AS known FROM rules r LEFT JOIN glossary g ON g.domain = r.domain_id AND (instr(lower(r.business_term), lower(g.term)) > 0 OR instr(lower(g.term), lower(r.business_term)) > 0) GROUP BY r.rule_id"
 _CHECKED = f"""
-SELECT r.rule_id, r.workspace_id, r.domain_id, bool_and(k.column_name IS NOT NULL) AS fields_known, bool_and(k.column_name IS NOT NULL AND {_SUITS}) AS operators_suit,
-  bool_and(k.allowed IS NULL OR instr(concat('|', k.allowed, '|'), concat('|', c.value, '|')) > 0) AS values_allowed, min(r.operation) IN {OPERATIONS} AS operation_known,
-  count(*) AS n, count_if(k.column_name IS NOT NULL AND {_SUITS}) AS n_valid
-FROM rules r JOIN conditions c ON c.rule_id = r.rule_id LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field
-GROUP BY r.rule_id, r.workspace_id, r.domain_id"""
+SELECT r.rule_id, r.workspace_id, r.domain_id, coalesce(r.business_term, '') <> '' AND coalesce(r.operation, '') <> '' AS required_components, coalesce(r.business_term, '') <> '' AND t.known AS business_term_exists, coalesce(lower(r.operation) IN {OPERATIONS}, FALSE) AS valid_operation,
+  coalesce(c.table_exists, FALSE) AS table_exists, coalesce(c.column_exists, FALSE) AS column_exists, coalesce(c.field_to_table_relation, FALSE) AS field_to_table_relation, coalesce(c.valid_operator, FALSE) AS valid_operator, coalesce(c.valid_value_type, FALSE) AS valid_value_type,
+  coalesce(r.scope, 'global') = 'global' OR lower(r.scope) = lower(r.domain_id) OR s.table_name IS NOT NULL AS valid_scope, r.time_window IS NULL OR RLIKE(lower(r.time_window), '{_WINDOW}') AS valid_time_window,
+  r.time_window IS NOT NULL AS has_window, coalesce(r.business_term, '') <> '' AS has_term, coalesce(r.operation, '') <> '' AS has_operation, coalesce(c.n_good, 0) + coalesce(e.n_good, 0) AS n_good, coalesce(c.n_bad, 0) + coalesce(e.n_bad, 0) AS n_bad
+FROM rules r JOIN ({_TERM}) t ON t.rule_id = r.rule_id LEFT JOIN ({_CONDITIONS}) c ON c.rule_id = r.rule_id LEFT JOIN ({_ENTITIES}) e ON e.rule_id = r.rule_id LEFT JOIN (SELECT DISTINCT domain, table_name FROM catalog) s ON s.domain = r.domain_id AND s.table_name = lower(r.scope)"""
+_CHECKS = ("required_components", "business_term_exists", "valid_operation", "table_exists", "column_exists", "field_to_table_relation", "valid_operator", "valid_value_type", "valid_scope", "valid_time_window")
+_one = lambda test: f"CASE WHEN {test} THEN 1 ELSE 0 END"
+_GOOD = f"n_good + {_one('business_term_exists')} + {_one('valid_operation')} + {_one('valid_scope')} + {_one('has_window AND valid_time_window')}"
+_BAD = f"n_bad + {_one('has_term AND NOT business_term_exists')} + {_one('has_operation AND NOT valid_operation')} + {_one('NOT valid_scope')} + {_one('NOT valid_time_window')}"
 _VALIDATED = f"""
-SELECT *, round((n_valid + CASE WHEN operation_known THEN 1 ELSE 0 END) / CAST(n + 1 AS DOUBLE), 3) AS coverage,
-  CASE WHEN NOT operation_known THEN 'FAIL' WHEN fields_known AND operators_suit AND values_allowed THEN 'PASS' WHEN (n_valid + 1) / CAST(n + 1 AS DOUBLE) >= 0.5 THEN 'PARTIAL' ELSE 'FAIL' END AS status FROM ({_CHECKED}) x"""
+SELECT rule_id, workspace_id, domain_id, {", ".join(_CHECKS)}, {" + ".join(map(_one, _CHECKS))} AS checks_passed, CASE WHEN required_components THEN 10 ELSE 11 END AS checks_total, valid AS n_validated, invalid AS n_invalid, round(CAST(valid AS DOUBLE) / greatest(valid + invalid, 1), 3) AS coverage,
+  CASE WHEN NOT required_components THEN 'FAIL' WHEN invalid = 0 THEN 'PASS' WHEN CAST(valid AS DOUBLE) / (valid + invalid) >= 0.5 THEN 'PARTIAL' ELSE 'FAIL' END AS status, column_exists AND table_exists AND field_to_table_relation AS fields_known
+FROM (SELECT x.*, {_GOOD} AS valid, {_BAD} AS invalid FROM ({_CHECKED}) x) y"""
 OPS["val_01_schema"] = _VALIDATED
 OPS["val_02_rollup"] = f"""
 SELECT workspace_id, domain_id, CASE WHEN bool_and(status = 'PASS') THEN 'PASS' WHEN bool_or(status IN ('PASS', 'PARTIAL')) THEN 'PARTIAL' ELSE 'FAIL' END AS status, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS strict_status,
@@ -23,8 +47,8 @@ OPS["val_03_gates"] = """
 SELECT suggestion_id, CASE WHEN schema_status = 'FAIL' OR confidence < 0.3 THEN 'BLOCKED' WHEN schema_status = 'PARTIAL' OR confidence < 0.7 THEN 'REVIEW_REQUIRED' ELSE 'APPROVED' END AS gate,
   concat_ws(',', CASE WHEN schema_status = 'FAIL' THEN 'schema_fail' END, CASE WHEN schema_status = 'PARTIAL' THEN 'schema_partial' END, CASE WHEN confidence < 0.7 THEN 'low_confidence' END) AS reasons FROM suggestions"""
 OPS["val_04_taxonomy"] = f"""
-SELECT r.domain_id, count_if(g.domain IS NOT NULL OR r.business_term LIKE 'brand%') AS known_terms, count_if(r.operation IN {OPERATIONS}) AS known_operations, count_if(c.operator IN ('equals', 'not_equals', 'greater_than')) AS known_operators,
-  round((count_if(r.operation IN {OPERATIONS}) + count_if(c.operator IN ('equals', 'not_equals', 'greater_than'))) / CAST(2 * count(*) AS DOUBLE), 6) AS validity
+SELECT r.domain_id, count_if(g.domain IS NOT NULL) AS known_terms, count_if(r.operation IN {OPERATIONS}) AS known_operations, count_if(c.operator IN {_OPERATORS}) AS known_operators,
+  round((count_if(g.domain IS NOT NULL) + count_if(r.operation IN {OPERATIONS}) + count_if(c.operator IN {_OPERATORS})) / CAST(3 * count(*) AS DOUBLE), 6) AS validity
 FROM rules r JOIN conditions c ON c.rule_id = r.rule_id LEFT JOIN glossary g ON g.domain = r.domain_id AND g.term = r.business_term GROUP BY r.domain_id"""
 _MISSING = "CASE WHEN business_term IS NULL THEN 'business_term' END, CASE WHEN n_conditions = 0 AND operation IN ('exclude', 'include') THEN 'conditions' END, CASE WHEN n_tables = 0 THEN 'affected_tables' END"
 OPS["val_05_completeness"] = f"""
@@ -50,5 +74,5 @@ SELECT rule_id, 'duplicate_id' AS issue FROM (SELECT rule_id FROM rules UNION AL
 UNION ALL SELECT rule_id, 'unknown_operation' FROM rules WHERE operation NOT IN {OPERATIONS}
 UNION ALL SELECT c.rule_id, 'unknown_column' FROM conditions c WHERE NOT EXISTS (SELECT 1 FROM catalog k WHERE k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field)"""
 OPS["val_12_strict"] = """
-SELECT r.rule_id, RLIKE(r.scope, '^(global|regional|departmental|region:[1-9]|time:.+)$') AS scope_ok, g.term IS NOT NULL OR r.business_term IN ('revenue', 'orders', 'customers', 'sales', 'profit') AS term_ok, r.operation IN ('exclude', 'include', 'restrict', 'map') AS operation_ok
+SELECT r.rule_id, RLIKE(r.scope, '^(global|regional|departmental|region:[1-9]|time:.+)$') AS scope_ok, g.term IS NOT NULL OR r.business_term IN ('revenue', 'orders', 'customers', 'sales', 'profit') AS term_ok, r.operation IN ('exclude', 'include', 'restrict', 'map', 'replace', 'add', 'subtract', 'multiply', 'divide', 'filter', 'calculate') AS operation_ok
 FROM rules r LEFT JOIN glossary g ON g.domain = r.domain_id AND g.term = r.business_term"""

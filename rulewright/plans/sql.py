@@ -8,11 +8,16 @@ JSON(a, k)             the member k of the JSON text a, as text
 SECONDS(a)             seconds of a timestamp since 1970
 SHA(a)                 SHA-256 in hex; a is a column
 AGG{a|sep|order}       texts a of a group joined by sep, ordered by order
+COUNT⟦array¦x¦test⟧    how many elements x of an array pass the test
+MAP⟦array¦x¦value⟧     the array of the values of its elements x
+
+Backslashes are written as the pattern has them.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +28,8 @@ _LITERAL = re.compile(r"'[^']*'")
 _UNNEST = re.compile(r"UNNEST\{([^|]*)\|([^|]*)\|([^}]*)\}")
 _JSON = re.compile(r"JSON\(([^,()]+), (\w+)\)")
 _AGG = re.compile(r"AGG\{([^|]*)\|([^|]*)\|([^}]*)\}")
+_COUNT = re.compile(r"COUNT⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
+_MAP = re.compile(r"MAP⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
 _SECONDS = re.compile(r"SECONDS\(([^()]+)\)")
 
 
@@ -32,7 +39,9 @@ def spark_text(sql: str) -> str:
     sql = _JSON.sub(r"get_json_object(\1, '$.\2')", sql)
     sql = _SECONDS.sub(r"unix_seconds(CAST(\1 AS TIMESTAMP))", sql)
     sql = re.sub(r"SHA\((\w+)\)", r"sha2(\1, 256)", sql)
-    return sql.replace("RLIKE(", "regexp_like(").replace("@G", "")
+    sql = _MAP.sub(r"transform(\1, \2 -> \3)", sql)
+    sql = _COUNT.sub(r"CAST(size(filter(\1, \2 -> \3)) AS BIGINT)", sql)
+    return sql.replace("RLIKE(", "regexp_like(").replace("@G", "").replace("\\", "\\\\")
 
 
 def _counted(sql: str) -> str:
@@ -53,6 +62,8 @@ def other_text(sql: str) -> str:
     sql = _AGG.sub(r"string_agg(\1, '\2' ORDER BY \3)", sql)
     sql = _JSON.sub(r"json_extract_string(\1, '$.\2')", sql)
     sql = _SECONDS.sub(r"CAST(floor(epoch(\1)) AS BIGINT)", sql)
+    sql = _MAP.sub(r"list_transform(\1, lambda \2: \3)", sql)
+    sql = _COUNT.sub(r"CAST(len(list_filter(\1, lambda \2: \3)) AS BIGINT)", sql)
     sql = _counted(sql)
     return sql.replace("RLIKE(", "regexp_matches(").replace("@G", ", 'g'").replace("SHA(", "sha256(")
 
@@ -87,10 +98,18 @@ def complete(sql: str, views: dict[str, View], given: frozenset[str] = frozenset
 def run(spark: SparkSession, sql: str, views: dict[str, View], inputs: dict[str, DataFrame]) -> DataFrame:
     """sql over inputs; what it needs beyond them comes from views."""
     text = spark_text(complete(sql, views, frozenset(inputs)))
-    used = {n: df for n, df in inputs.items() if re.search(rf"\b{n}\b", text)}
-    for name, df in used.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text)
+    names = {n: f"{n}_{uuid.uuid4().hex[:12]}" for n in inputs if re.search(rf"\b{n}\b", text)}
+    for name, own in names.items():
+        inputs[name].createOrReplaceTempView(own)
+    # an input's name is bound to its view by a common table expression, so views of the session are left alone
+    bound = ", ".join(f"{name} AS (SELECT * FROM {own})" for name, own in names.items())
+    if bound:
+        text = f"WITH {bound}, {text[5:]}" if text.startswith("WITH ") else f"WITH {bound} {text}"
+    try:
+        return spark.sql(text)
+    finally:
+        for own in names.values():
+            spark.catalog.dropTempView(own)
 
 
 def tables(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:

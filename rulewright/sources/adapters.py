@@ -34,6 +34,9 @@ SELECT concat('R', lpad(CAST(p_partkey AS STRING), 6, '0')) AS rule_id, p_partke
   CASE WHEN p_size % 7 = 0 THEN 'regional' ELSE 'global' END AS scope,
   CASE p_partkey % 6 WHEN 0 THEN 'archived' WHEN 1 THEN 'draft' WHEN 2 THEN 'draft' ELSE 'active' END AS status,
   'orders' AS affected_table, CASE WHEN p_partkey % 2 = 0 THEN 'status' ELSE 'total_amount' END AS affected_column,
+  CASE WHEN p_partkey % 4 = 0 THEN 'orders;customers' WHEN p_partkey % 31 = 0 THEN '' WHEN p_partkey % 10 = 3 THEN 'order' ELSE 'orders' END AS entity_tables,
+  CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 4 = 0 THEN concat('orders.', CASE WHEN p_partkey % 2 = 0 THEN 'status' ELSE 'total_amount' END, ';customers.segment') ELSE concat('orders.', CASE WHEN p_partkey % 2 = 0 THEN 'status' ELSE 'total_amount' END) END AS entity_columns,
+  CASE p_partkey % 5 WHEN 0 THEN 'last_30_days' WHEN 1 THEN 'whenever' END AS time_window,
   CAST(p_size AS DOUBLE) * 10 AS threshold, p_partkey AS created_minute
 FROM part""")
 
@@ -48,13 +51,13 @@ SELECT rule_id, workspace_id, domain_id, 1 AS pos, CASE WHEN rule_no % 8 = 0 THE
 view("new_rules", """
 SELECT concat('N', substring(rule_id, 2, 6)) AS rule_id, rule_no, workspace_id, domain_id, business_term,
   CASE WHEN rule_no % 100 = 20 THEN CASE operation WHEN 'exclude' THEN 'include' WHEN 'include' THEN 'exclude' ELSE operation END ELSE operation END AS operation,
-  rule_category, CASE WHEN rule_no % 100 = 80 THEN 'departmental' ELSE scope END AS scope, status, affected_table, affected_column, threshold, created_minute
+  rule_category, CASE WHEN rule_no % 100 = 80 THEN 'departmental' ELSE scope END AS scope, status, affected_table, affected_column, entity_tables, entity_columns, time_window, threshold, created_minute
 FROM rules WHERE rule_no % 20 = 0""")
 
 view("new_conditions", """
 SELECT concat('N', substring(c.rule_id, 2, 6)) AS rule_id, c.workspace_id, c.domain_id, c.pos, c.field, c.operator,
   CASE WHEN r.rule_no % 100 = 60 THEN concat(c.value, ' extra') ELSE c.value END AS value
-FROM conditions c JOIN rules r ON r.rule_id = c.rule_id WHERE r.rule_no % 20 = 0 AND NOT (r.rule_no % 100 = 40 AND c.pos = 1)""")
+FROM conditions c JOIN rules r ON r.rule_id = c.rule_id WHERE r.rule_no % 20 = 0 AND NOT (r.rule_no % 100 = 40 AND c.pos = 1) AND r.rule_no % 200 <> 100""")
 
 view("catalog", """
 SELECT * FROM (VALUES
@@ -127,3 +130,29 @@ SELECT l_orderkey AS job_id, l_linenumber AS part_no, l_returnflag AS job_type,
 
 view("clarifications", """
 SELECT a.conv_id, a.turn, a.text AS question, b.text AS response FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'assistant' AND b.role = 'user'""")
+
+# a record of a request, as paths to its values
+view("record_values", """
+SELECT feedback_id, path, CASE path WHEN 'text' THEN feedback_text WHEN 'user.id' THEN CAST(submitted_by AS STRING) WHEN 'user.Email' THEN concat('user', CAST(submitted_by AS STRING), '@example.com') WHEN 'headers.authorization' THEN 'Bearer x'
+  WHEN 'notes.0' THEN concat('call 555-', lpad(CAST(submitted_by % 1000 AS STRING), 3, '0'), '-4567') ELSE 'plain' END AS value, path <> 'user.id' AS is_text
+FROM feedback CROSS JOIN (VALUES ('text'), ('user.id'), ('user.Email'), ('headers.authorization'), ('notes.0'), ('notes.1'), ('session_token.part.0')) AS p(path)""")
+
+view("taxonomy_terms", """
+SELECT * FROM (VALUES ('metric definition'), ('filter rule'), ('mapping rule'), ('access rule'), ('join rule'), ('data quality rule'), ('exclude'), ('include'), ('restrict'), ('map'), ('replace'), ('add'), ('subtract')) AS t(term)""")
+
+# what a trained classifier says of feedback: the record's own labels, blurred
+view("model_outputs", """
+SELECT feedback_id, CASE WHEN substring(md5(CAST(feedback_id AS STRING)), 1, 1) IN ('0', '1') THEN 'general_feedback' WHEN feedback_id % 8 IN (0, 1, 5) THEN 'business_rule' WHEN feedback_id % 8 = 4 THEN 'issue_report' ELSE 'question' END AS feedback_type,
+  CASE feedback_id % 3 WHEN 0 THEN 'filter_rule' WHEN 1 THEN 'metric_definition' ELSE 'access_rule' END AS rule_category, round(4e-1 + 4e-2 * (instr('0123456789abcdef', substring(md5(CAST(feedback_id AS STRING)), 2, 1)) - 1), 4) AS confidence
+FROM feedback WHERE feedback_id % 10 <> 9""")
+
+view("logits", """
+SELECT d.doc_id, c.class, round((instr('0123456789abcdef', substring(md5(CAST(d.doc_id AS STRING)), CAST(c.pos AS INT), 1)) - 8) / CAST(2 AS DOUBLE), 2) AS logit FROM documents d CROSS JOIN (VALUES ('business_rule', 1), ('issue_report', 2), ('question', 3)) AS c(class, pos)""")
+
+# phrases of new rules whose conditions are not structured yet
+view("new_candidates", """
+SELECT rule_id, 0 AS pos, CASE WHEN rule_no % 400 = 100 THEN 'where the order status is pending' ELSE 'for some of them' END AS text FROM new_rules WHERE rule_no % 200 = 100""")
+
+view("field_confidences", """
+SELECT suggestion_id, CASE WHEN business_term IS NULL THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS term, CASE WHEN operation = 'map' THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END AS operation,
+  CASE WHEN n_conditions > 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS condition_mean, CASE WHEN suggestion_no % 4 = 0 THEN round(confidence / 2 + CAST(0.45 AS DOUBLE), 4) END AS calibrated FROM suggestions WHERE suggestion_no % 8 <> 3""")

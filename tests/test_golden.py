@@ -15,34 +15,185 @@ def column(spark, key, name, texts):
 
 def test_rare_class_gate(spark):
     cases = {
-        "Please add an export button to the dashboard": "feature_request", "It would be nice to have a dark chart": "feature_request", "The report page is broken": "issue_report", "The export button gives an error": "issue_report",
-        "What is churn?": "question", "How do we count orders?": "question", "Revenue should exclude refunds from the report": None, "Only include active users": None, "Orders are counted daily": None,
+        "Please add an export button to the dashboard": "feature_request", "It would be nice to have a dark chart": "feature_request", "Could we get a weekly digest": "feature_request", "Kindly give us a dark theme": "feature_request", "Can we get exports by region": "feature_request",
+        "The invoice page shows wrong": "issue_report", "The dashboard seems broken": "issue_report", "The report keeps crashing": "issue_report", "The timer loads very slow": "issue_report", "Orders that are missing": None,
+        "What is churn?": "question", "How do we count orders?": "question", "Should we exclude refunds?": "question", "Clarify whether trials are included": "question", "What is churn": None,
+        "Revenue should exclude refunds from the report": None, "Only include active users": None, "Orders are counted daily": None, "Please show it: revenue should exclude the refund": "feature_request",
     }
     assert column(spark, "cls_04_rare_gate", "gate", list(cases)) == list(cases.values())
 
 
 def test_pre_filter(spark):
-    cases = {"": "empty_input", "  ": "empty_input", "ab": "too_short", "12345 678": "no_letters", "asdfgh now": "keyboard_mash", "Revenue should exclude cancelled orders": "ok", "a1b c2d e3f word": "noise", "$$$ %% && a": "symbols"}
+    cases = {
+        "": "empty_input", "  ": "empty_input", "ab": "gibberish", "12345 678 90 12": "gibberish", "asdf qwer zxcv tyui": "gibberish", "xj29 revenue zzz qqq cancelled blahhh 9281 asdfgh": "gibberish", "Revenue should exclude cancelled orders": "ok",
+        "$$$ %% && a ###": "gibberish", "Buy cheap followers now at this link": "promo_spam_0", "gain many followers": "promo_spam_1", "get free likes and more": "promo_spam_2", "click here for a free prize": "promo_spam_3", "Include the last 30 days of US orders": "ok", "asdf refunds are wrong": "ok",
+    }
     assert column(spark, "cls_02_gibberish", "reason", list(cases)) == list(cases.values())
+    short = {"thanks": True, "Thank you": True, "Revenue should exclude refunds": False, "Buy cheap followers now at this link": False}
+    assert column(spark, "cls_02_gibberish", "is_gibberish", list(short)) == list(short.values())
+
+
+def test_pattern_classifier(spark):
+    cases = {
+        "The total must be net of tax": ("business_rule", "metric_definition", True, 0.9), "Agents should view only their tickets": ("business_rule", "access_rule", True, 0.85), "A phase of nine equals closed": ("business_rule", "mapping_rule", True, 0.88),
+        "Remove every test order": ("business_rule", "filter_rule", True, 0.92), "Rows with empty names": ("business_rule", "data_quality_rule", True, 0.85), "Join users to the plan table": ("business_rule", "join_rule", True, 0.82), "Derive the price by weight": ("business_rule", "metric_definition", True, 0.85),
+        "We like the new colours": ("business_rule", "metric_definition", False, 0.5), "How do we join the table": ("question", "join_rule", False, 0.3), "What should the total be": ("business_rule", "metric_definition", True, 0.9), "where status is cancelled": ("business_rule", "mapping_rule", True, 0.88),
+        "asdf qwer zxcv tyui": ("irrelevant_spam", "metric_definition", False, 0.95),
+    }
+    got = operators.apply(spark, "cls_05_patterns", feedback=feedback(spark, list(cases))).orderBy("feedback_id").collect()
+    assert [(r.feedback_type, r.rule_category, r.is_actionable, r.confidence) for r in got] == list(cases.values())
+
+
+def test_cascade_and_its_sources(spark):
+    texts = ["", "click here for a free prize", "The dashboard seems broken", "Revenue excludes refunds", "Revenue excludes refunds", "Revenue excludes refunds"]
+    outputs = spark.createDataFrame([(i, "general_feedback", "filter_rule", c) for i, c in ((0, 0.9), (1, 0.9), (2, 0.9), (3, 0.8), (4, 0.5))], "feedback_id long, feedback_type string, rule_category string, confidence double")
+    got = operators.apply(spark, "cls_06_cascade", feedback=feedback(spark, texts), model_outputs=outputs).orderBy("feedback_id").collect()
+    assert [(r.feedback_type, r.provenance, r.confidence) for r in got] == [
+        ("irrelevant_spam", "empty_input", 0.95), ("irrelevant_spam", "promo_spam", 0.95), ("issue_report", "gate", 0.9), ("general_feedback", "model", 0.8), ("business_rule", "low_confidence_fallback", 0.9), ("business_rule", "pattern", 0.9)]
+
+
+def test_sensitivity(spark):
+    rules = spark.createDataFrame([("a", "net_revenue", "access_rule"), ("b", "orders", "tax_rule"), ("c", "orders", None), ("d", None, "filter_rule")], "rule_id string, business_term string, rule_category string")
+    conditions = spark.createDataFrame([("b", "orders.refund_id"), ("c", "orders.status"), ("a", "payments.charge")], "rule_id string, field string")
+    got = {r.rule_id: (r.score, r.is_sensitive, r.reasons) for r in operators.apply(spark, "cls_11_sensitivity", rules=rules, conditions=conditions).collect()}
+    assert got == {"a": (0.8, True, "term,field"), "b": (0.5, True, "category,field"), "c": (0.0, False, ""), "d": (0.0, False, "")}
 
 
 def test_time_windows(spark):
     cases = {
-        "in the last 30 days": "last_30_days", "over the last 3 months": "last_3_months", "a rolling 7 day mean": "rolling_7_day", "year to date": "ytd", "MTD only": "mtd", "last month": "last_month",
-        "this month": "this_month", "last quarter": "last_quarter", "last year": "last_year", "today": "today", "yesterday": "yesterday", "whenever": None,
+        "in the last 30 days": "last_30_days", "over the last 2 weeks": "last_2_weeks", "over the last 3 months": "last_3_months", "this month": "current_month", "the current quarter": "current_quarter", "this week": "current_week", "current year": "current_year",
+        "last month": "previous_month", "previous quarter": "previous_quarter", "last year": "previous_year", "year to date": "ytd", "MTD only": "mtd", "qtd": "qtd", "a rolling 7 days mean": "rolling_7_days", "trailing 12 months": "trailing_12_months", "today": "today", "yesterday": "yesterday",
+        "whenever": None, "a rolling 7 day mean": "rolling_7_day", "last 5 days of this month": "last_5_days",
     }
     assert column(spark, "ext_09_time_window", "time_window", list(cases)) == list(cases.values())
 
 
+def test_canonical_operations(spark):
+    cases = {
+        "Exclude refunds": "exclude", "It does not count towards revenue": "exclude", "It counts toward churn": "include", "It accounts for trials": "include", "Access should be limited to admins": "restrict", "rely on net price": "replace", "net out the fees": "subtract",
+        "also account for tips": "add", "must not include trials": "exclude", "Nothing here": None,
+    }
+    assert column(spark, "ext_14_canonical_operation", "operation", list(cases)) == list(cases.values())
+
+
 def test_masking(spark):
-    docs = spark.createDataFrame([(1, "Mail jo@x.org or call 555-123-4567, SSN 123-45-6789, card 4111 1111 1111 1111")], "doc_id long, text string")
-    assert operators.apply(spark, "txt_07_mask", documents=docs).first().masked == "Mail [EMAIL] or call [PHONE], SSN [SSN], card [CARD]"
+    docs = spark.createDataFrame([(1, "Mail jo@x.org or call 555-123-4567, (555) 123-4567 and 5551234567, SSN 123-45-6789 or 123456789, card 4111 1111 1111 1111")], "doc_id long, text string")
+    # the phone pattern runs before the card's and takes what looks like a phone number
+    assert operators.apply(spark, "txt_07_mask", documents=docs).first().masked == "Mail [EMAIL_REDACTED] or call [PHONE_REDACTED], ([PHONE_REDACTED] and [PHONE_REDACTED], SSN [SSN_REDACTED] or [SSN_REDACTED], card [CREDIT_CARD_REDACTED]"
+    assert column(spark, "txt_07_log_text", "log_text", ["x" * 201, "short", None]) == ["x" * 200 + "...[TRUNCATED]", "short", "None"]
+
+
+def test_redaction_by_key(spark):
+    values = spark.createDataFrame([(1, "user.name", "jo@x.org", True), (1, "user.Email", "jo", True), (1, "session_token.part.0", "a", True), (1, "notes.0", "call 555-123-4567", True), (1, "n", "5551234567", False)], "feedback_id long, path string, value string, is_text boolean")
+    got = {r.path: r.shown for r in operators.apply(spark, "txt_08_redact_keys", record_values=values).collect()}
+    assert got == {"user.name": "[EMAIL_REDACTED]", "user.Email": "[REDACTED]", "session_token.part.0": "[REDACTED]", "notes.0": "call [PHONE_REDACTED]", "n": "5551234567"}
 
 
 def test_spelling(spark):
-    texts = ["I recieve teh adress, pls", "fine"]
-    assert column(spark, "txt_03_spelling", "corrected", texts) == ["I receive the address, please", "fine"]
-    assert column(spark, "txt_03_spelling", "has_shorthand", texts) == [True, False]
+    texts = ["Refunds shouldnt inlucde cancelld orders, pls", "dont, wont, cant", "fine"]
+    assert column(spark, "txt_03_spelling", "corrected", texts) == ["Refunds should not includee cancelled orders, please", "do not, will not, cannot", "fine"]
+    assert column(spark, "txt_03_spelling", "changes", texts) == ["shouldnt->should not,cancelld->cancelled,inlucde->include,includ->include", "wont->will not,cant->cannot,dont->do not", ""]
+    assert column(spark, "txt_03_spelling", "has_shorthand", texts) == [True, False, False]
+
+
+def test_step_log(spark):
+    got = operators.apply(spark, "txt_02_step_log", feedback=feedback(spark, [" It's 5%.  Why? "])).orderBy("pos").collect()
+    assert [(r.step, r.output, r.changes) for r in got] == [
+        ("unicode_normalization", " It's 5%.  Why? ", "Normalized 16 chars to 16 chars"), ("whitespace_normalization", "It's 5%. Why?", "Collapsed whitespace, trimmed edges"), ("sentence_segmentation", "It's 5%. Why?", "Segmented into 2 sentences"),
+        ("tokenization", "It's 5%. Why?", "Tokenized into 3 tokens"), ("punctuation_removal", "It s 5 . Why?", "Removed non-critical punctuation")]
+
+
+RULE = "rule_id string, rule_no long, workspace_id string, domain_id string, business_term string, operation string, scope string, affected_column string, entity_tables string, entity_columns string, threshold double"
+
+
+def pair(spark, key, new, old, new_conditions=(), old_conditions=(), candidates=()):
+    """One new rule against one old: new and old are (operation, scope, tables, columns)."""
+    row = lambda i, r: (i, 1, "w", "d", "churn", r[0], r[1], "c", r[2], r[3], 1.0)
+    conditions = lambda i, cs: spark.createDataFrame([(i, k, *c) for k, c in enumerate(cs)], "rule_id string, pos int, field string, operator string, value string")
+    return operators.apply(spark, key, new_rules=spark.createDataFrame([row("n", new)], RULE), rules=spark.createDataFrame([row("o", old)], RULE), new_conditions=conditions("n", new_conditions), conditions=conditions("o", old_conditions),
+                           new_candidates=spark.createDataFrame([("n", k, t) for k, t in enumerate(candidates)], "rule_id string, pos int, text string")).first()
+
+
+BASE = ("exclude", "global", "orders", "orders.status")
+IS = ("orders.status", "equals", "cancelled")
+TWO = ("orders.region", "equals", "emea")
+
+
+@pytest.mark.parametrize("new,old,a,b,c,want", [
+    (BASE, BASE, [IS], [IS], [], ("exact_duplicate", 0.99)),
+    (BASE, ("exclude", "global", "order", "orders.status"), [IS], [IS], [], ("exact_duplicate", 0.99)),
+    (("exclude", "global", "a;b;c", "orders.status"), ("exclude", "global", "a;b;c;d", "orders.status"), [IS], [IS], [], ("semantic_duplicate", 0.95)),
+    (BASE, BASE, [], [IS], [], ("semantic_duplicate", 0.85)),
+    (BASE, ("exclude", "global", "tickets", "tickets.id"), [], [IS], ["where the order is late"], ("modification", 0.675)),
+    (BASE, ("exclude", "global", "orders", "orders.total"), [], [IS], ["some of them"], ("extension", 0.7)),
+    (BASE, BASE, [IS], [IS, TWO], [], ("extension", 0.8)),
+    (("include", "global", "orders", "orders.status"), BASE, [IS], [IS, TWO], [], ("subset", 0.4)),
+    (("include", "global", "orders", "orders.status"), BASE, [IS, TWO], [IS], [], ("superset", 0.375)),
+    (("exclude", "regional", "orders", "orders.status"), BASE, [IS], [TWO], [], ("related_compatible", 0.2)),
+    (("map", "regional", "orders", "orders.status"), BASE, [IS], [TWO], [], ("unrelated", 0.0)),
+])
+def test_relationship_ladder(spark, new, old, a, b, c, want):
+    r = pair(spark, "sim_08_relationship", new, old, a, b, c)
+    assert (r.relationship, r.confidence) == want
+
+
+@pytest.mark.parametrize("new,old,a,b,c,want", [
+    (BASE, BASE, [IS], [("orders.status", "not_equals", "cancelled")], [], ("direct", 0.95)),
+    (BASE, BASE, [IS], [("orders.status", "equals", "open")], [], ("direct", 0.95)),
+    (BASE, BASE, [("orders.status", "equals", "cancelled orders of all stores")], [IS], [], ("none", 0.0)),
+    (("include", "global", "orders", "orders.status"), BASE, [IS], [TWO], [], ("direct", 0.85)),
+    (("exclude", "regional", "orders", ""), ("exclude", "team", "orders", ""), [IS], [("orders.status", "not_equals", "x")], [], ("none", 0.0)),
+    (BASE, ("exclude", "global", "tickets", ""), [], [IS], [], ("none", 0.0)),
+    (("map", "global", "orders", ""), ("exclude", "global", "orders", ""), [IS, TWO], [IS], [], ("potential", 0.4)),
+    (BASE, ("exclude", "global", "tickets", ""), [IS, TWO], [IS], [], ("related_compatible", 0.75)),
+])
+def test_conflict_ladder(spark, new, old, a, b, c, want):
+    r = pair(spark, "sim_13_conflict", new, old, a, b, c)
+    assert (r.kind, r.confidence) == want
+
+
+def test_contradictions_and_their_reasons(spark):
+    r = pair(spark, "sim_11_contradictions", BASE, BASE, [IS], [("status", "equals", "open")])
+    assert (r.new_condition, r.existing_condition, r.reason) == ("orders.status equals cancelled", "status equals open", "Requires field to equal both cancelled and open")
+    r = pair(spark, "sim_11_contradictions", BASE, BASE, [("orders.total", "greater_than", "9")], [("orders.total", "less_than", "5")])
+    assert r.reason == "Requires field to be > 9 and < 5"
+    assert pair(spark, "sim_11_contradictions", BASE, BASE, [("orders.total", "in", "9")], [("orders.total", "not_in", "5")]).reason == "Operators are contradictory"
+
+
+def test_schema_checks(spark):
+    rules = spark.createDataFrame([
+        ("ok", "w", "shop", "net revenue", "exclude", "global", "orders", "orders.status", "ytd"), ("bad", "w", "shop", "weather", "paint", "moon", "clouds", "status", "whenever"),
+        ("half", "w", "shop", "revenue", "exclude", "orders", "orders", "", None), ("none", "w", "shop", None, "exclude", None, "", "", None)],
+        "rule_id string, workspace_id string, domain_id string, business_term string, operation string, scope string, entity_tables string, entity_columns string, time_window string")
+    conditions = spark.createDataFrame([("ok", 0, "shop", "orders.status", "equals", "x"), ("bad", 0, "shop", "clouds.rain", "equals", "x"), ("half", 0, "shop", "orders.status", "greater_than", "1"), ("half", 1, "shop", "status", "equals", "1")], "rule_id string, pos int, domain_id string, field string, operator string, value string")
+    catalog = spark.createDataFrame([("shop", "orders", "status", "string", "false", None)], "domain string, table_name string, column_name string, type string, nullable string, allowed string")
+    glossary = spark.createDataFrame([("shop", "Revenue", "", "", 0)], "domain string, term string, definition string, ref string, pos int")
+    got = {r.rule_id: r for r in operators.apply(spark, "val_01_schema", rules=rules, conditions=conditions, catalog=catalog, glossary=glossary).collect()}
+    assert (got["ok"].status, got["ok"].checks_passed, got["ok"].checks_total, got["ok"].coverage) == ("PASS", 10, 10, 1.0)
+    assert (got["bad"].status, got["bad"].checks_passed, got["bad"].coverage) == ("FAIL", 4, 0.0) and not got["bad"].table_exists and got["bad"].column_exists and not got["bad"].valid_time_window
+    assert (got["half"].status, got["half"].valid_value_type, got["half"].field_to_table_relation, got["half"].valid_scope) == ("PARTIAL", False, False, True)
+    assert (got["none"].status, got["none"].checks_total, got["none"].required_components) == ("FAIL", 11, False)
+
+
+SUGGESTION = "suggestion_id string, suggestion_no long, workspace_id string, status string, confidence double, schema_status string, is_duplicate boolean, has_conflict boolean, sensitive boolean, needs_clarification boolean, mandatory_ok boolean, n_conditions int, n_tables int, scope string, operation string, rule_category string, business_term string"
+
+
+def test_decision_table_and_route(spark):
+    def row(i, **how):
+        base = {"confidence": 0.95, "schema_status": "PASS", "is_duplicate": False, "has_conflict": False, "sensitive": False, "needs_clarification": False, "mandatory_ok": True} | how
+        return (i, 1, "w", "x", *base.values(), 1, 1, "global", "exclude", "filter_rule", "t")
+
+    cases = {
+        "auto": ({}, "router", "auto_approved", True), "schema": ({"schema_status": "FAIL", "has_conflict": True}, "manual_review", "manual_review", False), "mandatory": ({"mandatory_ok": False}, "clarification", "clarification_required", False),
+        "ask": ({"needs_clarification": True}, "clarification", "clarification_required", False), "low": ({"confidence": 0.5}, "manual_review", "manual_review", False), "poor": ({}, "manual_review", "manual_review", False),
+        "dup": ({"is_duplicate": True, "has_conflict": True}, "reviewer_verification", "reviewer_verification", False), "conflict": ({"has_conflict": True}, "senior_review", "senior_review_required", False), "secret": ({"sensitive": True}, "senior_review", "senior_review_required", False),
+        "calibrated": ({}, "manual_review", "manual_review", False),
+    }
+    suggestions = spark.createDataFrame([row(i, **how) for i, (how, *_) in cases.items()], SUGGESTION)
+    fields = spark.createDataFrame([("poor", 0.2, 0.4, 0.6, None), ("calibrated", 0.9, 0.9, 0.9, 0.4)], "suggestion_id string, term double, operation double, condition_mean double, calibrated double")
+    table = {r.suggestion_id: r.action for r in operators.apply(spark, "rte_01_decision_table", suggestions=suggestions, field_confidences=fields).collect()}
+    route = {r.suggestion_id: (r.review_status, r.auto_approved) for r in operators.apply(spark, "rte_03_route", suggestions=suggestions, field_confidences=fields).collect()}
+    assert table == {i: c[1] for i, c in cases.items()} and route == {i: c[2:] for i, c in cases.items()}
 
 
 @pytest.mark.parametrize("step,to,ok", [("received", "validated", True), ("received", "approved", False), ("Senior_Review", "approved", True), ("auto_approved", "approved", False), ("analyzed", "rejected", True), ("rejected", "received", False), ("rule_activated", "archived", True)])
