@@ -269,7 +269,7 @@ def _settle(pairs: list, find, parent: list[int], weights, threshold: float, gro
             out.append((group[i][1], group[j][1]))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slack: float | None = 4.0, chunk_rows: int = 512, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slack: float | None = 4.0, chunk_rows: int = 512, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, digest (of its text), class_id (smallest doc_id of its class), kept.
 
     Rows of equal text, and of texts linked directly or through others, are one class. Null texts, texts without a

@@ -64,13 +64,13 @@ class _Table:
 class ChunkTokenizer:
     """max_bytes bounds the tables of known chunks, block_bytes the texts that are looked up at a time."""
 
-    def __init__(self, path: str, max_bytes: int = 48 << 20, block_bytes: int = 16 << 20):
+    def __init__(self, path: str, max_bytes: int = 32 << 20, block_bytes: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        self.by_chunk = all(spec[k] == v for k, v in FIXED.items())
+        parts = {"normalizer": self.tokenizer.normalizer, "pre_tokenizer": self.tokenizer.pre_tokenizer}
+        self.by_chunk = all(x is not None and json.loads(x.__getstate__()) == FIXED[k] for k, x in parts.items())
         # lower-case words of Latin letters need no normaliser; many are encoded as one text and cut at the word ends
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
