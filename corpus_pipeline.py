@@ -16,6 +16,8 @@ MIN_LANGUAGE_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter (null and empty texts too) and those that fit no language go; repeated rows are judged alike."""
+    common.small_batches(spark)
     model = langid.train(docs.where(~langid.held_out()))
     found = langid.identify(docs.withColumn("_row", F.struct(*docs.columns)), model)
     # without a single labelled document nothing is learned, and only texts without a letter can be told apart
@@ -24,19 +26,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of equal or near-equal texts stays; rows without an id or a word all do."""
+    common.small_batches(spark)
     return neardup.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by their kinds in brackets, n_chars follows; every row stays, a null text as null."""
+    common.small_batches(spark)
     masked = pii.mask(docs, pii.train(docs))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the budget of each domain, language and source takes; null columns are groups of their own, repeated rows are read each."""
+    common.small_batches(spark)
     return mixing.select_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of binary length of every row; a null or empty text has its end id alone."""
+    common.small_batches(spark)
     return packing.pack_documents(docs)
 
 
