@@ -11,7 +11,7 @@ from .fuzzy import view
 
 #: Openers and closers around a seed's own text, in the order in which they are used.
 WRAPPERS = ("{text}", "Hi, just reaching out: {text}", "A quick note for the team: {text}", "Sharing this: {text}", "Wanted to flag this: {text}", "Noting this for the backlog: {text}", "{text} Thanks.", "{text} Please advise.", "{text} Let me know your thoughts.")
-FLOOR, O_SHARE = 1400, 0.7
+FLOOR, O_SHARE = 45, 0.7
 
 
 def duplicate_families(records: DataFrame) -> DataFrame:
@@ -62,7 +62,9 @@ def gen_15_representative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gen_07_top_up_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_up(view(spark, sf_dir, "records"))
+    records = view(spark, sf_dir, "records")
+    largest = records.groupBy("feedback_type").count().agg(F.max("count")).first()[0] or 0
+    return top_up(records, max(FLOOR, largest // 2))
 
 
 def gen_19_downsample_share(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,18 +20,24 @@ OPERATIONS = [("exclude", "(exclude|remove|ignore|without)"), ("include", "(incl
 _FOUND = ", ".join(f"CASE WHEN RLIKE(lower(feedback_text), '{p}') THEN '{o}' END" for o, p in OPERATIONS)
 OPS["ext_03_operations"] = f"SELECT feedback_id, concat_ws(',', {_FOUND}) AS operations, coalesce({_FOUND}, 'unknown') AS first_operation FROM feedback"
 _FIELD = "([a-z_.]+) (is|equals|contains|matches) ([a-z0-9_]+)"
-_COMPARE = "([a-z_]+) (above|over|below|under|more than|less than|at least|at most) ([0-9]+)"
+# fixed values: words that don't name the field of a comparison, and the operator of each comparison
+_COPULAS = "is|be|are|was|were|should|must|will|can|would|could|shall|the|a|an|of|to|by|that|this|for|in|at|with|than"
+_WORDS = "greater than|less than|more than|exceeds|above|over|below|under|at least|at most"
+# the field is the last word before the comparison that can name one
+_COMPARE = f"([a-z_.]+) +(?:(?:{_COPULAS}) +)*({_WORDS}) +([0-9]+(?:[.][0-9]+)?)"
+_NO_FIELD = "(" + ", ".join(f"'{w}'" for w in _COPULAS.split("|")) + ")"
+_EACH = "SELECT feedback_id, pos, tok FROM UNNEST{feedback|feedback_id|regexp_extract_all(lower(feedback_text), 'PATTERN', 0)} u"
+# every match of a text, each with its own field, operator and value
 OPS["ext_04_conditions"] = f"""
-SELECT * FROM (
-  SELECT feedback_id, 0 AS kind, regexp_extract(t, '{_FIELD}', 1) AS field, CASE regexp_extract(t, '{_FIELD}', 2) WHEN 'contains' THEN 'contains' ELSE 'equals' END AS operator, regexp_extract(t, '{_FIELD}', 3) AS value FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) a
-  UNION ALL
-  SELECT feedback_id, 1 AS kind, regexp_extract(t, '{_COMPARE}', 1), CASE WHEN RLIKE(t, '(above|over|more than)') THEN 'greater_than' WHEN RLIKE(t, 'at least') THEN 'greater_than_or_equal' WHEN RLIKE(t, 'at most') THEN 'less_than_or_equal' ELSE 'less_than' END, regexp_extract(t, '{_COMPARE}', 3)
-  FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) b) c WHERE field <> ''"""
-_AFTER = "(exclude|include|remove|only|restrict) ([a-z_]+ [a-z_]+)"
-OPS["ext_05_candidates"] = f"""
-SELECT DISTINCT feedback_id, phrase, source FROM (
-  SELECT feedback_id, regexp_extract(t, '{_AFTER}', 2) AS phrase, 'verb' AS source FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) a
-  UNION ALL SELECT feedback_id, regexp_extract(t, '(when|where|if) ([a-z_. ]+)', 2), 'clause' FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) b) c WHERE phrase <> ''"""
+SELECT feedback_id, 0 AS kind, pos AS place, regexp_extract(tok, '{_FIELD}', 1) AS field, CASE regexp_extract(tok, '{_FIELD}', 2) WHEN 'contains' THEN 'contains' ELSE 'equals' END AS operator, regexp_extract(tok, '{_FIELD}', 3) AS value FROM ({_EACH.replace("PATTERN", _FIELD)}) a
+UNION ALL
+SELECT feedback_id, 1, pos, CASE WHEN regexp_extract(tok, '{_COMPARE}', 1) IN {_NO_FIELD} THEN 'metric' ELSE regexp_extract(tok, '{_COMPARE}', 1) END, CASE WHEN RLIKE(tok, 'at least') THEN 'greater_than_or_equal' WHEN RLIKE(tok, 'at most') THEN 'less_than_or_equal' WHEN RLIKE(tok, ' (less than|below|under) ') THEN 'less_than' ELSE 'greater_than' END, regexp_extract(tok, '{_COMPARE}', 3)
+FROM ({_EACH.replace("PATTERN", _COMPARE)}) b"""
+_AFTER = "(exclude|include|filter|remove|add|apply) (?:by )?([a-z_]+ [a-z_]+)"
+# fixed values: kinds of phrases with their confidence; of phrases that repeat the surest stays
+_KINDS = [("verb", _AFTER, 2, 0.75), ("when", "when ([a-z_. ]+)", 1, 0.7), ("where", "where ([a-z_. ]+)", 1, 0.7), ("if", "if ([a-z_. ]+)", 1, 0.7), ("noun", "([a-z_]+ [a-z_]+) (?:from|where|that) ", 1, 0.65)]
+_PHRASE = " UNION ALL ".join(f"SELECT feedback_id, trim(regexp_extract(tok, '{p}', {g})) AS phrase, '{k}' AS source, CAST({c} AS DOUBLE) AS confidence, {i} AS kind, pos FROM ({_EACH.replace('PATTERN', p)}) x{i}" for i, (k, p, g, c) in enumerate(_KINDS))
+OPS["ext_05_candidates"] = f"SELECT feedback_id, phrase, source, confidence FROM (SELECT x.*, row_number() OVER (PARTITION BY feedback_id, phrase ORDER BY kind, pos) AS rn FROM ({_PHRASE}) x WHERE phrase NOT IN ('', 'revenue', 'calculation', 'total')) y WHERE rn = 1"
 # fixed values: words that are a status by themselves
 STATUS = "(cancelled|completed|pending|active|inactive|open|closed)"
 OPS["ext_06_promote"] = f"""
@@ -59,8 +65,12 @@ def _window(pattern: str, token: str) -> str:
 OPS["ext_09_time_window"] = "SELECT feedback_id, CASE " + " ".join(_window(p, t) for p, t in fixed.TIME_WINDOWS) + " END AS time_window FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) f"
 OPS["ext_10_affected"] = """
 SELECT r.rule_id, AGG{t|,|t} AS tables FROM (SELECT DISTINCT r.rule_id, coalesce(nullif(regexp_extract(c.field, '^([a-z_]+)[.]', 1), ''), r.affected_table, 'unknown') AS t FROM rules r LEFT JOIN conditions c ON c.rule_id = r.rule_id) r GROUP BY r.rule_id"""
-OPS["ext_11_confidence"] = """
-SELECT suggestion_id, least(CAST(0.99 AS DOUBLE), round((CASE WHEN business_term IS NULL THEN 0.3 ELSE 0.9 END + CASE WHEN operation = 'map' THEN 0.6 ELSE 0.95 END + CASE WHEN n_conditions > 0 THEN 0.9 ELSE 0.4 END) / 3, 6)) AS overall FROM suggestions"""
+# fixed values: confidence of each field; conditions count less where a verb asks for them and none is structured
+OPS["ext_11_confidence"] = f"""
+SELECT feedback_id, term, operation, conditions, scope, entities, round(least(CAST(0.99 AS DOUBLE), (term + operation + conditions + scope + entities) / 5), 6) AS overall FROM (
+  SELECT t.feedback_id, least(CAST(0.95 AS DOUBLE), t.confidence) AS term, CASE o.first_operation WHEN 'exclude' THEN CAST(0.95 AS DOUBLE) WHEN 'unknown' THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END AS operation,
+    CASE WHEN c.n > 0 THEN CAST(0.7 AS DOUBLE) WHEN RLIKE(lower(f.feedback_text), '(exclude|include|filter)') THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS conditions, CAST(0.8 AS DOUBLE) AS scope, CAST(0.75 AS DOUBLE) AS entities
+  FROM feedback f JOIN ({OPS["ext_02_primary_term"]}) t ON t.feedback_id = f.feedback_id JOIN ({OPS["ext_03_operations"]}) o ON o.feedback_id = f.feedback_id LEFT JOIN (SELECT feedback_id, count(*) AS n FROM ({OPS["ext_04_conditions"]}) e GROUP BY feedback_id) c ON c.feedback_id = f.feedback_id) x"""
 OPS["ext_13_family_id"] = """
 SELECT rule_id, substring(SHA(canon), 1, 12) AS family_id FROM (
   SELECT r.rule_id, concat(lower(min(r.business_term)), '|', upper(min(r.operation)), '|', AGG{part|;|part}) AS canon

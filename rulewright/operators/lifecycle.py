@@ -9,6 +9,10 @@ SELECT s.suggestion_id, s.status AS old_status, q.wanted, CASE WHEN q.expected <
   CASE WHEN q.expected = {_NORMAL.format('s.status')} AND e.to_status IS NOT NULL THEN q.wanted ELSE s.status END AS new_status
 FROM suggestions s JOIN (SELECT suggestion_id, CASE WHEN suggestion_no % 2 = 0 THEN 'pending_review' ELSE 'received' END AS expected, CASE suggestion_no % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'validated' ELSE 'rejected' END AS wanted FROM suggestions) q ON q.suggestion_id = s.suggestion_id
 LEFT JOIN edges e ON e.from_status = q.expected AND e.to_status = q.wanted"""
+_ASKED = OPS["lif_02_apply_transitions"]
+# one audit row for each transition applied; who reviews is set where a review ends
+OPS["lif_02_audit"] = f"""
+SELECT suggestion_id AS entity_id, old_status AS from_status, new_status AS to_status, CASE WHEN new_status IN ('approved', 'rejected') THEN 'reviewer' ELSE 'system' END AS actor, CASE WHEN new_status IN ('approved', 'rejected') THEN new_status END AS decision FROM ({_ASKED}) t WHERE outcome = 'applied'"""
 _ORDER = "PARTITION BY entity_id ORDER BY created_at, step, tie"
 OPS["lif_03_audit_history"] = f"SELECT entity_id, step, tie, to_status, CAST(row_number() OVER ({_ORDER}) AS INT) AS n, lag(to_status) OVER ({_ORDER}) AS previous, coalesce(lag(to_status) OVER ({_ORDER}) = from_status, TRUE) AS replays FROM audit"
 OPS["lif_04_current_status"] = f"""
@@ -18,7 +22,7 @@ OPS["lif_05_draft_rules"] = "SELECT substring(md5(s.suggestion_id), 1, 16) AS ru
 OPS["lif_06_batch_activation"] = """
 SELECT q.rule_id, q.first_pos, CASE WHEN r.rule_id IS NULL THEN 'skipped_not_found' WHEN r.workspace_id <> 'ws_1' THEN 'failed_workspace' WHEN r.status <> 'draft' THEN 'skipped_not_draft' ELSE 'activated' END AS outcome
 FROM (SELECT rule_id, min(pos) AS first_pos FROM (SELECT rule_id, rule_no AS pos FROM rules WHERE rule_no % 3 = 0 UNION ALL SELECT rule_id, rule_no + 1000 FROM rules WHERE rule_no % 6 = 0 UNION ALL SELECT concat('X', CAST(rule_no AS STRING)), rule_no FROM rules WHERE rule_no % 40 = 0) u GROUP BY rule_id) q LEFT JOIN rules r ON r.rule_id = q.rule_id"""
-OPS["lif_07_listing"] = "SELECT s.suggestion_id, s.status, a.n_steps, CAST(row_number() OVER (PARTITION BY s.workspace_id ORDER BY s.created_at DESC, s.suggestion_no) AS INT) AS place FROM suggestions s LEFT JOIN (SELECT entity_id, count(*) AS n_steps FROM audit GROUP BY entity_id) a ON a.entity_id = s.suggestion_id WHERE s.workspace_id IN ('ws_1', 'ws_2')"
+OPS["lif_07_listing"] = "SELECT s.suggestion_id, s.status, a.n_steps, CAST(row_number() OVER (PARTITION BY s.workspace_id ORDER BY s.created_at DESC, s.suggestion_no) AS INT) AS place FROM suggestions s LEFT JOIN (SELECT entity_id, count(*) AS n_steps FROM audit GROUP BY entity_id) a ON a.entity_id = s.suggestion_id"
 _TARGET = "(SELECT scope, min(version_id) AS target FROM versions WHERE status = 'APPROVED' GROUP BY scope)"
 _PROMOTED = f"SELECT v.version_id, v.scope, v.status, CASE WHEN v.version_id = t.target THEN 'ACTIVE' WHEN v.status = 'ACTIVE' AND t.target IS NOT NULL THEN 'ARCHIVED' ELSE v.status END AS new_status FROM versions v LEFT JOIN {_TARGET} t ON t.scope = v.scope"
 OPS["lif_08_promotion"] = _PROMOTED
@@ -28,7 +32,15 @@ OPS["lif_10_newest_active"] = "SELECT scope, version_id, version FROM (SELECT sc
 _AS_OF = "DATE '1998-01-01'"
 _EXPIRED = f"created_at < {_AS_OF} - INTERVAL 365 DAY AND status IN ('approved', 'rejected', 'archived', 'rule_activated')"
 OPS["lif_11_retention"] = f"SELECT suggestion_id, CASE WHEN {_EXPIRED} THEN 'deleted' ELSE 'kept' END AS outcome, CASE WHEN {_EXPIRED} THEN concat('retention:', suggestion_id) END AS audit_id FROM suggestions"
-OPS["lif_11_totals"] = f"SELECT 'suggestions' AS entity, count_if({_EXPIRED}) AS deleted, count(*) AS total FROM suggestions UNION ALL SELECT 'jobs', count_if(created_at < {_AS_OF} - INTERVAL 30 DAY AND outcome = 'F'), count(*) FROM jobs"
+# fixed values: 365 days for feedback and for suggestions in a final state, 30 days for finished jobs; the newest feedback
+# stands for today there, as its dates are of other years
+_OLD_FEEDBACK = "SELECT feedback_id, f.created_at < t.now - INTERVAL 365 DAY AS expired FROM feedback f CROSS JOIN (SELECT max(created_at) AS now FROM feedback) t"
+_OLD_JOB = f"created_at < {_AS_OF} - INTERVAL 30 DAY AND outcome = 'F'"
+OPS["lif_11_totals"] = f"""
+SELECT 'suggestions' AS entity, count_if({_EXPIRED}) AS deleted, count(*) AS total FROM suggestions UNION ALL SELECT 'jobs', count_if({_OLD_JOB}), count(*) FROM jobs UNION ALL SELECT 'feedback', count_if(expired), count(*) FROM ({_OLD_FEEDBACK}) f"""
+OPS["lif_11_audit"] = f"""
+SELECT 'suggestion' AS entity_type, suggestion_id AS entity_id, 'delete_expired' AS action, 365 AS retention_days FROM suggestions WHERE {_EXPIRED}
+UNION ALL SELECT 'job', concat(CAST(job_id AS STRING), '/', CAST(part_no AS STRING)), 'delete_expired', 30 FROM jobs WHERE {_OLD_JOB} UNION ALL SELECT 'feedback', CAST(feedback_id AS STRING), 'delete_expired', 365 FROM ({_OLD_FEEDBACK}) f WHERE expired"""
 OPS["lif_12_counts"] = "SELECT 'rules' AS entity, workspace_id, status, count(*) AS n FROM rules GROUP BY workspace_id, status UNION ALL SELECT 'suggestions', workspace_id, status, count(*) FROM suggestions GROUP BY workspace_id, status"
 OPS["lif_13_members"] = "SELECT n.n_nationkey AS workspace, count(c.c_custkey) AS members, min(c.c_custkey) AS owner FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_nationkey"
 OPS["lif_14_append_audit"] = "SELECT e.event_id, e.bucket AS action, t.n_nationkey AS tenant FROM request_log e LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0) t ON t.n_nationkey = e.tenant"

@@ -1,5 +1,7 @@
 """Retrieval, duplicates and conflicts between rules. Pairs are made inside (workspace, domain, term) only."""
 
+from rulewright.sources.adapters import view
+
 OPS: dict[str, str] = {}
 
 _TEXT = "concat_ws(' ', r.business_term, r.operation, r.scope, AGG{concat(c.field, ' ', c.operator, ' ', c.value)| |c.pos})"
@@ -109,9 +111,9 @@ OPS["sim_14_conflict_rollup"] = f"""
 SELECT new_id, AGG{{CASE WHEN kind IN ('direct', 'potential') THEN old_id END|,|old_no}} AS conflicting, count_if(kind = 'direct') AS n_direct, count_if(kind = 'potential') AS n_potential, max(confidence) AS worst,
   count_if(kind IN ('direct', 'potential')) > 0 AS has_conflict, count(*) > 0 AS has_conflict_or_related FROM ({_CONFLICT}) c WHERE confidence > 0.6 GROUP BY new_id"""
 OPS["sim_15_comparisons"] = f"SELECT concat(l.new_id, '-', l.old_id) AS comparison_id, CASE WHEN l.relationship <> 'unrelated' THEN l.old_id END AS matching_id, CASE WHEN c.kind IN ('direct', 'potential') THEN c.old_id END AS conflicting_id, l.confidence FROM ({_LADDER}) l JOIN ({_CONFLICT}) c ON c.new_id = l.new_id AND c.old_id = l.old_id"
+view("known_conflicts", "SELECT r.rule_id AS first_id, concat('R', lpad(CAST(r.rule_no + 1 AS STRING), 6, '0')) AS second_id, concat('known_', r.operation) AS conflict_type FROM rules r")
 OPS["sim_16_known_conflicts"] = """
-SELECT k.a AS rule_id, k.b AS other_id FROM (SELECT rule_id AS a, concat('R', lpad(CAST(rule_no + 1 AS STRING), 6, '0')) AS b FROM rules WHERE rule_no % 7 = 0) k JOIN rules r ON r.rule_id = k.a
-UNION SELECT k.b, k.a FROM (SELECT rule_id AS a, concat('R', lpad(CAST(rule_no + 1 AS STRING), 6, '0')) AS b FROM rules WHERE rule_no % 7 = 0) k JOIN rules r ON r.rule_id = k.b"""
+SELECT r.rule_id, k.other_id, k.conflict_type FROM rules r JOIN (SELECT first_id AS rule_id, second_id AS other_id, conflict_type FROM known_conflicts UNION SELECT second_id, first_id, conflict_type FROM known_conflicts) k ON k.rule_id = r.rule_id"""
 OPS["sim_19_enrich"] = "SELECT c.rule_id, c.pos, c.field, k.type, k.allowed, k.nullable, g.definition FROM conditions c LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field LEFT JOIN glossary g ON g.domain = c.domain_id AND g.ref = c.field"
 OPS["sim_02_index_refresh"] = """
 SELECT r.rule_id, CASE WHEN e.vec_id IS NULL THEN 'skipped' ELSE 'updated' END AS outcome, e.label AS vector_label FROM rules r LEFT JOIN embeddings e ON e.vec_id = r.rule_no AND r.status IN ('active', 'draft')"""

@@ -2,15 +2,22 @@
 
 OPS: dict[str, str] = {}
 
-# fixed values: requests an hour by bucket, and the edges of the duration histogram
-OPS["str_01_fixed_window"] = """
-SELECT bucket, subject, window_start, n, n > allowed AS over_limit FROM (SELECT bucket, subject, date_trunc('day', ts) AS window_start, count(*) AS n FROM request_log GROUP BY bucket, subject, date_trunc('day', ts)) w
-JOIN (VALUES ('click', 2), ('view', 1), ('purchase', 1), ('signup', 1), ('error', 3)) AS l(name, allowed) ON l.name = w.bucket"""
-OPS["str_01_per_event"] = "SELECT event_id, CAST(row_number() OVER (PARTITION BY bucket, subject, date_trunc('day', ts) ORDER BY ts, event_id) AS INT) AS place, 86400 - SECONDS(ts) % 86400 AS seconds_left FROM request_log"
+# fixed values: requests an hour of each bucket
+_LIMITS = "(VALUES ('feedback', 100), ('batch', 10), ('rules', 20), ('reviews', 200)) AS l(name, allowed)"
+OPS["str_01_fixed_window"] = f"""
+SELECT w.policy, w.subject, w.window_start, w.n, l.allowed, w.n > l.allowed AS over_limit, greatest(w.n - l.allowed, 0) AS refused FROM (SELECT policy, subject, date_trunc('hour', ts) AS window_start, count(*) AS n FROM request_log GROUP BY policy, subject, date_trunc('hour', ts)) w
+JOIN {_LIMITS} ON l.name = w.policy"""
+OPS["str_01_per_event"] = "SELECT event_id, CAST(row_number() OVER (PARTITION BY policy, subject, date_trunc('hour', ts) ORDER BY ts, event_id) AS INT) AS place, 3600 - SECONDS(ts) % 3600 AS seconds_left FROM request_log"
 OPS["str_02_idempotent"] = "SELECT job_id, part_no, workspace_id, idempotency_key, rn = 1 AS accepted FROM (SELECT j.*, row_number() OVER (PARTITION BY workspace_id, idempotency_key ORDER BY created_at, job_id, part_no) AS rn FROM jobs j) x"
 OPS["str_03_rates"] = "SELECT w.bucket, w.minute_start, count(*) AS n, round(count(*) / CAST(300 AS DOUBLE), 6) AS per_second FROM (SELECT bucket, SECONDS(ts) - SECONDS(ts) % 60 - 60 * o.back AS minute_start FROM request_log CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS o(back)) w GROUP BY w.bucket, w.minute_start"
-OPS["str_04_histogram"] = """
-SELECT bucket, le, CAST(sum(n) OVER (PARTITION BY bucket ORDER BY le) AS BIGINT) AS cumulative FROM (
-  SELECT bucket, CASE WHEN duration <= 0.1 THEN CAST(0.1 AS DOUBLE) WHEN duration <= 0.25 THEN CAST(0.25 AS DOUBLE) WHEN duration <= 0.5 THEN CAST(0.5 AS DOUBLE) WHEN duration <= 1 THEN CAST(1 AS DOUBLE) WHEN duration <= 2 THEN CAST(2 AS DOUBLE) WHEN duration <= 5 THEN CAST(5 AS DOUBLE) ELSE CAST(10 AS DOUBLE) END AS le, count(*) AS n
-  FROM request_log GROUP BY 1, 2) h"""
+# fixed values: upper edges of the duration histogram in seconds; what is above them all falls into the last
+_EDGES = (0.01, 0.05, 0.1, 0.25, 0.5, 1, 2, 5, 10)
+_LE = "CASE " + " ".join(f"WHEN duration <= {e} THEN CAST({e} AS DOUBLE)" for e in _EDGES) + " ELSE CAST(1e9 AS DOUBLE) END"
+_HISTOGRAM = f"SELECT bucket, le, n, CAST(sum(n) OVER (PARTITION BY bucket ORDER BY le) AS BIGINT) AS cumulative, CAST(sum(n) OVER (PARTITION BY bucket) AS BIGINT) AS total FROM (SELECT bucket, {_LE} AS le, count(*) AS n FROM request_log WHERE duration IS NOT NULL GROUP BY bucket, {_LE}) h"
+OPS["str_04_histogram"] = f"SELECT bucket, le, cumulative FROM ({_HISTOGRAM}) h"
+# a quantile lies in the first bin that reaches it, between the bin's edges in proportion; above the last edge it is that edge
+_BELOW = "CASE le " + " ".join(f"WHEN {b} THEN CAST({a} AS DOUBLE)" for a, b in zip((0, *_EDGES), _EDGES)) + " ELSE CAST(10 AS DOUBLE) END"
+OPS["str_04_quantiles"] = f"""
+SELECT bucket, q, round(CASE WHEN le > 10 THEN CAST(10 AS DOUBLE) ELSE {_BELOW} + (le - {_BELOW}) * (q * total - (cumulative - n)) / n END, 6) AS seconds FROM (
+  SELECT h.*, p.q, row_number() OVER (PARTITION BY h.bucket, p.q ORDER BY h.le) AS rn FROM ({_HISTOGRAM}) h CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.95 AS DOUBLE))) AS p(q) WHERE h.cumulative >= p.q * h.total) x WHERE rn = 1"""
 OPS["str_04_active_jobs"] = "SELECT job_type, moment, CAST(sum(d) OVER (PARTITION BY job_type ORDER BY moment RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS active FROM (SELECT job_type, moment, sum(delta) AS d FROM (SELECT job_type, created_at AS moment, 1 AS delta FROM jobs UNION ALL SELECT job_type, created_at + INTERVAL 3 DAY, -1 FROM jobs) e GROUP BY job_type, moment) s"

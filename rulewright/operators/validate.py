@@ -54,10 +54,16 @@ _MISSING = "CASE WHEN business_term IS NULL THEN 'business_term' END, CASE WHEN
 OPS["val_05_completeness"] = f"""
 SELECT suggestion_id, concat_ws(',', {_MISSING}) AS missing, round((5 - CASE WHEN business_term IS NULL THEN 1 ELSE 0 END - CASE WHEN n_conditions = 0 AND operation IN ('exclude', 'include') THEN 1 ELSE 0 END - CASE WHEN n_tables = 0 THEN 1 ELSE 0 END) / CAST(5 AS DOUBLE), 6) AS score,
   CASE WHEN business_term IS NULL THEN 'Which term does the rule concern?' WHEN n_conditions = 0 AND operation IN ('exclude', 'include') THEN 'Under which condition?' WHEN n_tables = 0 THEN 'Which tables are affected?' END AS first_question FROM suggestions"""
-OPS["val_06_ambiguity"] = """
-SELECT feedback_id, concat_ws(',', CASE WHEN RLIKE(t, '(nice|some|several|recent|appropriate|proper|etc)') THEN 'vague_word' END, CASE WHEN NOT RLIKE(t, '(exclude|include|only|map|calculated)') THEN 'no_operation' END, CASE WHEN RLIKE(t, '[0-9]{7,}') THEN 'unreasonable_threshold' END) AS issues,
-  round((CASE WHEN RLIKE(t, '(nice|some|several|recent|appropriate|proper|etc)') THEN 1 ELSE 0 END + CASE WHEN NOT RLIKE(t, '(exclude|include|only|map|calculated)') THEN 1 ELSE 0 END + CASE WHEN RLIKE(t, '[0-9]{7,}') THEN 1 ELSE 0 END) / CAST(5 AS DOUBLE), 6) AS score
-FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) f"""
+# fixed values: words that are ambiguous wherever they stand, operations and scopes that are not
+_VAGUE = "(some|certain|particular|specific|various|different|multiple|several|many|few|etc|and so on|etcetera|and others|and more)"
+_CLEAR = "('exclude', 'include', 'restrict', 'map', 'replace', 'add', 'subtract', 'mask', 'expose', 'drop', 'keep')"
+_DOUBTS = ("business_term", "operation", "conditions", "scope", "threshold")
+_DOUBT = f"""
+SELECT r.rule_id, RLIKE(lower(coalesce(r.business_term, '')), '{_VAGUE}') AS business_term, lower(coalesce(r.operation, '')) NOT IN {_CLEAR} AS operation, coalesce(c.vague, FALSE) AS conditions, lower(coalesce(r.scope, '')) <> 'global' AND NOT RLIKE(lower(coalesce(r.scope, '')), '^(region|time):') AS scope,
+  coalesce(r.threshold <= 0 OR r.threshold > 1000000, FALSE) AS threshold FROM rules r LEFT JOIN (SELECT rule_id, bool_or(RLIKE(lower(coalesce(field, '')), '{_VAGUE}') OR RLIKE(lower(coalesce(value, '')), '{_VAGUE}')) AS vague FROM conditions GROUP BY rule_id) c ON c.rule_id = r.rule_id"""
+OPS["val_06_ambiguity"] = f"""
+SELECT rule_id, concat_ws(',', {", ".join(f"CASE WHEN {d} THEN '{d}' END" for d in _DOUBTS)}) AS ambiguous_fields, round(({" + ".join(f"CASE WHEN {d} THEN 1 ELSE 0 END" for d in _DOUBTS)}) / CAST(5 AS DOUBLE), 3) AS score,
+  concat_ws(' ', CASE WHEN business_term THEN 'Which business concept is meant?' END, CASE WHEN operation THEN 'What should happen to these records?' END, CASE WHEN conditions THEN 'Which exact field and value?' END, CASE WHEN scope THEN 'Where does the rule hold?' END, CASE WHEN threshold THEN 'Which number is meant?' END) AS questions FROM ({_DOUBT}) d"""
 OPS["val_07_mandatory_guard"] = "SELECT suggestion_id, business_term IS NULL OR trim(operation) = '' OR n_tables = 0 AS needs_clarification, CASE WHEN n_tables = 0 THEN NULL ELSE nullif(trim(business_term), '') END AS business_term FROM suggestions"
 _RECORD = """
 SELECT feedback_id, rule_family_id, concat_ws(',', CASE WHEN feedback_text IS NULL OR trim(feedback_text) = '' THEN 'missing_text' END, CASE WHEN feedback_type = 'business_rule' AND rule_category IS NULL THEN 'rule_without_category' END,

@@ -10,6 +10,7 @@ SHA(a)                 SHA-256 in hex; a is a column
 AGG{a|sep|order}       texts a of a group joined by sep, ordered by order
 COUNT⟦array¦x¦test⟧    how many elements x of an array pass the test
 MAP⟦array¦x¦value⟧     the array of the values of its elements x
+SERIES(n)              the array of 0 to n - 1; n is a column
 
 Backslashes are written as the pattern has them.
 """
@@ -30,6 +31,7 @@ _JSON = re.compile(r"JSON\(([^,()]+), (\w+)\)")
 _AGG = re.compile(r"AGG\{([^|]*)\|([^|]*)\|([^}]*)\}")
 _COUNT = re.compile(r"COUNT⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
 _MAP = re.compile(r"MAP⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
+_SERIES = re.compile(r"SERIES\((\w+)\)")
 _SECONDS = re.compile(r"SECONDS\(([^()]+)\)")
 
 
@@ -39,6 +41,7 @@ def spark_text(sql: str) -> str:
     sql = _JSON.sub(r"get_json_object(\1, '$.\2')", sql)
     sql = _SECONDS.sub(r"unix_seconds(CAST(\1 AS TIMESTAMP))", sql)
     sql = re.sub(r"SHA\((\w+)\)", r"sha2(\1, 256)", sql)
+    sql = _SERIES.sub(r"filter(sequence(0, CAST(\1 AS INT)), x_ -> x_ < \1)", sql)
     sql = _MAP.sub(r"transform(\1, \2 -> \3)", sql)
     sql = _COUNT.sub(r"CAST(size(filter(\1, \2 -> \3)) AS BIGINT)", sql)
     return sql.replace("RLIKE(", "regexp_like(").replace("@G", "").replace("\\", "\\\\")
@@ -62,6 +65,7 @@ def other_text(sql: str) -> str:
     sql = _AGG.sub(r"string_agg(\1, '\2' ORDER BY \3)", sql)
     sql = _JSON.sub(r"json_extract_string(\1, '$.\2')", sql)
     sql = _SECONDS.sub(r"CAST(floor(epoch(\1)) AS BIGINT)", sql)
+    sql = _SERIES.sub(r"range(CAST(\1 AS BIGINT))", sql)
     sql = _MAP.sub(r"list_transform(\1, lambda \2: \3)", sql)
     sql = _COUNT.sub(r"CAST(len(list_filter(\1, lambda \2: \3)) AS BIGINT)", sql)
     sql = _counted(sql)

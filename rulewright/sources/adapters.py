@@ -123,7 +123,7 @@ SELECT s_suppkey AS version_id, concat('dataset_', CAST(s_nationkey % 5 AS STRIN
 FROM supplier""")
 
 view("request_log", """
-SELECT event_id, event_type AS bucket, user_id AS subject, ts, value / 100 AS duration, CAST(JSON(props, k) AS BIGINT) AS request_key, CAST(user_id % 5 AS BIGINT) AS tenant FROM events""")
+SELECT event_id, event_type AS bucket, CASE event_type WHEN 'view' THEN 'feedback' WHEN 'click' THEN 'reviews' WHEN 'purchase' THEN 'rules' ELSE 'batch' END AS policy, user_id AS subject, ts, value / 100 AS duration, CAST(JSON(props, k) AS BIGINT) AS request_key, CAST(user_id % 5 AS BIGINT) AS tenant FROM events""")
 
 view("jobs", """
 SELECT l_orderkey AS job_id, l_linenumber AS part_no, l_returnflag AS job_type, l_linestatus AS outcome, CAST(l_partkey % 100 AS BIGINT) AS idempotency_key, concat('ws_', CAST(l_suppkey % 5 AS STRING)) AS workspace_id, l_shipdate AS created_at FROM lineitem""")
@@ -156,3 +156,19 @@ SELECT rule_id, 0 AS pos, CASE WHEN rule_no % 400 = 100 THEN 'where the order st
 view("field_confidences", """
 SELECT suggestion_id, CASE WHEN business_term IS NULL THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS term, CASE WHEN operation = 'map' THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END AS operation,
   CASE WHEN n_conditions > 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS condition_mean, CASE WHEN suggestion_no % 4 = 0 THEN round(confidence / 2 + CAST(0.45 AS DOUBLE), 4) END AS calibrated FROM suggestions WHERE suggestion_no % 8 <> 3""")
+
+# a schema catalog with its tables and columns nested in one text for each domain, and glossary documents
+view("nested_catalog", """
+SELECT domain, AGG{part|;|part} AS tables FROM (SELECT r.r_name AS domain, concat(n.n_name, ':', coalesce(c.columns, '')) AS part FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey
+  LEFT JOIN (SELECT c_nationkey, AGG{segment|,|segment} AS columns FROM (SELECT DISTINCT c_nationkey, lower(c_mktsegment) AS segment FROM customer) s GROUP BY c_nationkey) c ON c.c_nationkey = n.n_nationkey) p GROUP BY domain""")
+
+view("glossary_documents", """
+SELECT domain_id AS domain, concat('# Terms
+
+', AGG{block|
+|term}) AS document FROM (
+  SELECT domain_id, business_term AS term, concat('### ', business_term, '
+Definition: what ', business_term, ' covers
+Tables/columns: `orders.', min(affected_column), '`, `orders.', max(affected_column), '`
+Related rules: ', min(rule_id), ', ', max(rule_id), '
+') AS block FROM rules GROUP BY domain_id, business_term) b GROUP BY domain_id""")

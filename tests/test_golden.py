@@ -212,3 +212,65 @@ def test_absent_class_divides_by_nothing(spark):
     predictions = spark.createDataFrame([(1, 1, 1, 0, 0.5, "a", "b", "m"), (2, 1, 1, 0, 0.5, "b", "b", "m")], "doc_id long, expected int, predicted int, expected_toxic int, confidence double, expected_lang string, predicted_lang string, model string")
     got = {r.label: (r.precision_, r.recall, r.f1, r.support) for r in operators.apply(spark, "evl_01_per_class", predictions=predictions).collect()}
     assert got == {"a": (0, 0, 0, 1), "b": (0.5, 1, pytest.approx(0.666667), 1)}
+
+
+def records(spark, rows):
+    return spark.createDataFrame([(f"FB{i}", i, t, "R1", "d", "churn", "exclude", family, kind, "filter_rule", True, False, "orders.status", "orders.status") for i, (t, family, kind) in enumerate(rows)],
+                                 "feedback_id string, record_no long, feedback_text string, rule_id string, domain string, business_term string, operation string, rule_family_id string, feedback_type string, rule_category string, is_actionable boolean, requires_clarification boolean, used_field string, context_field string")
+
+
+def test_families_of_duplicates_lose_no_record(spark):
+    rows = [("x", "wide", "business_rule")] + [("x", "other", "business_rule")] * 5000 + [("x", "wide", "business_rule"), ("x", "alone", "business_rule")]
+    got = operators.apply(spark, "gen_15_duplicate_pairs", records=records(spark, rows)).collect()
+    by = {f: [r for r in got if r.rule_family_id == f] for f in ("wide", "other", "alone")}
+    assert [len(by[f]) for f in by] == [2, 5000, 0] and {r.n_pairs for r in by["other"]} == {5000 * 4999 // 2}
+    assert {(r.representative, r.feedback_id) for r in by["wide"]} == {("FB0", "FB0"), ("FB0", "FB5001")}
+
+
+def test_a_rare_class_reaches_the_floor(spark):
+    rows = [(f"rule {i}", "f", "business_rule") for i in range(60)] + [(f"why {i}? ", "f", "question") for i in range(4)]
+    got = operators.apply(spark, "gen_07_top_up", records=records(spark, rows)).collect()
+    assert {r.feedback_type for r in got} == {"question"} and sorted(r.place for r in got) == list(range(41)) and len({r.feedback_text for r in got}) == 36
+    first = sorted(got, key=lambda r: r.place)
+    assert len({r.feedback_id for r in first[:4]}) == 4 and all(r.feedback_text.startswith("why") and r.feedback_text.endswith("?") for r in first[:4]) and first[4].feedback_text == f"Hi, just reaching out: {first[0].feedback_text}"
+
+
+def test_leaking_families(spark):
+    splits = spark.createDataFrame([("a", "f", "train"), ("b", "f", "test"), ("c", "g", "train"), ("d", "g", "train"), ("e", "h", "val"), ("i", "h", "test"), ("j", "k", "val"), ("l", "k", "test")], "feedback_id string, rule_family_id string, split string")
+    got = operators.apply(spark, "gen_20_leakage", given_splits=splits).collect()
+    assert {(r.splits, r.n_families, r.example) for r in got} == {("test,train", 1, "f"), ("test,val", 2, "h")}
+
+
+def test_every_condition_of_a_text(spark):
+    text = "Exclude orders where status is cancelled and region is emea, the total should be above 10 and the fee is less than 2.5; over 7"
+    got = operators.apply(spark, "ext_04_conditions", feedback=feedback(spark, [text])).collect()
+    assert sorted((r.kind, r.place, r.field, r.operator, r.value) for r in got) == [
+        (0, 0, "status", "equals", "cancelled"), (0, 1, "region", "equals", "emea"), (0, 2, "fee", "equals", "less"), (1, 0, "total", "greater_than", "10"), (1, 1, "fee", "less_than", "2.5")]
+
+
+def test_quantiles_lie_between_the_edges(spark):
+    log = spark.createDataFrame([("a", d) for d in (0.2, 0.3, 0.4, 0.45, 20.0)], "bucket string, duration double")
+    got = {r.q: r.seconds for r in operators.apply(spark, "str_04_quantiles", request_log=log).collect()}
+    assert got == {0.5: pytest.approx(0.25 + 0.25 * 1.5 / 3), 0.95: 10.0}
+
+
+def test_acceptance_needs_all_eight(spark):
+    good = {"classification_accuracy": 0.85, "extraction_f1": 0.8, "duplicate_precision": 0.9, "duplicate_recall": 0.9, "conflict_precision": 0.85, "conflict_recall": 0.85, "missed_conflict_rate": 0.05, "response_time": 1.99}
+    rows = [("good", k, v) for k, v in good.items()] + [("slow", k, 2.0 if k == "response_time" else v) for k, v in good.items()] + [("part", "classification_accuracy", 0.9)]
+    metrics = spark.createDataFrame(rows, "run string, name string, value double")
+    assert {r.run: (r.n_passed, r.accepted) for r in operators.apply(spark, "evl_11_gate", run_metrics=metrics).collect()} == {"good": (8, True), "slow": (7, False), "part": (1, False)}
+    promotion = {(r.base, r.candidate): (r.promote, r.n_regressed) for r in operators.apply(spark, "evl_12_promotion", run_metrics=metrics).collect()}
+    assert promotion[("good", "slow")] == (True, 1) and promotion[("slow", "good")] == (True, 0)
+
+
+def test_domain_needs_a_strong_score(spark):
+    catalog = spark.createDataFrame([("ecommerce", "orders", "net_price", "t", "f", None), ("saas", "plans", "seat_id", "t", "f", None)], "domain string, table_name string, column_name string, type string, nullable string, allowed string")
+    texts = ["revenue of orders by net price", "one error", "the subscription plan and its seat"]
+    got = operators.apply(spark, "cls_09_domain", feedback=feedback(spark, texts), catalog=catalog).orderBy("feedback_id").collect()
+    assert [r.domain for r in got] == ["ecommerce", None, "saas"] and got[0].score == 2 * 1.5 + 2 * 3 and got[1].confidence == 0
+
+
+def test_glossary_documents(spark):
+    document = "# Terms\n\n### churn\nDefinition: users who left\nTables/columns: `plans.status`, `plans.ended_at`\nRelated rules: R1, R2\n\n### seat\nDefinition: a place\n"
+    got = operators.apply(spark, "src_03_glossary", glossary_documents=spark.createDataFrame([("saas", document)], "domain string, document string")).orderBy("pos").collect()
+    assert [(r.term, r.definition, r.related, r.n_columns, r.first_column) for r in got] == [("churn", "users who left", "R1, R2", 2, "plans.status"), ("seat", "a place", "", 0, "")]
