@@ -76,10 +76,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def commit(filesys: pafs.FileSystem, temp: str, final: str) -> None:
-    """Give a finished file its final name. A repeated task writes the same bytes, so replacing is harmless."""
-    if not isinstance(filesys, pafs.LocalFileSystem) and filesys.get_file_info(final).type != pafs.FileType.NotFound:
-        filesys.delete_file(final)
-    filesys.move(temp, final)
+    """Give a finished file its final name. A repeated task writes the same bytes, so a file that has the name already
+    stays: there is no moment at which a finished file is missing."""
+    if filesys.get_file_info(final).type != pafs.FileType.NotFound:
+        filesys.delete_file(temp)
+    else:
+        filesys.move(temp, final)
 
 
 def crc_bucket(col: Column, n: int) -> Column:

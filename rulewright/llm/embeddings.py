@@ -134,8 +134,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, chunk: int = 8192,
     nothing and are components of their own (component_id = vec_id). Vectors of different lengths are compared as if
     zeros followed. Rows with equal vectors link with each other, also when their ids are equal.
     """
-    rows = common.saved(prepared(vectors, id_col, vector_col).withColumn("node", F.xxhash64("raw")), "vectors")
-    alike = common.saved(rows.where("raw is not null").groupBy("node", "raw").agg(F.count("*").alias("w"), F.min("vec_id").alias("first")), "distinct")
+    rows = common.saved(prepared(vectors, id_col, vector_col), "vectors")
+    # a number for each vector, fixed when the table is written
+    alike = rows.where("raw is not null").groupBy("raw").agg(F.count("*").alias("w"), F.min("vec_id").alias("first"))
+    alike = common.saved(alike.withColumn("node", F.monotonically_increasing_id()), "distinct")
     side = np.sqrt((2 - 2 * cosine) / BLOCKS) * 1.0001
 
     def cells(raw: list[bytes]) -> np.ndarray:
@@ -183,7 +185,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, chunk: int = 8192,
                 for r in range(lo, min(lo + 512, len(node))):
                     for b in range(BLOCKS):
                         i, j = place[r, b].tolist()
-                        for key, s in tasks(b, i, j, (node[r] >> 7) % chunks[b, i, j]):
+                        for key, s in tasks(b, i, j, ((node[r] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) % chunks[b, i, j]):
                             keys.append(key)
                             sides.append(s)
                             at.append(r)
@@ -200,13 +202,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, chunk: int = 8192,
     found = common.saved(dealt.groupBy("key").applyInPandas(run, "node long, links long, root long"), "links")
     links = common.saved(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    named = alike.select("node", "w", "first").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = alike.select("node", "raw", "w", "first").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = common.saved(named.groupBy("root").agg(F.min("first").alias("component")), "least")
-    classes = named.join(least.hint("merge"), "root").join(links.hint("merge"), "node", "left").select("node", F.col("component"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"))
-    out = rows.join(common.saved(classes, "classes").hint("merge"), "node", "left")
+    classes = named.join(least.hint("merge"), "root").join(links.hint("merge"), "node", "left").select("raw", F.col("component"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"))
+    out = rows.join(common.saved(classes, "classes").hint("merge"), "raw", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9; odd input as in near_duplicates()."""
     return near_duplicates(common.load(spark, sf_dir, "embeddings"))

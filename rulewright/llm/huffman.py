@@ -227,7 +227,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, ids
             yield close()
 
     n_tasks = max(len(sums), 1)
-    files = made.select("shard", "doc_id", "ids").repartition(n_tasks, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    files = made.select("shard", "doc_id", "ids").repartitionByRange(n_tasks, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     files.mapInArrow(write, "shard int, name string, docs long, bytes long").write.parquet(f"{path}/manifest")
     return path
 
@@ -277,4 +277,5 @@ def _read_file(f, table: tuple, interval: int) -> pd.DataFrame:
 
 
 def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all whole documents, written to files and read back; odd input as in write_ids()."""
     return read_ids(spark, write_ids(common.load(spark, sf_dir, "documents"), common.scratch(spark, "huffman")))

@@ -110,16 +110,16 @@ class Model:
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(float)
 
 
-def train(docs: DataFrame, max_chars: int = 4_000_000, profile: int = 6000, share: float = 0.1, positions: int = 1 << 18, hashes: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, max_chars: int = 4_000_000, max_languages: int = 1000, profile: int = 6000, share: float = 0.1, positions: int = 1 << 18, hashes: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit the filter on labelled rows: all rows of docs with a text and a label are eligible.
 
     max_chars bounds the sample: rows of a language are taken by a hash of the id, so that about so many characters
-    are read whatever the size of docs. profile is how many of a language's most frequent n-grams go into its slice, if
+    are read whatever the size of docs. max_languages bounds the labels that are learned: those with most text. profile is how many of a language's most frequent n-grams go into its slice, if
     they are at least `share` times as frequent there as in the language that has them most often.
     """
     text = F.col(text_col)
     labelled = docs.where(text.isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"))
-    chars = {r["lang"]: r["n"] or 1 for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    chars = {r["lang"]: r["n"] or 1 for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     languages = sorted(chars)
     if not languages:
         return Model([], np.zeros(1, dtype=np.uint8), hashes, np.zeros(0), np.zeros(0))
@@ -156,7 +156,11 @@ def train(docs: DataFrame, max_chars: int = 4_000_000, profile: int = 6000, shar
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, from the whole text alone. Columns of those names are replaced."""
+    """docs with lang_pred and score, from the whole text alone. Columns of those names are replaced, others kept.
+
+    A null text, one without a letter, and any text where no language was learned are `und` with score 0. Rows that
+    repeat are judged alike; an empty table gives no rows.
+    """
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # positions x languages bits: its size is a parameter
 
@@ -173,6 +177,7 @@ def held_out(id_col: str = "doc_id", n: int = 5):
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all whole documents, learned from those that are not held out; odd input as in identify()."""
     docs = common.load(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

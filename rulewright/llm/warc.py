@@ -123,7 +123,7 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = 16 << 20, rows_per
         if out:
             yield close()
 
-    dealt = both.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", F.col("url").asc_nulls_first(), "payload")
+    dealt = both.repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", F.col("url").asc_nulls_first(), "payload")
     dealt.select("shard", "kind", "page_id", "first", "url", "payload").mapInArrow(write, "shard int, name string, records long, bytes long, sha1 string").write.parquet(f"{path}/manifest")
     return path
 
@@ -180,5 +180,6 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, written to archives and read back; odd input as in write_warc()."""
     path = write_warc(common.load(spark, sf_dir, "pages"), common.scratch(spark, "warc"))
     return read_warc(spark, path, with_payload=False).drop("url")
