@@ -166,7 +166,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        found = pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        common.trim()
+        return found
 
     return docs.withColumn("_found", predict(F.col(text_col))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
 

@@ -217,6 +217,7 @@ def signatures(texts: DataFrame, together: int = 1 << 18) -> DataFrame:
                 short = [x.tobytes() for x in (sig & np.uint64(0xFFFF)).astype("<u2")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), lists, pa.array(short, pa.binary())], ["doc_id", "digest", "bands", "sig"])
                 at = to
+            common.trim()
 
     return texts.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, sig binary")
 
@@ -314,6 +315,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slack: float
                 found = []
         if len(group) > 1:
             found += _links(group, threshold, slack)
+        group = []
+        common.trim()
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 

@@ -49,7 +49,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, max_len:
                         rows.append((doc_id, start, length, zlib.crc32(part), n, *([part] if with_ids else [])))
                         start += length
                     held += n
-                    if with_ids and held > 2_000_000 or len(rows) > 100_000:
+                    if with_ids and held > 500_000 or len(rows) > 50_000:
                         yield _batch(rows, with_ids)
                         rows, held = [], 0
                 at += len(starts) - 1

@@ -431,6 +431,7 @@ def detect(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Data
             found = all_spans(text, weights, base, secrets=True)
             spans, secrets = [x for x in found if x[0] != SECRET], [x for x in found if x[0] == SECRET]
             rows.append((*(sum(s[0] == k for s in base) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(secrets), joined(secrets), len(found)))
+        common.trim()
         return pd.DataFrame(rows, columns=list(_COLUMNS))
 
     return docs.withColumn("_pii", find(F.col(text_col))).withColumns({c: F.col(f"_pii.{c}") for c in _COLUMNS}).drop("_pii")
@@ -452,6 +453,7 @@ def mask(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFr
                     at = max(at, e)
                 text = "".join(parts) + text[at:] if at else text
             out.append(text)
+        common.trim()
         return pd.Series(out, dtype=object)
 
     return docs.withColumn(text_col, masked(F.col(text_col)))

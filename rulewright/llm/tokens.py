@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 END_ID = 1
 #: The normaliser and pre-tokeniser that are known not to look across white space.
 FIXED = {
@@ -64,7 +66,7 @@ class _Table:
 class ChunkTokenizer:
     """max_bytes bounds the tables of known chunks, block_bytes the texts that are looked up at a time."""
 
-    def __init__(self, path: str, max_bytes: int = 32 << 20, block_bytes: int = 8 << 20):
+    def __init__(self, path: str, max_bytes: int = 32 << 20, block_bytes: int = 4 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -162,6 +164,7 @@ class ChunkTokenizer:
             else:
                 yield self._block(texts.slice(at, to - at))
             at = to
+            common.trim()
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, without an end id."""
