@@ -2,6 +2,8 @@
 
 from rulewright.sources.adapters import view
 
+from . import fixed
+
 OPS: dict[str, str] = {}
 
 # fixed values: words for comparison operators
@@ -75,6 +77,32 @@ _DIGIT = "(instr('0123456789abcdef', substring(md5(concat(CAST(t.feedback_id AS
 _DRAWN = "(" + " + ".join(f"{_DIGIT.format(k)} / CAST({16 ** k} AS DOUBLE)" for k in (1, 2, 3, 4)) + ")"
 _TOKENS = "SELECT t.feedback_id, t.pos, t.tok, CASE WHEN lower(t.tok) IN ('revenue', 'customers') THEN 'B-TERM' WHEN RLIKE(t.tok, '^[a-z_]+[.][a-z_]+$') THEN 'B-COLUMN' WHEN RLIKE(t.tok, '^[0-9]+$') THEN 'B-THRESHOLD' WHEN lower(t.tok) IN ('exclude', 'include', 'only') THEN 'B-OPERATION' WHEN lower(t.tok) IN ('active', 'cancelled') THEN 'B-VALUE' ELSE 'O' END AS label FROM UNNEST{feedback|feedback_id|split(feedback_text, ' ')} t WHERE t.tok <> ''"
 OPS["gen_18_token_labels"] = _TOKENS
+# fixed values: words that stand for a comparison in a text
+_SAYS = fixed.values([(o, p) for o, phrases in fixed.OPERATOR_PHRASES.items() for p in phrases], "operator, phrase", "s")
+_DOES = fixed.values([(o, p) for o, phrases in fixed.OPERATION_PHRASES.items() for p in phrases], "operation, phrase", "d")
+_IS_THRESHOLD = "(c.operator IN ('greater_than', 'less_than') OR CAST(r.threshold AS STRING) = c.value OR CAST(CAST(r.threshold AS BIGINT) AS STRING) = c.value)"
+# what a rule's text can name, with the priority of its label: term, field, threshold, value, operation, scope, window, table,
+# column; names with underscores count with blanks too
+view("rule_mentions", f"""
+SELECT DISTINCT rule_id, priority, label, mention FROM (
+  SELECT rule_id, 1 AS priority, 'BUSINESS_TERM' AS label, lower(business_term) AS mention FROM rules UNION ALL SELECT rule_id, 1, 'BUSINESS_TERM', replace(lower(business_term), '_', ' ') FROM rules
+  UNION ALL SELECT rule_id, 2, 'FIELD', lower(regexp_extract(field, '([^.]*)$', 1)) FROM conditions UNION ALL SELECT rule_id, 2, 'FIELD', replace(lower(regexp_extract(field, '([^.]*)$', 1)), '_', ' ') FROM conditions
+  UNION ALL SELECT c.rule_id, CASE WHEN {_IS_THRESHOLD} THEN 3 ELSE 4 END, CASE WHEN {_IS_THRESHOLD} THEN 'THRESHOLD' ELSE 'VALUE' END, lower(c.value) FROM conditions c JOIN rules r ON r.rule_id = c.rule_id WHERE length(c.value) > 1 OR RLIKE(c.value, '^[0-9]$')
+  UNION ALL SELECT rule_id, 5, 'OPERATION', lower(operation) FROM rules UNION ALL SELECT r.rule_id, 5, 'OPERATION', d.phrase FROM rules r JOIN {_DOES} ON d.operation = r.operation UNION ALL SELECT c.rule_id, 5, 'OPERATION', s.phrase FROM conditions c JOIN {_SAYS} ON s.operator = c.operator
+  UNION ALL SELECT rule_id, 6, 'SCOPE', lower(scope) FROM rules WHERE scope <> 'global' UNION ALL SELECT rule_id, 7, 'TIME_WINDOW', lower(time_window) FROM rules UNION ALL SELECT rule_id, 7, 'TIME_WINDOW', replace(lower(time_window), '_', ' ') FROM rules
+  UNION ALL SELECT rule_id, 8, 'TABLE', lower(tok) FROM UNNEST{{rules|rule_id|split(entity_tables, ';')}} a UNION ALL SELECT rule_id, 9, 'COLUMN', lower(regexp_extract(tok, '([^.]*)$', 1)) FROM UNNEST{{rules|rule_id|split(entity_columns, ';')}} b) m WHERE mention <> ''""")
+# a token begins a mention that starts in it, and is inside one that started before it and ends with it or later; a number
+# is the token's own number, whatever stands around it
+_PLACED = "SELECT feedback_id, rule_id, pos, tok, t, CAST(start AS BIGINT) AS start FROM (SELECT feedback_id, rule_id, pos, tok, t, coalesce(sum(length(tok) + 1) OVER (PARTITION BY feedback_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM UNNEST{labelled_texts|feedback_id, rule_id, t|split(t, ' ')} u) x WHERE tok <> ''"
+view("labelled_texts", "SELECT feedback_id, rule_id, lower(feedback_text) AS t FROM records")
+_LOW = "greatest(start + length(tok) - length(mention), 0)"
+_MENTIONED = f"""
+SELECT feedback_id, pos, priority, label, mention, CASE WHEN RLIKE(mention, '^[0-9,]+$') THEN RLIKE(replace(tok, ',', ''), concat('(^|[^0-9])', replace(mention, ',', ''), '([^0-9]|$)')) ELSE instr(substring(t, CAST(start + 1 AS INT), CAST(length(tok) - 1 + length(mention) AS INT)), mention) BETWEEN 1 AND length(tok) END AS begins,
+  NOT RLIKE(mention, '^[0-9,]+$') AND start - 1 >= {_LOW} AND instr(substring(t, CAST({_LOW} + 1 AS INT), CAST(greatest(start - 1 + length(mention) - {_LOW}, 0) AS INT)), mention) > 0 AS inside
+FROM (SELECT p.*, m.priority, m.label, m.mention FROM ({_PLACED}) p JOIN rule_mentions m ON m.rule_id = p.rule_id AND instr(replace(p.t, ',', ''), replace(m.mention, ',', '')) > 0) y"""
+OPS["gen_18_bio"] = f"""
+SELECT p.feedback_id, CAST(row_number() OVER (PARTITION BY p.feedback_id ORDER BY p.pos) - 1 AS INT) AS place, p.tok, p.start AS start_offset, p.start + length(p.tok) AS end_offset, coalesce(l.label, 'O') AS label FROM ({_PLACED}) p
+LEFT JOIN (SELECT feedback_id, pos, concat(CASE WHEN begins THEN 'B_' ELSE 'I_' END, label) AS label FROM (SELECT m.*, row_number() OVER (PARTITION BY feedback_id, pos ORDER BY priority, CASE WHEN begins THEN 0 ELSE 1 END, mention) AS rn FROM ({_MENTIONED}) m WHERE begins OR inside) z WHERE rn = 1) l ON l.feedback_id = p.feedback_id AND l.pos = p.pos"""
 OPS["gen_19_label_distribution"] = f"SELECT label, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM ({_TOKENS}) t GROUP BY label"
 # O tokens stay with the share that makes them 70 % of what stays; which ones is up to the md5 of their place
 OPS["gen_19_downsample"] = f"""

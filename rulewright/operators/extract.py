@@ -88,12 +88,34 @@ SELECT x.rule_id, coalesce(x.by_value, x.by_name, x.by_glossary) AS field FROM (
 OPS["ext_17_ground"] = """
 SELECT c.rule_id, c.pos, CASE WHEN k.column_name IS NULL THEN NULL ELSE c.field END AS field, CASE WHEN k.column_name IS NULL THEN c.field END AS pruned
 FROM conditions c LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field"""
-# fixed values: inferred conditions (pattern, field, operator, value)
-INFER = [("cancelled", "orders.status", "equals", "cancelled"), ("completed", "orders.status", "equals", "completed"), ("active customer", "customers.status", "equals", "active"), ("last [0-9]+ days", "orders.created_at", "greater_than", "window"), ("status is active", "customers.status", "equals", "active")]
-_INFER = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in INFER)
-OPS["ext_18_infer"] = f"SELECT DISTINCT f.feedback_id, p.field, p.operator, p.value FROM feedback f JOIN (VALUES {_INFER}) AS p(pattern, field, operator, value) ON RLIKE(lower(f.feedback_text), p.pattern)"
-OPS["ext_22_glossary_enrich"] = """
-SELECT r.rule_id, g.term, g.definition, CASE WHEN g.ref = c.field THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence FROM rules r JOIN conditions c ON c.rule_id = r.rule_id AND c.pos = 0 LEFT JOIN glossary g ON g.domain = r.domain_id AND g.pos = 0"""
+# fixed values: families of inferred conditions: pattern, field, operator, value ({1} and {2} stand for what it finds)
+INFER = [
+    (r"\b(cancelled|canceled|completed|pending|refunded|failed) (orders?|payments?|transactions?|tickets?)\b", "{2}.status", "equals", "{1}"),
+    (r"\b(active|inactive|closed|open) (customers?|accounts?|subscriptions?|tickets?)\b", "{2}.status", "equals", "{1}"),
+    (r"\blast (\d+) (days?|weeks?|months?)\b", "created_at", "greater_than", "last_{1}_{2}"),
+    (r"\bwhere ([a-z_.]+) (?:is|=|equals) ([a-z0-9_]+)", "{1}", "equals", "{2}"),
+    (r"\bpaid (?:by|with|via) ([a-z_ ]*?)(card|cash|transfer|wallet)\b", "payment_method", "equals", "{2}"),
+    (r"\bthat (?:were|was|are|is) ([a-z]+)()\b", "status", "equals", "{1}"),
+    (r"\bsuccessfully (processed|completed|delivered)()\b", "status", "equals", "{1}"),
+]
+
+
+def _filled(template: str, pattern: str) -> str:
+    parts = [fixed.sql(template)]
+    for k in (1, 2):
+        parts = [f"replace({parts[0]}, '{{{k}}}', regexp_extract(tok, {fixed.sql(pattern)}, {k}))"]
+    return parts[0]
+
+
+_INFERRED = " UNION ALL ".join(f"SELECT feedback_id, {_filled(f, p)} AS field, '{o}' AS operator, {_filled(v, p)} AS value, {i} AS family FROM UNNEST{{feedback|feedback_id|regexp_extract_all(lower(feedback_text), {fixed.sql(p)}, 0)}} u{i}" for i, (p, f, o, v) in enumerate(INFER))
+OPS["ext_18_infer"] = f"SELECT feedback_id, field, operator, value, min(family) AS family FROM ({_INFERRED}) x GROUP BY feedback_id, field, operator, value"
+# the term itself, else the term of the domain that shares most characters with it; the first by name of those that do equally
+_CHARS = "CAST(COUNT⟦split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')¦x¦instr(lower(r.business_term), x) > 0 AND instr(g.term, x) > 0⟧ AS DOUBLE) / greatest(COUNT⟦split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')¦x¦instr(lower(r.business_term), x) > 0 OR instr(g.term, x) > 0⟧, 1)"
+OPS["ext_22_glossary_enrich"] = f"""
+SELECT rule_id, term, definition, round(score, 6) AS confidence, value_definition FROM (
+  SELECT r.rule_id, g.term, g.definition, v.definition AS value_definition, CASE WHEN g.term = lower(r.business_term) THEN CAST(0.95 AS DOUBLE) ELSE {_CHARS} END AS score,
+    row_number() OVER (PARTITION BY r.rule_id ORDER BY CASE WHEN g.term = lower(r.business_term) THEN CAST(2 AS DOUBLE) ELSE {_CHARS} END DESC, g.term) AS rn
+  FROM rules r LEFT JOIN glossary g ON g.domain = r.domain_id LEFT JOIN (SELECT c.rule_id, min(k.definition) AS definition FROM conditions c JOIN glossary k ON k.domain = c.domain_id AND (k.term = lower(c.value) OR k.ref = c.field) GROUP BY c.rule_id) v ON v.rule_id = r.rule_id) x WHERE rn = 1"""
 _PARTS = f"""
 SELECT t.feedback_id, t.term, t.confidence, o.first_operation AS operation, o.operations, s.scope, w.time_window, c.field, c.operator, c.value FROM ({OPS["ext_02_primary_term"]}) t JOIN ({OPS["ext_03_operations"]}) o ON o.feedback_id = t.feedback_id
 JOIN ({OPS["ext_08_scope"]}) s ON s.feedback_id = t.feedback_id JOIN ({OPS["ext_09_time_window"]}) w ON w.feedback_id = t.feedback_id LEFT JOIN (SELECT * FROM ({OPS["ext_04_conditions"]}) x WHERE kind = 0) c ON c.feedback_id = t.feedback_id"""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 _LITERAL = re.compile(r"'[^']*'")
-_UNNEST = re.compile(r"UNNEST\{([^|]*)\|([^|]*)\|([^}]*)\}")
+_UNNEST = re.compile(r"UNNEST\{([^|]*)\|([^|]*)\|((?:[^{}]|\{[^{}]*\})*)\}")
 _JSON = re.compile(r"JSON\(([^,()]+), (\w+)\)")
 _AGG = re.compile(r"AGG\{([^|]*)\|([^|]*)\|([^}]*)\}")
 _COUNT = re.compile(r"COUNT⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")

@@ -274,3 +274,21 @@ def test_glossary_documents(spark):
     document = "# Terms\n\n### churn\nDefinition: users who left\nTables/columns: `plans.status`, `plans.ended_at`\nRelated rules: R1, R2\n\n### seat\nDefinition: a place\n"
     got = operators.apply(spark, "src_03_glossary", glossary_documents=spark.createDataFrame([("saas", document)], "domain string, document string")).orderBy("pos").collect()
     assert [(r.term, r.definition, r.related, r.n_columns, r.first_column) for r in got] == [("churn", "users who left", "R1, R2", 2, "plans.status"), ("seat", "a place", "", 0, "")]
+
+
+def test_bio_labels_by_priority(spark):
+    texts = spark.createDataFrame([("f", "R1", "exclude net revenue where order status is cancelled, above 1,500  for emea")], "feedback_id string, rule_id string, t string")
+    mentions = [(1, "BUSINESS_TERM", "net revenue"), (2, "FIELD", "order status"), (2, "FIELD", "order_status"), (3, "THRESHOLD", "1500"), (4, "VALUE", "cancelled"), (5, "OPERATION", "exclude"), (5, "OPERATION", "above"), (6, "SCOPE", "emea"), (9, "COLUMN", "status")]
+    rows = spark.createDataFrame([("R1", *m) for m in mentions] + [("R2", 1, "BUSINESS_TERM", "where")], "rule_id string, priority int, label string, mention string")
+    got = operators.apply(spark, "gen_18_bio", labelled_texts=texts, rule_mentions=rows).orderBy("place").collect()
+    assert [(r.tok, r.label) for r in got] == [
+        ("exclude", "B_OPERATION"), ("net", "B_BUSINESS_TERM"), ("revenue", "I_BUSINESS_TERM"), ("where", "O"), ("order", "B_FIELD"), ("status", "I_FIELD"), ("is", "O"), ("cancelled,", "B_VALUE"), ("above", "B_OPERATION"), ("1,500", "B_THRESHOLD"), ("for", "O"), ("emea", "B_SCOPE")]
+    assert all("exclude net revenue where order status is cancelled, above 1,500  for emea"[r.start_offset : r.end_offset] == r.tok for r in got)
+
+
+def test_inferred_conditions(spark):
+    texts = ["Skip cancelled orders and open tickets of the last 30 days", "where region is emea, paid by credit card", "those that were refunded", "successfully processed ones", "cancelled orders, cancelled orders"]
+    got = operators.apply(spark, "ext_18_infer", feedback=feedback(spark, texts)).collect()
+    assert {(r.feedback_id, r.field, r.operator, r.value) for r in got} == {
+        (0, "orders.status", "equals", "cancelled"), (0, "tickets.status", "equals", "open"), (0, "created_at", "greater_than", "last_30_days"), (1, "region", "equals", "emea"), (1, "payment_method", "equals", "card"), (2, "status", "equals", "refunded"),
+        (3, "status", "equals", "processed"), (4, "orders.status", "equals", "cancelled")} and len(got) == 8
