@@ -3,10 +3,11 @@
 Unit vectors are rotated (a Hadamard matrix with random signs) and cut into blocks of equal size. Two vectors of
 cosine >= c have a squared distance of at most 2 - 2c, so in at least one of B blocks it is at most (2 - 2c) / B: each
 block is joined by that range alone, the union of the candidates holds every link, and each candidate's cosine is
-checked in double precision. A block's range join deals vectors to grid cells of its first two coordinates, as wide as
-the range, so that only neighbouring cells meet. Cells are cut into chunks of bounded size, and a task joins two
-chunks; it returns how many links each vector has there and a spanning forest of them, never the pairs. A pair that
-several blocks find counts in the first.
+checked in double precision. A block's range join goes by a tree over all of the block's coordinates, cut at medians of
+a bounded sample: a vector lives in one leaf and visits those later leaves that its range reaches, as the sum of its
+squared distances to the cuts on the way tells. Leaves and their visitors are cut into chunks of bounded size, and a
+task joins two chunks; it returns how many links each vector has there and a spanning forest of them, never the pairs.
+A pair that several blocks find counts in the first.
 
 Equal vectors are collapsed to one with a weight before all this, so copies cost nothing.
 """
@@ -102,15 +103,69 @@ def pair_links(home: np.ndarray, visit: np.ndarray | None, block: int, cosine: f
                 yield p[cos >= cosine], q[cos >= cosine]
 
 
-def _join(batch: pd.DataFrame, block: int, cosine: float) -> pd.DataFrame:
-    """Links between the two chunks of a task: weight of linked vectors and the root in a spanning forest, by node."""
+# ---- the tree of a block: a leaf is its number, an inner node (coordinate, cut, part up to the cut, part over it) -----
+
+
+def grow(y: np.ndarray, leaves: int, first: int = 0, least: int = 16) -> tuple[tuple | int, int]:
+    """A tree of about `leaves` leaves over a sample, cut at the median of the coordinate that varies most, and the
+    number after its last leaf. A leaf has `least` rows of the sample at least."""
+    if leaves > 1 and len(y) >= 2 * least:
+        at = int(y.var(axis=0).argmax())
+        cut = float(np.median(y[:, at]))
+        low = y[:, at] <= cut
+        if not low.all():
+            left, middle = grow(y[low], -(-leaves // 2), first, least)
+            right, last = grow(y[~low], leaves // 2, middle, least)
+            return (at, cut, left, right), last
+    return first, first + 1
+
+
+def homes(tree: tuple | int, y: np.ndarray) -> np.ndarray:
+    out, todo = np.zeros(len(y), dtype=np.int64), [(tree, np.arange(len(y)))]
+    while todo:
+        node, rows = todo.pop()
+        if isinstance(node, int):
+            out[rows] = node
+        else:
+            low = y[rows, node[0]] <= node[1]
+            todo += [(node[2], rows[low]), (node[3], rows[~low])]
+    return out
+
+
+def visits(tree: tuple | int, y: np.ndarray, home: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the leaves after their own that they reach: those where the cuts on the way are within the squared budget."""
+    rows_out, leaves_out = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    todo = [(tree, np.arange(len(y)), np.zeros(y.shape), np.zeros(len(y)))]
+    while todo:
+        node, rows, gaps, total = todo.pop()
+        if isinstance(node, int):
+            rows = rows[home[rows] < node]
+            rows_out.append(rows)
+            leaves_out.append(np.full(len(rows), node))
+            continue
+        at, cut, left, right = node
+        off = y[rows, at] - cut
+        for child, gap in ((left, np.maximum(off, 0) ** 2), (right, np.maximum(-off, 0) ** 2)):
+            wider = np.maximum(gaps[:, at], gap)
+            reached = total + wider - gaps[:, at]
+            keep = reached <= budget
+            if keep.any():
+                inner = gaps[keep]
+                inner[:, at] = wider[keep]
+                todo.append((child, rows[keep], inner, reached[keep]))
+    return np.concatenate(rows_out), np.concatenate(leaves_out)
+
+
+def _join(batch: pd.DataFrame, block: int, cosine: float, alone: bool) -> pd.DataFrame:
+    """Links between the two chunks of a task, or within the one that is alone: weight of linked vectors and the root in a
+    spanning forest, by node."""
     width = max(len(r) for r in batch["raw"]) // 8
     parts = [batch[batch["side"] == s].sort_values("node") for s in (0, 1)]
     home, visit = (_matrix(p["raw"].tolist(), width) for p in parts)
     nodes = np.concatenate([p["node"].to_numpy() for p in parts])
     weight = np.concatenate([p["w"].to_numpy() for p in parts])
-    links, root, shift = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes)), len(home) if len(visit) else 0
-    for i, j in pair_links(home, visit if len(visit) else None, block, cosine):
+    links, root, shift = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes)), 0 if alone else len(home)
+    for i, j in pair_links(home, None if alone else visit, block, cosine) if alone or (len(home) and len(visit)) else ():
         j = j + shift
         np.add.at(links, i, weight[j])
         np.add.at(links, j, weight[i])
@@ -127,79 +182,87 @@ def _join(batch: pd.DataFrame, block: int, cosine: float) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes[found], "links": links[found], "root": nodes[root[found]]})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, chunk: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, chunk: int = 8192, sample: int = 50_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept. cosine must be over 0.5.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and rows without an id, link with
     nothing and are components of their own (component_id = vec_id). Vectors of different lengths are compared as if
-    zeros followed. Rows with equal vectors link with each other, also when their ids are equal.
+    zeros followed. Rows with equal vectors link with each other, also when their ids are equal. An empty table gives no
+    rows. sample bounds the vectors that the trees are cut by; all vectors are joined.
     """
     rows = common.saved(prepared(vectors, id_col, vector_col), "vectors")
     # a number for each vector, fixed when the table is written
     alike = rows.where("raw is not null").groupBy("raw").agg(F.count("*").alias("w"), F.min("vec_id").alias("first"))
     alike = common.saved(alike.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    side = np.sqrt((2 - 2 * cosine) / BLOCKS) * 1.0001
+    spark, budget = vectors.sparkSession, (2 - 2 * cosine) / BLOCKS + 1e-9
+    facts = alike.agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("bytes")).first()
+    n, width = facts["n"], max(1, (facts["bytes"] or 0) // 8)
 
-    def cells(raw: list[bytes]) -> np.ndarray:
-        """(vectors, blocks, 2) cell numbers."""
-        if not raw:
-            return np.zeros((0, BLOCKS, 2), dtype=np.int64)
-        # the width of a batch must not change a row's rotation: every row is widened to the widest of all
-        y = rotate(_matrix(raw, width)).reshape(len(raw), BLOCKS, -1)
-        return np.floor(y[:, :, [0, 1 % y.shape[2]]] / side).astype(np.int64)
+    def blocks(raw: list[bytes]) -> np.ndarray:
+        """(blocks, vectors, coordinates); every row is widened to the widest of all, so that no batch changes its rotation."""
+        y = rotate(_matrix(raw, width))
+        return y.reshape(len(raw), BLOCKS, y.shape[1] // BLOCKS).transpose(1, 0, 2)
 
-    width = max(1, (alike.agg(F.max(F.length("raw"))).first()[0] or 0) // 8)
+    # which vectors the sample has is up to their hash; it is read by the driver, its size is the parameter's
+    some = alike.where(F.pmod(F.xxhash64("raw"), F.lit(1 << 20)) <= int((1 << 20) * min(1.0, 0.9 * sample / max(n, 1)))).select("raw").limit(sample)
+    known = blocks([bytes(r["raw"]) for r in some.collect()]) if n else np.zeros((BLOCKS, 0, 1))
+    trees = [grow(y, -(-2 * n // chunk))[0] for y in known]
+    shared = spark.sparkContext.broadcast(trees)  # two numbers a leaf, sample / 16 leaves at most
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = cells(batch.column(0).to_pylist())
-            flat = np.concatenate([np.repeat(np.arange(BLOCKS)[None, :, None], len(c), 0), c], axis=2).reshape(-1, 3)
-            got, n = np.unique(flat, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(got[:, k]) for k in range(3)), pa.array(n)], ["b", "i", "j", "n"])
-
-    # cells of unit vectors lie within 2 / side of the origin, so the census has a few hundred rows at any size
-    count = alike.select("raw").mapInArrow(census, "b long, i long, j long, n long").groupBy("b", "i", "j").agg(F.sum("n").alias("n")).collect()
-    chunks = {(r["b"], r["i"], r["j"]): -(-r["n"] // chunk) for r in count}
+            rows = []
+            for b, y in enumerate(blocks(batch.column(0).to_pylist())):
+                home = homes(shared.value[b], y)
+                for kind, leaves in ((0, home), (1, visits(shared.value[b], y, home, budget)[1])):
+                    got, count = np.unique(leaves, return_counts=True)
+                    rows += [(b, kind, leaf, c) for leaf, c in zip(got.tolist(), count.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["b", "kind", "leaf", "n"])
+
+    counted = alike.select("raw").mapInArrow(census, "b long, kind long, leaf long, n long").groupBy("b", "kind", "leaf").agg(F.sum("n").alias("n")).collect()
+    size = 1 + max((r["leaf"] for r in counted), default=0)
+    parts = np.ones((BLOCKS, 2, size), dtype=np.int64)  # chunks of each leaf's own vectors and of its visitors
+    parts[:, 1] = 0
+    for r in counted:
+        parts[r["b"], r["kind"], r["leaf"]] = -(-r["n"] // chunk)
+    chunks = spark.sparkContext.broadcast(parts)
+
+    def each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every place as often as counted, and the number of each time."""
+        at = np.repeat(np.arange(len(count)), count)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partners: dict[tuple, list] = {}
-
-        def tasks(b: int, i: int, j: int, k: int) -> list[tuple[str, int]]:
-            """Chunk pairs that chunk k of a cell takes part in, with its side."""
-            if (b, i, j, k) not in partners:
-                me, out = (i, j, k), []
-                for di in (-1, 0, 1):
-                    for dj in (-1, 0, 1):
-                        for m in range(chunks.get((b, i + di, j + dj), 0)):
-                            you = (i + di, j + dj, m)
-                            first, second = min(me, you), max(me, you)
-                            out.append((f"{b}|{'.'.join(map(str, first))}|{'.'.join(map(str, second))}", int(me != first)))
-                partners[b, i, j, k] = out
-            return partners[b, i, j, k]
-
         for batch in batches:
-            node, raw, w = (batch.column(k).to_pylist() for k in range(3))
-            place = cells(raw)
-            for lo in range(0, len(node), 512):
-                keys, sides, at = [], [], []
-                for r in range(lo, min(lo + 512, len(node))):
-                    for b in range(BLOCKS):
-                        i, j = place[r, b].tolist()
-                        for key, s in tasks(b, i, j, ((node[r] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) % chunks[b, i, j]):
-                            keys.append(key)
-                            sides.append(s)
-                            at.append(r)
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sides, pa.int32()), *(batch.column(k).take(take) for k in range(3))], ["key", "side", "node", "raw", "w"])
-
-    dealt = alike.select("node", "raw", "w").mapInArrow(deal, "key string, side int, node long, raw binary, w long")
+            mixed = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mine, other = ((mixed >> np.uint64(s)).astype(np.int64) for s in (33, 17))
+            tasks = []  # columns: block, leaf, own chunk, second chunk, chunk of visitors (-1: a task of the leaf's own), side, row
+            for b, y in enumerate(blocks(batch.column(1).to_pylist())):
+                own, seen = chunks.value[b]
+                home = homes(shared.value[b], y)
+                k = mine % own[home]
+                at, m = each(own[home])
+                tasks.append((b, home[at], np.minimum(k[at], m), np.maximum(k[at], m), -1, (k[at] > m) * 1, at))
+                at, g = each(seen[home])
+                tasks.append((b, home[at], k[at], 0, g, 0, at))
+                row, leaf = visits(shared.value[b], y, home, budget)
+                at, m = each(own[leaf])
+                tasks.append((b, leaf[at], m, 0, other[row[at]] % np.maximum(seen[leaf[at]], 1), 1, row[at]))
+            columns = [np.concatenate([np.broadcast_to(t[c], len(t[-1])) for t in tasks]) for c in range(7)]
+            for lo in range(0, len(columns[0]), 20_000):
+                *keys, at = (c[lo : lo + 20_000] for c in columns)
+                take = pa.array(at.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in keys), *(batch.column(c).take(take) for c in range(3))], names)
+
+    names = ["b", "leaf", "k", "m", "g", "side", "node", "raw", "w"]
+    dealt = alike.select("node", "raw", "w").mapInArrow(deal, "b int, leaf int, k int, m int, g int, side int, node long, raw binary, w long")
 
     def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         pad = bytes(8 * width)
         batch["raw"] = [r + pad[len(r) :] for r in batch["raw"]]
-        return _join(batch, int(key[0].split("|")[0]), cosine)
+        return _join(batch, int(key[0]), cosine, int(key[4]) < 0 and key[2] == key[3])
 
-    found = common.saved(dealt.groupBy("key").applyInPandas(run, "node long, links long, root long"), "links")
+    found = common.saved(dealt.groupBy("b", "leaf", "k", "m", "g").applyInPandas(run, "node long, links long, root long"), "links")
     links = common.saved(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = alike.select("node", "raw", "w", "first").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))

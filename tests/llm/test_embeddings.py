@@ -46,6 +46,33 @@ def test_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_a_vector_meets_every_leaf_in_its_range():
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=(600, 16)) / 8
+    tree, n = embeddings.grow(y, 16)
+    home = embeddings.homes(tree, y)
+    assert n == 16 and set(home) == set(range(16))
+    rows, leaves = embeddings.visits(tree, y, home, 0.05)
+    met = set(zip(rows.tolist(), leaves.tolist()))
+    near = ((y[:, None] - y[None]) ** 2).sum(2) <= 0.05
+    assert all((i, home[j]) in met for i, j in np.argwhere(near) if home[j] > home[i]) and all(leaf > home[row] for row, leaf in met)
+
+
+def visits_each(n, rng):
+    """Visits a vector of clustered ones makes, with leaves of about 250."""
+    centres = rng.normal(size=(max(2, n // 250), 16)) / 8
+    y = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 16)) / 200
+    tree, _ = embeddings.grow(y[:: max(1, n // 20_000)], -(-n // 250))
+    return len(embeddings.visits(tree, y, embeddings.homes(tree, y), 0.0025)[0]) / n
+
+
+def test_visits_grow_slower_than_the_table():
+    rng = np.random.default_rng(2)
+    small, large = visits_each(4000, rng), visits_each(40_000, rng)
+    print("visits a vector", small, large)
+    assert large < 4 * small
+
+
 def test_rotation_keeps_distances():
     x = np.random.default_rng(0).normal(size=(20, 50))
     y, u = embeddings.rotate(x), x / np.linalg.norm(x, axis=1)[:, None]
