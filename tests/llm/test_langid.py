@@ -46,3 +46,52 @@ def test_query_held_out_accuracy(spark, sf):
     assert len(rows) == len(truth)
     held = [r for r in rows if r.held_out]
     assert held and sum(truth[r.doc_id] == r.lang_pred for r in held) >= 0.95 * len(held)
+
+
+def plain_grams(text):
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            words.append(f" {word} ")
+            word = ""
+    return [w[i : i + n] for n in langid.SIZES for w in words for i in range(len(w) - n + 1)]
+
+
+def test_query_agrees_with_plain_sets(spark, sf):
+    """The whole query against counted n-grams in plain sets: no filter, no hashes, no false positives."""
+    import zlib
+    from collections import Counter
+
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    counts = {}
+    for i, text, lang in docs:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    rate = {lang: {g: n / sum(c.values()) for g, n in sorted(c.items(), key=lambda x: -x[1])[:6000]} for lang, c in counts.items()}
+    most = Counter()
+    for own in rate.values():
+        for g, x in own.items():
+            most[g] = max(most[g], x)
+    known = {lang: {g for g, x in own.items() if x >= 0.1 * most[g]} for lang, own in rate.items()}
+    cover = {lang: sum(rate[lang][g] for g in known[lang]) for lang in known}
+    same, apart = 0, []
+    got = {r.doc_id: r for r in langid.op1_language_id(spark, sf).collect()}
+    for i, text, _ in docs:
+        grams = plain_grams(text or "")
+        if not grams:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        own = {lang: sum(g in known[lang] for g in grams) / len(grams) / cover[lang] for lang in sorted(known)}
+        best = max(own, key=own.get)
+        same += got[i].lang_pred == best or own[best] - own[got[i].lang_pred] < 0.02
+        apart.append(abs(got[i].score - min(1.0, own[got[i].lang_pred])))
+    assert same == len(apart) and sum(apart) / len(apart) < 0.01 and len(got) == len(docs)
+
+
+def test_identify_nothing(spark):
+    model = langid.train(spark.createDataFrame([(1, "the house", "en")], "doc_id long, text string, lang string"))
+    assert langid.identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+    r = langid.identify(spark.createDataFrame([(1, None), (1, None), (2, "12 34")], "doc_id long, text string"), model).collect()
+    assert [(x.lang_pred, x.score) for x in r] == [("und", 0.0)] * 3
