@@ -1,5 +1,7 @@
 """Structured extraction."""
 
+from rulewright.sources.adapters import view
+
 from . import fixed
 from .datagen import OPS as DATASETS
 
@@ -63,8 +65,13 @@ def _window(pattern: str, token: str) -> str:
 
 
 OPS["ext_09_time_window"] = "SELECT feedback_id, CASE " + " ".join(_window(p, t) for p, t in fixed.TIME_WINDOWS) + " END AS time_window FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) f"
-OPS["ext_10_affected"] = """
-SELECT r.rule_id, AGG{t|,|t} AS tables FROM (SELECT DISTINCT r.rule_id, coalesce(nullif(regexp_extract(c.field, '^([a-z_]+)[.]', 1), ''), r.affected_table, 'unknown') AS t FROM rules r LEFT JOIN conditions c ON c.rule_id = r.rule_id) r GROUP BY r.rule_id"""
+# tables of the conditions' fields, else of the term's glossary entry, else those the rule lists, else those its name holds
+_FIRST_KNOWN = "coalesce(c.tables, g.tables, nullif(r.entity_tables, ''), k.tables, 'unknown')"
+OPS["ext_10_affected"] = f"""
+SELECT r.rule_id, {_FIRST_KNOWN} AS tables, CASE WHEN c.tables IS NOT NULL THEN 'conditions' WHEN g.tables IS NOT NULL THEN 'glossary' WHEN nullif(r.entity_tables, '') IS NOT NULL THEN 'listed' WHEN k.tables IS NOT NULL THEN 'text' ELSE 'none' END AS source FROM rules r
+LEFT JOIN (SELECT rule_id, AGG{{t|;|t}} AS tables FROM (SELECT DISTINCT rule_id, regexp_extract(field, '^([a-z_]+)[.]', 1) AS t FROM conditions) x WHERE t <> '' GROUP BY rule_id) c ON c.rule_id = r.rule_id
+LEFT JOIN (SELECT domain, term, AGG{{t|;|t}} AS tables FROM (SELECT DISTINCT domain, term, regexp_extract(ref, '^([a-z_]+)[.]', 1) AS t FROM glossary) x WHERE t <> '' GROUP BY domain, term) g ON g.domain = r.domain_id AND g.term = r.business_term
+LEFT JOIN (SELECT b.rule_id, AGG{{n.table_name|;|n.table_name}} AS tables FROM rules b JOIN (SELECT DISTINCT domain, table_name FROM catalog) n ON n.domain = b.domain_id AND instr(lower(b.business_term), n.table_name) > 0 GROUP BY b.rule_id) k ON k.rule_id = r.rule_id"""
 # fixed values: confidence of each field; conditions count less where a verb asks for them and none is structured
 OPS["ext_11_confidence"] = f"""
 SELECT feedback_id, term, operation, conditions, scope, entities, round(least(CAST(0.99 AS DOUBLE), (term + operation + conditions + scope + entities) / 5), 6) AS overall FROM (
@@ -80,11 +87,25 @@ _LONGEST = sorted(((p, o) for o, phrases in fixed.OPERATION_PHRASES.items() for
 _OPERATORS = sorted(((p, o) for o, phrases in fixed.OPERATOR_PHRASES.items() for p in phrases), key=lambda x: (-len(x[0]), x[0]))
 _canonical = lambda t, pairs: "CASE " + " ".join(f"WHEN instr({t}, {fixed.sql(p)}) > 0 THEN '{o}'" for p, o in pairs) + " END"
 OPS["ext_14_canonical_operation"] = f"SELECT feedback_id, {_canonical('t', _LONGEST)} AS operation, {_canonical('t', _OPERATORS)} AS operator FROM (SELECT feedback_id, lower(feedback_text) AS t FROM feedback) f"
-OPS["ext_15_resolve_field"] = """
-SELECT x.rule_id, coalesce(x.by_value, x.by_name, x.by_glossary) AS field FROM (
-  SELECT c.rule_id, min(CASE WHEN instr(concat('|', k.allowed, '|'), concat('|', c.value, '|')) > 0 THEN concat(k.table_name, '.', k.column_name) END) AS by_value,
-    min(CASE WHEN k.column_name = c.value THEN concat(k.table_name, '.', k.column_name) END) AS by_name, min(g.ref) AS by_glossary
-  FROM conditions c LEFT JOIN catalog k ON k.domain = c.domain_id LEFT JOIN glossary g ON g.domain = c.domain_id AND g.pos = 0 GROUP BY c.rule_id) x"""
+# fixed values: columns that hold a state, in order
+_STATES = ("status", "state", "type", "category", "priority")
+_STATE = "CASE column_name " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(_STATES)) + " ELSE 99 END"
+# the state column of the rule's table, else a column whose name shares a word with the value, else the glossary's reference
+# of a term that holds the value or lies in it
+OPS["ext_15_resolve_field"] = f"""
+SELECT v.rule_id, coalesce(s.field, min(CASE WHEN instr(concat('_', k.column_name, '_'), concat('_', lower(v.value), '_')) > 0 OR instr(concat(' ', lower(v.value), ' '), concat(' ', replace(k.column_name, '_', ' '), ' ')) > 0 THEN concat(k.table_name, '.', k.column_name) END), min(g.ref)) AS field,
+  CASE WHEN s.field IS NOT NULL THEN 'state_column' WHEN min(CASE WHEN instr(concat('_', k.column_name, '_'), concat('_', lower(v.value), '_')) > 0 OR instr(concat(' ', lower(v.value), ' '), concat(' ', replace(k.column_name, '_', ' '), ' ')) > 0 THEN k.column_name END) IS NOT NULL THEN 'column_name' WHEN min(g.ref) IS NOT NULL THEN 'glossary' ELSE 'none' END AS source
+FROM (SELECT c.rule_id, c.domain_id, min(c.value) AS value, min(r.affected_table) AS t FROM conditions c JOIN rules r ON r.rule_id = c.rule_id WHERE instr(c.field, '.') = 0 GROUP BY c.rule_id, c.domain_id) v
+LEFT JOIN (SELECT domain, table_name, concat(table_name, '.', column_name) AS field FROM (SELECT domain, table_name, column_name, row_number() OVER (PARTITION BY domain, table_name ORDER BY {_STATE}) AS rn FROM catalog WHERE column_name IN {_STATES}) x WHERE rn = 1) s ON s.domain = v.domain_id AND s.table_name = v.t
+LEFT JOIN catalog k ON k.domain = v.domain_id LEFT JOIN glossary g ON g.domain = v.domain_id AND (instr(lower(v.value), g.term) > 0 OR instr(g.term, lower(v.value)) > 0) GROUP BY v.rule_id, s.field"""
+# names of tables that stand for another; a field of an unknown table or column is pruned and its condition loses it
+view("table_synonyms", "SELECT * FROM (VALUES ('ecommerce', 'order', 'orders'), ('ecommerce', 'purchases', 'orders'), ('ecommerce', 'client', 'customers'), ('ecommerce', 'customer', 'customers'), ('support', 'ticket', 'tickets'), ('support', 'case', 'tickets'), ('saas', 'subscription', 'subscriptions')) AS t(domain, alias, table_name)")
+OPS["ext_17_ground"] = """
+SELECT c.rule_id, c.pos, CASE WHEN k.column_name IS NULL THEN NULL ELSE c.grounded END AS field, CASE WHEN k.column_name IS NULL THEN c.field END AS pruned, c.grounded <> c.field AS renamed
+FROM (SELECT c.rule_id, c.pos, c.domain_id, c.field, CASE WHEN s.table_name IS NULL THEN c.field ELSE concat(s.table_name, regexp_extract(c.field, '([.].*)$', 1)) END AS grounded FROM conditions c LEFT JOIN table_synonyms s ON s.domain = c.domain_id AND s.alias = regexp_extract(c.field, '^([^.]*)', 1)) c
+LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.grounded
+UNION ALL SELECT r.rule_id, 1000 + t.pos, CASE WHEN n.table_name IS NULL THEN NULL ELSE coalesce(s.table_name, t.tok) END, CASE WHEN n.table_name IS NULL THEN t.tok END, s.table_name IS NOT NULL FROM rules r JOIN UNNEST{rules|rule_id|split(entity_tables, ';')} t ON t.rule_id = r.rule_id
+LEFT JOIN table_synonyms s ON s.domain = r.domain_id AND s.alias = t.tok LEFT JOIN (SELECT DISTINCT domain, table_name FROM catalog) n ON n.domain = r.domain_id AND n.table_name = coalesce(s.table_name, t.tok) WHERE t.tok <> ''"""
 OPS["ext_17_ground"] = """
 SELECT c.rule_id, c.pos, CASE WHEN k.column_name IS NULL THEN NULL ELSE c.field END AS field, CASE WHEN k.column_name IS NULL THEN c.field END AS pruned
 FROM conditions c LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field"""
@@ -136,6 +157,13 @@ SELECT feedback_id, canonical, qualified, value, substring(SHA(canon), 1, 12) AS
   SELECT feedback_id, canonical, qualified, value, concat(qualified, '|', upper(canonical), '|', coalesce(value, '')) AS canon FROM (
     SELECT t.feedback_id, CASE WHEN t.operation IN ('only', 'restrict') THEN 'restrict' ELSE coalesce(t.operation, 'include') END AS canonical, lower(coalesce(k.qualified, CASE WHEN instr(t.field, '.') > 0 THEN t.field END, concat('orders.', t.field))) AS qualified, lower(t.value) AS value
     FROM ({OPS["ext_19_from_tags"]}) t LEFT JOIN (SELECT column_name, min(concat(table_name, '.', column_name)) AS qualified FROM catalog GROUP BY column_name) k ON k.column_name = lower(t.field)) a) b"""
+# the condition's rungs in order: a field with its value, a comparison, a time window, what the text implies, the operation's
+# own default; what has none of them keeps its keyword alone
+_RUNGS = f"""
+SELECT p.feedback_id, p.term, p.operation, p.scope, p.field, p.operator, p.value, n.field AS n_field, n.operator AS n_operator, n.value AS n_value, p.time_window, i.field AS i_field, i.operator AS i_operator, i.value AS i_value FROM ({_PARTS}) p
+LEFT JOIN (SELECT feedback_id, field, operator, value FROM ({OPS["ext_04_conditions"]}) x WHERE kind = 1 AND place = 0) n ON n.feedback_id = p.feedback_id
+LEFT JOIN (SELECT feedback_id, field, operator, value FROM (SELECT y.*, row_number() OVER (PARTITION BY feedback_id ORDER BY family, field, value) AS rn FROM ({OPS["ext_18_infer"]}) y) z WHERE rn = 1) i ON i.feedback_id = p.feedback_id"""
 OPS["ext_21_template"] = f"""
-SELECT feedback_id, term, operation, coalesce(field, CASE WHEN time_window IS NOT NULL THEN 'orders.created_at' END, CASE WHEN operation = 'exclude' THEN 'orders.status' END) AS field, coalesce(value, time_window, CASE WHEN operation = 'exclude' THEN 'cancelled' END) AS value,
-  CASE WHEN field IS NOT NULL THEN 'explicit' WHEN time_window IS NOT NULL THEN 'time_window' WHEN operation = 'exclude' THEN 'keyword' ELSE 'none' END AS rung FROM ({_PARTS}) p"""
+SELECT feedback_id, term, operation, scope, coalesce(field, n_field, CASE WHEN time_window IS NOT NULL THEN 'orders.created_at' END, i_field, CASE WHEN operation = 'exclude' THEN 'orders.status' END) AS field, coalesce(CASE WHEN field IS NOT NULL THEN operator END, n_operator, CASE WHEN time_window IS NOT NULL THEN 'greater_than' END, i_operator, CASE WHEN operation = 'exclude' THEN 'equals' END) AS operator,
+  coalesce(value, n_value, time_window, i_value, CASE WHEN operation = 'exclude' THEN 'cancelled' END) AS value,
+  CASE WHEN field IS NOT NULL THEN 'explicit' WHEN n_field IS NOT NULL THEN 'comparison' WHEN time_window IS NOT NULL THEN 'time_window' WHEN i_field IS NOT NULL THEN 'implied' WHEN operation = 'exclude' THEN 'default' ELSE 'keyword' END AS rung FROM ({_RUNGS}) p"""

@@ -1,5 +1,7 @@
 """Review routing and clarification."""
 
+from rulewright.sources.adapters import view
+
 OPS: dict[str, str] = {}
 
 # fixed values: rows of the decision table in order of priority: condition, action, reason. The calibrated confidence
@@ -36,10 +38,20 @@ OPS["rte_04_reasons"] = f"""
 SELECT suggestion_id, concat_ws(',', CASE WHEN has_conflict THEN 'conflict' END, CASE WHEN is_duplicate THEN 'duplicate' END, CASE WHEN impact > 0.7 THEN 'high_impact' END, CASE WHEN complexity > 0.5 THEN 'complex' END, CASE WHEN confidence < 0.6 THEN 'low_confidence' END) AS factors,
   concat_ws(',', CASE WHEN has_conflict THEN 'resolve_conflict' END, CASE WHEN is_duplicate THEN 'merge_or_reject' END, CASE WHEN schema_status <> 'PASS' THEN 'fix_references' END) AS actions FROM ({_RISK}) r"""
 OPS["rte_05_queue"] = f"SELECT reviewer, priority, count(*) AS n, round(avg(CAST(risk AS DOUBLE)), 6) AS mean_risk FROM ({_ROUTE}) q WHERE priority <> 'auto_approved' GROUP BY reviewer, priority"
-OPS["rte_06_clarification"] = """
-SELECT suggestion_id, concat_ws(' ', CASE WHEN business_term IS NULL THEN 'Which metric or term do you mean?' END, CASE WHEN n_conditions = 0 THEN 'When should the rule apply?' END, CASE WHEN n_tables = 0 THEN 'Which tables does it concern?' END, CASE WHEN confidence < 0.3 THEN 'Can you give an example?' END) AS questions,
-  concat_ws(',', CASE WHEN business_term IS NULL THEN 'term' END, CASE WHEN n_conditions = 0 THEN 'condition' END, CASE WHEN n_tables = 0 THEN 'entity' END) AS focus FROM suggestions WHERE business_term IS NULL OR n_conditions = 0 OR n_tables = 0 OR confidence < 0.3"""
-OPS["rte_07_payload"] = "SELECT suggestion_id, concat_ws('; ', CASE WHEN business_term IS NULL THEN 'incomplete' END, CASE WHEN needs_clarification THEN 'ambiguous' END, CASE WHEN schema_status = 'FAIL' THEN 'unresolved fields' END) AS reason, needs_clarification OR business_term IS NULL AS is_mandatory FROM suggestions"
+# questions of a domain for each gap, in order
+view("question_templates", """
+SELECT * FROM (VALUES ('', 'term', 1, 'Which metric or term do you mean?'), ('', 'condition', 2, 'When should the rule apply?'), ('', 'condition', 3, 'Which values are meant?'), ('', 'entity', 4, 'Which tables does it concern?'), ('', 'example', 5, 'Can you give an example?'),
+  ('global', 'condition', 6, 'Does it hold for every region?'), ('regional', 'condition', 7, 'Which region is meant?'), ('departmental', 'entity', 8, 'Which department owns the data?'), ('regional', 'example', 9, 'When should the rule apply?')) AS t(domain, gap, pos, question)""")
+_GAPS = """
+SELECT suggestion_id, scope AS domain, 'term' AS gap FROM suggestions WHERE business_term IS NULL UNION ALL SELECT suggestion_id, scope, 'condition' FROM suggestions WHERE n_conditions = 0 UNION ALL SELECT suggestion_id, scope, 'entity' FROM suggestions WHERE n_tables = 0 UNION ALL SELECT suggestion_id, scope, 'example' FROM suggestions WHERE confidence < 0.3"""
+# a question that comes twice is asked once, where it comes first; five at most
+_ASKED = f"SELECT suggestion_id, question, pos, row_number() OVER (PARTITION BY suggestion_id ORDER BY pos) AS rn FROM (SELECT g.suggestion_id, q.question, min(q.pos) AS pos FROM ({_GAPS}) g JOIN question_templates q ON q.gap = g.gap AND (q.domain = '' OR q.domain = g.domain) GROUP BY g.suggestion_id, q.question) x"
+_ROUND = f"SELECT suggestion_id, AGG{{question| |pos}} AS questions, count(*) AS n_questions FROM ({_ASKED}) y WHERE rn <= 5 GROUP BY suggestion_id"
+OPS["rte_06_clarification"] = f"""
+SELECT q.suggestion_id, q.questions, q.n_questions, f.focus, round(greatest(CAST(0 AS DOUBLE), 1 - f.n / CAST(4 AS DOUBLE)), 6) AS confidence FROM ({_ROUND}) q JOIN (SELECT suggestion_id, AGG{{gap|,|gap}} AS focus, count(*) AS n FROM ({_GAPS}) g GROUP BY suggestion_id) f ON f.suggestion_id = q.suggestion_id"""
+OPS["rte_07_payload"] = f"""
+SELECT s.suggestion_id, concat_ws('; ', CASE WHEN s.business_term IS NULL OR s.n_conditions = 0 OR s.n_tables = 0 THEN 'incomplete' END, CASE WHEN s.needs_clarification THEN 'ambiguous' END, CASE WHEN s.schema_status = 'FAIL' THEN 'unresolved fields' END) AS reason, s.needs_clarification OR s.business_term IS NULL AS is_mandatory,
+  concat_ws(' ', q.questions, CASE WHEN s.needs_clarification THEN 'Which exact wording is meant?' END, CASE WHEN s.schema_status = 'FAIL' THEN 'Which column holds this?' END) AS questions FROM suggestions s LEFT JOIN ({_ROUND}) q ON q.suggestion_id = s.suggestion_id"""
 OPS["rte_08_reanalysis"] = "SELECT conv_id, turn, concat(question, ' [CLARIFICATION] ', response) AS combined, question AS original FROM clarifications"
 OPS["rte_09_facts"] = "SELECT suggestion_id, i.idx, concat(rule_category, '_', CAST(i.idx AS STRING)) AS family_id, coalesce(business_term, 'metric') AS business_term FROM suggestions s CROSS JOIN (VALUES (0), (1)) AS i(idx) WHERE i.idx < n_conditions"
 OPS["rte_10_lineage"] = "SELECT s.suggestion_id, v.version_id AS model_id, p.version_id AS dataset_id, p.scope AS dataset_scope FROM suggestions s LEFT JOIN versions v ON v.version_id = s.run_id LEFT JOIN versions p ON p.version_id = v.parent_id"
