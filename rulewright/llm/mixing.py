@@ -144,6 +144,7 @@ def select_documents(docs: DataFrame, total: int | None = None, part: tuple[int,
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production mixture of all documents; odd input as in mix()."""
     return mix(common.load(spark, sf_dir, "documents"))
 
 
