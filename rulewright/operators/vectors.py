@@ -77,16 +77,16 @@ def sim_03_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sim_04_batched_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return batched_top_k(vectors, vectors.where("vec_id % 25 = 0"))
+    return batched_top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
 def sim_05_merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    queries = vectors.where("vec_id % 25 = 0")
+    queries = vectors.where("vec_id % 20 = 0")
     return merged_candidates(batched_top_k(vectors, queries), batched_top_k(vectors.where("label = 1"), queries))
 
 
-_COSINE = """SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 25 = 0 AND v.vec_id <> q.vec_id"""
+_COSINE = """SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id"""
 _RANKED = "SELECT query_id, vec_id, round(s, 6) AS similarity, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS place FROM ({0}) c) r WHERE place <= 10"
 ORACLES = {
     "sim_03_top_k": "SELECT vec_id, round(s, 6) AS similarity, CASE WHEN s >= 0.9 THEN 'very_high' WHEN s >= 0.75 THEN 'high' WHEN s >= 0.6 THEN 'medium' WHEN s >= 0.4 THEN 'low' ELSE 'none' END AS band FROM (SELECT v.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings v ON q.vec_id = 0 AND v.vec_id > 0 AND v.label <> 3) c WHERE s >= 0 ORDER BY s DESC, vec_id LIMIT 10",
