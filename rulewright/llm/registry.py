@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that some can be compared with."""
 
-from . import embeddings, huffman, katz, langid, mixing, neardup, packing, pii, topk, warc
+from . import embeddings, huffman, katz, langid, mixing, neardup, packing, pii, suffixes, topk, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_pack_binary": packing.op10_pack_binary,
+    "op11_suffix_array_dedup": suffixes.op11_suffix_array_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op9_exact_top_k": topk.ORACLE_SQL}
