@@ -64,6 +64,14 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard_part(df: DataFrame, part: str) -> None:
+    """Delete one partition folder (kind=1) of a scratch table written by saved() that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.split(f"/{part}/")[0] for f in df.inputFiles() if f"/{part}/" in f}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished steps now. It does so when the driver collects its garbage, which a
     driver with little to do may put off until long after a job of many steps."""

@@ -445,11 +445,19 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
     answers = common.saved(_answered(made.where("kind <> 0"), hot_anchors), "suffix-answers", "kind")
     total, hot = (int(x or 0) for x in answers.where("kind = 2").agg(F.sum("chunk"), F.sum("bucket")).first())
     cuts = splitters([r[0] for r in answers.where("kind = 1").select("blob").collect()], k, -(-total // range_anchors))
-    sent = common.saved(_sent(chunks, answers.where("kind = 0"), cuts, length), "suffixes", "kind")
+    common.discard_part(made, "kind=1")
+    common.discard_part(made, "kind=2")
     common.release(spark)
+    sent = _sent(chunks, answers.where("kind = 0"), cuts, length)
+    if hot:  # read twice
+        sent = common.saved(sent, "suffixes", "kind")
+        common.release(spark)
     found = _sorted_ranges(sent.where("kind = 0"), length).select("chunk", F.lit(0).alias("last"), "blob", F.lit(None).cast("long").alias("at"))
     if hot:
         found = found.unionByName(_across(sent.where("kind = 1")).select("chunk", F.lit(0).alias("last"), F.lit(None).cast("binary").alias("blob"), "at"))
+    found = common.saved(found, "repeated-windows")
+    del sent
+    common.release(spark)
     both = chunks.select("chunk", F.lit(1).alias("last"), "blob", F.lit(None).cast("long").alias("at")).unionByName(found)
     return _documents(both.repartition("chunk").sortWithinPartitions("chunk", "last"), length, with_text)
 
