@@ -21,24 +21,28 @@ FROM feedback f LEFT JOIN (SELECT * FROM ({OPS["ext_01_glossary_match"]}) y WHER
 OPERATIONS = [("exclude", "(exclude|remove|ignore|without)"), ("include", "(include|add|count)"), ("restrict", "(restrict|limit|only)"), ("map", "(map|rename|treat .* as)"), ("calculate", "(calculate|computed?)")]
 _FOUND = ", ".join(f"CASE WHEN RLIKE(lower(feedback_text), '{p}') THEN '{o}' END" for o, p in OPERATIONS)
 OPS["ext_03_operations"] = f"SELECT feedback_id, concat_ws(',', {_FOUND}) AS operations, coalesce({_FOUND}, 'unknown') AS first_operation FROM feedback"
-_FIELD = "([a-z_.]+) (is|equals|contains|matches) ([a-z0-9_]+)"
+_FIELD = r"(\w+(?:[.]\w+)?)\s+(is|equals|contains|matches)\s+['\"]?(\w+)"
 # fixed values: words that don't name the field of a comparison, and the operator of each comparison
 _COPULAS = "is|be|are|was|were|should|must|will|can|would|could|shall|the|a|an|of|to|by|that|this|for|in|at|with|than"
-_WORDS = "greater than|less than|more than|exceeds|above|over|below|under|at least|at most"
-# the field is the last word before the comparison that can name one
-_COMPARE = f"([a-z_.]+) +(?:(?:{_COPULAS}) +)*({_WORDS}) +([0-9]+(?:[.][0-9]+)?)"
-_NO_FIELD = "(" + ", ".join(f"'{w}'" for w in _COPULAS.split("|")) + ")"
-_EACH = "SELECT feedback_id, pos, tok FROM UNNEST{feedback|feedback_id|regexp_extract_all(lower(feedback_text), 'PATTERN', 0)} u"
+_COMPARE = r"\b(?:greater than|less than|more than|exceeds|above|over|below|under)\s+['\"]?[0-9.]+['\"]?\b"
+_EACH = "SELECT feedback_id, pos, tok FROM UNNEST{feedback|feedback_id|regexp_extract_all(lower(feedback_text), PATTERN, 0)} u"
+# what stands before each comparison: the pieces between comparisons and the comparisons before it, by their lengths
+_BEFORE = f"""
+SELECT feedback_id, pos, tok, substring(t, 1, CAST(upto - length(tok) AS INT)) AS before FROM (
+  SELECT p.feedback_id, p.pos, c.tok, p.t, sum(length(p.tok) + length(c.tok)) OVER (PARTITION BY p.feedback_id ORDER BY p.pos) AS upto
+  FROM (SELECT feedback_id, pos, tok, t FROM UNNEST{{compared|feedback_id, t|SPLITRE(t, {fixed.sql(_COMPARE)})}} a) p JOIN (SELECT feedback_id, pos, tok FROM UNNEST{{compared|feedback_id|regexp_extract_all(t, {fixed.sql(_COMPARE)}, 0)}} b) c ON c.feedback_id = p.feedback_id AND c.pos = p.pos) x"""
+view("compared", f"SELECT feedback_id, lower(feedback_text) AS t FROM feedback WHERE RLIKE(lower(feedback_text), {fixed.sql(_COMPARE)})")
+# the field is the last word before the comparison that can name one; a word counts without the marks at its ends
+_WORDS = f"KEEP⟦MAP⟦SPLITRE(before, '\\s+')¦w¦regexp_replace(w, '^[,;:()]+|[,;:()]+$', ''@G)⟧¦w¦w <> '' AND NOT RLIKE(w, '^({_COPULAS})$')⟧"
 # every match of a text, each with its own field, operator and value
 OPS["ext_04_conditions"] = f"""
-SELECT feedback_id, 0 AS kind, pos AS place, regexp_extract(tok, '{_FIELD}', 1) AS field, CASE regexp_extract(tok, '{_FIELD}', 2) WHEN 'contains' THEN 'contains' ELSE 'equals' END AS operator, regexp_extract(tok, '{_FIELD}', 3) AS value FROM ({_EACH.replace("PATTERN", _FIELD)}) a
+SELECT feedback_id, 0 AS kind, pos AS place, regexp_extract(tok, {fixed.sql(_FIELD)}, 1) AS field, CASE regexp_extract(tok, {fixed.sql(_FIELD)}, 2) WHEN 'contains' THEN 'contains' ELSE 'equals' END AS operator, regexp_extract(tok, {fixed.sql(_FIELD)}, 3) AS value FROM ({_EACH.replace("PATTERN", fixed.sql(_FIELD))}) a
 UNION ALL
-SELECT feedback_id, 1, pos, CASE WHEN regexp_extract(tok, '{_COMPARE}', 1) IN {_NO_FIELD} THEN 'metric' ELSE regexp_extract(tok, '{_COMPARE}', 1) END, CASE WHEN RLIKE(tok, 'at least') THEN 'greater_than_or_equal' WHEN RLIKE(tok, 'at most') THEN 'less_than_or_equal' WHEN RLIKE(tok, ' (less than|below|under) ') THEN 'less_than' ELSE 'greater_than' END, regexp_extract(tok, '{_COMPARE}', 3)
-FROM ({_EACH.replace("PATTERN", _COMPARE)}) b"""
+SELECT feedback_id, 1, pos, coalesce(LAST⟦words⟧, 'metric'), CASE WHEN RLIKE(tok, '^(less than|below|under)') THEN 'less_than' ELSE 'greater_than' END, regexp_extract(tok, '([0-9.]+)', 1) FROM (SELECT feedback_id, pos, tok, {_WORDS} AS words FROM ({_BEFORE}) y) z"""
 _AFTER = "(exclude|include|filter|remove|add|apply) (?:by )?([a-z_]+ [a-z_]+)"
 # fixed values: kinds of phrases with their confidence; of phrases that repeat the surest stays
 _KINDS = [("verb", _AFTER, 2, 0.75), ("when", "when ([a-z_. ]+)", 1, 0.7), ("where", "where ([a-z_. ]+)", 1, 0.7), ("if", "if ([a-z_. ]+)", 1, 0.7), ("noun", "([a-z_]+ [a-z_]+) (?:from|where|that) ", 1, 0.65)]
-_PHRASE = " UNION ALL ".join(f"SELECT feedback_id, trim(regexp_extract(tok, '{p}', {g})) AS phrase, '{k}' AS source, CAST({c} AS DOUBLE) AS confidence, {i} AS kind, pos FROM ({_EACH.replace('PATTERN', p)}) x{i}" for i, (k, p, g, c) in enumerate(_KINDS))
+_PHRASE = " UNION ALL ".join(f"SELECT feedback_id, trim(regexp_extract(tok, '{p}', {g})) AS phrase, '{k}' AS source, CAST({c} AS DOUBLE) AS confidence, {i} AS kind, pos FROM ({_EACH.replace('PATTERN', fixed.sql(p))}) x{i}" for i, (k, p, g, c) in enumerate(_KINDS))
 OPS["ext_05_candidates"] = f"SELECT feedback_id, phrase, source, confidence FROM (SELECT x.*, row_number() OVER (PARTITION BY feedback_id, phrase ORDER BY kind, pos) AS rn FROM ({_PHRASE}) x WHERE phrase NOT IN ('', 'revenue', 'calculation', 'total')) y WHERE rn = 1"
 # fixed values: words that are a status by themselves
 STATUS = "(cancelled|completed|pending|active|inactive|open|closed)"
@@ -106,9 +110,6 @@ FROM (SELECT c.rule_id, c.pos, c.domain_id, c.field, CASE WHEN s.table_name IS N
 LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.grounded
 UNION ALL SELECT r.rule_id, 1000 + t.pos, CASE WHEN n.table_name IS NULL THEN NULL ELSE coalesce(s.table_name, t.tok) END, CASE WHEN n.table_name IS NULL THEN t.tok END, s.table_name IS NOT NULL FROM rules r JOIN UNNEST{rules|rule_id|split(entity_tables, ';')} t ON t.rule_id = r.rule_id
 LEFT JOIN table_synonyms s ON s.domain = r.domain_id AND s.alias = t.tok LEFT JOIN (SELECT DISTINCT domain, table_name FROM catalog) n ON n.domain = r.domain_id AND n.table_name = coalesce(s.table_name, t.tok) WHERE t.tok <> ''"""
-OPS["ext_17_ground"] = """
-SELECT c.rule_id, c.pos, CASE WHEN k.column_name IS NULL THEN NULL ELSE c.field END AS field, CASE WHEN k.column_name IS NULL THEN c.field END AS pruned
-FROM conditions c LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field"""
 # fixed values: families of inferred conditions: pattern, field, operator, value ({1} and {2} stand for what it finds)
 INFER = [
     (r"\b(cancelled|canceled|completed|pending|refunded|failed) (orders?|payments?|transactions?|tickets?)\b", "{2}.status", "equals", "{1}"),
@@ -141,8 +142,9 @@ _PARTS = f"""
 SELECT t.feedback_id, t.term, t.confidence, o.first_operation AS operation, o.operations, s.scope, w.time_window, c.field, c.operator, c.value FROM ({OPS["ext_02_primary_term"]}) t JOIN ({OPS["ext_03_operations"]}) o ON o.feedback_id = t.feedback_id
 JOIN ({OPS["ext_08_scope"]}) s ON s.feedback_id = t.feedback_id JOIN ({OPS["ext_09_time_window"]}) w ON w.feedback_id = t.feedback_id LEFT JOIN (SELECT * FROM ({OPS["ext_04_conditions"]}) x WHERE kind = 0) c ON c.feedback_id = t.feedback_id"""
 OPS["ext_12_assemble"] = f"""
-SELECT feedback_id, term, operation, scope, time_window, field, operator, value, CASE WHEN field IS NULL THEN 0 ELSE 1 END AS n_conditions, round((confidence + CASE WHEN operation = 'unknown' THEN 0.3 ELSE 0.9 END + CASE WHEN field IS NULL THEN 0.4 ELSE 0.9 END) / 3, 6) AS overall,
-  concat_ws(';', 'term=' || term, 'op=' || operation, 'window=' || time_window) AS evidence FROM ({_PARTS}) p"""
+SELECT t.feedback_id, t.term, o.first_operation AS operation, s.scope, w.time_window, c.kind, c.place, c.field, c.operator, c.value, coalesce(n.n, 0) AS n_conditions, v.overall, concat_ws(';', 'term=' || t.term, 'op=' || o.first_operation, 'window=' || w.time_window) AS evidence
+FROM ({OPS["ext_02_primary_term"]}) t JOIN ({OPS["ext_03_operations"]}) o ON o.feedback_id = t.feedback_id JOIN ({OPS["ext_08_scope"]}) s ON s.feedback_id = t.feedback_id JOIN ({OPS["ext_09_time_window"]}) w ON w.feedback_id = t.feedback_id
+JOIN ({OPS["ext_11_confidence"]}) v ON v.feedback_id = t.feedback_id LEFT JOIN ({OPS["ext_04_conditions"]}) c ON c.feedback_id = t.feedback_id LEFT JOIN (SELECT feedback_id, count(*) AS n FROM ({OPS["ext_04_conditions"]}) m GROUP BY feedback_id) n ON n.feedback_id = t.feedback_id"""
 OPS["ext_16_complete"] = f"""
 SELECT c.rule_id, c.pos, coalesce(CASE WHEN instr(c.field, '.') > 0 THEN c.field END, r.field) AS field, CASE WHEN instr(c.field, '.') = 0 AND r.field IS NULL THEN 'needs_clarification' WHEN instr(c.field, '.') = 0 THEN 'resolved' ELSE 'explicit' END AS origin,
   CASE WHEN instr(c.field, '.') = 0 AND r.field IS NULL THEN CAST(0.3 AS DOUBLE) WHEN instr(c.field, '.') = 0 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END AS confidence FROM conditions c LEFT JOIN ({OPS["ext_15_resolve_field"]}) r ON r.rule_id = c.rule_id"""

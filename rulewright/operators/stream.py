@@ -3,7 +3,8 @@
 OPS: dict[str, str] = {}
 
 # fixed values: requests an hour of each bucket
-_LIMITS = "(VALUES ('feedback', 100), ('batch', 10), ('rules', 20), ('reviews', 200)) AS l(name, allowed)"
+LIMITS = {"feedback": 100, "batch": 10, "rules": 20, "reviews": 200}
+_LIMITS = "(VALUES " + ", ".join(f"('{p}', {n})" for p, n in LIMITS.items()) + ") AS l(name, allowed)"
 OPS["str_01_fixed_window"] = f"""
 SELECT w.policy, w.subject, w.window_start, w.n, l.allowed, w.n > l.allowed AS over_limit, greatest(w.n - l.allowed, 0) AS refused FROM (SELECT policy, subject, date_trunc('hour', ts) AS window_start, count(*) AS n FROM request_log GROUP BY policy, subject, date_trunc('hour', ts)) w
 JOIN {_LIMITS} ON l.name = w.policy"""

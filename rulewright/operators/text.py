@@ -7,8 +7,8 @@ OPS: dict[str, str] = {}
 # NFKC is left to functions.text.normalise_unicode, ASCII rows need none. Cutting into sentences and tokens and joining
 # them again changes nothing once blanks are single, so these steps only count.
 _BLANKS = r"trim(regexp_replace(feedback_text, '\s+', ' '@G))"
-_NORMAL = f"regexp_replace({_BLANKS}, {fixed.sql(fixed.PUNCTUATION)}, ' '@G)"
-OPS["txt_01_normalise"] = f"SELECT feedback_id, {_NORMAL} AS processed_text FROM feedback"
+NORMAL = f"regexp_replace({_BLANKS}, {fixed.sql(fixed.PUNCTUATION)}, ' '@G)"
+OPS["txt_01_normalise"] = f"SELECT feedback_id, {NORMAL} AS processed_text FROM feedback"
 
 _SENTENCES = f"CAST(length({_BLANKS}) - length(regexp_replace({_BLANKS}, '[.!?] ', '.'@G)) + 1 AS STRING)"
 _STEPS = [
@@ -16,7 +16,7 @@ _STEPS = [
     ("whitespace_normalization", "feedback_text", _BLANKS, "'Collapsed whitespace, trimmed edges'"),
     ("sentence_segmentation", _BLANKS, _BLANKS, f"concat('Segmented into ', {_SENTENCES}, ' sentences')"),
     ("tokenization", _BLANKS, _BLANKS, f"concat('Tokenized into ', CAST(CASE WHEN {_BLANKS} = '' THEN 0 ELSE length({_BLANKS}) - length(replace({_BLANKS}, ' ', '')) + 1 END AS STRING), ' tokens')"),
-    ("punctuation_removal", _BLANKS, _NORMAL, "'Removed non-critical punctuation'"),
+    ("punctuation_removal", _BLANKS, NORMAL, "'Removed non-critical punctuation'"),
 ]
 OPS["txt_02_step_log"] = " UNION ALL ".join(f"SELECT feedback_id, {i} AS pos, '{step}' AS step, {before} AS input, {after} AS output, {changes} AS changes FROM feedback" for i, (step, before, after, changes) in enumerate(_STEPS))
 
@@ -40,10 +40,10 @@ SELECT feedback_id, AGG{term| |pos, term} AS keywords, count(*) AS n_keywords FR
     ON g.term = t.tok OR g.term = concat(t.tok, 's') OR concat(g.term, 's') = t.tok OR (t.tok LIKE '%ies' AND g.term = concat(substring(t.tok, 1, length(t.tok) - 3), 'y'))
   ) m GROUP BY feedback_id"""
 
-OPS["txt_06_schema_references"] = """
-SELECT feedback_id, regexp_extract(feedback_text, '([a-z_]+[.][a-z_]+)', 1) AS dotted, regexp_extract(lower(feedback_text), '(from|join|table|column) ([a-z_]+)', 2) AS after_keyword,
-  RLIKE(lower(feedback_text), '(table|column|field|schema)') AS names_schema FROM feedback"""
-
+# fixed values: what refers to a schema: dotted names, quoted ones, what follows a keyword of SQL, and words for its parts
+_NAME = r"(?:\w+[.]\w+|\"[^\"]+\"|`[^`]+`)"
+_REFERENCES = [("dotted", "feedback_text", r"\b\w+[.]\w+\b"), ("quoted", "feedback_text", r"\"[^\"]+\"|`[^`]+`"), ("keyword", "feedback_text", rf"(?i)\b(?:select|where|from|group\s+by|order\s+by)\s+{_NAME}"), ("noun", "lower(feedback_text)", r"\b(?:table|column|field|attribute|join|relationship|foreign\s+key)\b")]
+OPS["txt_06_schema_references"] = " UNION ALL ".join(f"SELECT feedback_id, '{kind}' AS kind, pos AS place, {chr(39).join(('regexp_replace(tok, ', '^[\"`]|[\"`]$', ', ', '', '@G)')) if kind == 'quoted' else 'tok'} AS reference FROM UNNEST{{feedback|feedback_id|regexp_extract_all({text}, {fixed.sql(pattern)}, 0)}} u{i}" for i, (kind, text, pattern) in enumerate(_REFERENCES))
 
 
 def masked(column: str) -> str:

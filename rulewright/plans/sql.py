@@ -11,6 +11,9 @@ AGG{a|sep|order}       texts a of a group joined by sep, ordered by order
 COUNT⟦array¦x¦test⟧    how many elements x of an array pass the test
 MAP⟦array¦x¦value⟧     the array of the values of its elements x
 SERIES(n)              the array of 0 to n - 1; n is a column
+SPLITRE(a, b)          a cut at what the pattern b finds
+LAST⟦array⟧            the last element of an array, null of an empty one
+KEEP⟦array¦x¦test⟧     the elements x of an array that pass the test
 
 Backslashes are written as the pattern has them.
 """
@@ -25,12 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+_TABLE = re.compile(r"(?:(?:\bFROM|\bJOIN)\s+(?!UNNEST\{)|UNNEST\{)([A-Za-z_][A-Za-z_0-9]*)")
 _LITERAL = re.compile(r"'[^']*'")
 _UNNEST = re.compile(r"UNNEST\{([^|]*)\|([^|]*)\|((?:[^{}]|\{[^{}]*\})*)\}")
 _JSON = re.compile(r"JSON\(([^,()]+), (\w+)\)")
 _AGG = re.compile(r"AGG\{([^|]*)\|([^|]*)\|([^}]*)\}")
 _COUNT = re.compile(r"COUNT⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
 _MAP = re.compile(r"MAP⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
+_KEEP = re.compile(r"KEEP⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
+_LAST = re.compile(r"LAST⟦([^⟦⟧]*)⟧")
 _SERIES = re.compile(r"SERIES\((\w+)\)")
 _SECONDS = re.compile(r"SECONDS\(([^()]+)\)")
 
@@ -43,8 +49,10 @@ def spark_text(sql: str) -> str:
     sql = re.sub(r"SHA\((\w+)\)", r"sha2(\1, 256)", sql)
     sql = _SERIES.sub(r"filter(sequence(0, CAST(\1 AS INT)), x_ -> x_ < \1)", sql)
     sql = _MAP.sub(r"transform(\1, \2 -> \3)", sql)
+    sql = _KEEP.sub(r"filter(\1, \2 -> \3)", sql)
+    sql = _LAST.sub(r"try_element_at(\1, -1)", sql)
     sql = _COUNT.sub(r"CAST(size(filter(\1, \2 -> \3)) AS BIGINT)", sql)
-    return sql.replace("RLIKE(", "regexp_like(").replace("@G", "").replace("\\", "\\\\")
+    return sql.replace("SPLITRE(", "split(").replace("RLIKE(", "regexp_like(").replace("@G", "").replace("\\", "\\\\")
 
 
 def _counted(sql: str) -> str:
@@ -67,14 +75,16 @@ def other_text(sql: str) -> str:
     sql = _SECONDS.sub(r"CAST(floor(epoch(\1)) AS BIGINT)", sql)
     sql = _SERIES.sub(r"range(CAST(\1 AS BIGINT))", sql)
     sql = _MAP.sub(r"list_transform(\1, lambda \2: \3)", sql)
+    sql = _KEEP.sub(r"list_filter(\1, lambda \2: \3)", sql)
+    sql = _LAST.sub(r"list_extract(\1, -1)", sql)
     sql = _COUNT.sub(r"CAST(len(list_filter(\1, lambda \2: \3)) AS BIGINT)", sql)
     sql = _counted(sql)
-    return sql.replace("RLIKE(", "regexp_matches(").replace("@G", ", 'g'").replace("SHA(", "sha256(")
+    return sql.replace("SPLITRE(", "regexp_split_to_array(").replace("RLIKE(", "regexp_matches(").replace("@G", ", 'g'").replace("SHA(", "sha256(")
 
 
 @dataclass(frozen=True)
 class View:
-    """A named query; names of other views and of base tables in its text are its inputs."""
+    """A named query; what its text reads by FROM, JOIN or UNNEST is its inputs."""
 
     name: str
     sql: str
@@ -85,7 +95,7 @@ def closure(sql: str, views: dict[str, View], given: frozenset[str] = frozenset(
     found: dict[str, View] = {}
 
     def visit(text: str) -> None:
-        for word in _WORD.findall(_LITERAL.sub(" ", text)):
+        for word in _TABLE.findall(_LITERAL.sub(" ", text)):
             if word in views and word not in found and word not in given:
                 visit(views[word].sql)
                 found[word] = views[word]

@@ -80,21 +80,8 @@ def str_03_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bucket", F.unix_seconds("w.start").alias("minute_start"), "n", F.round(F.col("n") / 300.0, 6).alias("per_second"))
 
 
-def str_05_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback as it arrives, classified by the same operators as in batch and appended as facts."""
-    path = scratch(spark, "facts")
-
-    def step(batch: DataFrame, n: int) -> None:
-        facts = operators.apply(batch.sparkSession, "cls_06_cascade", events=batch)
-        facts.withColumn("batch", F.lit(n)).write.mode("append").parquet(path)
-
-    drain(events(spark, sf_dir), "append", step)
-    return spark.read.parquet(path).drop("batch")
-
-
-QUERIES = {"str_01_stream": str_01_stream, "str_02_stream": str_02_stream, "str_03_stream": str_03_stream, "str_05_continuous": str_05_continuous}
+QUERIES = {"str_01_stream": str_01_stream, "str_02_stream": str_02_stream, "str_03_stream": str_03_stream}
 ORACLES = {
     "str_01_stream": "SELECT event_type AS bucket, user_id AS subject, date_trunc('day', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL",
     "str_03_stream": operators.oracle("str_03_rates"),
-    "str_05_continuous": operators.oracle("cls_06_cascade"),
 }

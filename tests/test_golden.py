@@ -245,7 +245,38 @@ def test_every_condition_of_a_text(spark):
     text = "Exclude orders where status is cancelled and region is emea, the total should be above 10 and the fee is less than 2.5; over 7"
     got = operators.apply(spark, "ext_04_conditions", feedback=feedback(spark, [text])).collect()
     assert sorted((r.kind, r.place, r.field, r.operator, r.value) for r in got) == [
-        (0, 0, "status", "equals", "cancelled"), (0, 1, "region", "equals", "emea"), (0, 2, "fee", "equals", "less"), (1, 0, "total", "greater_than", "10"), (1, 1, "fee", "less_than", "2.5")]
+        (0, 0, "status", "equals", "cancelled"), (0, 1, "region", "equals", "emea"), (0, 2, "fee", "equals", "less"), (1, 0, "total", "greater_than", "10"), (1, 1, "fee", "less_than", "2.5"), (1, 2, "2.5", "greater_than", "7")]
+
+
+def test_comparisons_wherever_they_stand(spark):
+    texts = ["revenue is above 100", "Above 100 only", "orders, above 100", "10 over 100 items", "order count in 2024 above 5", "Size more than '3', (age) exceeds 4.5.", "net_total, is to be under 7", "the above", "orders.total contains \"x1\" and a matches b", None, ""]
+    got = operators.apply(spark, "ext_04_conditions", feedback=feedback(spark, texts)).collect()
+    assert sorted((r.feedback_id, r.kind, r.place, r.field, r.operator, r.value) for r in got) == [
+        (0, 0, 0, "revenue", "equals", "above"), (0, 1, 0, "revenue", "greater_than", "100"), (1, 1, 0, "metric", "greater_than", "100"), (2, 1, 0, "orders", "greater_than", "100"), (3, 1, 0, "10", "greater_than", "100"), (4, 1, 0, "2024", "greater_than", "5"),
+        (5, 1, 0, "size", "greater_than", "3"), (5, 1, 1, "age", "greater_than", "4.5"), (6, 1, 0, "net_total", "less_than", "7"), (8, 0, 0, "orders.total", "contains", "x1"), (8, 0, 1, "a", "equals", "b")]
+
+
+def test_assembled_rules_hold_every_condition(spark):
+    got = operators.apply(spark, "ext_12_assemble", feedback=feedback(spark, ["Exclude revenue where region is emea and total above 10", "Include it"])).collect()
+    assert sorted((r.feedback_id, r.kind, r.field, r.value, r.n_conditions) for r in got if r.feedback_id == 0) == [(0, 0, "region", "emea", 2), (0, 1, "total", "10", 2)]
+    assert [(r.field, r.n_conditions) for r in got if r.feedback_id == 1] == [(None, 0)]
+    # term 0.95, operation 0.95, conditions 0.7, scope 0.8, entities 0.75
+    assert {r.overall for r in got if r.feedback_id == 0} == {pytest.approx((0.95 + 0.95 + 0.7 + 0.8 + 0.75) / 5)}
+
+
+def test_synonyms_and_tables_are_grounded(spark):
+    rules = spark.createDataFrame([("R", "ecommerce", "purchases;completed;customers")], "rule_id string, domain_id string, entity_tables string")
+    conditions = spark.createDataFrame([("R", 0, "ecommerce", "order.status"), ("R", 1, "ecommerce", "orders.nothing"), ("R", 2, "ecommerce", "customers.region")], "rule_id string, pos int, domain_id string, field string")
+    got = operators.apply(spark, "ext_17_ground", rules=rules, conditions=conditions).collect()
+    assert sorted((r.pos, r.field, r.pruned, r.renamed) for r in got) == [
+        (0, "orders.status", None, True), (1, None, "orders.nothing", False), (2, "customers.region", None, False), (1000, "orders", None, True), (1001, None, "completed", False), (1002, "customers", None, False)]
+
+
+def test_every_reference_of_a_text(spark):
+    texts = ['Use "net sales" FROM orders.total and `x y` where "a b" join a.b', "plain", None]
+    got = operators.apply(spark, "txt_06_schema_references", feedback=feedback(spark, texts)).collect()
+    assert sorted((r.feedback_id, r.kind, r.place, r.reference) for r in got) == [
+        (0, "dotted", 0, "orders.total"), (0, "dotted", 1, "a.b"), (0, "keyword", 0, "FROM orders.total"), (0, "keyword", 1, 'where "a b"'), (0, "noun", 0, "join"), (0, "quoted", 0, "net sales"), (0, "quoted", 1, "x y"), (0, "quoted", 2, "a b")]
 
 
 def test_quantiles_lie_between_the_edges(spark):
