@@ -6,8 +6,8 @@ into a dense array by np.bincount, its cells are their own addresses; all others
 that are frequent enough are ranked again and become ids themselves: two of them that overlap in all but a word make a
 phrase one word longer, up to the longest.
 
-How it runs. Texts are read once into chunks of one language; only a chunk's distinct words are shuffled as text. At each
-length a chunk counts its own pairs and sends the distinct ones to buckets, which add them up; a tile is dealt over as many
+How it runs. Texts are read once into chunks of one language; only a chunk's distinct words are shuffled as text, to buckets
+that add them up and answer with their ids. At each length a chunk counts its own pairs and sends the distinct ones to buckets, which add them up; a tile is dealt over as many
 buckets as its share of all pairs asks for, by cell, so the commonest words don't meet in one task. Buckets look up
 the new ids for what each chunk asked. Counts of all first and last parts of a phrase follow it along the joins of the
 tables, so that scores need no further pass.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -127,21 +128,33 @@ def words_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
     return found.dictionary, ids
 
 
-_READ = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("local", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
+_STEP = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("lang", pa.string()), ("blob", pa.binary())])
+_STEPS = "kind int, bucket long, chunk long, lang string, blob binary"
+
 
+def _joined(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"\n".join(words), np.uint8)
 
-def _read(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """kind 0: a chunk's language and words; kind 1: a distinct word of a chunk, its number there and its count."""
+
+def _read(docs: DataFrame, chunk_bytes: int, n_buckets: int) -> DataFrame:
+    """kind 0: a chunk's language and words, numbered by bucket, and how many distinct ones each bucket has; kind 1: those of
+    a bucket with their counts."""
 
     def chunk_of(number: int, lang: str, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words, ids = words_of(b"\n".join(parts))
-        yield batch_of([(0, number, lang, None, None, None, packed(small(ids)))], _READ)
-        counts = np.bincount(ids, minlength=len(words) + 1)[1:]
-        for lo in range(0, len(words), 50_000):
-            part = words.slice(lo, 50_000)
-            m = len(part)
-            fill = [pa.array(np.ones(m, np.int32)), pa.array(np.full(m, number)), pa.array([lang] * m), part, pa.array(np.arange(lo + 1, lo + m + 1)), pa.array(counts[lo : lo + m]), pa.nulls(m, pa.binary())]
-            yield pa.RecordBatch.from_arrays(fill, schema=_READ)
+        found, ids = words_of(b"\n".join(parts))
+        if not len(found):
+            return
+        words = np.array(found.cast(pa.binary()).to_pylist(), dtype=object)
+        bucket = (pd.util.hash_array(words, categorize=False) % np.uint64(n_buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        moved = np.zeros(len(by) + 1, dtype=np.int64)
+        moved[by + 1] = np.arange(1, len(by) + 1)
+        ids = moved[ids]
+        counts, (some, sizes) = np.bincount(ids, minlength=len(by) + 1)[1:], np.unique(bucket, return_counts=True)
+        rows = [(0, None, number, lang, packed(small(ids), small(some), small(sizes)))]
+        for b, lo, hi in zip(some.tolist(), (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
+            rows.append((1, b, number, lang, packed(_joined(words[by[lo:hi]].tolist()), small(counts[lo:hi]))))
+        yield batch_of(rows, _STEP)
         common.trim()
 
     def pieces(text: bytes) -> Iterator[bytes]:
@@ -161,7 +174,7 @@ def _read(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                 for piece in pieces((text.as_py() or b"").translate(_SPACES)):
                     parts.setdefault(lang, []).append(piece)
                     sizes[lang] = sizes.get(lang, 0) + len(piece)
-                    while sizes and (sizes[lang] if lang in sizes else 0) >= chunk_bytes or sum(sizes.values()) >= 2 * chunk_bytes:
+                    while sizes.get(lang, 0) >= chunk_bytes or sum(sizes.values()) >= 2 * chunk_bytes:
                         most = max(sizes, key=sizes.get)
                         yield from chunk_of(number, most, parts.pop(most))
                         del sizes[most]
@@ -170,7 +183,49 @@ def _read(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             yield from chunk_of(number, lang, part)
             number += 1
 
-    return docs.mapInArrow(run, "kind int, chunk long, lang string, word string, local long, n long, blob binary")
+    return docs.mapInArrow(run, _STEPS)
+
+
+_ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
+_WORDS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("c", pa.int64())])
+
+
+def _word_sums(asked: DataFrame, least: int) -> DataFrame:
+    """bucket, lang, word, c of words that occur `least` times or more, and a row without a word for all words of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in by_key(batches):
+            for lo, hi in runs(np.array([r[0] for r in rows])):
+                parts = [unpacked(r[2]) for r in rows[lo:hi]]
+                words = pa.array([w for p in parts for w in p[0].tobytes().split(b"\n")], pa.binary()).dictionary_encode()
+                sums = np.bincount(words.indices.to_numpy(), np.concatenate([p[1] for p in parts])).astype(np.int64)
+                some = np.flatnonzero(sums >= least)
+                m = len(some) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, bucket)), pa.array([rows[lo][0]] * m), pa.array([None, *words.dictionary.take(pa.array(some)).to_pylist()], pa.binary()), pa.array(np.append(sums.sum(), sums[some]))], schema=_WORDS)
+        common.trim()
+
+    rows = asked.select("bucket", "lang", "chunk", "blob").repartition("bucket").sortWithinPartitions("bucket", "lang", "chunk")
+    return rows.mapInArrow(run, "bucket long, lang string, word binary, c long")
+
+
+def _word_ids(asked: DataFrame, level: DataFrame) -> DataFrame:
+    """chunk, bucket, blob: the ids (0: not frequent) of a chunk's words of a bucket. level: bucket, lang, word, id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in by_key(batches):
+            for lo, hi in runs(np.array([r[0] for r in rows])):
+                known = {word: i for _, chunk, _, word, i in rows[lo:hi] if chunk is None}
+                out = []
+                for _, chunk, blob, *_ in rows[lo + len(known) : hi] if known else []:
+                    ids = np.array([known.get(w, 0) for w in unpacked(blob)[0].tobytes().split(b"\n")], dtype=np.int64)
+                    if ids.any():
+                        out.append((chunk, bucket, packed(small(ids))))
+                yield batch_of(out, _ANSWER)
+
+    none = lambda **types: [F.lit(None).cast(t).alias(c) for c, t in types.items()]
+    rows = asked.select("bucket", "lang", "chunk", "blob", *none(word="binary", id="long")).unionByName(level.select("bucket", "lang", *none(chunk="long", blob="binary"), "word", "id"))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "lang", F.asc_nulls_first("chunk"))
+    return rows.mapInArrow(run, "chunk long, bucket long, blob binary")
 
 
 def ranked(rows: DataFrame, *ties: str) -> DataFrame:
@@ -196,10 +251,6 @@ def _layout(level: DataFrame, bucket_pairs: int, tile: int) -> Layout:
     return Layout(max(1, -(-int(sum(m.sum() for m in mass.values())) // bucket_pairs)), bucket_pairs, tile, mass)
 
 
-_STEP = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("lang", pa.string()), ("blob", pa.binary())])
-_STEPS = "kind int, bucket long, chunk long, lang string, blob binary"
-
-
 def _cells(ids: np.ndarray, lang: str, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's pairs by bucket: ids, counts and buckets, where in ids each occurrence starts, and its pair."""
     at, a, b = _pairs(ids)
@@ -223,31 +274,28 @@ def _asked(chunk: int, lang: str, ids: np.ndarray, layout: Layout, whole: bool)
     yield batch_of(rows, _STEP)
 
 
-def _first(read: DataFrame, words: DataFrame, layout: Layout, last: bool) -> DataFrame:
-    """Chunks by ids of frequent words, and what they ask of pairs. words: lang, word, id."""
+def _first(read: DataFrame, answers: DataFrame, layout: Layout, last: bool) -> DataFrame:
+    """Chunks by ids of frequent words, and what they ask of pairs."""
     shared = read.sparkSession.sparkContext.broadcast(layout)
-    numbered = read.where("kind = 1").select("chunk", "lang", "word", "local").join(words.select("lang", "word", "id").hint("merge"), ["lang", "word"])
-    both = numbered.select("chunk", F.lit(0).alias("whole"), "lang", "local", "id", F.lit(None).cast("binary").alias("blob"))
-    both = both.unionByName(read.where("kind = 0").select("chunk", F.lit(1).alias("whole"), "lang", F.lit(0).cast("long").alias("local"), F.lit(0).cast("long").alias("id"), "blob"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for batch in batches:
-            chunk, whole = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi in runs(chunk):
-                if chunk[lo] != now:
-                    now, parts = int(chunk[lo]), []
-                high = lo + int(np.searchsorted(whole[lo:hi], 1))
-                parts.append((batch.column(3).to_numpy()[lo:high], batch.column(4).to_numpy()[lo:high]))
-                if high < hi:
-                    flat = unpacked(batch.column(5)[high].as_py())[0]
-                    table = np.zeros(int(flat.max(initial=0)) + 1, dtype=np.int64)
-                    for local, i in parts:
-                        table[local] = i
-                    yield from _asked(now, batch.column(2)[high].as_py(), table[flat], shared.value, not last)
-                    common.trim()
-
-    return both.repartition("chunk").sortWithinPartitions("chunk", "whole").select("chunk", "whole", "lang", "local", "id", "blob").mapInArrow(run, _STEPS)
+        for chunk, rows in by_key(batches):
+            *found, (whole, _, lang, blob) = rows
+            if found and whole:
+                ids, some, sizes = unpacked(blob)
+                said = {b: blob for _, b, _, blob in found}
+                table = [np.zeros(1, dtype=np.int64)]
+                table += [unpacked(said[b])[0] if b in said else np.zeros(n, dtype=np.int64) for b, n in zip(some.tolist(), sizes.tolist(), strict=True)]
+                yield from _asked(chunk, lang, np.concatenate(table)[ids], shared.value, not last)
+                common.trim()
+
+    return _by_chunk(read, answers).mapInArrow(run, _STEPS)
+
+
+def _by_chunk(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows of chunk, whole, bucket, lang, blob: a chunk's answers, then the chunk."""
+    rows = chunks.select("chunk", F.lit(1).alias("whole"), F.lit(0).cast("long").alias("bucket"), "lang", "blob").unionByName(answers.select("chunk", F.lit(0).alias("whole"), "bucket", F.lit(None).cast("string").alias("lang"), "blob"))
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "whole", "bucket")
 
 
 _SUMS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
@@ -280,9 +328,6 @@ def _places(a: np.ndarray, b: np.ndarray, known_a: np.ndarray, known_b: np.ndarr
     return np.where((firsts[at] == a) & (key[place] == at * width + b), place, -1)
 
 
-_ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
-
-
 def _answered(asked: DataFrame, level: DataFrame) -> DataFrame:
     """chunk, bucket, blob: the new ids (0: not frequent) of what each chunk asked. level: bucket, lang, a, b, id."""
 
@@ -328,25 +373,28 @@ def _next(chunks: DataFrame, answers: DataFrame, before: Layout, layout: Layout,
             yield from _asked(chunk, lang, longer, new, not last)
             common.trim()
 
-    rows = chunks.select("chunk", F.lit(1).alias("whole"), F.lit(0).cast("long").alias("bucket"), "lang", "blob").unionByName(answers.select("chunk", F.lit(0).alias("whole"), "bucket", F.lit(None).cast("string").alias("lang"), "blob"))
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "whole", "bucket").mapInArrow(run, _STEPS)
+    return _by_chunk(chunks, answers).mapInArrow(run, _STEPS)
 
 
 # ---- phrases -------------------------------------------------------------------------------------------------------
 
 
-def counted(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", chunk_bytes: int = 8 << 20, bucket_pairs: int = 1_000_000, tile: int = 1024) -> tuple[DataFrame, list[DataFrame]]:
+def counted(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", chunk_bytes: int = 8 << 20, bucket_pairs: int = 1_000_000, bucket_bytes: int = 64 << 20, tile: int = 1024) -> tuple[DataFrame, list[DataFrame]]:
     """All words of each language (lang, n), and for each length from 1 to `longest` the phrases that occur `least` times or
     more: lang, id, c, phrase, last (word), firsts and lasts (counts of its first and last parts, by length), and from
     length 2 on the ids a and b of the phrase without its last and first word.
     """
     lang, text = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("string").cast("binary")
-    read = common.saved(_read(docs.select(lang.alias("lang"), text.alias("text")), chunk_bytes), "phrase-chunks", "kind")
-    words = common.saved(read.where("kind = 1").groupBy("lang", "word").agg(F.sum("n").alias("c")), "words")
-    totals = words.groupBy("lang").agg(F.sum("c").alias("n"))
-    level = common.saved(ranked(words.where(F.col("c") >= least), "word").withColumns({"phrase": F.col("word"), "last": F.col("word"), "firsts": F.array("c"), "lasts": F.array("c")}), "phrases-1")
+    rows = docs.select(lang.alias("lang"), text.alias("text"))
+    n_buckets = 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
+    read = common.saved(_read(rows, chunk_bytes, n_buckets), "phrase-chunks", "kind")
+    words = common.saved(_word_sums(read.where("kind = 1"), least), "words")
+    totals = words.where("word is null").groupBy("lang").agg(F.sum("c").alias("n"))
+    ids = ranked(words.where("word is not null"), "word")
+    word = F.col("word").cast("string")
+    level = common.saved(ids.withColumns({"phrase": word, "last": word, "firsts": F.array("c"), "lasts": F.array("c")}), "phrases-1")
     levels, layout = [level], _layout(level, bucket_pairs, tile)
-    step = common.saved(_first(read, level, layout, longest == 2), "phrase-step", "kind") if longest > 1 and layout.mass else None
+    step = common.saved(_first(read.where("kind = 0"), common.saved(_word_ids(read.where("kind = 1"), level), "word-ids"), layout, longest == 2), "phrase-step", "kind") if longest > 1 and layout.mass else None
     for length in range(2, longest + 1):
         if step is None:
             break

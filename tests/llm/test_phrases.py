@@ -41,7 +41,7 @@ def test_same_as_plain_counts(spark, least, chunk, bucket, tile):
     rows = [(["en", "en", "fr", None, "und"][int(rng.integers(0, 5))], text()) for _ in range(60)]
     rows += [("en", None), ("en", ""), ("de", "one two three four five six " * 40), ("fr", "New York new york. " * 30), ("fr", "New York new york. " * 30)]
     df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "lang string, text string, n int, word string, chunk int").repartition(3)
-    got = phrases.collocations(df, least, chunk_bytes=chunk, bucket_pairs=bucket, tile=tile, top=25)
+    got = phrases.collocations(df, least, chunk_bytes=chunk, bucket_pairs=bucket, tile=tile, bucket_bytes=3000, top=25)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, least, 5, 25)
 
 
