@@ -56,12 +56,19 @@ OPS["gen_10_all"] = f"SELECT concat('GEN', substring(md5(concat(generator, '|',
 OPS["gen_10_counts"] = f"SELECT generator, gen_order, count(*) AS n, count(DISTINCT feedback_text) AS n_texts FROM ({_ALL}) g GROUP BY generator, gen_order"
 OPS["gen_11_dedupe"] = f"SELECT generator, source_id, feedback_text FROM (SELECT g.*, row_number() OVER (PARTITION BY feedback_text ORDER BY gen_order, source_id) AS rn FROM ({_ALL}) g) d WHERE rn = 1"
 _FAMILIES = "SELECT rule_family_id, count(*) AS n, md5(concat(rule_family_id, '|split')) AS place FROM records GROUP BY rule_family_id"
-# a total order over families only: their number, not that of records, passes one task
-_SPLIT = f"""
-SELECT rule_family_id, n, CASE WHEN upto <= total * 0.2 THEN 'test' WHEN upto <= total * 0.35 THEN 'val' ELSE 'train' END AS split FROM (
-  SELECT rule_family_id, n, CAST(sum(n) OVER (ORDER BY place, rule_family_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto, CAST(sum(n) OVER () AS BIGINT) AS total FROM ({_FAMILIES}) f) s"""
+# running sums over all families in two steps: inside each of 256 buckets of their places, and what the buckets before it
+# hold in all; each bucket sends its total to those after it
+_HEX = "(instr('0123456789abcdef', substring(place, {0}, 1)) - 1)"
+view("split_families", f"SELECT rule_family_id, n, place, CAST(16 * {_HEX.format(1)} + {_HEX.format(2)} AS INT) AS bucket FROM ({_FAMILIES}) f")
+view("split_buckets", "SELECT bucket, n, families, CAST(255 - bucket AS BIGINT) AS later FROM (SELECT bucket, CAST(sum(n) AS BIGINT) AS n, count(*) AS families FROM split_families GROUP BY bucket) b")
+view("split_places", """
+SELECT f.rule_family_id, f.n, f.upto + coalesce(b.n, 0) AS upto, f.rn + coalesce(b.families, 0) AS rn, t.total, t.families FROM (
+  SELECT rule_family_id, n, bucket, CAST(sum(n) OVER (PARTITION BY bucket ORDER BY place, rule_family_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto, row_number() OVER (PARTITION BY bucket ORDER BY place, rule_family_id) AS rn FROM split_families) f
+LEFT JOIN (SELECT bucket + 1 + pos AS bucket, CAST(sum(n) AS BIGINT) AS n, CAST(sum(families) AS BIGINT) AS families FROM UNNEST{split_buckets|bucket, n, families|SERIES(later)} u GROUP BY bucket + 1 + pos) b ON b.bucket = f.bucket
+CROSS JOIN (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(families) AS BIGINT) AS families FROM split_buckets) t""")
+_SPLIT = "SELECT rule_family_id, n, CASE WHEN upto <= total * 0.2 THEN 'test' WHEN upto <= total * 0.35 THEN 'val' ELSE 'train' END AS split FROM split_places"
 OPS["gen_12_split_by_size"] = f"SELECT r.feedback_id, r.rule_family_id, s.split FROM records r JOIN ({_SPLIT}) s ON s.rule_family_id = r.rule_family_id"
-OPS["gen_13_split_by_ratio"] = f"SELECT rule_family_id, CASE WHEN rn * 10 <= total * 7 THEN 'train' WHEN rn * 10 <= total * 8 THEN 'val' ELSE 'test' END AS split FROM (SELECT rule_family_id, row_number() OVER (ORDER BY place, rule_family_id) AS rn, count(*) OVER () AS total FROM ({_FAMILIES}) f) s"
+OPS["gen_13_split_by_ratio"] = "SELECT rule_family_id, CASE WHEN rn * 10 <= families * 7 THEN 'train' WHEN rn * 10 <= families * 8 THEN 'val' ELSE 'test' END AS split FROM split_places"
 OPS["gen_14_task_sets"] = "SELECT 'classification' AS task, feedback_id, feedback_type AS target FROM records UNION ALL SELECT 'extraction', feedback_id, rule_id FROM records WHERE is_actionable UNION ALL SELECT 'clarification', feedback_id, CASE WHEN requires_clarification THEN 'yes' ELSE 'no' END FROM records WHERE is_actionable OR requires_clarification"
 # any two records of a family are duplicates: a row for each record names its representative, the number of records and of
 # the pairs that they stand for, so no link is lost and no family's square is written

@@ -44,14 +44,54 @@ def txt_01_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length(normalise_unicode(F.col("text"))).cast("long").alias("n_chars"), F.md5(normalise_unicode(F.col("text"))).alias("hash"))
 
 
+#: What is taken off the end of a word before it is looked up.
+ENDS = ".,!?;:"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text as they are looked up: between blanks, in lower case, without marks at the end."""
+    return F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(F.lower(w), f"[{ENDS}]+$", ""))
+
+
+def corrections(words: DataFrame, terms: DataFrame, least: float = 0.8) -> DataFrame:
+    """token, correction, ratio of distinct words (column a) that are no term (column b) nor a plural of one: the nearest term,
+    if its ratio is over `least`; of equal ratios the first by name. Short words and short terms count like any other."""
+    terms = terms.select("b").where("b <> ''").distinct()
+    known = words.select("a").where("a <> ''").distinct().join(terms.withColumnRenamed("b", "a").hint("merge"), "a", "left_anti")
+    stem = lambda end, put, test=True: F.when(F.col("a").endswith(end) & F.lit(test), F.concat(F.expr(f"substring(a, 1, length(a) - {len(end)})"), F.lit(put)))
+    bases = F.array_compact(F.array(stem("ies", "y"), stem("es", ""), F.when(~F.col("a").endswith("ss"), stem("s", ""))))
+    plurals = known.select("a", F.explode(bases).alias("b")).where("b <> ''").join(terms.hint("merge"), "b").select("a")
+    near = similar_terms(known.join(plurals.distinct().hint("merge"), "a", "left_anti"), terms, least)
+    return near.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("far"), "b")).alias("best")).select(F.col("a").alias("token"), F.col("best.b").alias("correction"), (-F.col("best.far")).alias("ratio"))
+
+
+def corrected(texts: DataFrame, terms: DataFrame, least: float = 0.8) -> DataFrame:
+    """feedback_id, corrected and changes of texts (feedback_id, text): every word with a correction is replaced wherever it
+    stands as a whole word, in any case, in the order in which words first occur. Null texts stay null; ids are unique."""
+    placed = texts.select("feedback_id", F.posexplode(words_of(F.col("text"))).alias("pos", "token"))
+    found = corrections(placed.select(F.col("token").alias("a")), terms, least)
+    each = placed.join(found.hint("merge"), "token").groupBy("feedback_id", "token", "correction").agg(F.min("pos").alias("pos"))
+    fixes = each.groupBy("feedback_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "correction"))).alias("fixes"))
+    put = lambda t, f: F.regexp_replace(t, F.concat(F.lit(r"(?i)\b\Q"), f["token"], F.lit(r"\E\b")), F.regexp_replace(f["correction"], r"([\\$])", r"\\$1"))
+    both = texts.join(fixes.hint("merge"), "feedback_id", "left").withColumn("fixes", F.coalesce("fixes", F.expr("cast(array() as array<struct<pos: int, token: string, correction: string>>)")))
+    return both.select("feedback_id", F.aggregate("fixes", F.col("text"), put).alias("corrected"), F.array_join(F.transform("fixes", lambda f: F.concat(f["token"], F.lit("->"), f["correction"])), ",").alias("changes"))
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operators.from_tables(spark, "src_04_vocabulary", sf_dir).select(F.col("term").alias("b"))
+
+
 def txt_04_fuzzy_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct tokens outside the vocabulary with the nearest term, if its ratio is over 0.8."""
-    words = view(spark, sf_dir, "feedback").select(F.explode(F.split(F.lower("feedback_text"), "[^a-z_]+")).alias("a")).where("length(a) > 3")
-    terms = operators.from_tables(spark, "src_04_vocabulary", sf_dir).select(F.col("term").alias("b")).where("length(b) > 3").distinct()
-    unknown = words.groupBy("a").agg(F.count("*").alias("n")).join(terms.withColumnRenamed("b", "a"), "a", "left_anti")
-    near = similar_terms(unknown, terms, 0.8)
-    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("ratio"), "b"))).where("rn = 1")
-    return unknown.join(best, "a", "left").select(F.col("a").alias("token"), "n", F.col("b").alias("correction"), F.round("ratio", 6).alias("ratio"))
+    """Distinct words of all feedback that are no terms, how often each occurs, and its correction, if it has one."""
+    words, terms = view(spark, sf_dir, "feedback").select(F.explode(words_of(F.col("feedback_text"))).alias("a")), _vocabulary(spark, sf_dir)
+    counted = words.where("a <> ''").groupBy(F.col("a").alias("token")).agg(F.count("*").alias("n")).join(terms.select(F.col("b").alias("token")).distinct().hint("merge"), "token", "left_anti")
+    return counted.join(corrections(words, terms).hint("merge"), "token", "left").select("token", "n", "correction", F.round("ratio", 6).alias("ratio"))
+
+
+def txt_04_corrected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All feedback, after the fixed corrections, with what is near a term put right in the text."""
+    texts = operators.from_tables(spark, "txt_03_spelling", sf_dir).select("feedback_id", F.col("corrected").alias("text"))
+    return corrected(texts, _vocabulary(spark, sf_dir))
 
 
 def sim_06_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,4 +214,4 @@ def sim_18_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"{key}_ratio": partial(_ratio_form, key) for key in RATIO_FORMS}
-QUERIES |= {"txt_01_unicode": txt_01_unicode, "txt_04_fuzzy_correction": txt_04_fuzzy_correction, "sim_06_ratio": sim_06_ratio, "sim_17_weighted_match": sim_17_weighted_match, "sim_17_coverage": sim_17_coverage, "sim_18_related": sim_18_related}
+QUERIES |= {"txt_01_unicode": txt_01_unicode, "txt_04_fuzzy_correction": txt_04_fuzzy_correction, "txt_04_corrected_text": txt_04_corrected_text, "sim_06_ratio": sim_06_ratio, "sim_17_weighted_match": sim_17_weighted_match, "sim_17_coverage": sim_17_coverage, "sim_18_related": sim_18_related}

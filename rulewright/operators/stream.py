@@ -21,4 +21,8 @@ _BELOW = "CASE le " + " ".join(f"WHEN {b} THEN CAST({a} AS DOUBLE)" for a, b in
 OPS["str_04_quantiles"] = f"""
 SELECT bucket, q, round(CASE WHEN le > 10 THEN CAST(10 AS DOUBLE) ELSE {_BELOW} + (le - {_BELOW}) * (q * total - (cumulative - n)) / n END, 6) AS seconds FROM (
   SELECT h.*, p.q, row_number() OVER (PARTITION BY h.bucket, p.q ORDER BY h.le) AS rn FROM ({_HISTOGRAM}) h CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.95 AS DOUBLE))) AS p(q) WHERE h.cumulative >= p.q * h.total) x WHERE rn = 1"""
-OPS["str_04_active_jobs"] = "SELECT job_type, moment, CAST(sum(d) OVER (PARTITION BY job_type ORDER BY moment RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS active FROM (SELECT job_type, moment, sum(delta) AS d FROM (SELECT job_type, created_at AS moment, 1 AS delta FROM jobs UNION ALL SELECT job_type, created_at + INTERVAL 3 DAY, -1 FROM jobs) e GROUP BY job_type, moment) s"
+# running sums by job type in two steps: inside each month, and over the months before it, of which there is a row each
+_CHANGES = "SELECT job_type, moment, date_trunc('month', moment) AS month, sum(delta) AS d FROM (SELECT job_type, created_at AS moment, 1 AS delta FROM jobs UNION ALL SELECT job_type, created_at + INTERVAL 3 DAY, -1 FROM jobs) e GROUP BY job_type, moment, date_trunc('month', moment)"
+OPS["str_04_active_jobs"] = f"""
+SELECT c.job_type, c.moment, CAST(c.inside + coalesce(m.before, 0) AS BIGINT) AS active FROM (SELECT job_type, moment, month, sum(d) OVER (PARTITION BY job_type, month ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inside FROM ({_CHANGES}) s) c
+JOIN (SELECT job_type, month, sum(d) OVER (PARTITION BY job_type ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT job_type, month, sum(d) AS d FROM ({_CHANGES}) t GROUP BY job_type, month) u) m ON m.job_type = c.job_type AND m.month = c.month"""

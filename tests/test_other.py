@@ -1,5 +1,6 @@
 import difflib
 import json
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -155,3 +156,64 @@ def test_backlog_of_files_in_shuffled_time_order(spark, sf, tmp_path):
     assert total == events.where("ts is not null").count()
     first = events.select("event_id", "ts", (F.col("user_id") % 5).alias("tenant"), F.get_json_object("props", "$.k").alias("request_key")).toPandas().sort_values(["ts", "event_id"]).drop_duplicates(["tenant", "request_key"])
     assert sorted(r.event_id for r in catalogue.queries()["str_02_stream"](spark, str(tmp_path)).collect()) == sorted(first["event_id"])
+
+
+def test_words_are_corrected_in_the_text(spark):
+    """Against plain loops: short words and terms, plurals, marks at the end, repeats, terms with odd characters."""
+    terms = ["order", "revenue", "churn", "company", "box", "tax", "a$b", "net_sales", "class"]
+    texts = ["Revenu of the orderr, and REVENU again: revenu-like", "taxs txa bx. companies boxes orders", "classs class clas!", "a$bb net_sale churn's", "", None, "...", "ordr ordr;"]
+
+    def plural(w):
+        return any(w.endswith(e) and len(w) > len(e) and w[: -len(e)] + p in terms for e, p in (("ies", "y"), ("es", ""))) or (w.endswith("s") and not w.endswith("ss") and w[:-1] in terms)
+
+    want = {}
+    for i, t in enumerate(texts):
+        fixes, out = {}, t
+        for w in (t or "").split():
+            w = w.lower().rstrip(".,!?;:")
+            best = min(((-ratio(w, b), b) for b in terms), default=None)
+            if w and w not in terms and not plural(w) and -best[0] > 0.8:
+                fixes.setdefault(w, best[1])
+        for w, b in fixes.items():
+            out = re.sub(rf"\b{re.escape(w)}\b", lambda _, b=b: b, out, flags=re.IGNORECASE)
+        want[i] = (out, ",".join(f"{w}->{b}" for w, b in fixes.items()))
+    df = spark.createDataFrame(list(enumerate(texts)), "feedback_id long, text string")
+    got = {r.feedback_id: (r.corrected, r.changes) for r in fuzzy.corrected(df, spark.createDataFrame([(t,) for t in terms], "b string")).collect()}
+    assert got == want
+
+
+def test_families_train_or_test_as_a_whole(spark, sf):
+    from rulewright.operators import learn
+
+    records = fuzzy.view(spark, sf, "records").withColumn("side", learn.train_side(F.col("rule_family_id"), F.col("feedback_id")))
+    assert records.groupBy("rule_family_id").agg(F.countDistinct("side").alias("n")).where("n > 1").count() == 0
+    assert records.select("side").distinct().count() == 2
+    loose = spark.createDataFrame([(f"f{i}", None if i % 2 else "") for i in range(40)], "feedback_id string, rule_family_id string")
+    assert loose.select(learn.train_side(F.col("rule_family_id"), F.col("feedback_id"))).distinct().count() == 2
+
+
+def test_two_targets_and_the_mean_of_their_confidence(spark):
+    from rulewright.operators import learn
+
+    data = [("exclude cancelled orders from revenue", "business_rule", "filter_rule"), ("only admins may see salaries", "business_rule", "access_rule"), ("the dashboard page is broken", "issue_report", None), ("what does churn mean", "question", None)] * 6
+    records = spark.createDataFrame(data, "feedback_text string, feedback_type string, rule_category string")
+    model = learn.train(records)
+    got = learn.predict(model, spark.createDataFrame([(0, "exclude refunded orders"), (1, "the page is broken"), (2, None)], "feedback_id long, feedback_text string")).orderBy("feedback_id").collect()
+    assert (got[0].predicted_type, got[0].predicted_category, got[0].predicted_actionable) == ("business_rule", "filter_rule", True)
+    assert (got[1].predicted_type, got[1].predicted_category, got[1].predicted_actionable) == ("issue_report", "", False)
+    assert all(0 < r.confidence <= 1 for r in got)
+    from rulewright import operators
+
+    feedback = spark.createDataFrame([(0, "w", None, 0, "Exclude refunded orders from the revenue")], "feedback_id long, workspace_id string, created_at timestamp, submitted_by long, feedback_text string")
+    answer = learn.outputs(model, feedback)
+    row = operators.apply(spark, "cls_06_cascade", feedback=feedback, model_outputs=answer).first()
+    assert row.provenance == "model" and row.confidence == answer.first().confidence
+
+
+def test_running_sums_have_no_single_task(spark, sf):
+    from rulewright import operators
+
+    for key in ("gen_12_split_by_size", "gen_13_split_by_ratio", "str_04_active_jobs"):
+        plan = operators.from_tables(spark, key, sf)._jdf.queryExecution().executedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all(re.search(r"\], \[(bucket|job_type)#", w) for w in windows)
