@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from rulewright.plans import sql as plans
 from rulewright.sources.adapters import VIEWS
 
-from . import classify, datagen, evaluate, extract, lifecycle, route, similarity, stream, tables, text, validate
+from . import classify, datagen, evaluate, extract, lifecycle, route, similarity, stream, tables, tags, text, validate
 
 OPERATORS: dict[str, str] = {}
-for _group in (tables, text, classify, extract, validate, similarity, route, lifecycle, datagen, evaluate, stream):
+for _group in (tables, text, classify, extract, tags, validate, similarity, route, lifecycle, datagen, evaluate, stream):
     OPERATORS |= _group.OPS
 
 

@@ -3,7 +3,6 @@
 from rulewright.sources.adapters import view
 
 from . import fixed
-from .datagen import OPS as DATASETS
 
 OPS: dict[str, str] = {}
 
@@ -148,17 +147,6 @@ JOIN ({OPS["ext_11_confidence"]}) v ON v.feedback_id = t.feedback_id LEFT JOIN (
 OPS["ext_16_complete"] = f"""
 SELECT c.rule_id, c.pos, coalesce(CASE WHEN instr(c.field, '.') > 0 THEN c.field END, r.field) AS field, CASE WHEN instr(c.field, '.') = 0 AND r.field IS NULL THEN 'needs_clarification' WHEN instr(c.field, '.') = 0 THEN 'resolved' ELSE 'explicit' END AS origin,
   CASE WHEN instr(c.field, '.') = 0 AND r.field IS NULL THEN CAST(0.3 AS DOUBLE) WHEN instr(c.field, '.') = 0 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END AS confidence FROM conditions c LEFT JOIN ({OPS["ext_15_resolve_field"]}) r ON r.rule_id = c.rule_id"""
-_LABELS = DATASETS["gen_18_token_labels"]
-# a value belongs to the last field before it; a field's stretch ends where the next begins
-_FIELDS = f"SELECT feedback_id, pos, tok, coalesce(lead(pos) OVER (PARTITION BY feedback_id ORDER BY pos), 100000) AS until FROM ({_LABELS}) l WHERE label IN ('B-COLUMN', 'B-TERM')"
-OPS["ext_19_from_tags"] = f"""
-SELECT f.feedback_id, f.tok AS field, min(v.tok) AS value, o.operation, count(v.tok) AS n_values FROM ({_FIELDS}) f LEFT JOIN (SELECT * FROM ({_LABELS}) l WHERE label IN ('B-VALUE', 'B-THRESHOLD')) v ON v.feedback_id = f.feedback_id AND v.pos > f.pos AND v.pos < f.until
-LEFT JOIN (SELECT feedback_id, min(lower(tok)) AS operation FROM ({_LABELS}) l WHERE label = 'B-OPERATION' GROUP BY feedback_id) o ON o.feedback_id = f.feedback_id GROUP BY f.feedback_id, f.pos, f.tok, o.operation"""
-OPS["ext_20_normalise_components"] = f"""
-SELECT feedback_id, canonical, qualified, value, substring(SHA(canon), 1, 12) AS family_id FROM (
-  SELECT feedback_id, canonical, qualified, value, concat(qualified, '|', upper(canonical), '|', coalesce(value, '')) AS canon FROM (
-    SELECT t.feedback_id, CASE WHEN t.operation IN ('only', 'restrict') THEN 'restrict' ELSE coalesce(t.operation, 'include') END AS canonical, lower(coalesce(k.qualified, CASE WHEN instr(t.field, '.') > 0 THEN t.field END, concat('orders.', t.field))) AS qualified, lower(t.value) AS value
-    FROM ({OPS["ext_19_from_tags"]}) t LEFT JOIN (SELECT column_name, min(concat(table_name, '.', column_name)) AS qualified FROM catalog GROUP BY column_name) k ON k.column_name = lower(t.field)) a) b"""
 # the condition's rungs in order: a field with its value, a comparison, a time window, what the text implies, the operation's
 # own default; what has none of them keeps its keyword alone
 _RUNGS = f"""

@@ -114,6 +114,33 @@ OPERATOR_PHRASES = {
 }
 SCOPES = [(r"\b(global|all|entire|full)\b", "global"), (r"\b(regional?|region)\b", "regional"), (r"\b(depart|team)\b", "departmental"), (r"\b(user|customer|account)\b", "user-specific")]
 
+# tagged words: adjectives that are no term, nouns that stand for a table, words that are no noun, modal verbs, words that are no
+# value, phrases of operations, what a text says of an operation, synonyms of tables and the columns that hold their state
+ADJECTIVES = [
+    "cancelled", "canceled", "completed", "returned", "refunded", "successful", "failed", "pending", "premium", "active", "inactive", "processing", "computing", "calculating",
+    "include", "exclude", "total", "average", "net", "gross", "some", "all", "only", "each", "every", "other",
+]
+TERM_SYNONYMS = ["purchases", "transactions", "completed_order", "cancelled_order", "refund", "sale", "sales", "metric", "metrics", "clv", "ltv"]
+STOP_WORDS = (
+    "the a an is are was were be been have has had do does did will would could should may might can shall must not no nor but or and for in on at to by of with from that this these those it its they them their "
+    "we our you your i my me when where if then than only also just very so too much many some all each every both few more most other such what which who whom how about above after before between under over up "
+    "down out off through into since during while because although revenue sales order amount value count"
+).split()
+MODALS = ["should", "must", "will", "would", "can", "could", "may", "might", "shall", "ought", "need", "do", "does", "did", "wants", "want", "to"]
+NO_VALUES = ["with", "and", "or", "for", "all", "globally", "each", "every", "the", "a", "an", "to", "from", "by", "on", "in", "at", "of", "use", "using", "should", "must", "can", "will", "would", "could"]
+TAGGED_OPERATIONS = {
+    "exclude": ["exclude", "must not include", "does not count", "don't count", "not contribute", "excluded from", "remove", "removed from", "excluded", "not include", "not count", "doesn't count", "never include", "should not", "should be excluded"],
+    "include": ["include", "must include", "should be part of", "accounts for", "part of", "count toward", "not exclude", "not excluded", "should be included"],
+    "restrict": ["restricted to", "access should be limited to", "limited to", "only show", "restrict"],
+    "replace": ["replace", "instead of", "rely on", "switch", "use", "instead"],
+    "subtract": ["subtract", "net out", "deduct"],
+    "add": ["add", "also account for", "add to"],
+}
+SAYS_EXCLUDE = r"\b(?:do not consider|ignore|exclude|leave out|not include|shouldn'?t|should not|must not|can'?t|won'?t|do not count|don'?t count|not count|remove|removed from|drop|drops|strip|leave behind)\b"
+SAYS_INCLUDE = r"\b(?:only .+ should(?:\s+\w+){0,3} (?:contribute|count|be included)|must include|should be part of|include|count toward|contribute to|account for|should include)\b"
+TABLE_SYNONYMS = {"purchases": "orders", "transactions": "payments", "completed_order": "orders", "completed_order_items": "order_items"}
+STATE_COLUMNS = {"orders": "status", "refunds": "status", "payments": "status", "tickets": "is_internal", "customers": "is_internal", "organizations": "status", "subscriptions": "cancel_at_period_end"}
+
 
 def sql(text: str) -> str:
     """A SQL literal."""

@@ -323,3 +323,42 @@ def test_inferred_conditions(spark):
     assert {(r.feedback_id, r.field, r.operator, r.value) for r in got} == {
         (0, "orders.status", "equals", "cancelled"), (0, "tickets.status", "equals", "open"), (0, "created_at", "greater_than", "last_30_days"), (1, "region", "equals", "emea"), (1, "payment_method", "equals", "card"), (2, "status", "equals", "refunded"),
         (3, "status", "equals", "processed"), (4, "orders.status", "equals", "cancelled")} and len(got) == 8
+
+
+def tagged(spark, *texts):
+    """Tokens written as word/TAG; a word without a tag is outside."""
+    rows = []
+    for n, text in enumerate(texts):
+        words = [w.partition("/") for w in text.split()]
+        whole = " ".join(w for w, _, _ in words)
+        rows += [(n, i, w, f"B_{t}" if t else "O", "ecommerce", whole) for i, (w, _, t) in enumerate(words)]
+    return spark.createDataFrame(rows, "feedback_id long, i int, tok string, label string, domain string, text string")
+
+
+def test_components_from_tags(spark):
+    texts = [
+        "Cancelled/BUSINESS_TERM orders should/OPERATION not include/OPERATION status/FIELD equals/OPERATION open/VALUE",
+        "premium/BUSINESS_TERM things of customers here", "total/BUSINESS_TERM nothing", "only/BUSINESS_TERM the refund", "revenue/BUSINESS_TERM must/OPERATION",
+        "orders.total/FIELD exclude/OPERATION above/OPERATION 100/VALUE below/OPERATION 200/VALUE region/FIELD emea/VALUE with/VALUE x.y/VALUE",
+        "orders/TABLE cancelled/VALUE customers/TABLE", "cancelled/VALUE for/VALUE open/VALUE", "status/FIELD a/VALUE open/VALUE status/FIELD open/VALUE",
+    ]
+    got = operators.apply(spark, "ext_19_from_tags", tagged_tokens=tagged(spark, *texts)).orderBy("feedback_id", "place").collect()
+    rows = [(r.feedback_id, r.business_term, r.corrected_from, r.operation, r.field, r.operator, r.value, r.method) for r in got]
+    assert rows == [
+        (0, "Orders", "cancelled", "not include", "status", "EQUALS", "open", "explicit_field_value"), (1, "Customers", "premium", None, None, None, None, None), (2, "Nothing", "total", None, None, None, None, None), (3, "Refund", "only", None, None, None, None, None),
+        (4, "revenue", None, "must", None, None, None, None), (5, None, None, "exclude", "orders.total", "ABOVE", "100", "explicit_field_value"), (5, None, None, "exclude", "orders.total", "BELOW", "200", "explicit_field_value"), (5, None, None, "exclude", "region", "EQUALS", "emea", "explicit_field_value"),
+        (6, None, None, None, "orders.status", "EQUALS", "cancelled", "inferred_table_value"), (6, None, None, None, "customers.status", "EQUALS", "cancelled", "inferred_table_value"), (7, None, None, None, None, "EQUALS", "cancelled", "value_only"), (7, None, None, None, None, "EQUALS", "open", "value_only"),
+        (8, None, None, None, "status", "EQUALS", "open", "explicit_field_value")]
+
+
+def test_components_in_their_normal_form(spark):
+    texts = [
+        "Revenue,/BUSINESS_TERM does not/OPERATION status,/FIELD exceeds/OPERATION 5/VALUE purchases/TABLE", "Transactions.Fee/FIELD more/OPERATION 3/VALUE total/FIELD 4/VALUE", "ignore cancelled/VALUE", "we wonder open/VALUE in tickets.",
+        "orders/TABLE customers/TABLE status/FIELD not include/OPERATION open/VALUE", "orders/TABLE orders/FIELD x/VALUE",
+    ]
+    got = operators.apply(spark, "ext_20_normalise_components", tagged_tokens=tagged(spark, *texts)).orderBy("feedback_id", "place").collect()
+    rows = [(r.feedback_id, r.business_term, r.operation, r.field, r.operator, r.value, r.needs_clarification, r.affected_tables) for r in got]
+    assert rows == [
+        (0, "Revenue", "EXCLUDE", "orders.status", "GREATER_THAN", "5", False, "orders"), (1, None, "EXCLUDE", "payments.fee", "EQUALS", "3", False, "payments"), (1, None, "EXCLUDE", "payments.total", "EQUALS", "4", False, "payments"), (2, None, "EXCLUDE", None, "EQUALS", "cancelled", True, None),
+        (3, None, None, None, "EQUALS", "open", True, None), (4, None, "EXCLUDE", "status", "EQUALS", "open", False, "customers;orders"), (5, None, None, "orders", "EQUALS", "x", False, "orders")]
+    assert len({r.family_id for r in got if r.feedback_id == 1}) == 1 and len({r.family_id for r in got}) == 6
