@@ -1,6 +1,8 @@
 """Filtering and classification."""
 
-from . import fixed
+from rulewright.sources.adapters import view
+
+from . import fixed, terms
 
 OPS: dict[str, str] = {}
 
@@ -79,13 +81,13 @@ FROM ({_CASCADE}) c LEFT JOIN model_outputs m ON m.feedback_id = c.feedback_id""
 _TERMS = """SELECT domain, table_name AS term FROM catalog UNION SELECT domain, replace(table_name, '_', ' ') FROM catalog UNION SELECT domain, column_name FROM catalog UNION SELECT domain, replace(column_name, '_', ' ') FROM catalog
     UNION SELECT d.domain, x.term FROM (SELECT DISTINCT domain FROM catalog) d CROSS JOIN taxonomy_terms x"""
 _KEYWORDS = fixed.values([(d, k) for d, words in fixed.DOMAIN_KEYWORDS.items() for k in words], "domain, term", "k")
-# what a domain's terms and keywords are is one row for each domain, so a text meets domains and not terms
+view("domain_terms", f"SELECT domain, 'term' AS kind, lower(term) AS term FROM ({_TERMS}) a UNION SELECT domain, 'keyword', term FROM {_KEYWORDS}")
+_HELD = f"SELECT feedback_id, domain, count_if(kind = 'term') AS n_terms, count_if(kind = 'keyword') AS n_keywords FROM ({terms.contained('domain_terms', 'domain, kind, term')}) h GROUP BY feedback_id, domain"
+# a domain counts if it has terms of its own
 OPS["cls_09_domain"] = f"""
-SELECT feedback_id, CASE WHEN score >= 4 THEN domain END AS domain, CASE WHEN score >= 4 THEN least(1.0, score / 30) ELSE CAST(0 AS DOUBLE) END AS confidence, score FROM (
+SELECT f.feedback_id, CASE WHEN s.score >= 4 THEN s.domain END AS domain, CASE WHEN s.score >= 4 THEN least(1.0, s.score / 30) ELSE CAST(0 AS DOUBLE) END AS confidence, coalesce(s.score, CAST(0 AS DOUBLE)) AS score FROM feedback f LEFT JOIN (
   SELECT feedback_id, domain, score, row_number() OVER (PARTITION BY feedback_id ORDER BY score DESC, domain) AS rn FROM (
-    SELECT feedback_id, domain, CAST(n_terms + CASE WHEN n_terms > 1 THEN 0.5 * n_terms ELSE 0 END + 2 * n_keywords AS DOUBLE) AS score FROM (
-      SELECT f.feedback_id, d.domain, COUNT⟦d.terms¦x¦instr(lower(f.feedback_text), x) > 0⟧ AS n_terms, COUNT⟦d.keywords¦x¦instr(lower(f.feedback_text), x) > 0⟧ AS n_keywords
-      FROM feedback f CROSS JOIN (SELECT t.domain, t.terms, k.keywords FROM (SELECT domain, split(AGG{{term|;|term}}, ';') AS terms FROM ({_TERMS}) a GROUP BY domain) t JOIN (SELECT domain, split(AGG{{term|;|term}}, ';') AS keywords FROM {_KEYWORDS} GROUP BY domain) k ON k.domain = t.domain) d) c) s) r WHERE rn = 1"""
+    SELECT h.feedback_id, h.domain, CAST(n_terms + CASE WHEN n_terms > 1 THEN 0.5 * n_terms ELSE 0 END + 2 * n_keywords AS DOUBLE) AS score FROM ({_HELD}) h JOIN (SELECT DISTINCT domain FROM catalog) d ON d.domain = h.domain) c) s ON s.feedback_id = f.feedback_id AND s.rn = 1"""
 OPS["cls_10_calibrate"] = """
 SELECT doc_id, temperature, round(1 / (1 + exp(-ln(p / (1 - p)) / temperature)), 6) AS calibrated FROM (SELECT doc_id, greatest(0.000001, least(0.999999, confidence)) AS p FROM predictions) x
 CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(2.0 AS DOUBLE))) AS t(temperature)"""

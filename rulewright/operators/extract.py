@@ -2,16 +2,11 @@
 
 from rulewright.sources.adapters import view
 
-from . import fixed
+from . import fixed, terms
 
 OPS: dict[str, str] = {}
 
-OPS["ext_01_glossary_match"] = """
-SELECT feedback_id, term, matched_exactly, rn FROM (
-  SELECT f.feedback_id, g.term, instr(lower(f.feedback_text), g.term) > 0 OR instr(lower(f.feedback_text), replace(g.term, '_', ' ')) > 0 AS matched_exactly,
-    CAST(row_number() OVER (PARTITION BY f.feedback_id ORDER BY length(g.term) DESC, instr(lower(f.feedback_text), g.term) DESC, g.domain, g.term) AS INT) AS rn
-  FROM feedback f JOIN glossary g ON instr(lower(f.feedback_text), g.term) > 0
-    OR (RLIKE(lower(f.feedback_text), concat('(^|[^a-z0-9])', regexp_extract(g.term, '^([a-z]+)', 1), 's?([^a-z0-9]|$)')) AND RLIKE(lower(f.feedback_text), concat('(^|[^a-z0-9])', regexp_extract(g.term, '([a-z]+)$', 1), 's?([^a-z0-9]|$)')))) x"""
+OPS["ext_01_glossary_match"] = terms.GLOSSARY_MATCH
 OPS["ext_02_primary_term"] = f"""
 SELECT f.feedback_id, coalesce(m.term, nullif(regexp_extract(lower(f.feedback_text), '(?:exclude|include|calculate) ([a-z_]+)', 1), ''), 'metric') AS term,
   CASE WHEN m.term IS NOT NULL AND m.matched_exactly THEN CAST(0.95 AS DOUBLE) WHEN m.term IS NOT NULL THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence

@@ -1,6 +1,6 @@
 """Text normalisation and privacy."""
 
-from . import fixed
+from . import fixed, terms
 
 OPS: dict[str, str] = {}
 
@@ -33,12 +33,7 @@ OPS["txt_03_spelling"] = f"""
 SELECT feedback_id, {_fixed("corrected", fixed.SHORTHAND)} AS corrected, changes, RLIKE(corrected, 'pls|thx') AS has_shorthand
 FROM (SELECT feedback_id, {_fixed("feedback_text", fixed.MISSPELLINGS)} AS corrected, concat_ws(',', {_CHANGES}) AS changes FROM feedback) f"""
 
-OPS["txt_05_keywords"] = """
-SELECT feedback_id, AGG{term| |pos, term} AS keywords, count(*) AS n_keywords FROM (
-  SELECT t.feedback_id, t.pos, g.term FROM (SELECT feedback_id, pos, lower(regexp_replace(tok, '[^A-Za-z_]', ''@G)) AS tok FROM UNNEST{feedback|feedback_id|split(feedback_text, ' ')} u) t
-  JOIN (SELECT DISTINCT term FROM (SELECT term FROM glossary UNION ALL SELECT table_name FROM catalog UNION ALL SELECT column_name FROM catalog) k) g
-    ON g.term = t.tok OR g.term = concat(t.tok, 's') OR concat(g.term, 's') = t.tok OR (t.tok LIKE '%ies' AND g.term = concat(substring(t.tok, 1, length(t.tok) - 3), 'y'))
-  ) m GROUP BY feedback_id"""
+OPS["txt_05_keywords"] = terms.KEYWORDS
 
 # fixed values: what refers to a schema: dotted names, quoted ones, what follows a keyword of SQL, and words for its parts
 _NAME = r"(?:\w+[.]\w+|\"[^\"]+\"|`[^`]+`)"

@@ -362,3 +362,46 @@ def test_components_in_their_normal_form(spark):
         (0, "Revenue", "EXCLUDE", "orders.status", "GREATER_THAN", "5", False, "orders"), (1, None, "EXCLUDE", "payments.fee", "EQUALS", "3", False, "payments"), (1, None, "EXCLUDE", "payments.total", "EQUALS", "4", False, "payments"), (2, None, "EXCLUDE", None, "EQUALS", "cancelled", True, None),
         (3, None, None, None, "EQUALS", "open", True, None), (4, None, "EXCLUDE", "status", "EQUALS", "open", False, "customers;orders"), (5, None, None, "orders", "EQUALS", "x", False, "orders")]
     assert len({r.family_id for r in got if r.feedback_id == 1}) == 1 and len({r.family_id for r in got}) == 6
+
+
+def part_stands(part, text):
+    import re
+
+    return re.search(rf"(?<![a-z0-9]){re.escape(part)}s?(?![a-z0-9])", text)
+
+
+def test_glossary_terms_against_plain_loops(spark):
+    """A list of 10,000 terms beside odd ones: parts that stand anywhere, plurals, short parts, blanks, signs, long words."""
+    import random
+
+    rng = random.Random(4)
+    parts = ["order", "net", "revenue", "user", "trial", "churn", "id", "of", "seat", "plan", "region", "status", "open", "brand#12", "c++"]
+    terms = list(dict.fromkeys(["_".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(300)] + ["new york", "a", "x_y", "cost of_sales"] + [f"term{i}_part{i % 97}_{i % 13}th" for i in range(10_000)]))
+    texts = ["Net revenue of orders by user and plans", "the net_revenue_order of openings", "reopened trials: churns, seats", "brand#12 orders in new york", "cost of_sales c++ of status", "term77_part77_12th and part5 term5 of 5th", "x" * 500 + "net_revenue" + "y" * 300, "", None, "a"]
+    glossary = spark.createDataFrame([("d", t, "", "", i) for i, t in enumerate(terms)], "domain string, term string, definition string, ref string, pos int")
+    got = operators.apply(spark, "ext_01_glossary_match", feedback=feedback(spark, texts), glossary=glossary).collect()
+    want = set()
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        for t in terms:
+            own = [p for p in t.split("_") if len(p) > 2]
+            if text is not None and t in low:
+                want.add((i, t, len(t.split("_")), low.find(t)))
+            elif text is not None and len(own) > 1 and all(part_stands(p, low) for p in own):
+                want.add((i, t, len(own), min(part_stands(p, low).start() for p in own)))
+    assert {(r.feedback_id, r.term, r.quality, r.place) for r in got} == want and len(got) == len(want) and len(want) > 50
+    for i in range(len(texts)):
+        ranked = [(-r.quality, -r.place, r.term) for r in sorted((r for r in got if r.feedback_id == i), key=lambda r: r.rn)]
+        assert ranked == sorted(ranked)
+
+
+def test_no_nested_loop_over_term_lists(spark, sf):
+    for key in ("ext_01_glossary_match", "txt_05_keywords"):
+        plan = operators.from_tables(spark, key, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_keywords_are_words_or_their_singulars(spark):
+    glossary = spark.createDataFrame([("d", t, "", "", 0) for t in ("company", "box", "class", "order_count")], "domain string, term string, definition string, ref string, pos int")
+    got = operators.apply(spark, "txt_05_keywords", feedback=feedback(spark, ["Companies boxes class classs orders. status Order_count regions", "nothing"]), glossary=glossary).collect()
+    assert [(r.feedback_id, r.keywords, r.n_keywords) for r in got] == [(0, "company box class status order_count region", 6)]
