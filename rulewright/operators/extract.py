@@ -104,27 +104,38 @@ FROM (SELECT c.rule_id, c.pos, c.domain_id, c.field, CASE WHEN s.table_name IS N
 LEFT JOIN catalog k ON k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.grounded
 UNION ALL SELECT r.rule_id, 1000 + t.pos, CASE WHEN n.table_name IS NULL THEN NULL ELSE coalesce(s.table_name, t.tok) END, CASE WHEN n.table_name IS NULL THEN t.tok END, s.table_name IS NOT NULL FROM rules r JOIN UNNEST{rules|rule_id|split(entity_tables, ';')} t ON t.rule_id = r.rule_id
 LEFT JOIN table_synonyms s ON s.domain = r.domain_id AND s.alias = t.tok LEFT JOIN (SELECT DISTINCT domain, table_name FROM catalog) n ON n.domain = r.domain_id AND n.table_name = coalesce(s.table_name, t.tok) WHERE t.tok <> ''"""
-# fixed values: families of inferred conditions: pattern, field, operator, value ({1} and {2} stand for what it finds)
-INFER = [
-    (r"\b(cancelled|canceled|completed|pending|refunded|failed) (orders?|payments?|transactions?|tickets?)\b", "{2}.status", "equals", "{1}"),
-    (r"\b(active|inactive|closed|open) (customers?|accounts?|subscriptions?|tickets?)\b", "{2}.status", "equals", "{1}"),
-    (r"\blast (\d+) (days?|weeks?|months?)\b", "created_at", "greater_than", "last_{1}_{2}"),
-    (r"\bwhere ([a-z_.]+) (?:is|=|equals) ([a-z0-9_]+)", "{1}", "equals", "{2}"),
-    (r"\bpaid (?:by|with|via) ([a-z_ ]*?)(card|cash|transfer|wallet)\b", "payment_method", "equals", "{2}"),
-    (r"\bthat (?:were|was|are|is) ([a-z]+)()\b", "status", "equals", "{1}"),
-    (r"\bsuccessfully (processed|completed|delivered)()\b", "status", "equals", "{1}"),
+# what a text implies, by a table of patterns that each text meets once: 1 adjective and noun, 2 a time and a table, 3 where a
+# column is, 4 a payment method, 5 a noun that was something, 6 what was successfully processed
+_ADJECTIVES = list(dict.fromkeys(adjective for adjective, *_ in fixed.STATES))
+_PATTERNS = [
+    *((1, i, rf"\b{a}\s+\w+\b", a) for i, a in enumerate(_ADJECTIVES)), *((2, i, p, v) for i, (p, v) in enumerate(fixed.TIMES)), (3, 0, r"where\s+\w+\s+(?:is|equals?|=)\s+\w+", ""), (4, 0, r"payment\s+method\s+(?:is|equals?|=)\s+\w+", ""),
+    *((5, i, rf"\b\w+\s+that\s+(?:were|was|have been|had been|got)\s+(?:successfully\s+)?{a}\b", a) for i, a in enumerate(_ADJECTIVES)), (6, 0, r"successfully\s+processed\s+\w+\b", ""),
 ]
-
-
-def _filled(template: str, pattern: str) -> str:
-    parts = [fixed.sql(template)]
-    for k in (1, 2):
-        parts = [f"replace({parts[0]}, '{{{k}}}', regexp_extract(tok, {fixed.sql(pattern)}, {k}))"]
-    return parts[0]
-
-
-_INFERRED = " UNION ALL ".join(f"SELECT feedback_id, {_filled(f, p)} AS field, '{o}' AS operator, {_filled(v, p)} AS value, {i} AS family FROM UNNEST{{feedback|feedback_id|regexp_extract_all(lower(feedback_text), {fixed.sql(p)}, 0)}} u{i}" for i, (p, f, o, v) in enumerate(INFER))
-OPS["ext_18_infer"] = f"SELECT feedback_id, field, operator, value, min(family) AS family FROM ({_INFERRED}) x GROUP BY feedback_id, field, operator, value"
+view("feedback_domains", "SELECT feedback_id, CASE workspace_id WHEN 'ws_1' THEN 'support' WHEN 'ws_2' THEN 'saas' WHEN 'ws_4' THEN 'support' ELSE 'ecommerce' END AS domain FROM feedback")
+view("pattern_texts", f"SELECT f.feedback_id, f.t, p.family, p.place, p.pattern, p.word FROM lowered f CROSS JOIN {fixed.values(_PATTERNS, 'family, place, pattern, word', 'p')} WHERE RLIKE(f.t, p.pattern)")
+_NOUN = r"CASE family WHEN 5 THEN regexp_extract(tok, '^(\w+)', 1) WHEN 2 THEN NULL WHEN 4 THEN NULL WHEN 3 THEN regexp_extract(tok, '^where\s+(\w+)', 1) ELSE regexp_extract(tok, '(\w+)$', 1) END"
+view("implied", f"SELECT m.feedback_id, d.domain, m.family, m.place, m.word, m.tok, m.noun, regexp_replace(m.noun, 's+$', '') AS singular FROM (SELECT feedback_id, family, place, word, tok, {_NOUN} AS noun FROM UNNEST{{pattern_texts|feedback_id, family, place, word|regexp_extract_all(t, pattern, 0)}} u) m JOIN feedback_domains d ON d.feedback_id = m.feedback_id")
+view("known_tables", "SELECT DISTINCT domain, table_name FROM catalog")
+_SYNONYM = lambda x: f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in fixed.NOUN_SYNONYMS.items()) + " END"
+# a noun's table: itself, its singular, what either stands for, else the noun
+view("implied_tables", f"""
+SELECT i.*, coalesce(a.table_name, b.table_name, {_SYNONYM('i.noun')}, {_SYNONYM('i.singular')}, i.noun) AS found FROM implied i LEFT JOIN known_tables a ON a.domain = i.domain AND a.table_name = i.noun LEFT JOIN known_tables b ON b.domain = i.domain AND b.table_name = i.singular WHERE i.family IN (1, 5, 6)""")
+_STATED = fixed.values([(a, i, t, c, v) for i, (a, t, c, v) in enumerate(fixed.STATES)], "adjective, rank, table_name, column_name, value", "s")
+_BY_STATE = f"SELECT feedback_id, family, place, field, value FROM (SELECT i.feedback_id, i.family, i.place, concat(s.table_name, '.', s.column_name) AS field, s.value, row_number() OVER (PARTITION BY i.feedback_id, i.family, i.place, i.tok ORDER BY s.rank) AS rn FROM implied_tables i JOIN {_STATED} ON s.adjective = i.word AND (i.found = s.table_name OR i.found = regexp_replace(s.table_name, 's+$', '')) WHERE i.family IN (1, 5)) x WHERE rn = 1"
+_DATE_RANK = "CASE column_name " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(fixed.DATE_COLUMNS)) + " ELSE 99 END"
+view("dated_tables", f"SELECT domain, table_name, column_name FROM (SELECT domain, table_name, column_name, row_number() OVER (PARTITION BY domain, table_name ORDER BY {_DATE_RANK}, column_name) AS rn FROM catalog WHERE {_DATE_RANK} < 99 OR RLIKE(lower(column_name), '(_at$|_date|date$)')) x WHERE rn = 1")
+# a time belongs to the first table that the text holds and that has a date
+_BY_TIME = r"""
+SELECT i.feedback_id, i.family, i.place, concat(d.table_name, '.', d.column_name) AS field, replace(i.word, '{n}', regexp_extract(i.tok, '(\d+)', 1)) AS value FROM implied i
+JOIN (SELECT l.feedback_id, min(k.table_name) AS table_name FROM lowered l JOIN feedback_domains f ON f.feedback_id = l.feedback_id JOIN dated_tables k ON k.domain = f.domain AND instr(l.t, lower(k.table_name)) > 0 GROUP BY l.feedback_id) h ON h.feedback_id = i.feedback_id
+JOIN dated_tables d ON d.domain = i.domain AND d.table_name = h.table_name WHERE i.family = 2"""
+_BY_COLUMN = r"SELECT i.feedback_id, i.family, i.place, concat(k.table_name, '.', i.noun) AS field, regexp_extract(i.tok, '(\w+)$', 1) AS value FROM implied i JOIN (SELECT domain, column_name, min(table_name) AS table_name FROM catalog GROUP BY domain, column_name) k ON k.domain = i.domain AND k.column_name = i.noun WHERE i.family = 3"
+_BY_METHOD = r"SELECT feedback_id, family, place, 'payments.payment_method' AS field, regexp_extract(tok, '(\w+)$', 1) AS value FROM implied WHERE family = 4"
+_BY_SUCCESS = "SELECT i.feedback_id, i.family, i.place, concat(i.found, '.status') AS field, 'successful' AS value FROM implied_tables i JOIN known_tables k ON k.domain = i.domain AND k.table_name = i.found WHERE i.family = 6"
+_INFERRED = " UNION ALL ".join((_BY_STATE, _BY_TIME, _BY_COLUMN, _BY_METHOD, _BY_SUCCESS))
+# fixed values: confidence by family
+OPS["ext_18_infer"] = f"""
+SELECT feedback_id, field, 'equals' AS operator, value, min(family) AS family, CASE min(family) WHEN 2 THEN CAST(0.75 AS DOUBLE) WHEN 3 THEN CAST(0.85 AS DOUBLE) WHEN 4 THEN CAST(0.9 AS DOUBLE) WHEN 6 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS confidence FROM ({_INFERRED}) x GROUP BY feedback_id, field, value"""
 # the term itself, else the term of the domain that shares most characters with it; the first by name of those that do equally
 _CHARS = "CAST(COUNT⟦split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')¦x¦instr(lower(r.business_term), x) > 0 AND instr(g.term, x) > 0⟧ AS DOUBLE) / greatest(COUNT⟦split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')¦x¦instr(lower(r.business_term), x) > 0 OR instr(g.term, x) > 0⟧, 1)"
 OPS["ext_22_glossary_enrich"] = f"""

@@ -141,6 +141,18 @@ SAYS_INCLUDE = r"\b(?:only .+ should(?:\s+\w+){0,3} (?:contribute|count|be inclu
 TABLE_SYNONYMS = {"purchases": "orders", "transactions": "payments", "completed_order": "orders", "completed_order_items": "order_items"}
 STATE_COLUMNS = {"orders": "status", "refunds": "status", "payments": "status", "tickets": "is_internal", "customers": "is_internal", "organizations": "status", "subscriptions": "cancel_at_period_end"}
 
+# what a text implies: states of tables by adjective (the first that fits the noun), times, date columns by preference, synonyms
+STATES = [
+    ("cancelled", "orders", "status", "cancelled"), ("canceled", "orders", "status", "cancelled"), ("completed", "orders", "status", "completed"), ("pending", "orders", "status", "pending"), ("refunded", "orders", "status", "refunded"), ("refunded", "refunds", "status", "refunded"),
+    ("successful", "payments", "status", "successful"), ("failed", "payments", "status", "failed"), ("processing", "payments", "status", "processing"), ("active", "products", "is_active", "true"), ("inactive", "products", "is_active", "false"), ("returned", "products", "is_active", "false"),
+]
+TIMES = [
+    (r"\bcurrent\s+month\b", "current_month"), (r"\bprevious\s+month\b", "previous_month"), (r"\bcurrent\s+quarter\b", "current_quarter"), (r"\bcurrent\s+year\b", "current_year"),
+    (r"\blast\s+\d+\s+days?\b", "last_{n}_days"), (r"\blast\s+\d+\s+weeks?\b", "last_{n}_weeks"), (r"\blast\s+\d+\s+months?\b", "last_{n}_months"),
+]
+DATE_COLUMNS = ["created_at", "order_date", "completed_at", "paid_at", "refund_date", "transaction_date", "date"]
+NOUN_SYNONYMS = {"purchases": "orders", "transactions": "payments", "completed_order": "orders", "cancelled_order": "orders", "refund": "refunds"}
+
 
 def sql(text: str) -> str:
     """A SQL literal."""

@@ -318,11 +318,21 @@ def test_bio_labels_by_priority(spark):
 
 
 def test_inferred_conditions(spark):
-    texts = ["Skip cancelled orders and open tickets of the last 30 days", "where region is emea, paid by credit card", "those that were refunded", "successfully processed ones", "cancelled orders, cancelled orders"]
-    got = operators.apply(spark, "ext_18_infer", feedback=feedback(spark, texts)).collect()
-    assert {(r.feedback_id, r.field, r.operator, r.value) for r in got} == {
-        (0, "orders.status", "equals", "cancelled"), (0, "tickets.status", "equals", "open"), (0, "created_at", "greater_than", "last_30_days"), (1, "region", "equals", "emea"), (1, "payment_method", "equals", "card"), (2, "status", "equals", "refunded"),
-        (3, "status", "equals", "processed"), (4, "orders.status", "equals", "cancelled")} and len(got) == 8
+    columns = ["orders.status", "orders.order_date", "orders.completed_at", "payments.status", "payments.settled_at", "products.is_active", "tags.name"]
+    catalog = spark.createDataFrame([("ecommerce", *c.split("."), "t", "f", None) for c in columns], "domain string, table_name string, column_name string, type string, nullable string, allowed string")
+    texts = {
+        "Skip cancelled orders and failed transactions of the last 30 days": {("orders.status", "cancelled"), ("payments.status", "failed"), ("orders.order_date", "last_30_days")},
+        "refunded refund, refunded orders; cancelled order": {("refunds.status", "refunded"), ("orders.status", "refunded"), ("orders.status", "cancelled")}, "active pending orders": {("orders.status", "pending")}, "cancelled tickets": set(),
+        "payments of the current quarter and previous month": {("payments.settled_at", "current_quarter"), ("payments.settled_at", "previous_month")}, "tags of the current year": set(), "last 2 weeks": set(),
+        "where is_active equals true and where colour is red": {("products.is_active", "true")}, "payment method is card": {("payments.payment_method", "card")}, "paid by card": set(),
+        "orders that were cancelled": {("orders.status", "cancelled")}, "purchases that have been successfully completed": {("orders.status", "completed")}, "orders that got failed": set(), "successfully processed payments and successfully processed things": {("payments.status", "successful")},
+        "cancelled orders, cancelled orders": {("orders.status", "cancelled")}, "returned products that were returned": {("products.is_active", "false")},
+    }
+    got = operators.apply(spark, "ext_18_infer", feedback=feedback(spark, list(texts)), catalog=catalog).collect()
+    for i, (text, want) in enumerate(texts.items()):
+        mine = [(r.field, r.value) for r in got if r.feedback_id == i]
+        assert set(mine) == want and len(mine) == len(want), text
+    assert {(r.family, r.confidence) for r in got} == {(1, 0.8), (2, 0.75), (3, 0.85), (4, 0.9), (5, 0.8), (6, 0.75)} and {r.operator for r in got} == {"equals"}
 
 
 def tagged(spark, *texts):
