@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from rulewright import operators
-from rulewright.operators import building, fuzzy, learn, vectors
+from rulewright.operators import building, fuzzy, learn, stored, vectors
 from rulewright.streaming import job, jobs, live
 
 
@@ -17,8 +17,8 @@ def _from_tables(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: partial(_from_tables, key) for key in operators.OPERATORS} | vectors.QUERIES | fuzzy.QUERIES | building.QUERIES | learn.QUERIES | jobs.QUERIES | job.QUERIES | live.QUERIES
+    return {key: partial(_from_tables, key) for key in operators.OPERATORS} | vectors.QUERIES | fuzzy.QUERIES | building.QUERIES | learn.QUERIES | stored.QUERIES | jobs.QUERIES | job.QUERIES | live.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: operators.oracle(key) for key in operators.OPERATORS} | vectors.ORACLES | jobs.ORACLES | job.ORACLES | live.ORACLES
+    return {key: operators.oracle(key) for key in operators.OPERATORS} | vectors.ORACLES | stored.ORACLES | jobs.ORACLES | job.ORACLES | live.ORACLES

@@ -217,3 +217,14 @@ def test_running_sums_have_no_single_task(spark, sf):
         plan = operators.from_tables(spark, key, sf)._jdf.queryExecution().executedPlan().toString()
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert windows and all(re.search(r"\], \[(bucket|job_type)#", w) for w in windows)
+
+
+def test_a_refresh_of_the_index_touches_what_changed(spark, tmp_path):
+    index = files.VectorIndex(spark, str(tmp_path / "index"))
+    texts = lambda *rows: spark.createDataFrame(rows, "rule_id string, text string")
+    assert {tuple(r) for r in index.refresh(texts(("a", "net revenue is x"), ("b", "churn"), ("c", None))).collect()} == {("a", "inserted"), ("b", "inserted"), ("c", "inserted")}
+    assert index.refresh(texts(("a", "net revenue is x"), ("b", "churn"), ("c", None))).count() == 0
+    assert {tuple(r) for r in index.refresh(texts(("a", "net revenue is y"), ("c", None), ("d", "churn"))).collect()} == {("a", "updated"), ("b", "removed"), ("d", "inserted")}
+    now = {r.rule_id: r for r in index.current(spark.read.parquet(index.path)).collect()}
+    assert set(now) == {"a", "c", "d"} and abs(now["a"].vector.norm(2) - 1) < 1e-9 and now["c"].vector.numNonzeros() == 0
+    assert {(r["version"], r["count"]) for r in spark.read.parquet(index.path).groupBy("version").count().collect()} == {(0, 3), (2, 3)}
