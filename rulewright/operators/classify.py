@@ -6,35 +6,27 @@ from . import fixed, terms
 
 OPS: dict[str, str] = {}
 
-_LITERAL_EDGES = "[" + "".join("\\" + c.replace("'", "''") for c in fixed.EDGES) + "]"
-# RE2 has no back references, so three equal characters are spelled out
-_TRIPLE = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz0123456789")
-
-
 def _mash(word: str) -> str:
     """A word of three letters or more that lies on one row of the keyboard."""
     return f"(length({word}) >= 3 AND ({' OR '.join(f'instr({fixed.sql(row)}, {word}) > 0' for row in fixed.KEYBOARD_ROWS)}))"
 
 
-def _noise(word: str) -> str:
-    """A stripped token that reads as gibberish by itself."""
-    return f"({word} = '' OR {_mash(word)} OR RLIKE({word}, '{_TRIPLE}') OR (RLIKE({word}, '[a-z]') AND RLIKE({word}, '\\d')) OR RLIKE({word}, '^\\d{{3,}}$'))"
-
-
-def _features(key: str, view: str, text: str) -> str:
-    """Counts over the tokens of a text, inside the row: nothing is exploded or shuffled."""
+def _features(keep: str, view: str, text: str) -> str:
+    """The columns `keep`, t and counts over the tokens of a text, inside the row: nothing is exploded, shuffled or joined.
+    What a stripped token reads as is one letter, m(ashed), t(riple), x (letters with digits), n(umber), e(mpty) or p(lain)."""
+    kind = "CASE WHEN w = '' THEN 'e' ELSE concat(CASE WHEN TRIPLE(w) THEN 't' ELSE '' END, CASE WHEN RLIKE(w, '[a-z][^0-9]*[0-9]|[0-9][^a-z]*[a-z]') THEN 'x' ELSE '' END, CASE WHEN RLIKE(w, '^\\d{3,}$') THEN 'n' ELSE '' END, CASE WHEN " + _mash("w") + " THEN 'm' ELSE '' END, '.') END"
     return f"""
-SELECT {key}, t, CAST(len_words AS BIGINT) AS n_tokens, COUNT⟦words¦w¦{_mash('w')}⟧ AS mash, COUNT⟦bare¦w¦RLIKE(w, '{_TRIPLE}')⟧ AS repeated, COUNT⟦bare¦w¦RLIKE(w, '[a-z]') AND RLIKE(w, '\\d')⟧ AS mixed, COUNT⟦bare¦w¦RLIKE(w, '^\\d{{3,}}$')⟧ AS numbers,
-  COUNT⟦bare¦w¦{_noise('w')}⟧ AS noisy, COUNT⟦words¦w¦RLIKE(w, '^\\pL{{3,}}$') AND NOT {_mash('w')}⟧ AS plain
-FROM (SELECT {key}, t, words, COUNT⟦words¦w¦w <> ''⟧ AS len_words, MAP⟦words¦w¦regexp_replace(regexp_replace(w, '^{_LITERAL_EDGES}+', ''), '{_LITERAL_EDGES}+$', '')⟧ AS bare
-  FROM (SELECT {key}, t, COUNT⟦split(t, ' ')¦w¦w <> ''⟧ AS n_some, split(t, ' ') AS words FROM (SELECT {key}, lower(trim(regexp_replace(coalesce({text}, ''), '\\s+', ' '@G))) AS t FROM {view}) a) b WHERE n_some > 0) c"""
+SELECT {keep}, t, len_words AS n_tokens, COUNT⟦raw_kinds¦k¦k = 'm'⟧ AS mash, COUNT⟦kinds¦k¦instr(k, 't') > 0⟧ AS repeated, COUNT⟦kinds¦k¦instr(k, 'x') > 0⟧ AS mixed, COUNT⟦kinds¦k¦instr(k, 'n') > 0⟧ AS numbers,
+  CASE WHEN len_words = 0 THEN CAST(0 AS BIGINT) ELSE COUNT⟦kinds¦k¦k <> '.'⟧ END AS noisy, COUNT⟦raw_kinds¦k¦k = 'p'⟧ AS plain
+FROM (SELECT {keep}, t, COUNT⟦words¦w¦w <> ''⟧ AS len_words, MAP⟦words¦w¦CASE WHEN {_mash('w')} THEN 'm' WHEN RLIKE(w, '^\\pL{{3,}}$') THEN 'p' ELSE '' END⟧ AS raw_kinds, MAP⟦bare¦w¦{kind}⟧ AS kinds
+  FROM (SELECT {keep}, t, words, MAP⟦words¦w¦BTRIM(w, {fixed.sql(fixed.EDGES)})⟧ AS bare
+    FROM (SELECT {keep}, t, split(t, ' ') AS words FROM (SELECT {keep}, lower(trim(regexp_replace(coalesce({text}, ''), '\\s+', ' '@G))) AS t FROM {view}) a) b) c) d"""
 
 
-OPS["cls_01_noise_tokens"] = f"SELECT doc_id, n_tokens, mash, repeated, mixed, numbers, noisy, plain FROM ({_features('doc_id', 'documents', 'text')}) d"
+OPS["cls_01_noise_tokens"] = f"SELECT doc_id, n_tokens, mash, repeated, mixed, numbers, noisy, plain FROM ({_features('doc_id', 'documents', 'text')}) d WHERE n_tokens > 0"
 _SYMBOLS = "(length(raw) - length(regexp_replace(raw, '[\\pL\\pN]', ''@G))) * 2 < length(raw)"
 _JUDGED = f"""
-SELECT f.feedback_id, f.raw, f.t, f.t = '' AS is_empty, f.n_chars, coalesce(n.n_tokens, 0) AS n_tokens, coalesce(n.mash, 0) AS mash, coalesce(n.noisy, 0) AS noisy, coalesce(n.plain, 0) AS plain, NOT RLIKE(f.raw, '\\pL') AS no_letter, {_SYMBOLS} AS symbols
-FROM (SELECT feedback_id, coalesce(feedback_text, '') AS raw, lower(trim(coalesce(feedback_text, ''))) AS t, length(coalesce(feedback_text, '')) AS n_chars FROM feedback) f LEFT JOIN ({_features('feedback_id', 'feedback', 'feedback_text')}) n ON n.feedback_id = f.feedback_id"""
+SELECT feedback_id, raw, lower(trim(raw)) AS t, trim(raw) = '' AS is_empty, length(raw) AS n_chars, n_tokens, mash, noisy, plain, NOT RLIKE(raw, '\\pL') AS no_letter, {_SYMBOLS} AS symbols FROM ({_features("feedback_id, raw", "(SELECT feedback_id, coalesce(feedback_text, '') AS raw FROM feedback) r", "raw")}) n"""
 _SHARED = "no_letter OR symbols OR (n_tokens > 0 AND plain = 0 AND {n} > 20) OR (n_tokens >= 3 AND noisy * 2 >= n_tokens)"
 _PROMO = "CASE " + " ".join(f"WHEN RLIKE(t, {fixed.sql(p)}) THEN {i}" for i, p in enumerate(fixed.PROMO)) + " ELSE -1 END"
 # two forms of the predicate: one in front of the pattern classifier, one with reasons in front of a model

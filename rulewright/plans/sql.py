@@ -12,6 +12,8 @@ COUNT⟦array¦x¦test⟧    how many elements x of an array pass the test
 MAP⟦array¦x¦value⟧     the array of the values of its elements x
 SERIES(n)              the array of 0 to n - 1; n is a column
 SPLITRE(a, b)          a cut at what the pattern b finds
+BTRIM(a, b)            a without the characters of b at its ends
+TRIPLE(a)              a holds a letter or digit three times in a row
 LAST⟦array⟧            the last element of an array, null of an empty one
 KEEP⟦array¦x¦test⟧     the elements x of an array that pass the test
 
@@ -35,6 +37,7 @@ _JSON = re.compile(r"JSON\(([^,()]+), (\w+)\)")
 _AGG = re.compile(r"AGG\{([^|]*)\|([^|]*)\|([^}]*)\}")
 _COUNT = re.compile(r"COUNT⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
 _MAP = re.compile(r"MAP⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
+_TRIPLE = re.compile(r"TRIPLE\((\w+)\)")
 _KEEP = re.compile(r"KEEP⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
 _LAST = re.compile(r"LAST⟦([^⟦⟧]*)⟧")
 _SERIES = re.compile(r"SERIES\((\w+)\)")
@@ -49,10 +52,11 @@ def spark_text(sql: str) -> str:
     sql = re.sub(r"SHA\((\w+)\)", r"sha2(\1, 256)", sql)
     sql = _SERIES.sub(r"filter(sequence(0, CAST(\1 AS INT)), x_ -> x_ < \1)", sql)
     sql = _MAP.sub(r"transform(\1, \2 -> \3)", sql)
+    sql = _TRIPLE.sub(r"RLIKE(\1, '([a-z0-9])\\1\\1')", sql)
     sql = _KEEP.sub(r"filter(\1, \2 -> \3)", sql)
     sql = _LAST.sub(r"try_element_at(\1, -1)", sql)
     sql = _COUNT.sub(r"CAST(size(filter(\1, \2 -> \3)) AS BIGINT)", sql)
-    return sql.replace("SPLITRE(", "split(").replace("RLIKE(", "regexp_like(").replace("@G", "").replace("\\", "\\\\")
+    return sql.replace("BTRIM(", "btrim(").replace("SPLITRE(", "split(").replace("RLIKE(", "regexp_like(").replace("@G", "").replace("\\", "\\\\")
 
 
 def _counted(sql: str) -> str:
@@ -75,11 +79,13 @@ def other_text(sql: str) -> str:
     sql = _SECONDS.sub(r"CAST(floor(epoch(\1)) AS BIGINT)", sql)
     sql = _SERIES.sub(r"range(CAST(\1 AS BIGINT))", sql)
     sql = _MAP.sub(r"list_transform(\1, lambda \2: \3)", sql)
+    # without back references the characters are spelled out
+    sql = _TRIPLE.sub(lambda m: f"RLIKE({m[1]}, '{'|'.join(c * 3 for c in 'abcdefghijklmnopqrstuvwxyz0123456789')}')", sql)
     sql = _KEEP.sub(r"list_filter(\1, lambda \2: \3)", sql)
     sql = _LAST.sub(r"list_extract(\1, -1)", sql)
     sql = _COUNT.sub(r"CAST(len(list_filter(\1, lambda \2: \3)) AS BIGINT)", sql)
     sql = _counted(sql)
-    return sql.replace("SPLITRE(", "regexp_split_to_array(").replace("RLIKE(", "regexp_matches(").replace("@G", ", 'g'").replace("SHA(", "sha256(")
+    return sql.replace("BTRIM(", "trim(").replace("SPLITRE(", "regexp_split_to_array(").replace("RLIKE(", "regexp_matches(").replace("@G", ", 'g'").replace("SHA(", "sha256(")
 
 
 @dataclass(frozen=True)
