@@ -3,6 +3,7 @@
 from rulewright.sources.adapters import view
 
 from .datagen import OPS as DATASETS
+from .route import OPS as ROUTES
 from .validate import OPS as CHECKS
 
 OPS: dict[str, str] = {}
@@ -87,18 +88,20 @@ OPS["evl_09_conflicts"] = f"""
 SELECT category, {_RATES}, round(fn / CAST(greatest(tp + fn, 1) AS DOUBLE), 6) AS missed_rate, round(fp / CAST(greatest(fp + tn, 1) AS DOUBLE), 6) AS false_rate
 FROM (SELECT category, {_BINARY} FROM conflict_judgements GROUP BY category UNION ALL SELECT 'all', {_BINARY} FROM conflict_judgements) b"""
 OPS["evl_10_clarifications"] = f"SELECT {_RATES}, fn AS missed, fp AS incorrect FROM (SELECT count_if(needs AND asked) AS tp, count_if(NOT needs AND asked) AS fp, count_if(needs AND NOT asked) AS fn, count_if(NOT needs AND NOT asked) AS tn FROM (SELECT needs_clarification AS needs, business_term IS NULL OR n_conditions = 0 AS asked FROM suggestions) s) b"
+view("clarification_times", "SELECT s.suggestion_id, s.workspace_id, s.created_at, max(a.created_at) AS resolved_at FROM suggestions s JOIN audit a ON a.entity_id = s.suggestion_id WHERE s.needs_clarification GROUP BY s.suggestion_id, s.workspace_id, s.created_at")
+OPS["evl_10_resolution"] = "SELECT workspace_id, count(*) AS n, round(avg(CAST(SECONDS(resolved_at) - SECONDS(created_at) AS DOUBLE)), 6) AS mean_seconds, max(SECONDS(resolved_at) - SECONDS(created_at)) AS longest_seconds FROM clarification_times WHERE resolved_at >= created_at GROUP BY workspace_id"
 _METRICS = "SELECT model, 'accuracy' AS name, round(avg(CASE WHEN expected = predicted THEN 1e0 ELSE 0e0 END), 6) AS value FROM predictions GROUP BY model UNION ALL SELECT model, 'confidence', round(avg(confidence), 6) FROM predictions GROUP BY model UNION ALL SELECT model, 'has_toxic', max(CASE WHEN expected_toxic = 1 THEN 1e0 ELSE 0e0 END) FROM predictions GROUP BY model"
-# the eight measures of a run, in long form
-view("run_metrics", """
-SELECT model AS run, name, round(CAST(value AS DOUBLE), 6) AS value FROM (
-  SELECT model, 'classification_accuracy' AS name, avg(CASE WHEN expected = predicted THEN 1e0 ELSE 0e0 END) AS value FROM predictions GROUP BY model
-  UNION ALL SELECT model, 'extraction_f1', 2e0 * count_if(expected = 1 AND predicted = 1) / greatest(count_if(expected = 1) + count_if(predicted = 1), 1) FROM predictions GROUP BY model
-  UNION ALL SELECT model, 'duplicate_precision', count_if(expected_lang = 'en' AND predicted_lang = 'en') / CAST(greatest(count_if(predicted_lang = 'en'), 1) AS DOUBLE) FROM predictions GROUP BY model
-  UNION ALL SELECT model, 'duplicate_recall', count_if(expected_lang = 'en' AND predicted_lang = 'en') / CAST(greatest(count_if(expected_lang = 'en'), 1) AS DOUBLE) FROM predictions GROUP BY model
-  UNION ALL SELECT model, 'conflict_precision', count_if(expected_lang = 'de' AND predicted_lang = 'de') / CAST(greatest(count_if(predicted_lang = 'de'), 1) AS DOUBLE) FROM predictions GROUP BY model
-  UNION ALL SELECT model, 'conflict_recall', count_if(expected_lang = 'de' AND predicted_lang = 'de') / CAST(greatest(count_if(expected_lang = 'de'), 1) AS DOUBLE) FROM predictions GROUP BY model
-  UNION ALL SELECT model, 'missed_conflict_rate', 1 - count_if(expected_lang = 'de' AND predicted_lang = 'de') / CAST(greatest(count_if(expected_lang = 'de'), 1) AS DOUBLE) FROM predictions GROUP BY model
-  UNION ALL SELECT model, 'response_time', 3 * avg(confidence) FROM predictions GROUP BY model) m""")
+# the eight measures of a run, from one aggregation, in long form
+_EN, _DE = ("count_if(expected_lang = '{0}' AND predicted_lang = '{0}')".format(x) for x in ("en", "de"))
+_MEASURES = {
+    "classification_accuracy": "avg(CASE WHEN expected = predicted THEN 1e0 ELSE 0e0 END)", "extraction_f1": "2e0 * count_if(expected = 1 AND predicted = 1) / greatest(count_if(expected = 1) + count_if(predicted = 1), 1)",
+    "duplicate_precision": f"{_EN} / CAST(greatest(count_if(predicted_lang = 'en'), 1) AS DOUBLE)", "duplicate_recall": f"{_EN} / CAST(greatest(count_if(expected_lang = 'en'), 1) AS DOUBLE)",
+    "conflict_precision": f"{_DE} / CAST(greatest(count_if(predicted_lang = 'de'), 1) AS DOUBLE)", "conflict_recall": f"{_DE} / CAST(greatest(count_if(expected_lang = 'de'), 1) AS DOUBLE)",
+    "missed_conflict_rate": f"1 - {_DE} / CAST(greatest(count_if(expected_lang = 'de'), 1) AS DOUBLE)", "response_time": "3 * avg(confidence)",
+}
+view("run_metrics", f"""
+SELECT g.run, n.name, round(CAST(CASE n.name {" ".join(f"WHEN '{m}' THEN g.{m}" for m in _MEASURES)} END AS DOUBLE), 6) AS value FROM (SELECT model AS run, {", ".join(f"{test} AS {m}" for m, test in _MEASURES.items())} FROM predictions GROUP BY model) g
+CROSS JOIN (VALUES {", ".join(f"('{m}')" for m in _MEASURES)}) AS n(name)""")
 # fixed values: targets, and whether more is better
 _TARGETS = [("classification_accuracy", 0.85, True), ("extraction_f1", 0.80, True), ("duplicate_precision", 0.90, True), ("duplicate_recall", 0.90, True), ("conflict_precision", 0.85, True), ("conflict_recall", 0.85, True), ("missed_conflict_rate", 0.05, False), ("response_time", 2.0, False)]
 _GOALS = "(VALUES " + ", ".join(f"('{n}', CAST({t} AS DOUBLE), {more})" for n, t, more in _TARGETS) + ") AS t(name, target, more)"
@@ -116,3 +119,10 @@ OPS["evl_13_rank"] = f"SELECT model, value AS accuracy, CAST(rank() OVER (ORDER
 OPS["evl_14_unpivot"] = _METRICS
 OPS["evl_15_lineage"] = "SELECT v.version_id, p.version_id AS parent, g.version_id AS grandparent, c.n AS children FROM versions v LEFT JOIN versions p ON p.version_id = v.parent_id LEFT JOIN versions g ON g.version_id = p.parent_id LEFT JOIN (SELECT parent_id, count(*) AS n FROM versions GROUP BY parent_id) c ON c.parent_id = v.version_id"
 OPS["evl_16_run_summary"] = "SELECT bucket AS engine, count(*) AS n, count_if(duration > 1) AS slow, round(avg(CASE WHEN duration <= 3 THEN duration END), 6) AS mean_latency, count_if(duration > 3) AS errors FROM request_log GROUP BY bucket"
+# what a run's suggestions came to: validation, routing, duplicates, conflicts and clarifications
+_ROUTED = f"SELECT s.workspace_id, r.review_status FROM ({ROUTES['rte_03_route']}) r JOIN suggestions s ON s.suggestion_id = r.suggestion_id"
+OPS["evl_16_counts"] = f"""
+SELECT engine, measure, name, count(*) AS n FROM (
+  SELECT workspace_id AS engine, 'validation' AS measure, schema_status AS name FROM suggestions UNION ALL SELECT workspace_id, 'routing', review_status FROM ({_ROUTED}) r
+  UNION ALL SELECT workspace_id, 'duplicate', CASE WHEN is_duplicate THEN 'duplicate' ELSE 'unrelated' END FROM suggestions UNION ALL SELECT workspace_id, 'conflict', CASE WHEN has_conflict THEN 'conflict' ELSE 'none' END FROM suggestions
+  UNION ALL SELECT workspace_id, 'clarification', CASE WHEN needs_clarification THEN 'required' ELSE 'none' END FROM suggestions) x GROUP BY engine, measure, name"""

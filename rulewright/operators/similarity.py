@@ -2,6 +2,8 @@
 
 from rulewright.sources.adapters import view
 
+from . import fixed
+
 OPS: dict[str, str] = {}
 
 _TEXT = "concat_ws(' ', r.business_term, r.operation, r.scope, AGG{concat(c.field, ' ', c.operator, ' ', c.value)| |c.pos})"
@@ -110,6 +112,17 @@ OPS["sim_13_conflict"] = f"SELECT new_id, old_id, kind, confidence FROM ({_CONFL
 OPS["sim_14_conflict_rollup"] = f"""
 SELECT new_id, AGG{{CASE WHEN kind IN ('direct', 'potential') THEN old_id END|,|old_no}} AS conflicting, count_if(kind = 'direct') AS n_direct, count_if(kind = 'potential') AS n_potential, max(confidence) AS worst,
   count_if(kind IN ('direct', 'potential')) > 0 AS has_conflict, count(*) > 0 AS has_conflict_or_related FROM ({_CONFLICT}) c WHERE confidence > 0.6 GROUP BY new_id"""
+# fixed values: the public label of each kind of conflict, and what is recommended for it
+_LABELS = [("direct", "Conflict"), ("potential", "Conflict"), ("related_compatible", "Compatible"), ("none", "No Conflict")]
+_ADVICE = [
+    ("direct", 1, "Reconcile the conditions that contradict"), ("direct", 2, "Change scope or entities so that the rules do not overlap"), ("direct", 3, "Merge the rules or say which one comes first"),
+    ("potential", 1, "Check that the conditions are compatible"), ("potential", 2, "Add conditions that tell the rules apart"), ("potential", 3, "Test with sample data"),
+    ("related_compatible", 1, "Decide whether to merge the rules or keep both"), ("related_compatible", 2, "Check for gaps and overlaps between the conditions"), ("related_compatible", 3, "Write down how the rules relate"), ("none", 1, "No conflict was found"),
+]
+_WORST = f"SELECT new_id, old_id, kind, confidence, row_number() OVER (PARTITION BY new_id ORDER BY CASE kind WHEN 'direct' THEN 0 WHEN 'potential' THEN 1 WHEN 'related_compatible' THEN 2 ELSE 3 END, confidence DESC, old_no) AS rn FROM ({_CONFLICT}) c WHERE confidence > 0.6"
+OPS["sim_14_recommendations"] = f"""
+SELECT r.rule_id AS new_id, w.old_id AS worst_id, l.label, a.pos, a.advice FROM new_rules r LEFT JOIN (SELECT * FROM ({_WORST}) x WHERE rn = 1) w ON w.new_id = r.rule_id
+JOIN {fixed.values(_LABELS, "kind, label", "l")} ON l.kind = coalesce(w.kind, 'none') JOIN {fixed.values(_ADVICE, "kind, pos, advice", "a")} ON a.kind = l.kind"""
 OPS["sim_15_comparisons"] = f"SELECT concat(l.new_id, '-', l.old_id) AS comparison_id, CASE WHEN l.relationship <> 'unrelated' THEN l.old_id END AS matching_id, CASE WHEN c.kind IN ('direct', 'potential') THEN c.old_id END AS conflicting_id, l.confidence FROM ({_LADDER}) l JOIN ({_CONFLICT}) c ON c.new_id = l.new_id AND c.old_id = l.old_id"
 view("known_conflicts", "SELECT r.rule_id AS first_id, concat('R', lpad(CAST(r.rule_no + 1 AS STRING), 6, '0')) AS second_id, concat('known_', r.operation) AS conflict_type FROM rules r")
 OPS["sim_16_known_conflicts"] = """

@@ -1,5 +1,7 @@
 """Text normalisation and privacy."""
 
+from rulewright.sources.adapters import view
+
 from . import fixed, terms
 
 OPS: dict[str, str] = {}
@@ -18,9 +20,6 @@ _STEPS = [
     ("tokenization", _BLANKS, _BLANKS, f"concat('Tokenized into ', CAST(CASE WHEN {_BLANKS} = '' THEN 0 ELSE length({_BLANKS}) - length(replace({_BLANKS}, ' ', '')) + 1 END AS STRING), ' tokens')"),
     ("punctuation_removal", _BLANKS, NORMAL, "'Removed non-critical punctuation'"),
 ]
-OPS["txt_02_step_log"] = " UNION ALL ".join(f"SELECT feedback_id, {i} AS pos, '{step}' AS step, {before} AS input, {after} AS output, {changes} AS changes FROM feedback" for i, (step, before, after, changes) in enumerate(_STEPS))
-
-
 def _fixed(column: str, pairs: list[tuple[str, str]]) -> str:
     for wrong, right in pairs:
         column = f"replace({column}, '{wrong}', '{right}')"
@@ -33,6 +32,13 @@ OPS["txt_03_spelling"] = f"""
 SELECT feedback_id, {_fixed("corrected", fixed.SHORTHAND)} AS corrected, changes, RLIKE(corrected, 'pls|thx') AS has_shorthand
 FROM (SELECT feedback_id, {_fixed("feedback_text", fixed.MISSPELLINGS)} AS corrected, concat_ws(',', {_CHANGES}) AS changes FROM feedback) f"""
 
+_SAID = ", ".join(f"CASE WHEN instr({_fixed('normal', fixed.MISSPELLINGS[:i])}, '{a}') > 0 THEN '{a}->{b}' END" for i, (a, b) in enumerate(fixed.MISSPELLINGS))
+_SHORT = ", ".join(f"CASE WHEN instr(spelled, '{a}') > 0 THEN '{a}->{b}' END" for a, b in fixed.SHORTHAND)
+view("processed", f"SELECT feedback_id, normal, spelled, {_fixed('spelled', fixed.SHORTHAND)} AS processed_text, coalesce(nullif(concat_ws(', ', {_SAID}), ''), 'No corrections needed') AS spelling, coalesce(nullif(concat_ws(', ', {_SHORT}), ''), 'No normalization needed') AS language FROM (SELECT feedback_id, normal, {_fixed('normal', fixed.MISSPELLINGS)} AS spelled FROM (SELECT feedback_id, {NORMAL} AS normal FROM feedback) a) b")
+OPS["txt_01_processed"] = "SELECT feedback_id, processed_text, language <> 'No normalization needed' AS language_normalized FROM processed"
+# steps that look for words without changing the text have no entry
+OPS["txt_02_step_log"] = " UNION ALL ".join([*(f"SELECT feedback_id, {i} AS pos, '{step}' AS step, {before} AS input, {after} AS output, {changes} AS changes FROM feedback" for i, (step, before, after, changes) in enumerate(_STEPS)), "SELECT feedback_id, 5, 'spelling_correction', normal, spelled, spelling FROM processed", "SELECT feedback_id, 8, 'language_normalization', spelled, processed_text, language FROM processed"])
+
 OPS["txt_05_keywords"] = terms.KEYWORDS
 
 # fixed values: what refers to a schema: dotted names, quoted ones, what follows a keyword of SQL, and words for its parts

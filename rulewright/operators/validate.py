@@ -1,5 +1,7 @@
 """Validation of rules and dataset records."""
 
+from rulewright.sources.adapters import view
+
 OPS: dict[str, str] = {}
 
 # fixed values: operations, and which comparison operator suits which column type
@@ -43,17 +45,41 @@ OPS["val_01_schema"] = _VALIDATED
 OPS["val_02_rollup"] = f"""
 SELECT workspace_id, domain_id, CASE WHEN bool_and(status = 'PASS') THEN 'PASS' WHEN bool_or(status IN ('PASS', 'PARTIAL')) THEN 'PARTIAL' ELSE 'FAIL' END AS status, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS strict_status,
   round(avg(coverage), 6) AS mean_coverage, count_if(NOT fields_known) AS n_unknown_fields FROM ({_VALIDATED}) v GROUP BY workspace_id, domain_id"""
+# what is no rule has no status; every rule of a feedback counts once
+OPS["val_02_feedback"] = f"""
+SELECT f.feedback_id, CASE WHEN f.n_rules = 0 THEN 'N/A' WHEN f.n_pass = f.n_rules THEN 'PASS' WHEN f.n_some > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS status, CASE WHEN f.n_rules = 0 THEN 'N/A' WHEN f.n_fail > 0 THEN 'FAIL' WHEN f.n_pass = f.n_rules THEN 'PASS' ELSE 'PARTIAL' END AS strict_status,
+  f.n_rules, coalesce(round(f.coverage, 6), CAST(0 AS DOUBLE)) AS mean_coverage, f.n_rules > 0 AND f.n_complete = f.n_rules AS mandatory_fields_valid, coalesce(f.n_errors, 0) AS n_errors
+FROM (SELECT m.feedback_id, count(v.rule_id) AS n_rules, count_if(v.status = 'PASS') AS n_pass, count_if(v.status IN ('PASS', 'PARTIAL')) AS n_some, count_if(v.status = 'FAIL') AS n_fail, count_if(v.required_components) AS n_complete, avg(v.coverage) AS coverage, CAST(sum(v.n_invalid) AS BIGINT) AS n_errors
+  FROM feedback_rules m LEFT JOIN ({_VALIDATED}) v ON v.rule_id = m.rule_id AND m.is_actionable GROUP BY m.feedback_id) f"""
+view("feedback_rules", "SELECT DISTINCT feedback_id, rule_id, is_actionable FROM records")
 OPS["val_03_gates"] = """
 SELECT suggestion_id, CASE WHEN schema_status = 'FAIL' OR confidence < 0.3 THEN 'BLOCKED' WHEN schema_status = 'PARTIAL' OR confidence < 0.7 THEN 'REVIEW_REQUIRED' ELSE 'APPROVED' END AS gate,
   concat_ws(',', CASE WHEN schema_status = 'FAIL' THEN 'schema_fail' END, CASE WHEN schema_status = 'PARTIAL' THEN 'schema_partial' END, CASE WHEN confidence < 0.7 THEN 'low_confidence' END) AS reasons FROM suggestions"""
+OPS["val_03_counts"] = f"SELECT gate, count(*) AS n, count_if(reasons <> '') AS with_reasons FROM ({OPS['val_03_gates']}) g GROUP BY gate"
+# a rule's term and operation count once, each of its conditions' operators once; rules without conditions count too
 OPS["val_04_taxonomy"] = f"""
-SELECT r.domain_id, count_if(g.domain IS NOT NULL) AS known_terms, count_if(r.operation IN {OPERATIONS}) AS known_operations, count_if(c.operator IN {_OPERATORS}) AS known_operators,
-  round((count_if(g.domain IS NOT NULL) + count_if(r.operation IN {OPERATIONS}) + count_if(c.operator IN {_OPERATORS})) / CAST(3 * count(*) AS DOUBLE), 6) AS validity
-FROM rules r JOIN conditions c ON c.rule_id = r.rule_id LEFT JOIN glossary g ON g.domain = r.domain_id AND g.term = r.business_term GROUP BY r.domain_id"""
-_MISSING = "CASE WHEN business_term IS NULL THEN 'business_term' END, CASE WHEN n_conditions = 0 AND operation IN ('exclude', 'include') THEN 'conditions' END, CASE WHEN n_tables = 0 THEN 'affected_tables' END"
+SELECT r.domain_id, r.known_terms, r.known_operations, coalesce(c.known_operators, 0) AS known_operators, round((r.known_terms + r.known_operations + coalesce(c.known_operators, 0)) / CAST(2 * r.n + coalesce(c.n, 0) AS DOUBLE), 6) AS validity
+FROM (SELECT x.domain_id, count(*) AS n, count_if(g.domain IS NOT NULL) AS known_terms, count_if(coalesce(x.operation, '') IN {OPERATIONS}) AS known_operations FROM rules x LEFT JOIN (SELECT DISTINCT domain, term FROM glossary) g ON g.domain = x.domain_id AND g.term = x.business_term GROUP BY x.domain_id) r
+LEFT JOIN (SELECT domain_id, count(*) AS n, count_if(operator IN {_OPERATORS}) AS known_operators FROM conditions GROUP BY domain_id) c ON c.domain_id = r.domain_id"""
+# fixed values: fields that every rule needs, those that an operation needs, and those that help
+view("rule_presence", """
+SELECT r.rule_id, coalesce(r.business_term, '') <> '' AS business_term, coalesce(r.operation, '') <> '' AS operation, coalesce(r.scope, '') <> '' AS scope, coalesce(c.n, 0) > 0 AS conditions, r.threshold IS NOT NULL AS threshold, coalesce(r.time_window, '') <> '' AS time_window,
+  lower(coalesce(r.operation, '')) IN ('exclude', 'include', 'restrict') AS needs_conditions, lower(coalesce(r.operation, '')) = 'restrict' AS needs_threshold, d.text AS candidate
+FROM new_rules r LEFT JOIN (SELECT rule_id, count(*) AS n FROM new_conditions GROUP BY rule_id) c ON c.rule_id = r.rule_id LEFT JOIN (SELECT rule_id, text FROM new_candidates WHERE pos = 0) d ON d.rule_id = r.rule_id""")
+_LACKS = {"business_term": "NOT business_term", "operation": "NOT operation", "scope": "NOT scope"}
+_NEEDS = {"conditions": "needs_conditions AND NOT conditions", "threshold": "needs_threshold AND NOT threshold"}
+_names = lambda tests: ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in tests.items())
+_PRESENT = " + ".join(f"CASE WHEN {t} THEN 1 ELSE 0 END" for t in ("business_term", "operation", "scope", "needs_conditions AND conditions", "threshold", "time_window"))
 OPS["val_05_completeness"] = f"""
-SELECT suggestion_id, concat_ws(',', {_MISSING}) AS missing, round((5 - CASE WHEN business_term IS NULL THEN 1 ELSE 0 END - CASE WHEN n_conditions = 0 AND operation IN ('exclude', 'include') THEN 1 ELSE 0 END - CASE WHEN n_tables = 0 THEN 1 ELSE 0 END) / CAST(5 AS DOUBLE), 6) AS score,
-  CASE WHEN business_term IS NULL THEN 'Which term does the rule concern?' WHEN n_conditions = 0 AND operation IN ('exclude', 'include') THEN 'Under which condition?' WHEN n_tables = 0 THEN 'Which tables are affected?' END AS first_question FROM suggestions"""
+SELECT rule_id, missing = '' AND missing_for_operation = '' AS is_complete, missing, missing_for_operation, score FROM (SELECT rule_id, concat_ws(',', {_names(_LACKS)}) AS missing, concat_ws(',', {_names(_NEEDS)}) AS missing_for_operation, round(({_PRESENT}) / CAST(5 AS DOUBLE), 3) AS score FROM rule_presence) p"""
+_SOME = " OR ".join([*_LACKS.values(), *_NEEDS.values()])
+# a question for each gap, and one for the time where anything is missing; a phrase that was found is asked about twice
+_QUESTIONS = [
+    (0, "business_term", "high", "NOT business_term", "'Which term is the rule about, such as revenue or churn?'"), (1, "operation", "high", "NOT operation", "'What should happen, such as exclude, include or restrict?'"), (2, "scope", "high", "NOT scope", "'Where does the rule hold, such as global or region:1?'"),
+    (3, "conditions", "high", f"{_NEEDS['conditions']} AND coalesce(candidate, '') <> ''", "concat('How can ', candidate, ' be told from the data?')"), (4, "conditions", "medium", f"{_NEEDS['conditions']} AND coalesce(candidate, '') <> ''", "concat('Which field says ', candidate, '?')"),
+    (5, "conditions", "high", f"{_NEEDS['conditions']} AND candidate IS NULL", "'Under which conditions does the rule apply?'"), (6, "threshold", "high", _NEEDS["threshold"], "'Which number is the limit?'"), (7, "time_window", "medium", f"({_SOME}) AND NOT time_window", "'Does the rule hold for a certain time only?'"),
+]
+OPS["val_05_questions"] = " UNION ALL ".join(f"SELECT rule_id, {i} AS pos, '{field}' AS field, '{priority}' AS priority, {text} AS question FROM rule_presence WHERE {test}" for i, field, priority, test, text in _QUESTIONS)
 # fixed values: words that are ambiguous wherever they stand, operations and scopes that are not
 _VAGUE = "(some|certain|particular|specific|various|different|multiple|several|many|few|etc|and so on|etcetera|and others|and more)"
 _CLEAR = "('exclude', 'include', 'restrict', 'map', 'replace', 'add', 'subtract', 'mask', 'expose', 'drop', 'keep')"
@@ -64,7 +90,7 @@ SELECT r.rule_id, RLIKE(lower(coalesce(r.business_term, '')), '{_VAGUE}') AS bus
 OPS["val_06_ambiguity"] = f"""
 SELECT rule_id, concat_ws(',', {", ".join(f"CASE WHEN {d} THEN '{d}' END" for d in _DOUBTS)}) AS ambiguous_fields, round(({" + ".join(f"CASE WHEN {d} THEN 1 ELSE 0 END" for d in _DOUBTS)}) / CAST(5 AS DOUBLE), 3) AS score,
   concat_ws(' ', CASE WHEN business_term THEN 'Which business concept is meant?' END, CASE WHEN operation THEN 'What should happen to these records?' END, CASE WHEN conditions THEN 'Which exact field and value?' END, CASE WHEN scope THEN 'Where does the rule hold?' END, CASE WHEN threshold THEN 'Which number is meant?' END) AS questions FROM ({_DOUBT}) d"""
-OPS["val_07_mandatory_guard"] = "SELECT suggestion_id, business_term IS NULL OR trim(operation) = '' OR n_tables = 0 AS needs_clarification, CASE WHEN n_tables = 0 THEN NULL ELSE nullif(trim(business_term), '') END AS business_term FROM suggestions"
+OPS["val_07_mandatory_guard"] = "SELECT suggestion_id, coalesce(trim(business_term), '') = '' OR coalesce(trim(operation), '') = '' OR coalesce(trim(scope), '') = '' OR n_tables = 0 AS needs_clarification, CASE WHEN n_tables = 0 THEN NULL ELSE nullif(trim(business_term), '') END AS business_term FROM suggestions"
 _RECORD = """
 SELECT feedback_id, rule_family_id, concat_ws(',', CASE WHEN feedback_text IS NULL OR trim(feedback_text) = '' THEN 'missing_text' END, CASE WHEN feedback_type = 'business_rule' AND rule_category IS NULL THEN 'rule_without_category' END,
   CASE WHEN is_actionable <> (feedback_type = 'business_rule') THEN 'label_mismatch' END, CASE WHEN is_actionable AND used_field <> context_field THEN 'field_outside_context' END) AS errors FROM records"""

@@ -415,3 +415,59 @@ def test_keywords_are_words_or_their_singulars(spark):
     glossary = spark.createDataFrame([("d", t, "", "", 0) for t in ("company", "box", "class", "order_count")], "domain string, term string, definition string, ref string, pos int")
     got = operators.apply(spark, "txt_05_keywords", feedback=feedback(spark, ["Companies boxes class classs orders. status Order_count regions", "nothing"]), glossary=glossary).collect()
     assert [(r.feedback_id, r.keywords, r.n_keywords) for r in got] == [(0, "company box class status order_count region", 6)]
+
+
+RULE = "rule_id string, rule_no long, workspace_id string, domain_id string, business_term string, operation string, scope string, threshold double, time_window string"
+
+
+def test_completeness_and_a_question_for_every_gap(spark):
+    rules = spark.createDataFrame([
+        ("a", 1, "w", "d", "revenue", "exclude", "global", 1.0, "last_30_days"), ("b", 2, "w", "d", None, "", None, None, None), ("c", 3, "w", "d", "churn", "restrict", "global", None, None), ("e", 4, "w", "d", "churn", "map", "global", None, None)], RULE)
+    conditions = spark.createDataFrame([("a", 0)], "rule_id string, pos int")
+    found = spark.createDataFrame([("c", 0, "late orders")], "rule_id string, pos int, text string")
+    inputs = {"new_rules": rules, "new_conditions": conditions, "new_candidates": found}
+    got = {r.rule_id: (r.is_complete, r.missing, r.missing_for_operation, r.score) for r in operators.apply(spark, "val_05_completeness", **inputs).collect()}
+    assert got == {"a": (True, "", "", 1.2), "b": (False, "business_term,operation,scope", "", 0.0), "c": (False, "", "conditions,threshold", 0.6), "e": (True, "", "", 0.6)}
+    asked = [(r.rule_id, r.field, r.priority) for r in operators.apply(spark, "val_05_questions", **inputs).orderBy("rule_id", "pos").collect()]
+    assert asked == [
+        ("b", "business_term", "high"), ("b", "operation", "high"), ("b", "scope", "high"), ("b", "time_window", "medium"), ("c", "conditions", "high"), ("c", "conditions", "medium"), ("c", "threshold", "high"), ("c", "time_window", "medium")]
+
+
+def test_a_feedback_without_rules_has_no_status(spark, sf):
+    from rulewright.operators.fuzzy import view
+
+    rules = view(spark, sf, "rules").limit(40)
+    status = {r.rule_id: r.status for r in operators.apply(spark, "val_01_schema", rules=rules, conditions=view(spark, sf, "conditions")).collect()}
+    by = {s: [i for i, t in status.items() if t == s] for s in set(status.values())}
+    first, second = sorted(by)[:2]
+    mapped = [("one", by[first][0], True), ("two", by[first][0], True), ("two", by[second][0], True), ("none", by[first][0], False), ("lost", "nowhere", True)]
+    got = {r.feedback_id: r for r in operators.apply(spark, "val_02_feedback", rules=rules, conditions=view(spark, sf, "conditions"), feedback_rules=spark.createDataFrame(mapped, "feedback_id string, rule_id string, is_actionable boolean")).collect()}
+    assert got["one"].status == first and got["none"].status == got["lost"].status == "N/A" and got["none"].mean_coverage == 0 and not got["none"].mandatory_fields_valid
+    assert got["two"].n_rules == 2 and got["two"].status == ("PARTIAL" if {first, second} & {"PASS", "PARTIAL"} else "FAIL") and got["two"].strict_status == ("FAIL" if "FAIL" in (first, second) else "PARTIAL")
+
+
+def test_terms_and_operations_count_once_a_rule(spark):
+    rules = spark.createDataFrame([("a", 1, "w", "d", "revenue", "exclude", "global", 1.0, None), ("b", 2, "w", "d", "zyx", "fly", "global", 1.0, None)], RULE)
+    conditions = spark.createDataFrame([("a", "d", o) for o in ("equals", "equals", "nearly")], "rule_id string, domain_id string, operator string")
+    glossary = spark.createDataFrame([("d", "revenue", "", "", 0), ("d", "revenue", "", "", 1)], "domain string, term string, definition string, ref string, pos int")
+    got = operators.apply(spark, "val_04_taxonomy", rules=rules, conditions=conditions, glossary=glossary).first()
+    assert (got.known_terms, got.known_operations, got.known_operators, got.validity) == (1, 1, 2, round(4 / 7, 6))
+
+
+def test_steps_of_a_text_in_order(spark):
+    got = operators.apply(spark, "txt_02_step_log", feedback=feedback(spark, ["  Pls  shouldnt ~ count; pls thx. Ok? "])).orderBy("pos").collect()
+    assert [r.step for r in got] == ["unicode_normalization", "whitespace_normalization", "sentence_segmentation", "tokenization", "punctuation_removal", "spelling_correction", "language_normalization"]
+    assert all(b.input == a.output for a, b in zip(got[4:], got[5:])) and got[6].output == operators.apply(spark, "txt_01_processed", feedback=feedback(spark, ["  Pls  shouldnt ~ count; pls thx. Ok? "])).first().processed_text
+    assert "should not" in got[5].output and got[6].output.endswith("please thanks. Ok?") and got[6].changes == "pls->please, thx->thanks"
+
+
+def test_recommendations_follow_the_worst_conflict(spark, sf):
+    got = operators.from_tables(spark, "sim_14_recommendations", sf).collect()
+    found = {r.new_id: r for r in operators.from_tables(spark, "sim_14_conflict_rollup", sf).collect()}
+    per = {}
+    for r in got:
+        per.setdefault(r.new_id, []).append(r)
+    for new, rows in per.items():
+        conflict = found.get(new)
+        label = "Conflict" if conflict and conflict.has_conflict else "Compatible" if conflict and rows[0].label == "Compatible" else "No Conflict"
+        assert {r.label for r in rows} == {label} and sorted(r.pos for r in rows) == list(range(1, len(rows) + 1)) and len(rows) == (1 if label == "No Conflict" else 3)
