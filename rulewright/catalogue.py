@@ -21,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: operators.oracle(key) for key in operators.OPERATORS} | vectors.ORACLES | stored.ORACLES | jobs.ORACLES | job.ORACLES | live.ORACLES
+    return {key: operators.oracle(key) for key in operators.OPERATORS} | vectors.ORACLES | stored.ORACLES | building.ORACLES | jobs.ORACLES | job.ORACLES | live.ORACLES

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from rulewright import operators
 
+from .datagen import FLOOR, WRAPPERS
 from .fuzzy import view
 
-#: Openers and closers around a seed's own text, in the order in which they are used.
-WRAPPERS = ("{text}", "Hi, just reaching out: {text}", "A quick note for the team: {text}", "Sharing this: {text}", "Wanted to flag this: {text}", "Noting this for the backlog: {text}", "{text} Thanks.", "{text} Please advise.", "{text} Let me know your thoughts.")
-FLOOR, O_SHARE = 45, 0.7
+#: The share of tokens without a label that downsampling leaves.
+O_SHARE = 0.7
 
 
 def duplicate_families(records: DataFrame) -> DataFrame:
@@ -72,3 +72,11 @@ def gen_19_downsample_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"gen_15_duplicate_families": gen_15_duplicate_families, "gen_15_representative_pairs": gen_15_representative_pairs, "gen_07_top_up_floor": gen_07_top_up_floor, "gen_19_downsample_share": gen_19_downsample_share}
+_TOKENS = operators.oracle("gen_18_token_labels")
+_PLACE = "CAST(concat('0x', substring(md5(concat(CAST(feedback_id AS VARCHAR), '/', CAST(pos AS VARCHAR))), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE)"
+ORACLES = {
+    "gen_15_duplicate_families": f"SELECT feedback_id, rule_family_id, n, representative FROM ({operators.oracle('gen_15_duplicate_pairs')})",
+    "gen_15_representative_pairs": f"SELECT concat(representative, '-', feedback_id) AS pair_id, representative AS feedback_id_1, feedback_id AS feedback_id_2, rule_family_id, 'duplicate' AS relationship FROM ({operators.oracle('gen_15_duplicate_pairs')}) WHERE feedback_id <> representative",
+    "gen_07_top_up_floor": operators.oracle("gen_07_top_up").replace("SELECT feedback_type, n, need, seed + tok * n AS place", "SELECT feedback_type, n, need, CAST(seed + tok * n AS BIGINT) AS place"),
+    "gen_19_downsample_share": f"WITH t_ AS ({_TOKENS}) SELECT t.* FROM t_ t CROSS JOIN (SELECT count_if(label <> 'O') * {O_SHARE / (1 - O_SHARE)!r} / greatest(count_if(label = 'O'), 1) AS rate FROM t_) r WHERE t.label <> 'O' OR {_PLACE} < r.rate",
+}

@@ -127,4 +127,5 @@ OPS["gen_21_sizes"] = f"""
 SELECT split, n, target, abs(n - target) <= 0.3 * target AS in_range FROM (SELECT x.split, x.n, round(x.total * t.share, 4) AS target FROM (SELECT split, CAST(sum(n) AS BIGINT) AS n, CAST(sum(sum(n)) OVER () AS BIGINT) AS total FROM ({_PROFILED}) p GROUP BY split) x
 JOIN (VALUES ('train', CAST(0.65 AS DOUBLE)), ('val', CAST(0.15 AS DOUBLE)), ('test', CAST(0.2 AS DOUBLE))) AS t(split, share) ON t.split = x.split) y"""
 # seeds stay; a new record joins them if its id is new
-OPS["gen_22_merge_seeds"] = "SELECT feedback_id, 'seed' AS origin FROM records UNION ALL SELECT n.feedback_id, 'new' FROM (SELECT concat('FB', CAST(2 * feedback_id AS STRING)) AS feedback_id FROM feedback) n WHERE NOT EXISTS (SELECT 1 FROM records s WHERE s.feedback_id = n.feedback_id)"
+view("new_records", "SELECT concat('FB', CAST(2 * feedback_id AS STRING)) AS feedback_id FROM feedback")
+OPS["gen_22_merge_seeds"] = "SELECT feedback_id, 'seed' AS origin FROM records UNION ALL SELECT n.feedback_id, 'new' FROM new_records n WHERE NOT EXISTS (SELECT 1 FROM records s WHERE s.feedback_id = n.feedback_id)"

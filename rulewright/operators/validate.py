@@ -101,10 +101,13 @@ FROM (SELECT *, count(*) OVER (PARTITION BY feedback_id) AS n_same FROM ({_RECOR
 OPS["val_10_consistency"] = """
 SELECT rule_family_id, count(DISTINCT feedback_type) AS n_types, count(DISTINCT rule_category) AS n_categories, count(DISTINCT concat(business_term, '|', operation)) AS n_rules FROM records WHERE rule_family_id NOT LIKE 'multi_%'
 GROUP BY rule_family_id HAVING count(DISTINCT feedback_type) > 1 OR count(DISTINCT rule_category) > 1 OR count(DISTINCT concat(business_term, '|', operation)) > 1"""
+# lists of rules as they come from several files: an id may be there twice, or missing
+view("listed_rules", "SELECT rule_id, operation, rule_no AS place FROM rules UNION ALL SELECT CASE WHEN rule_no % 100 = 20 THEN NULL ELSE substring(rule_id, 1, 6) || '0' END, operation, rule_no + 100000 FROM new_rules")
 OPS["val_11_rule_lists"] = f"""
-SELECT rule_id, 'duplicate_id' AS issue FROM (SELECT rule_id FROM rules UNION ALL SELECT rule_id FROM rules WHERE rule_no % 50 = 0) u GROUP BY rule_id HAVING count(*) > 1
-UNION ALL SELECT rule_id, 'unknown_operation' FROM rules WHERE operation NOT IN {OPERATIONS}
-UNION ALL SELECT c.rule_id, 'unknown_column' FROM conditions c WHERE NOT EXISTS (SELECT 1 FROM catalog k WHERE k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field)"""
+SELECT rule_id, 'duplicate_id' AS issue, min(place) AS place FROM listed_rules WHERE coalesce(rule_id, '') <> '' GROUP BY rule_id HAVING count(*) > 1
+UNION ALL SELECT rule_id, 'missing_id', place FROM listed_rules WHERE coalesce(rule_id, '') = ''
+UNION ALL SELECT rule_id, 'unknown_operation', place FROM listed_rules WHERE coalesce(operation, '') NOT IN {OPERATIONS}
+UNION ALL SELECT c.rule_id, 'unknown_column', c.pos FROM conditions c WHERE NOT EXISTS (SELECT 1 FROM catalog k WHERE k.domain = c.domain_id AND concat(k.table_name, '.', k.column_name) = c.field)"""
 OPS["val_12_strict"] = """
 SELECT r.rule_id, RLIKE(r.scope, '^(global|regional|departmental|region:[1-9]|time:.+)$') AS scope_ok, g.term IS NOT NULL OR r.business_term IN ('revenue', 'orders', 'customers', 'sales', 'profit') AS term_ok, r.operation IN ('exclude', 'include', 'restrict', 'map', 'replace', 'add', 'subtract', 'multiply', 'divide', 'filter', 'calculate') AS operation_ok
 FROM rules r LEFT JOIN glossary g ON g.domain = r.domain_id AND g.term = r.business_term"""

@@ -83,5 +83,6 @@ def str_03_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"str_01_stream": str_01_stream, "str_02_stream": str_02_stream, "str_03_stream": str_03_stream}
 ORACLES = {
     "str_01_stream": "SELECT event_type AS bucket, user_id AS subject, date_trunc('day', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL",
+    "str_02_stream": "SELECT event_id, tenant, request_key FROM (SELECT *, row_number() OVER (PARTITION BY tenant, request_key ORDER BY ts NULLS LAST, event_id) AS rn FROM (SELECT event_id, ts, user_id % 5 AS tenant, json_extract_string(props, '$.k') AS request_key FROM events) e) x WHERE rn = 1",
     "str_03_stream": operators.oracle("str_03_rates"),
 }
