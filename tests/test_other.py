@@ -228,3 +228,27 @@ def test_a_refresh_of_the_index_touches_what_changed(spark, tmp_path):
     now = {r.rule_id: r for r in index.current(spark.read.parquet(index.path)).collect()}
     assert set(now) == {"a", "c", "d"} and abs(now["a"].vector.norm(2) - 1) < 1e-9 and now["c"].vector.numNonzeros() == 0
     assert {(r["version"], r["count"]) for r in spark.read.parquet(index.path).groupBy("version").count().collect()} == {(0, 3), (1, 3)}
+
+
+def test_nearest_vectors_in_shards_blocks_and_lists(spark, sf):
+    import numpy as np
+    from rulewright.operators import vectors
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, (centres[i % 20] + 0.3 * rng.normal(size=16)).tolist(), i % 20) for i in range(1500)] + [(7, [1.0] * 16, 0), (7, [1.0] * 16, 0), (2000, None, 0), (2001, [0.0] * 16, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    queries = df.where("vec_id % 20 = 0 or vec_id = 7")
+    whole = rows_of(vectors.batched_top_k(df, queries))
+    assert rows_of(vectors.batched_top_k(df, queries, shard_rows=100, block_queries=9)) == whole and len([r for r in whole if r[0] == 7]) == 30
+    fitted = vectors.fit_centres(df, 20, sample=400)
+    found = rows_of(vectors.approximate_top_k(df, queries, fitted, 3, shard_rows=50, block_queries=20))
+    recall = len({r[:2] for r in found} & {r[:2] for r in whole}) / len({r[:2] for r in whole})
+    assert recall >= 0.95 and rows_of(vectors.approximate_top_k(df, queries, fitted, 99)) == whole
+    exact, near = ({r[:2] for r in rows_of(catalogue.queries()[key](spark, sf))} for key in ("sim_04_batched_top_k", "sim_04_approximate"))
+    assert len(exact & near) / len(exact) >= 0.9
+    assert vectors.approximate_top_k(df.where("false"), df.where("false"), vectors.fit_centres(df.where("false"), 5), 2).count() == 0
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
