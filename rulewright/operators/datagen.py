@@ -17,7 +17,16 @@ SELECT rule_id, business_term, operation, template_id, replace(replace(template,
   SELECT r.rule_id, r.business_term, r.operation, t.template_id, t.template, p.phrase, CAST(row_number() OVER (PARTITION BY r.rule_id ORDER BY md5(concat(r.rule_id, '|', CAST(t.template_id AS STRING), '|salt')), t.template_id) AS INT) AS rn
   FROM rules r JOIN (VALUES {_TEMPLATES}) AS t(operation, template_id, template) ON t.operation = r.operation JOIN ({_PHRASE}) p ON p.rule_id = r.rule_id) x WHERE rn <= {{n}}"""
 OPS["gen_02_paraphrase"] = _EXPANDED.replace("{n}", "2")
-OPS["gen_03_conversational"] = f"SELECT rule_id, concat(CASE substring(md5(concat(rule_id, 'open')), 1, 1) WHEN '0' THEN 'Hey, ' WHEN '1' THEN 'Quick one: ' WHEN '2' THEN 'Arre bhai, ' ELSE 'Hi team, ' END, feedback_text, ', thanks') AS feedback_text FROM ({_EXPANDED.replace('{n}', '1')}) e"
+# two ways to say a rule and one in two languages for each, in an order by md5
+_SEED = f"SELECT rule_id, concat(lower(substring(t, 1, 1)), substring(t, 2, 10000)) AS t FROM (SELECT rule_id, regexp_replace(feedback_text, '[.]+$', '') AS t FROM ({_EXPANDED.replace('{n}', '1')}) e) x"
+_WAYS = fixed.values([(i, t) for i, t in enumerate(fixed.CONVERSATIONAL)], "way, template", "c")
+OPS["gen_03_conversational"] = f"""
+SELECT rule_id, way, replace(template, '{{rule}}', t) AS feedback_text FROM (SELECT s.rule_id, s.t, c.way, c.template, row_number() OVER (PARTITION BY s.rule_id ORDER BY md5(concat(s.rule_id, '|way|', CAST(c.way AS STRING))), c.way) AS rn FROM ({_SEED}) s CROSS JOIN {_WAYS}) x WHERE rn <= 2"""
+_MIXED = fixed.values([(o, i, t) for o, ways in fixed.CODE_MIXED.items() for i, t in enumerate(ways)], "bank, way, template", "m")
+OPS["gen_03_code_mixed"] = f"""
+SELECT rule_id, bank, way, replace(replace(template, '{{term}}', term), '{{condition}}', phrase) AS feedback_text FROM (
+  SELECT r.rule_id, r.term, p.phrase, m.bank, m.way, m.template, row_number() OVER (PARTITION BY r.rule_id ORDER BY md5(concat(r.rule_id, '|mixed|', CAST(m.way AS STRING))), m.way) AS rn
+  FROM (SELECT rule_id, {fixed.title("coalesce(nullif(business_term, ''), 'revenue')")} AS term, CASE WHEN coalesce(operation, 'exclude') IN ('exclude', 'include') THEN coalesce(operation, 'exclude') ELSE 'other' END AS bank FROM rules) r JOIN ({_PHRASE}) p ON p.rule_id = r.rule_id JOIN {_MIXED} ON m.bank = r.bank) x WHERE rn = 1"""
 # a rule goes with the next one and the next two of its term, in a salted order: every rule leads one pair and one triple
 # if it has so many followers, and no combination of all pairs is ever formed
 _ORDERED = "PARTITION BY workspace_id, domain_id, business_term ORDER BY md5(concat(rule_id, '|multi')), rule_id"
@@ -51,7 +60,7 @@ UNION ALL SELECT 'invalid_reference', concat('invalid_', rule_id), concat('Exclu
 OPS["gen_09_expected_validity"] = """
 SELECT rec.feedback_id, CASE WHEN bool_and(k.column_name IS NOT NULL AND (f.field = rec.context_field OR f.field = rec.used_field)) THEN 'pass' ELSE 'fail' END AS schema_expected, count(*) AS n_fields
 FROM records rec JOIN (SELECT rule_id, field FROM conditions UNION SELECT rule_id, concat(affected_table, '.', affected_column) FROM rules) f ON f.rule_id = rec.rule_id LEFT JOIN catalog k ON k.domain = rec.domain AND concat(k.table_name, '.', k.column_name) = f.field GROUP BY rec.feedback_id"""
-_ALL = f"SELECT 'paraphrase' AS generator, 1 AS gen_order, rule_id AS source_id, feedback_text FROM ({OPS['gen_02_paraphrase']}) a UNION ALL SELECT 'conversational', 2, rule_id, feedback_text FROM ({OPS['gen_03_conversational']}) b UNION ALL SELECT 'ambiguous', 3, family, feedback_text FROM ({OPS['gen_05_ambiguous']}) c UNION ALL SELECT 'multi_rule', 4, family, feedback_text FROM ({OPS['gen_04_multi_rule']}) d UNION ALL SELECT 'rephrase', 5, concat(feedback_id, '_', CAST(place AS STRING)), feedback_text FROM ({OPS['gen_07_top_up']}) e UNION ALL SELECT kind, 6, family, text FROM ({OPS['gen_08_banks']}) f"
+_ALL = f"SELECT 'paraphrase' AS generator, 1 AS gen_order, rule_id AS source_id, feedback_text FROM ({OPS['gen_02_paraphrase']}) a UNION ALL SELECT 'conversational', 2, rule_id, feedback_text FROM ({OPS['gen_03_conversational']}) b UNION ALL SELECT 'ambiguous', 3, family, feedback_text FROM ({OPS['gen_05_ambiguous']}) c UNION ALL SELECT 'multi_rule', 4, family, feedback_text FROM ({OPS['gen_04_multi_rule']}) d UNION ALL SELECT 'rephrase', 5, concat(feedback_id, '_', CAST(place AS STRING)), feedback_text FROM ({OPS['gen_07_top_up']}) e UNION ALL SELECT kind, 6, family, text FROM ({OPS['gen_08_banks']}) f UNION ALL SELECT 'code_mixed', 7, rule_id, feedback_text FROM ({OPS['gen_03_code_mixed']}) h"
 OPS["gen_10_all"] = f"SELECT concat('GEN', substring(md5(concat(generator, '|', source_id, '|', feedback_text)), 1, 12)) AS feedback_id, generator, source_id, feedback_text FROM ({_ALL}) g"
 OPS["gen_10_counts"] = f"SELECT generator, gen_order, count(*) AS n, count(DISTINCT feedback_text) AS n_texts FROM ({_ALL}) g GROUP BY generator, gen_order"
 OPS["gen_11_dedupe"] = f"SELECT generator, source_id, feedback_text FROM (SELECT g.*, row_number() OVER (PARTITION BY feedback_text ORDER BY gen_order, source_id) AS rn FROM ({_ALL}) g) d WHERE rn = 1"

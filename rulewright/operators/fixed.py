@@ -114,7 +114,7 @@ OPERATOR_PHRASES = {
 }
 SCOPES = [(r"\b(global|all|entire|full)\b", "global"), (r"\b(regional?|region)\b", "regional"), (r"\b(depart|team)\b", "departmental"), (r"\b(user|customer|account)\b", "user-specific")]
 
-# tagged words: adjectives that are no term, nouns that stand for a table, words that are no noun, modal verbs, words that are no
+# fixed values of tagged words: adjectives that are no term, nouns that stand for a table, words that are no noun, modal verbs, words that are no
 # value, phrases of operations, what a text says of an operation, synonyms of tables and the columns that hold their state
 ADJECTIVES = [
     "cancelled", "canceled", "completed", "returned", "refunded", "successful", "failed", "pending", "premium", "active", "inactive", "processing", "computing", "calculating",
@@ -141,7 +141,7 @@ SAYS_INCLUDE = r"\b(?:only .+ should(?:\s+\w+){0,3} (?:contribute|count|be inclu
 TABLE_SYNONYMS = {"purchases": "orders", "transactions": "payments", "completed_order": "orders", "completed_order_items": "order_items"}
 STATE_COLUMNS = {"orders": "status", "refunds": "status", "payments": "status", "tickets": "is_internal", "customers": "is_internal", "organizations": "status", "subscriptions": "cancel_at_period_end"}
 
-# what a text implies: states of tables by adjective (the first that fits the noun), times, date columns by preference, synonyms
+# fixed values of what a text implies: states of tables by adjective (the first that fits the noun), times, date columns by preference, synonyms
 STATES = [
     ("cancelled", "orders", "status", "cancelled"), ("canceled", "orders", "status", "cancelled"), ("completed", "orders", "status", "completed"), ("pending", "orders", "status", "pending"), ("refunded", "orders", "status", "refunded"), ("refunded", "refunds", "status", "refunded"),
     ("successful", "payments", "status", "successful"), ("failed", "payments", "status", "failed"), ("processing", "payments", "status", "processing"), ("active", "products", "is_active", "true"), ("inactive", "products", "is_active", "false"), ("returned", "products", "is_active", "false"),
@@ -153,6 +153,19 @@ TIMES = [
 DATE_COLUMNS = ["created_at", "order_date", "completed_at", "paid_at", "refund_date", "transaction_date", "date"]
 NOUN_SYNONYMS = {"purchases": "orders", "transactions": "payments", "completed_order": "orders", "cancelled_order": "orders", "refund": "refunds"}
 
+# fixed values: how people put a rule, and how they do in two languages at once
+CONVERSATIONAL = ["Can we make sure {rule}?", "I think {rule}.", "Please ensure that {rule}.", "We need to {rule}.", "It would be great if {rule}.", "Can you please {rule}?", "Hey, can we {rule}?", "I was wondering if we could {rule}."]
+CODE_MIXED = {
+    "exclude": ["{term} mein {condition} include mat karo.", "{term} mein {condition} include mat karo yaar.", "{term} se {condition} hatao.", "{condition} ko {term} calculation se nikaal do.", "Please {term} mein {condition} ko count mat karo."],
+    "include": ["{term} mein {condition} bhi add karo.", "{condition} ko bhi {term} mein count karo.", "{term} calculation mein {condition} include karna zaroori hai."],
+    "other": ["{term} ka {condition} wala part thoda fix karo.", "Yaar {term} mein {condition} sahi se handle karo.", "{term} logic mein {condition} ke liye ek check add karo."],
+}
+
+
+def title(column: str) -> str:
+    """Words of a name, with underscores as blanks, each with a capital."""
+    return f"JOINED⟦MAP⟦KEEP⟦split(replace({column}, '_', ' '), ' ')¦w¦w <> ''⟧¦w¦concat(upper(substring(w, 1, 1)), lower(substring(w, 2, 1000)))⟧¦' '⟧"
+
 
 def sql(text: str) -> str:
     """A SQL literal."""

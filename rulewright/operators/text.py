@@ -59,5 +59,8 @@ OPS["txt_07_log_text"] = f"SELECT feedback_id, {masked('cut')} AS log_text FROM
 OPS["txt_08_redact_keys"] = f"""
 SELECT feedback_id, path, CASE WHEN {fixed.any_of("lower(path)", fixed.SENSITIVE_KEYS)} THEN '[REDACTED]' WHEN is_text THEN {masked('value')} ELSE value END AS shown FROM record_values"""
 OPS["txt_09_bounds"] = "SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > 10000 THEN 'too_long' ELSE 'ok' END AS verdict, CAST(length(text) AS BIGINT) AS n FROM documents"
-OPS["txt_10_names"] = """
-SELECT rule_id, concat(upper(substring(operation, 1, 1)), substring(operation, 2, 100), ' ', upper(substring(replace(business_term, '#', ' '), 1, 1)), substring(replace(business_term, '#', ' '), 2, 100)) AS rule_name FROM rules"""
+# a rule without an operation and a term is named by the end of its id
+OPS["txt_10_names"] = f"""
+SELECT rule_id, term_label, CASE WHEN lower(concat(operation_label, ' ', term_label)) = 'rule general' THEN concat('Rule ', substring(rule_id, greatest(length(rule_id) - 7, 1), 8)) ELSE concat(operation_label, ' ', term_label) END AS rule_name FROM (
+  SELECT rule_id, CASE WHEN operation = '' OR lower(operation) = 'unknown' THEN 'Rule' ELSE {fixed.title('operation')} END AS operation_label, CASE WHEN term = '' OR lower(term) = 'unknown' THEN 'General' ELSE {fixed.title('term')} END AS term_label
+  FROM (SELECT rule_id, trim(coalesce(operation, '')) AS operation, trim(coalesce(business_term, '')) AS term FROM rules) r) x"""

@@ -2,6 +2,8 @@
 
 from rulewright.sources.adapters import view
 
+from .datagen import OPS as DATASETS
+
 OPS: dict[str, str] = {}
 
 # fixed values: operations, and which comparison operator suits which column type
@@ -91,9 +93,20 @@ OPS["val_06_ambiguity"] = f"""
 SELECT rule_id, concat_ws(',', {", ".join(f"CASE WHEN {d} THEN '{d}' END" for d in _DOUBTS)}) AS ambiguous_fields, round(({" + ".join(f"CASE WHEN {d} THEN 1 ELSE 0 END" for d in _DOUBTS)}) / CAST(5 AS DOUBLE), 3) AS score,
   concat_ws(' ', CASE WHEN business_term THEN 'Which business concept is meant?' END, CASE WHEN operation THEN 'What should happen to these records?' END, CASE WHEN conditions THEN 'Which exact field and value?' END, CASE WHEN scope THEN 'Where does the rule hold?' END, CASE WHEN threshold THEN 'Which number is meant?' END) AS questions FROM ({_DOUBT}) d"""
 OPS["val_07_mandatory_guard"] = "SELECT suggestion_id, coalesce(trim(business_term), '') = '' OR coalesce(trim(operation), '') = '' OR coalesce(trim(scope), '') = '' OR n_tables = 0 AS needs_clarification, CASE WHEN n_tables = 0 THEN NULL ELSE nullif(trim(business_term), '') END AS business_term FROM suggestions"
-_RECORD = """
-SELECT feedback_id, rule_family_id, concat_ws(',', CASE WHEN feedback_text IS NULL OR trim(feedback_text) = '' THEN 'missing_text' END, CASE WHEN feedback_type = 'business_rule' AND rule_category IS NULL THEN 'rule_without_category' END,
-  CASE WHEN is_actionable <> (feedback_type = 'business_rule') THEN 'label_mismatch' END, CASE WHEN is_actionable AND used_field <> context_field THEN 'field_outside_context' END) AS errors FROM records"""
+# fixed values: the types, categories and operations that a record may have
+_RECORD_TYPES = "('business_rule', 'issue_report', 'feature_request', 'question', 'general_feedback', 'irrelevant_spam')"
+_RECORD_CATEGORIES = "('metric_definition', 'filter_rule', 'mapping_rule', 'access_rule', 'join_rule', 'data_quality_rule')"
+view("expected_validity", DATASETS["gen_09_expected_validity"])
+view("known_fields", "SELECT DISTINCT domain, concat(table_name, '.', column_name) AS field FROM catalog")
+# an unknown field is an error, unless the record is there to fail; what its context lists beyond the catalog is a warning
+_RECORD = f"""
+SELECT feedback_id, rule_family_id, concat_ws(',', CASE WHEN coalesce(feedback_id, '') = '' THEN 'missing_id' END, CASE WHEN coalesce(rule_family_id, '') = '' THEN 'missing_family' END, CASE WHEN feedback_text IS NULL OR trim(feedback_text) = '' THEN 'missing_text' END,
+    CASE WHEN feedback_type NOT IN {_RECORD_TYPES} THEN 'unknown_type' END, CASE WHEN rule_category NOT IN {_RECORD_CATEGORIES} THEN 'unknown_category' END, CASE WHEN operation NOT IN {OPERATIONS} THEN 'unknown_operation' END,
+    CASE WHEN feedback_type = 'business_rule' AND rule_category IS NULL THEN 'rule_without_category' END, CASE WHEN is_actionable AND NOT requires_clarification AND feedback_type = 'business_rule' AND rule_id IS NULL THEN 'rule_missing' END, CASE WHEN is_actionable <> (feedback_type = 'business_rule') THEN 'label_mismatch' END,
+    CASE WHEN is_actionable AND used_field <> context_field THEN 'field_outside_context' END, CASE WHEN NOT used_known AND NOT may_fail THEN 'unknown_field' END) AS errors,
+  concat_ws(',', CASE WHEN NOT used_known AND may_fail THEN 'unknown_field_allowed' END, CASE WHEN NOT context_known THEN 'context_outside_catalog' END, CASE WHEN instr(coalesce(rule_id, ''), feedback_id) > 0 THEN 'id_in_rule' END) AS warnings
+FROM (SELECT r.*, u.field IS NOT NULL AS used_known, c.field IS NOT NULL AS context_known, coalesce(e.schema_expected = 'fail', FALSE) AS may_fail FROM records r LEFT JOIN known_fields u ON u.domain = r.domain AND u.field = r.used_field LEFT JOIN known_fields c ON c.domain = r.domain AND c.field = r.context_field
+  LEFT JOIN expected_validity e ON e.feedback_id = r.feedback_id) x"""
 OPS["val_08_records"] = _RECORD
 OPS["val_09_accept_reject"] = f"""
 SELECT feedback_id, n_same, CASE WHEN errors <> '' THEN 'rejected' ELSE 'accepted' END AS outcome, concat_ws(',', nullif(errors, ''), CASE WHEN n_same > 1 THEN 'duplicate_id' END) AS reason
@@ -111,3 +124,10 @@ UNION ALL SELECT c.rule_id, 'unknown_column', c.pos FROM conditions c WHERE NOT
 OPS["val_12_strict"] = """
 SELECT r.rule_id, RLIKE(r.scope, '^(global|regional|departmental|region:[1-9]|time:.+)$') AS scope_ok, g.term IS NOT NULL OR r.business_term IN ('revenue', 'orders', 'customers', 'sales', 'profit') AS term_ok, r.operation IN ('exclude', 'include', 'restrict', 'map', 'replace', 'add', 'subtract', 'multiply', 'divide', 'filter', 'calculate') AS operation_ok
 FROM rules r LEFT JOIN glossary g ON g.domain = r.domain_id AND g.term = r.business_term"""
+# fixed values of the form that needs neither catalog nor glossary
+OPS["val_12_last_resort"] = """
+SELECT rule_id, n_good, n_bad, mandatory_ok, round(n_good / CAST(greatest(n_good + n_bad, 1) AS DOUBLE), 3) AS coverage, CASE WHEN n_bad = 0 AND mandatory_ok THEN 'PASS' WHEN n_good > 0 AND 2 * n_good >= n_good + n_bad THEN 'PARTIAL' ELSE 'FAIL' END AS status FROM (
+  SELECT r.rule_id, coalesce(r.business_term, '') <> '' AND coalesce(r.operation, '') <> '' AND coalesce(r.scope, '') <> '' AS mandatory_ok,
+    CASE WHEN lower(r.business_term) IN ('revenue', 'order', 'customer', 'product', 'payment') THEN 1 ELSE 0 END + CASE WHEN lower(r.operation) IN ('exclude', 'include', 'restrict', 'map', 'subtract') THEN 1 ELSE 0 END + CASE WHEN r.scope IN ('global', 'region:1', 'region:2') THEN 1 ELSE 0 END + coalesce(c.n_qualified, 0) AS n_good,
+    CASE WHEN r.business_term <> '' AND lower(r.business_term) NOT IN ('revenue', 'order', 'customer', 'product', 'payment') THEN 1 ELSE 0 END + CASE WHEN r.operation <> '' AND lower(r.operation) NOT IN ('exclude', 'include', 'restrict', 'map', 'subtract') THEN 1 ELSE 0 END + CASE WHEN r.scope <> '' AND r.scope NOT IN ('global', 'region:1', 'region:2') THEN 1 ELSE 0 END + coalesce(c.n - c.n_qualified, 0) AS n_bad
+  FROM rules r LEFT JOIN (SELECT rule_id, count(*) AS n, count_if(instr(coalesce(field, ''), '.') > 0) AS n_qualified FROM conditions GROUP BY rule_id) c ON c.rule_id = r.rule_id) x"""

@@ -14,6 +14,7 @@ SERIES(n)              the array of 0 to n - 1; n is a column
 SPLITRE(a, b)          a cut at what the pattern b finds
 BTRIM(a, b)            a without the characters of b at its ends
 TRIPLE(a)              a holds a letter or digit three times in a row
+JOINED⟦array¦sep⟧      the texts of an array joined by sep, a literal
 LAST⟦array⟧            the last element of an array, null of an empty one
 KEEP⟦array¦x¦test⟧     the elements x of an array that pass the test
 
@@ -39,6 +40,7 @@ _COUNT = re.compile(r"COUNT⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
 _MAP = re.compile(r"MAP⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
 _TRIPLE = re.compile(r"TRIPLE\((\w+)\)")
 _KEEP = re.compile(r"KEEP⟦([^¦⟧]*)¦([^¦⟧]*)¦([^⟦⟧]*)⟧")
+_JOINED = re.compile(r"JOINED⟦([^¦⟦⟧]*)¦([^¦⟦⟧]*)⟧")
 _LAST = re.compile(r"LAST⟦([^⟦⟧]*)⟧")
 _SERIES = re.compile(r"SERIES\((\w+)\)")
 _SECONDS = re.compile(r"SECONDS\(([^()]+)\)")
@@ -54,6 +56,7 @@ def spark_text(sql: str) -> str:
     sql = _MAP.sub(r"transform(\1, \2 -> \3)", sql)
     sql = _TRIPLE.sub(r"RLIKE(\1, '([a-z0-9])\\1\\1')", sql)
     sql = _KEEP.sub(r"filter(\1, \2 -> \3)", sql)
+    sql = _JOINED.sub(r"array_join(\1, \2)", sql)
     sql = _LAST.sub(r"try_element_at(\1, -1)", sql)
     sql = _COUNT.sub(r"CAST(size(filter(\1, \2 -> \3)) AS BIGINT)", sql)
     return sql.replace("BTRIM(", "btrim(").replace("SPLITRE(", "split(").replace("RLIKE(", "regexp_like(").replace("@G", "").replace("\\", "\\\\")
@@ -82,6 +85,7 @@ def other_text(sql: str) -> str:
     # without back references the characters are spelled out
     sql = _TRIPLE.sub(lambda m: f"RLIKE({m[1]}, '{'|'.join(c * 3 for c in 'abcdefghijklmnopqrstuvwxyz0123456789')}')", sql)
     sql = _KEEP.sub(r"list_filter(\1, lambda \2: \3)", sql)
+    sql = _JOINED.sub(r"array_to_string(\1, \2)", sql)
     sql = _LAST.sub(r"list_extract(\1, -1)", sql)
     sql = _COUNT.sub(r"CAST(len(list_filter(\1, lambda \2: \3)) AS BIGINT)", sql)
     sql = _counted(sql)

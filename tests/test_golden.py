@@ -471,3 +471,43 @@ def test_recommendations_follow_the_worst_conflict(spark, sf):
         conflict = found.get(new)
         label = "Conflict" if conflict and conflict.has_conflict else "Compatible" if conflict and rows[0].label == "Compatible" else "No Conflict"
         assert {r.label for r in rows} == {label} and sorted(r.pos for r in rows) == list(range(1, len(rows) + 1)) and len(rows) == (1 if label == "No Conflict" else 3)
+
+
+def test_names_of_rules(spark):
+    rules = spark.createDataFrame([("R0000001", "map", "net_revenue"), ("R0000002", None, "net  revenue"), ("R0000003", "EXCLUDE_all", ""), ("RULE_ABCDEF12", " ", None), ("x", "unknown", "Unknown")], "rule_id string, operation string, business_term string")
+    got = {r.rule_id: r.rule_name for r in operators.apply(spark, "txt_10_names", rules=rules).collect()}
+    assert got == {"R0000001": "Map Net Revenue", "R0000002": "Rule Net Revenue", "R0000003": "Exclude All General", "RULE_ABCDEF12": "Rule ABCDEF12", "x": "Rule x"}
+
+
+def test_last_resort_validation(spark):
+    rules = spark.createDataFrame([("a", "Revenue", "exclude", "global"), ("b", "churn", "fly", "nowhere"), ("c", "order", None, "region:1"), ("d", None, None, None), ("e", "churn", "map", "global")], "rule_id string, business_term string, operation string, scope string")
+    conditions = spark.createDataFrame([("a", "orders.status"), ("b", "status"), ("e", "status")], "rule_id string, field string")
+    got = {r.rule_id: (r.status, r.coverage, r.mandatory_ok) for r in operators.apply(spark, "val_12_last_resort", rules=rules, conditions=conditions).collect()}
+    assert got == {"a": ("PASS", 1.0, True), "b": ("FAIL", 0.0, True), "c": ("PARTIAL", 1.0, False), "d": ("FAIL", 0.0, False), "e": ("PARTIAL", 0.5, True)}
+
+
+def test_errors_and_warnings_of_records(spark):
+    columns = "feedback_id string, feedback_text string, rule_id string, domain string, operation string, rule_family_id string, feedback_type string, rule_category string, is_actionable boolean, requires_clarification boolean, used_field string, context_field string"
+    good = ("f1", "text", "R1", "d", "exclude", "fam", "business_rule", "filter_rule", True, False, "t.c", "t.c")
+    change = lambda i, **new: (f"f{i}", *(new.get(n, v) for n, v in zip([c.split()[0] for c in columns.split(", ")][1:], good[1:])))
+    rows = [good, change(2, used_field="t.x", context_field="t.x"), change(3, used_field="t.x", context_field="t.x"), change(4, feedback_type="odd", rule_category="odd", operation="fly"), change(5, feedback_text=" ", rule_family_id=""), change(6, rule_id="xf6y"), change(7, rule_id=None)]
+    catalog = spark.createDataFrame([("d", "t", "c", "string", "f", None)], "domain string, table_name string, column_name string, type string, nullable string, allowed string")
+    expected = spark.createDataFrame([("f3", "fail")], "feedback_id string, schema_expected string")
+    got = {r.feedback_id: (r.errors, r.warnings) for r in operators.apply(spark, "val_08_records", records=spark.createDataFrame(rows, columns), catalog=catalog, expected_validity=expected).collect()}
+    assert got == {
+        "f1": ("", ""), "f2": ("unknown_field", "context_outside_catalog"), "f3": ("", "unknown_field_allowed,context_outside_catalog"), "f4": ("unknown_type,unknown_category,unknown_operation,label_mismatch", ""), "f5": ("missing_family,missing_text", ""),
+        "f6": ("", "id_in_rule"), "f7": ("rule_missing", "")}
+
+
+def test_two_ways_to_say_a_rule_and_one_in_two_languages(spark, sf):
+    from rulewright.operators import fixed
+
+    got = operators.from_tables(spark, "gen_03_conversational", sf).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r.rule_id, []).append(r)
+        head, tail = fixed.CONVERSATIONAL[r.way].split("{rule}")
+        assert r.feedback_text.startswith(head) and r.feedback_text.endswith(tail)
+    assert all(len({r.way for r in rows}) == 2 for rows in per.values()) and len({r.way for r in got}) == 8
+    mixed = operators.from_tables(spark, "gen_03_code_mixed", sf).collect()
+    assert len({r.rule_id for r in mixed}) == len(mixed) and {r.bank for r in mixed} == set(fixed.CODE_MIXED) and all(" mein " in f" {r.feedback_text}" or " se " in r.feedback_text or " ko " in r.feedback_text or " ka " in r.feedback_text for r in mixed)
