@@ -4,6 +4,7 @@ from rulewright.sources.adapters import view
 
 from .datagen import OPS as DATASETS
 from .route import OPS as ROUTES
+from .similarity import OPS as DETECTORS
 from .validate import OPS as CHECKS
 
 OPS: dict[str, str] = {}
@@ -87,6 +88,13 @@ FROM new_rules n JOIN rules o ON o.workspace_id = n.workspace_id AND o.domain_id
 OPS["evl_09_conflicts"] = f"""
 SELECT category, {_RATES}, round(fn / CAST(greatest(tp + fn, 1) AS DOUBLE), 6) AS missed_rate, round(fp / CAST(greatest(fp + tn, 1) AS DOUBLE), 6) AS false_rate
 FROM (SELECT category, {_BINARY} FROM conflict_judgements GROUP BY category UNION ALL SELECT 'all', {_BINARY} FROM conflict_judgements) b"""
+# the same measures of what the detectors of SIM-08 and SIM-13 say of the judged pairs
+_SAID_PAIR = f"SELECT j.new_id, j.old_id, j.category, j.expected, CASE WHEN d.kind IN ('direct', 'potential') THEN 1 ELSE 0 END AS predicted FROM conflict_judgements j LEFT JOIN ({DETECTORS['sim_13_conflict']}) d ON d.new_id = j.new_id AND d.old_id = j.old_id"
+OPS["evl_09_detected"] = f"""
+SELECT category, {_RATES}, round(fn / CAST(greatest(tp + fn, 1) AS DOUBLE), 6) AS missed_rate, round(fp / CAST(greatest(fp + tn, 1) AS DOUBLE), 6) AS false_rate
+FROM (SELECT category, {_BINARY} FROM ({_SAID_PAIR}) j GROUP BY category) b"""
+_SAID_SAME = f"SELECT j.new_id, j.old_id, j.kind, j.expected, CASE WHEN coalesce(d.relationship, 'unrelated') <> 'unrelated' THEN 1 ELSE 0 END AS predicted, j.place FROM duplicate_judgements j LEFT JOIN ({DETECTORS['sim_08_relationship']}) d ON d.new_id = j.new_id AND d.old_id = j.old_id"
+OPS["evl_07_detected"] = f"SELECT {_RATED.format('kind')} FROM (SELECT kind, {_DUPLICATES} FROM ({_SAID_SAME}) j GROUP BY kind) b"
 OPS["evl_10_clarifications"] = f"SELECT {_RATES}, fn AS missed, fp AS incorrect FROM (SELECT count_if(needs AND asked) AS tp, count_if(NOT needs AND asked) AS fp, count_if(needs AND NOT asked) AS fn, count_if(NOT needs AND NOT asked) AS tn FROM (SELECT needs_clarification AS needs, business_term IS NULL OR n_conditions = 0 AS asked FROM suggestions) s) b"
 view("clarification_times", "SELECT s.suggestion_id, s.workspace_id, s.created_at, max(a.created_at) AS resolved_at FROM suggestions s JOIN audit a ON a.entity_id = s.suggestion_id WHERE s.needs_clarification GROUP BY s.suggestion_id, s.workspace_id, s.created_at")
 OPS["evl_10_resolution"] = "SELECT workspace_id, count(*) AS n, round(avg(CAST(SECONDS(resolved_at) - SECONDS(created_at) AS DOUBLE)), 6) AS mean_seconds, max(SECONDS(resolved_at) - SECONDS(created_at)) AS longest_seconds FROM clarification_times WHERE resolved_at >= created_at GROUP BY workspace_id"

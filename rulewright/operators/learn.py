@@ -96,4 +96,11 @@ def cls_06_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.apply(spark, "cls_06_cascade", feedback=feedback, model_outputs=outputs(_learned(spark, sf_dir)[0], feedback))
 
 
-QUERIES = {"cls_07_train": cls_07_train, "cls_08_score": cls_08_score, "cls_06_trained": cls_06_trained}
+def evl_01_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support, precision, recall and F1 by class of the trained model on the families that it hasn't seen: EVL-01 on CLS-08."""
+    model, others = _learned(spark, sf_dir)
+    judged = predict(model, others).select(F.col("feedback_type").alias("expected_lang"), F.col("predicted_type").alias("predicted_lang"))
+    return operators.apply(spark, "evl_01_per_class", predictions=judged)
+
+
+QUERIES = {"evl_01_trained": evl_01_trained, "cls_07_train": cls_07_train, "cls_08_score": cls_08_score, "cls_06_trained": cls_06_trained}
