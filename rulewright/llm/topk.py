@@ -101,7 +101,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
     size = rows.agg(F.count("*").alias("n"), F.sum((F.pmod("id", F.lit(every)) == 0).cast("long")).alias("q"), F.max(F.length("raw")).alias("w")).first()
     n_shards, n_blocks, width = -(-(size["n"] or 1) // shard_rows), -(-(size["q"] or 1) // block_queries), (size["w"] or 8) // 8
     # a stated query set against all rows, in blocks: each shard meets each block once
-    number = F.xxhash64("id", "raw")
+    # rows are dealt by their own number, so rows that repeat an id and a vector don't meet in one shard or block
+    number = F.col("row")
     candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(number, F.lit(n_shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "raw", "row")
     queries = rows.where(F.pmod("id", F.lit(every)) == 0)
     queries = queries.select(F.pmod(F.xxhash64(number), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "raw", "row")
