@@ -232,6 +232,8 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                     number, parts, size = number + 1, [], 0
         if parts:
             yield from chunk_of(number, parts)
+        parts = []
+        common.trim()
 
     return docs.mapInArrow(run, "kind int, chunk long, word string, local int, n long, blob binary")
 
@@ -340,6 +342,7 @@ def _by_chunk(sequences: DataFrame, answers: DataFrame | None, model: Model, use
                 else:
                     yield from use(chunk, Chunk(blob.as_py(), shared.value), {k: np.concatenate(v) for k, v in got.items()})
                     got = {}
+                    common.trim()
 
     rows = sequences.select("chunk", F.lit(0).alias("order"), "blob")
     if answers is not None:
@@ -435,6 +438,8 @@ def table(requests: DataFrame, model: Model, order: int) -> None:
                 parts.append(unpack_grams(blob.as_py(), order))
         if parts:
             yield add_up(now, parts)
+        parts = []
+        common.trim()
 
     dealt = requests.repartition(model.n_buckets, "bucket").sortWithinPartitions("bucket", "chunk").select("bucket", "blob")
     merged = common.saved(dealt.mapInArrow(merge, schema), f"merged-{order}", "kind")
@@ -504,6 +509,8 @@ def answered(requests: DataFrame, model: Model, order: int) -> DataFrame:
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], ["chunk", "order", "bucket", "blob"])
+        known = None
+        common.trim()
 
     def answer(known: list | None, history: list[np.ndarray], n: np.ndarray, w: np.ndarray) -> np.ndarray:
         if known is None:
@@ -562,7 +569,7 @@ def _train(sequences: DataFrame, found: DataFrame, train_docs: int, path: str, o
     return model, rows
 
 
-def train(docs: DataFrame, path: str, order: int = 2, bucket_tokens: int = 1_000_000, chunk_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, path: str, order: int = 2, bucket_tokens: int = 1_000_000, chunk_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn a model of the given order (2 or more) from all rows of docs and write it to path, a new folder.
 
     Null and empty texts count as one end. Rows that repeat are each learned from. Other columns are ignored.
@@ -602,14 +609,14 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
     return _by_chunk(rows, answers, model, use, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, model: Model, chunk_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, chunk_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT of every row of docs by a trained model; held_out is true. Null texts count as empty: their only token is
     the end. Rows that repeat an id or a text are each scored. Other columns are ignored."""
     parts = _chunked(docs, F.lit(1), chunk_bytes, id_col, text_col)
     return _scored(_numbered(*parts, docs.sparkSession.read.parquet(f"{model.path}/words")), model)
 
 
-def train_and_score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2, order: int = 2, bucket_tokens: int = 1_000_000, chunk_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2, order: int = 2, bucket_tokens: int = 1_000_000, chunk_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT of every row of docs, by a model of a part of them that is written to path; texts are read once.
 
     Training texts are those whose crc32 of the id as text modulo `modulus` isn't `held`; a row without an id is never
