@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from rulewright import catalogue
+from rulewright import catalogue, operators
 from rulewright.functions import text
 from rulewright.operators import building, fuzzy
 from rulewright.sources import files
@@ -86,12 +86,24 @@ def test_rules_of_like_terms_are_compared(spark, sf):
     new = [tuple(r) for r in fuzzy.view(spark, sf, "new_rules").select("rule_id", "workspace_id", "domain_id", "business_term").collect()]
     old = [tuple(r) for r in fuzzy.view(spark, sf, "rules").select("rule_id", "workspace_id", "domain_id", "business_term").collect()]
     want = {(n[0], o[0]) for n in new for o in old if n[1:3] == o[1:3] and ratio(n[3], o[3]) > 0.85}
-    got = [(r.new_id, r.old_id) for r in catalogue.queries()["sim_07_pair_features_ratio"](spark, sf).select("new_id", "old_id").collect()]
+    classes = operators.from_tables(spark, "sim_07_classes", sf).collect()
+
+    def told(key, which):
+        """All pairs that the pairs of first rules stand for."""
+        of = {}
+        for r in classes:
+            of.setdefault((r.side, r[which]), []).append(r.rule_id)
+        rows = catalogue.queries()[key](spark, sf)
+        rows = rows.selectExpr("split(comparison_id, '-')[0] AS new_id", "split(comparison_id, '-')[1] AS old_id") if "new_id" not in rows.columns else rows
+        return [(n, o) for r in rows.collect() for n in of["new", r.new_id] for o in of["old", r.old_id]]
+
+    got = told("sim_07_pair_features_ratio", "level_id")
     assert len(got) == len(want) and set(got) == want
-    equal = {tuple(r) for r in catalogue.queries()["sim_07_pair_features"](spark, sf).select("new_id", "old_id").collect()}
+    equal = set(told("sim_07_pair_features", "level_id"))
     assert equal < want
     for key in ("sim_08_relationship", "sim_13_conflict", "sim_15_comparisons"):
-        assert catalogue.queries()[f"{key}_ratio"](spark, sf).count() == len(want)
+        got = told(f"{key}_ratio", "first_id")
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_weighted_and_related_rules_are_those_of_all_pairs(spark):
