@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rulewright import operators
 
 from .fuzzy import view
+from .pairs import _kept
 
 TARGETS = ("feedback_type", "rule_category")
 
@@ -39,21 +40,21 @@ def train(records: DataFrame, features: int = 1 << 14) -> Classifier:
     ])
     labelled = records.select("feedback_text", *(F.coalesce(t, F.lit("")).alias(t) for t in TARGETS))
     fitted = pipeline.fit(labelled)
-    ready, targets = fitted.transform(labelled).select("features", *TARGETS), {}
+    ready, targets = _kept(fitted.transform(labelled).select("features", *TARGETS), "features"), {}
     for target in TARGETS:
         index = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(ready)
         counts = ready.groupBy(target).agg(F.count("*").alias("n"))
         total = counts.agg(F.sum("n"), F.count("*")).first()
         weight = F.lit(float(total[0] or 1)) / (F.lit(float(total[1] or 1)) * F.col("n"))
-        weighted = index.transform(ready.join(counts, target)).withColumn("weight", weight)
+        weighted = index.transform(ready.join(counts.hint("broadcast"), target)).withColumn("weight", weight)
         targets[target] = (index, LogisticRegression(weightCol="weight", maxIter=20, regParam=0.001).fit(weighted))
     return Classifier(fitted, targets)
 
 
 def predict(model: Classifier, rows: DataFrame) -> DataFrame:
-    """rows with predicted_type, predicted_category, confidence (the mean of the two largest probabilities, 4 places) and
+    """Each distinct text is answered once. rows with predicted_type, predicted_category, confidence (the mean of the two largest probabilities, 4 places) and
     whether it is an actionable rule."""
-    found = model.features.transform(rows)
+    found = model.features.transform(rows.select("feedback_text").distinct())
     for target in TARGETS:
         index, fitted = model.targets[target]
         short = target.rsplit("_", 1)[1]
@@ -62,7 +63,8 @@ def predict(model: Classifier, rows: DataFrame) -> DataFrame:
         found = fitted.transform(found).withColumn(f"predicted_{short}", F.coalesce(F.get(labels, F.col(f"at_{short}").cast("int")), F.lit("")))
     mean = sum(F.array_max(vector_to_array(f"p_{t.rsplit('_', 1)[1]}")) for t in TARGETS) / len(TARGETS)
     found = found.withColumns({"confidence": F.round(mean, 4), "predicted_actionable": F.col("predicted_type") == "business_rule"})
-    return found.select(*rows.columns, "predicted_type", "predicted_category", "confidence", "predicted_actionable")
+    told = found.select(F.col("feedback_text").alias("told_of"), "predicted_type", "predicted_category", "confidence", "predicted_actionable")
+    return rows.join(_kept(told, "told").hint("merge"), F.col("feedback_text").eqNullSafe(F.col("told_of"))).drop("told_of")
 
 
 def outputs(model: Classifier, feedback: DataFrame) -> DataFrame:
