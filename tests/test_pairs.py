@@ -29,3 +29,23 @@ def test_same_as_sql_when_ids_repeat(spark, sf):
     given = _inputs(spark, sf)
     for key in ("sim_08_relationship", "sim_09_best_match", "sim_15_comparisons", "sim_14_recommendations"):
         assert _rows(operators.apply(spark, key, **given)) == _rows(plans.run(spark, operators.OPERATORS[key], VIEWS, given)), key
+
+
+def test_profiles_say_what_pairs_of_classes_get(spark, sf):
+    """Rules of the same facts in many terms: facts are compared once for all terms, and no row of a pair holds a class's rules."""
+    one = _inputs(spark, sf)
+    spread = lambda rows: rows.crossJoin(spark.range(6).withColumnRenamed("id", "g")).withColumn("rule_id", F.concat("rule_id", F.lit("/t"), F.col("g").cast("string")))
+    given = {k: spread(v).withColumn("business_term", F.concat(F.lit("t"), F.col("g").cast("string"))).drop("g") if k.endswith("rules") else spread(v).drop("g") for k, v in one.items()}
+    classes = pairs.Classes(spark, given)
+    assert (classes.new.count(), classes.old.count(), classes.met.count()) == (12, 12, 4)
+    told = classes.conflicts("kind", "confidence")
+    assert told.count() == 24 and told.agg(F.max(F.size("new_members"))).first()[0] == 1
+    for key in ("sim_14_conflict_rollup",):
+        assert _rows(operators.apply(spark, key, **given)) == _rows(plans.run(spark, operators.OPERATORS[key], VIEWS, given)), key
+
+
+def test_groups_of_many_new_classes_meet_in_parts(spark, sf, monkeypatch):
+    given = _inputs(spark, sf)
+    whole = {key: _rows(operators.apply(spark, key, **given)) for key in ("sim_13_conflict",)}
+    monkeypatch.setattr(pairs, "PART", 1)
+    assert whole == {key: _rows(operators.apply(spark, key, **given)) for key in whole}
