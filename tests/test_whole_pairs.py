@@ -24,6 +24,7 @@ def _given(spark, sf, old_term="net revenue"):
 ALL = {(f"N{n}", f"R{o}") for n in range(2 * N) for o in range(2 * N)}
 UNLIKE = {(n, o) for n, o in ALL if (int(n[1:]) + int(o[1:])) % 2}
 WANT = {
+    "sim_15_comparisons": ALL,
     "sim_13_conflict": ALL,
     "sim_12_opposed": ALL,
     "sim_11_contradictions": UNLIKE,
