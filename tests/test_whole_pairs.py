@@ -57,3 +57,10 @@ RATIO = {
 def test_every_pair_of_like_terms_is_there(spark, sf, key):
     given = _given(spark, sf, old_term="net revenues")
     assert _told(fuzzy.similar_rules(spark, key, given["new_rules"], given["rules"], **given)) == sorted(RATIO[key])
+
+
+def test_rollup_names_every_rule_in_conflict(spark, sf, monkeypatch):
+    monkeypatch.setattr(pairs, "RUN", 3)
+    found = {r.new_id: r for r in operators.apply(spark, "sim_14_conflict_rollup", **_given(spark, sf)).collect()}
+    assert {(n, o) for n, r in found.items() for o in r.conflicting.split(",")} == UNLIKE
+    assert all(r.n_direct == len(r.conflicting.split(",")) == N for r in found.values())
