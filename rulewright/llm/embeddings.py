@@ -9,6 +9,9 @@ squared distances to the cuts on the way tells. Leaves and their visitors are cu
 task joins two chunks; it returns how many links each vector has there and a spanning forest of them, never the pairs.
 A pair that several blocks find counts in the first.
 
+Vectors without structure reach most leaves, so the tree would deal each of them out many times. Where its census says that
+it deals more rows than all pairs of larger chunks do, these are joined instead: one block, one leaf, the same links.
+
 Equal vectors are collapsed to one with a weight before all this, so copies cost nothing.
 """
 
@@ -26,6 +29,8 @@ from . import common
 from .graph import components
 
 BLOCKS = 4
+#: Vectors in a chunk where all pairs are joined, and how many chunks there are as long as they are smaller.
+WIDE, FEW = 32_768, 6
 
 
 def rotate(x: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -67,6 +72,17 @@ def prepared(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, raw binary")
 
 
+def packed(raw: bytes) -> bytes:
+    """raw as single floats, if they hold it exactly; a first byte tells which."""
+    x = np.frombuffer(raw)
+    short = x.astype(np.float32)
+    return b"s" + short.tobytes() if (short == x).all() else b"d" + raw
+
+
+def unpacked(text: bytes) -> bytes:
+    return np.frombuffer(text, np.float32, offset=1).astype(np.float64).tobytes() if text[:1] == b"s" else text[1:]
+
+
 def _matrix(raw: list[bytes], width: int) -> np.ndarray:
     x = np.zeros((len(raw), width))
     for i, r in enumerate(raw):
@@ -74,12 +90,12 @@ def _matrix(raw: list[bytes], width: int) -> np.ndarray:
     return x
 
 
-def pair_links(home: np.ndarray, visit: np.ndarray | None, block: int, cosine: float, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (home, visit) linked by this block first. visit None: pairs within home, each once."""
+def pair_links(home: np.ndarray, visit: np.ndarray | None, block: int, cosine: float, tile: int = 1024, count: int = BLOCKS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (home, visit) linked by this block of count blocks first. visit None: pairs within home, each once."""
     other = home if visit is None else visit
     x, y = rotate(home), rotate(other)
-    size = x.shape[1] // BLOCKS
-    budget = (2 - 2 * cosine) / BLOCKS + 1e-9
+    size = x.shape[1] // count
+    budget = (2 - 2 * cosine) / count + 1e-9
     cut = slice(block * size, (block + 1) * size)
     xs, ys = x[:, cut].astype(np.float32), y[:, cut].astype(np.float32)
     nx, ny = (xs**2).sum(1), (ys**2).sum(1)
@@ -95,7 +111,7 @@ def pair_links(home: np.ndarray, visit: np.ndarray | None, block: int, cosine: f
                 i, j = i[i < j], j[i < j]
             for k in range(0, len(i), 1 << 15):
                 p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-                d = ((x[p] - y[q]) ** 2).reshape(len(p), BLOCKS, size).sum(2) <= budget
+                d = ((x[p] - y[q]) ** 2).reshape(len(p), count, size).sum(2) <= budget
                 mine = d[:, block] & ~d[:, :block].any(1)
                 p, q = p[mine], q[mine]
                 u, v = home[p], other[q]
@@ -156,7 +172,12 @@ def visits(tree: tuple | int, y: np.ndarray, home: np.ndarray, budget: float) ->
     return np.concatenate(rows_out), np.concatenate(leaves_out)
 
 
-def _join(batch: pd.DataFrame, block: int, cosine: float, alone: bool) -> pd.DataFrame:
+def fewer(n: int, wide: int, dealing: int) -> bool:
+    """Whether all pairs of chunks of wide vectors deal fewer rows than the tree."""
+    return n * -(-n // wide) < dealing
+
+
+def _join(batch: pd.DataFrame, block: int, cosine: float, alone: bool, count: int = BLOCKS) -> pd.DataFrame:
     """Links between the two chunks of a task, or within the one that is alone: weight of linked vectors and the root in a
     spanning forest, by node."""
     width = max(len(r) for r in batch["raw"]) // 8
@@ -165,7 +186,7 @@ def _join(batch: pd.DataFrame, block: int, cosine: float, alone: bool) -> pd.Dat
     nodes = np.concatenate([p["node"].to_numpy() for p in parts])
     weight = np.concatenate([p["w"].to_numpy() for p in parts])
     links, root, shift = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes)), 0 if alone else len(home)
-    for i, j in pair_links(home, None if alone else visit, block, cosine) if alone or (len(home) and len(visit)) else ():
+    for i, j in pair_links(home, None if alone else visit, block, cosine, count=count) if alone or (len(home) and len(visit)) else ():
         j = j + shift
         np.add.at(links, i, weight[j])
         np.add.at(links, j, weight[i])
@@ -225,6 +246,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, chunk: int = 8192,
     parts[:, 1] = 0
     for r in counted:
         parts[r["b"], r["kind"], r["leaf"]] = -(-r["n"] // chunk)
+    # rows that the tree deals: each vector to its leaf's pairs of chunks, to its visitors' chunks, and to the chunks of leaves that it visits
+    dealing = sum(int(r["n"]) * int(parts[r["b"], 0, r["leaf"]] + (parts[r["b"], 1, r["leaf"]] if r["kind"] == 0 else 0)) for r in counted)
+    wide = max(chunk, min(WIDE, -(-n // FEW)))
+    plain = fewer(n, wide, dealing)
+    if plain:
+        shared, parts = spark.sparkContext.broadcast([0]), np.zeros((1, 2, 1), dtype=np.int64)
+        parts[0, 0, 0] = -(-n // wide)
+    count = 1 if plain else BLOCKS
     chunks = spark.sparkContext.broadcast(parts)
 
     def each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,8 +265,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, chunk: int = 8192,
         for batch in batches:
             mixed = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             mine, other = ((mixed >> np.uint64(s)).astype(np.int64) for s in (33, 17))
+            sent = [batch.column(0), pa.array([packed(v) for v in batch.column(1).to_pylist()], pa.binary()), batch.column(2)]
             tasks = []  # columns: block, leaf, own chunk, second chunk, chunk of visitors (-1: a task of the leaf's own), side, row
-            for b, y in enumerate(blocks(batch.column(1).to_pylist())):
+            for b, y in enumerate(blocks(batch.column(1).to_pylist())[:count]):
                 own, seen = chunks.value[b]
                 home = homes(shared.value[b], y)
                 k = mine % own[home]
@@ -245,6 +275,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, chunk: int = 8192,
                 tasks.append((b, home[at], np.minimum(k[at], m), np.maximum(k[at], m), -1, (k[at] > m) * 1, at))
                 at, g = each(seen[home])
                 tasks.append((b, home[at], k[at], 0, g, 0, at))
+                if plain:
+                    continue
                 row, leaf = visits(shared.value[b], y, home, budget)
                 at, m = each(own[leaf])
                 tasks.append((b, leaf[at], m, 0, other[row[at]] % np.maximum(seen[leaf[at]], 1), 1, row[at]))
@@ -252,15 +284,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, chunk: int = 8192,
             for lo in range(0, len(columns[0]), 20_000):
                 *keys, at = (c[lo : lo + 20_000] for c in columns)
                 take = pa.array(at.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in keys), *(batch.column(c).take(take) for c in range(3))], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in keys), *(c.take(take) for c in sent)], names)
 
     names = ["b", "leaf", "k", "m", "g", "side", "node", "raw", "w"]
     dealt = alike.select("node", "raw", "w").mapInArrow(deal, "b int, leaf int, k int, m int, g int, side int, node long, raw binary, w long")
 
     def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         pad = bytes(8 * width)
-        batch["raw"] = [r + pad[len(r) :] for r in batch["raw"]]
-        return _join(batch, int(key[0]), cosine, int(key[4]) < 0 and key[2] == key[3])
+        batch["raw"] = [r + pad[len(r) :] for r in map(unpacked, batch["raw"])]
+        return _join(batch, int(key[0]), cosine, int(key[4]) < 0 and key[2] == key[3], count)
 
     found = common.saved(dealt.groupBy("b", "leaf", "k", "m", "g").applyInPandas(run, "node long, links long, root long"), "links")
     links = common.saved(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
